@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op10_bpe_encoding_and_decoding
 from .line_dedup import OP8_SQL, op8_line_dedup
 
 
 def queries():
-    return {"op8_line_dedup": op8_line_dedup}
+    return {"op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
 
 
 def oracle_sql():
