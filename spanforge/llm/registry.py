@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op10_bpe_encoding_and_decoding
 from .line_dedup import OP8_SQL, op8_line_dedup
 
+from .ngram_join import op7_ngram_jaccard_join
+
 
 def queries():
-    return {"op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
+    return {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
 
 
 def oracle_sql():
