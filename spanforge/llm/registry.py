@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op10_bpe_encoding_and_decoding
+from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 
 from .ngram_join import op7_ngram_jaccard_join
 
 
 def queries():
-    return {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
+    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
 
 
 def oracle_sql():
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
