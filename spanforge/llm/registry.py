@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_approximate_nearest_neighbours
 from .bpe import op10_bpe_encoding_and_decoding
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
@@ -10,7 +11,7 @@ from .ngram_join import op7_ngram_jaccard_join
 
 
 def queries():
-    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
+    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
 
 
 def oracle_sql():
