@@ -8,10 +8,11 @@ from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 
 from .ngram_join import op7_ngram_jaccard_join
+from .suffix_dedup import op9_suffix_array_dedup
 
 
 def queries():
-    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
+    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
 
 
 def oracle_sql():
