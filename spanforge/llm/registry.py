@@ -6,13 +6,27 @@ from .ann import op6_approximate_nearest_neighbours
 from .bpe import op10_bpe_encoding_and_decoding
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
-
+from .mixing import op4_mixing_sources
 from .ngram_join import op7_ngram_jaccard_join
+from .quality import op3_quality_classifier
+from .sharding import op5_sharding
 from .suffix_dedup import op9_suffix_array_dedup
+from .token_counts import op1_token_counts
 
 
 def queries():
-    return {"op2_embedding_near_dedup": op2_embedding_near_dedup, "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours, "op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op8_line_dedup": op8_line_dedup, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_mixing_sources": op4_mixing_sources,
+        "op5_sharding": op5_sharding,
+        "op6_approximate_nearest_neighbours": op6_approximate_nearest_neighbours,
+        "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding,
+    }
 
 
 def oracle_sql():
