@@ -91,14 +91,20 @@ def _sum(df: DataFrame, d: int, history: np.ndarray | None = None) -> np.ndarray
     return out
 
 
-def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The history of steps and the targets. total: of tokens; by default the most that repeats no document."""
+def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The history of steps and the targets. total: of tokens; by default what leaves the first domain's as they are.
+
+    at_most: weights of domains after the first are bounds; one that has less keeps its share, and the first
+    domain has the rest.
+    """
     both = _sum(members, d)
     gram, now = both[: d * d].reshape(d, d), both[d * d :]
     weights = np.asarray(weights, float) / max(1e-300, float(np.sum(weights)))
+    if at_most and now.sum() > 0:
+        weights = np.minimum(weights, now / now.sum())
+        weights[0] = 1 - weights[1:].sum()
     if total is None:
-        wanted = weights > 0
-        total = float((now[wanted] / weights[wanted]).min()) if wanted.any() else 0.0
+        total = float(now[0] / weights[0]) if weights[0] > 0 else float(now.sum())
     target = weights * total
     metric = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
     history, got = [], now
@@ -110,11 +116,11 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
     return np.array(history).reshape(-1, d), target
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, seed: int = 4) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = True, seed: int = 4) -> DataFrame:
     """docs' columns with tokens, posterior, rate and copies (columns of these names are replaced).
 
     Domains are the labelled classes (quality, toxic); weights are the shares of tokens that they are to have (a
-    class without one gets 0). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up
+    class without one gets 0), or at most, if at_most (see solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up
     by a draw that doc_id and seed decide: rows that repeat an id share a draw. Null and empty texts have no tokens
     and the classes' shares as posteriors. Without labelled classes there is one domain and every rate is 1.
     The model sees at most LABELLED labelled rows; posteriors and totals cover every row.
@@ -125,7 +131,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float
     names = class_names(model)
     shared = spark.sparkContext.broadcast(model)
     members = save(docs.select("doc_id", "text").mapInArrow(_posteriors(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens long, posterior array<double>"), "posteriors")
-    history, _ = solve(members, d, np.array([weights.get(n, 0.0) for n in names]) if len(names) else np.ones(1), total)
+    history, _ = solve(members, d, np.array([weights.get(n, 0.0) for n in names]) if len(names) else np.ones(1), total, at_most)
     rule = spark.sparkContext.broadcast(history)
 
     def run(text: pa.Array) -> pa.Array:

@@ -37,15 +37,16 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _count(labels):
-    """Bucket counts of the corpus (class 0) and of the labelled rows by class, one packed row for each part."""
+    """Bucket counts of the corpus (class 0) and of the labelled rows by class, one packed row for each part; a last part has the labelled rows found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, classes, n = labels.value
-        counts = np.zeros((n + 1, 1 << LOG_BUCKETS), np.int64)
+        counts, found = np.zeros((n + 1, 1 << LOG_BUCKETS), np.int64), np.zeros(n + 1, np.int64)
         for b in batches:
             own = np.array([x if x is not None else -(2**63) for x in b.column(0).to_pylist()], np.int64)
             at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
             kind = np.where(ids[at] == own, classes[at], 0) if len(ids) else np.zeros(len(own), np.int64)
+            found += np.bincount(kind, minlength=n + 1)
             for i, bucket, row in features(b.column(1)):
                 counts[0] += np.bincount(bucket, minlength=counts.shape[1])
                 k = kind[i + row]
@@ -53,6 +54,7 @@ def _count(labels):
                     if (k == c).any():
                         counts[c] += np.bincount(bucket[k == c], minlength=counts.shape[1])
         rows = [(c, p, zlib.compress(x.tobytes(), 1)) for c in range(n + 1) for p, x in enumerate(np.split(counts[c], PARTS)) if x.any()]
+        rows += [(c, PARTS, zlib.compress(found[c : c + 1].tobytes(), 1)) for c in range(1, n + 1) if found[c]]
         if rows:
             c, p, x = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.int64()), pa.array(x, pa.binary())], ["class", "part", "counts"])
@@ -99,33 +101,42 @@ def class_names(model: ImportanceModel) -> list[tuple[int, int]]:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ImportanceModel:
     """Count the models in one scan of docs. Labels: doc_id, quality, toxic; the target is quality 1 and toxic 0.
 
-    At most `labelled` labelled rows are used, by the order of a hash of their ids; rows with nulls are none.
+    At most `labelled` labelled rows are used, by the order of a hash of their ids; rows with nulls are none. Classes are
+    those of which docs have labelled text; without the target or any other there is one class.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
     kinds = {(1, 0): 1} | {k: i + 2 for i, k in enumerate(sorted({(r["q"], r["t"]) for r in some} - {(1, 0)}))}
     some.sort(key=lambda r: r["doc_id"])
     ids, classes = np.array([r["doc_id"] for r in some], np.int64), np.array([kinds[r["q"], r["t"]] for r in some], np.int64)
-    of = lambda c: (classes == c).sum()
-    if not of(1) or len(kinds) < 2:
-        return ImportanceModel(np.zeros((0, 1 << LOG_BUCKETS)), np.ones(1))
+    nothing = ImportanceModel(np.zeros((0, 1 << LOG_BUCKETS)), np.ones(1), [(1, 0)])
+    if len(kinds) < 2:
+        return nothing
     shared = docs.sparkSession.sparkContext.broadcast((ids, classes, len(kinds)))
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count(shared), "class long, part long, counts binary").groupBy("class", "part").applyInArrow(_add, "class long, part long, counts binary").collect()
     counts = np.zeros((len(kinds) + 1, PARTS, (1 << LOG_BUCKETS) // PARTS))
+    found = np.zeros(len(kinds) + 1)
     for r in rows:  # a fixed number of buckets for each class
-        counts[r["class"], r["part"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+        x = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+        if r["part"] < PARTS:
+            counts[r["class"], r["part"]] = x
+        else:
+            found[r["class"]] = x[0]
     counts = counts.reshape(len(kinds) + 1, -1)
     target, total = counts[1], counts.sum(1)
+    there = [c for c in range(2, len(kinds) + 1) if total[c]]  # classes of which docs have labelled text
+    if not total[1] or not there:
+        return nothing
     ratios = []
-    for c, n in zip(counts[2:], total[2:], strict=True):
-        even = n / max(1.0, total[1])  # what a target count comes to in the other class
+    for c, n in zip(counts[there], total[there], strict=True):
+        even = n / total[1]  # what a target count comes to in the other class
         ratio = np.log((target + 0.5) * even) - np.log(c + 0.5 * even)
         error = DOUBT * np.sqrt(1 / (np.maximum(target, c / even) + 0.5) + 1 / (np.maximum(c, target * even) + 0.5))
         # what speaks for the target is doubted more: texts have many words that a small class just happened not to show
         ratio = np.where(ratio > 0, np.maximum(0, ratio - 1.5 * error), np.minimum(0, ratio + error))
         ratios.append(np.where(counts[0] >= RARE, ratio, 0))
-    shares = np.array([of(c) for c in range(1, len(kinds) + 1)], float)
-    return ImportanceModel(np.array(ratios), shares / shares.sum(), sorted(kinds, key=kinds.get))
+    shares, names = found[[1, *there]], sorted(kinds, key=kinds.get)
+    return ImportanceModel(np.array(ratios), shares / shares.sum(), [names[c - 1] for c in (1, *there)])
 
 
 def _noise(seed: int):
