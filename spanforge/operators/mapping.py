@@ -1,0 +1,103 @@
+"""Tool calls as the two channels that rules read, and calls as display shapes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# The caps of a channel and of a shown shape, and the mark of a cut.
+CHANNEL_CAP = 8192
+SHAPE_CAP = 160
+CUT_MARK = "…[truncated]…"
+NIL_UUID = "00000000-0000-0000-0000-000000000000"
+SHELL_TOOLS = ("Bash", "PowerShell")
+FILE_TOOLS = ("Edit", "Write", "Read", "MultiEdit", "NotebookEdit")
+
+
+def cap_end(text: Column, most: int = CHANNEL_CAP) -> Column:
+    return F.substring(text, 1, most)
+
+
+def cap_middle(text: Column, most: int, mark: str = CUT_MARK) -> Column:
+    """A text of at most `most` characters: the head (rounded up), a mark and the tail of a longer one."""
+    room = most - len(mark)
+    head, rest = (room + 1) // 2, room // 2
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(mark), F.right(text, F.lit(rest))))
+
+
+def joined_glob(directory: Column, glob: Column) -> Column:
+    """A search's glob under its directory; an absolute glob stands alone, a missing one is the directory."""
+    absolute = glob.rlike(r"^(/|[A-Za-z]:[\\/]|\\\\)")
+    return F.when(glob.isNull() | (glob == ""), directory).when(directory.isNull() | (directory == "") | absolute, glob).otherwise(F.concat(F.regexp_replace(directory, r"[/\\]+$", ""), F.lit("/"), glob))
+
+
+def _get(field: str) -> Column:
+    return F.get_json_object("input", f"$.{field}")
+
+
+def map_tool_calls(calls: DataFrame) -> DataFrame:
+    """calls (name, input as JSON text) with tool, full_command, raw_path and file_path.
+
+    A shell tool has its command; a file tool its path (a notebook's, if none); a search its glob under its directory; a
+    web search its query; a tool of a server its whole input, cut in the middle; any other what it has of both.
+    """
+    name = F.col("name")
+    path = F.coalesce(_get("file_path"), _get("notebook_path"))
+    server = name.startswith("mcp__")
+    command = (
+        F.when(name.isin(*SHELL_TOOLS), cap_end(_get("command")))
+        .when(name == "WebSearch", cap_end(_get("query")))
+        .when(server, cap_middle(F.col("input"), CHANNEL_CAP))
+        .when(name.isin(*FILE_TOOLS, "Grep", "Glob"), F.lit(None).cast("string"))
+        .otherwise(cap_end(_get("command")))
+    )
+    file = (
+        F.when(name.isin(*FILE_TOOLS), path)
+        .when(name == "Grep", joined_glob(_get("path"), _get("glob")))
+        .when(name == "Glob", joined_glob(_get("path"), _get("pattern")))
+        .when(server | name.isin(*SHELL_TOOLS, "WebSearch"), F.lit(None).cast("string"))
+        .otherwise(path)
+    )
+    return calls.withColumns({"tool": name, "full_command": command, "raw_path": file}).withColumn("file_path", F.translate("raw_path", "\\", "/"))
+
+
+def to_spans(mapped: DataFrame) -> DataFrame:
+    """Mapped calls as spans: constants where a call has nothing of its own."""
+    return mapped.withColumns({
+        "kind": F.lit("execute_tool"), "label": F.col("tool"), "detail": F.col("full_command"), "mcp_input": F.lit(None).cast("string"),
+        "tokens": F.lit(0).cast("long"), "cached_tokens": F.lit(0).cast("long"), "duration_ms": F.lit(0).cast("long"),
+        "agent_id": F.lit(NIL_UUID), "project_id": F.lit(NIL_UUID),
+    })
+
+
+def patch_candidates(text: Column) -> Column:
+    """The files that a patch names, one candidate each: array<struct<pos, file_path>>."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+?)\s*$"), 1)
+    moved = F.regexp_extract_all(text, F.lit(r"(?m)^\*\*\* Move to: (.+?)\s*$"), 1)
+    return F.transform(F.concat(found, moved), lambda p, i: F.struct(i.alias("pos"), p.alias("file_path")))
+
+
+def shape(text: Column, most: int = SHAPE_CAP) -> Column:
+    """What a call looks like, for counting: white space collapsed, cut in the middle."""
+    return cap_middle(F.trim(F.regexp_replace(text, r"\s+", " ")), most)
+
+
+def hidden_numbers(text: Column) -> Column:
+    return F.regexp_replace(text, r"\d+", "#")
+
+
+def sanitized_tool(name: Column, known: tuple[str, ...]) -> Column:
+    """A tool's name where it may be shown: unnamed and unusual ones are only said to be so."""
+    return F.when(name.isNull() | (F.trim(name) == ""), "<unnamed>").when(name.isin(*known) | name.rlike(r"^[A-Za-z][A-Za-z0-9_]{0,63}$"), name).otherwise("<other>")
+
+
+def normalized_usage(inputs: Column, cached: Column, written: Column) -> Column:
+    """Input tokens without those that were cached or written, 0 at least."""
+    zero = F.lit(0)
+    return F.greatest(zero, F.coalesce(inputs, zero) - F.coalesce(cached, zero) - F.coalesce(written, zero))
+
+
+def short_count(n: Column) -> Column:
+    """1234 as 1.2K, and so on."""
+    one = lambda d, unit: F.concat(F.format_number(F.floor(n / (d / 10)) / 10, 1), F.lit(unit))
+    return F.when(n >= 1e9, one(1e9, "B")).when(n >= 1e6, one(1e6, "M")).when(n >= 1e3, one(1e3, "K")).otherwise(n.cast("string"))

@@ -1,0 +1,294 @@
+"""The operators as queries over the driver's tables, each with SQL for the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import redact
+from .operators import aggregate, evaluate, mapping, sequence
+from .plans.rules import Config, Rule, Spans, match_of
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+EVENTS = Spans(kind="'execute_tool'", label="event_type", detail="props", mcp_input=None, file_path=None, agent=None, project=None, tokens="value", cached_tokens=None, duration_ms=None)
+TEXTS = Spans(kind="'execute_tool'", label="source", detail="text", mcp_input=None, file_path=None, agent=None, project=None, tokens="n_chars", cached_tokens=None, duration_ms=None)
+
+
+def rule(id_: str, action: str = "warn", severity: str = "medium", owasp: tuple = (), category: str = "user", title: str = "", agent_in: tuple = ("*",), **match) -> Rule:
+    return Rule(id_, match_of(match), category, severity, action, title or id_, "", owasp, agent_in=agent_in)
+
+
+#: The catalog of the event queries.
+CATALOG = [
+    rule("ev.purchase-high", "block", "critical", ("ASI02", "LLM03"), "money", all_of=[{"label": "purchase", "numeric": [{"field": "tokens", "op": "gt", "value": 50}]}]),
+    rule("ev.signup", "require_approval", "high", ("ASI03",), "users", any_of=[{"label": "signup"}]),
+    rule("ev.seven", "require_approval", "high", ("ASI02",), "props", any_of=[{"detail_matches": [r'"k": \d?7\}'], "label": "{click,view,purchase}"}]),
+    rule("ev.error", "warn", "low", ("LLM03",), "ops", all_of=[{"label": "err*", "kind": "EXECUTE_TOOL"}], none_of=[{"detail_contains": ['"k": 1']}]),
+]
+
+_CATALOG_SQL = r"""
+m AS (SELECT *,
+  event_type = 'purchase' AND coalesce(value > 50, false) AS r0,
+  event_type = 'signup' AS r1,
+  event_type IN ('click','view','purchase') AND regexp_matches(coalesce(props, ''), '"k": [0-9]?7\}') AS r2,
+  event_type LIKE 'err%' AND NOT contains(coalesce(props, ''), '"k": 1') AS r3 FROM events),
+e AS (SELECT *, CASE WHEN r0 THEN 'block' WHEN r1 OR r2 THEN 'require_approval' WHEN r3 THEN 'warn' ELSE 'none' END AS strictest FROM m),
+x AS (SELECT event_id, user_id, ts, props, event_type, 'ev.purchase-high' AS rule_id, 'block' AS action, 'critical' AS severity, ['ASI02','LLM03'] AS owasp FROM e WHERE r0
+  UNION ALL SELECT event_id, user_id, ts, props, event_type, 'ev.signup', 'require_approval', 'high', ['ASI03'] FROM e WHERE r1
+  UNION ALL SELECT event_id, user_id, ts, props, event_type, 'ev.seven', 'require_approval', 'high', ['ASI02'] FROM e WHERE r2
+  UNION ALL SELECT event_id, user_id, ts, props, event_type, 'ev.error', 'warn', 'low', ['LLM03'] FROM e WHERE r3)"""
+
+
+def evaluated(spark: SparkSession, d: str, config: Config | None = None) -> DataFrame:
+    return evaluate.evaluate(_t(spark, d, "events"), CATALOG, config, EVENTS)
+
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _hits(df: DataFrame, r: Rule, spans: Spans, key: str) -> DataFrame:
+    return evaluate.evaluate(df, [r], columns=spans).where(F.size("matches") > 0).select(key)
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+def rule_kind_label(spark, d):
+    return _hits(_t(spark, d, "events"), rule("r", any_of=[{"kind": "Execute_Tool", "label": "{click,view}"}]), EVENTS, "event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'the') AND contains(text, 'The')")
+def rule_detail_contains(spark, d):
+    return _hits(_t(spark, d, "documents"), rule("r", any_of=[{"detail_contains": ["the", "The"]}]), TEXTS, "doc_id")
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)ation\.|[a-z0-9._]+@[a-z0-9]+\.[a-z]+')")
+def rule_detail_matches(spark, d):
+    return _hits(_t(spark, d, "documents"), rule("r", any_of=[{"detail_matches": [r"ation\.", r"[a-z0-9._]+@[a-z0-9]+\.[a-z]+"]}]), TEXTS, "doc_id")
+
+
+@query(r"SELECT page_id FROM pages WHERE regexp_matches(url, '(?i)^(.*/)?[^/]*[0-9]$') OR regexp_matches(url, '(?i)^https:(/.*)?$')")
+def rule_file_glob(spark, d):
+    spans = Spans(kind="'execute_tool'", label="'Read'", detail="url", mcp_input=None, file_path="url", agent=None, project=None, tokens=None, cached_tokens=None, duration_ms=None)
+    return _hits(_t(spark, d, "pages"), rule("r", any_of=[{"file_glob": "**/*[0-9]"}, {"file_glob": "HTTPS:/**"}]), spans, "page_id")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity > 45 AND l_extendedprice >= 50000) OR (l_quantity <= 1 AND l_extendedprice < 2000)")
+def rule_numeric(spark, d):
+    spans = Spans(kind="'execute_tool'", label="l_returnflag", detail="l_linestatus", mcp_input=None, file_path=None, agent=None, project=None, tokens="l_quantity", cached_tokens=None, duration_ms="l_extendedprice")
+    n = lambda f, op, v: {"field": f, "op": op, "value": v}
+    r = rule("r", any_of=[{"numeric": [n("tokens", "gt", 45), n("duration_ms", "gte", 50000)]}, {"numeric": [n("tokens", "lte", 1), n("duration_ms", "lt", 2000)]}])
+    return evaluate.evaluate(_t(spark, d, "lineitem"), [r], columns=spans).where(F.size("matches") > 0).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id FROM events WHERE coalesce(value < 80, false) AND (event_type = 'view' OR contains(coalesce(props, ''), '5')) AND NOT contains(coalesce(props, ''), '\"k\": 2')")
+def rule_any_all_none(spark, d):
+    r = rule("r", all_of=[{"numeric": [{"field": "tokens", "op": "lt", "value": 80}]}], any_of=[{"label": "view"}, {"detail_contains": ["5"]}], none_of=[{"detail_contains": ['"k": 2']}])
+    return _hits(_t(spark, d, "events"), r, EVENTS, "event_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'")
+def rule_scope(spark, d):
+    spans = Spans(kind="'execute_tool'", label="o_orderstatus", detail="o_orderpriority", mcp_input=None, file_path=None, agent="o_orderpriority", project=None, tokens=None, cached_tokens=None, duration_ms=None)
+    return _hits(_t(spark, d, "orders"), rule("r", agent_in=("1-URGENT", "2-HIGH"), any_of=[{"label": "f"}]), spans, "o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'error' AND NOT regexp_matches(coalesce(props, ''), '^\\{\"k\": 4[^/]*$')")
+def allowlist_suppress(spark, d):
+    config = Config(allow=(("r", '\\{"k": 4*'), ("other", "*")))
+    return evaluate.evaluate(_t(spark, d, "events"), [rule("r", any_of=[{"label": "error"}])], config, EVENTS).where(F.size("matches") > 0).select("event_id")
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT CASE WHEN r0 THEN 'warn' WHEN r3 THEN 'warn' ELSE 'none' END AS strictest, count(*) AS calls FROM e GROUP BY 1")
+def disabled_and_override(spark, d):
+    config = Config(frozenset({"props"}), frozenset({"ev.signup"}), (("ev.purchase-high", "warn"),))
+    return evaluated(spark, d, config).groupBy("strictest").agg(F.count("*").alias("calls"))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT event_id, CASE WHEN r0 THEN 'deny' WHEN r1 OR r2 THEN 'require_approval' ELSE 'allow' END AS verdict, CASE WHEN r0 THEN 'ev.purchase-high' WHEN r1 THEN 'ev.signup' WHEN r2 THEN 'ev.seven' END AS policy_id FROM e")
+def verdict_strongest(spark, d):
+    return evaluated(spark, d).select("event_id", "verdict", "policy_id")
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT event_id, CASE WHEN r0 THEN 'deny' WHEN r1 OR r2 THEN 'ask' ELSE 'allow' END AS decision, CASE WHEN r0 THEN 'Blocked: ev.purchase-high' WHEN r1 THEN 'Needs approval: ev.signup' WHEN r2 THEN 'Needs approval: ev.seven' WHEN r3 THEN 'Warning: ev.error' END AS reason FROM e")
+def decision_reason(spark, d):
+    return evaluated(spark, d).select("event_id", "decision", "reason")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_quantity > 45 THEN 3 WHEN l_returnflag = 'R' THEN 2 WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS s FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY s DESC, l_linenumber) AS k FROM c)
+SELECT l_orderkey, l_linenumber, CASE s WHEN 3 THEN 'block' WHEN 2 THEN 'require_approval' WHEN 1 THEN 'warn' ELSE 'none' END AS strictest FROM r WHERE k = 1""")
+def strictest_candidate(spark, d):
+    spans = Spans(kind="'execute_tool'", label="l_returnflag", detail="l_linestatus", mcp_input=None, file_path=None, agent=None, project=None, tokens="l_quantity", cached_tokens=None, duration_ms=None)
+    rules = [rule("q", "block", all_of=[{"numeric": [{"field": "tokens", "op": "gt", "value": 45}]}]), rule("r", "require_approval", any_of=[{"label": "R"}]), rule("o", "warn", any_of=[{"detail_contains": ["O"]}])]
+    rows = evaluate.evaluate(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"), rules, columns=spans)
+    return evaluate.strictest_candidate(rows.select("l_orderkey", "l_linenumber", "strictest"), ["l_orderkey"], "l_linenumber")
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT count(*) AS tool_calls, count(*) FILTER (strictest <> 'none') AS risky, count(*) FILTER (strictest = 'block') AS block, count(*) FILTER (strictest = 'require_approval') AS require_approval, count(*) FILTER (strictest = 'warn') AS warn FROM e")
+def risky_by_action(spark, d):
+    return aggregate.risky_by_action(evaluated(spark, d))
+
+
+@query(f"""WITH {_CATALOG_SQL} SELECT strictest AS action, CASE WHEN r0 THEN 'ev.purchase-high' WHEN r1 AND r2 THEN 'ev.seven,ev.signup' WHEN r1 THEN 'ev.signup' WHEN r2 THEN 'ev.seven' ELSE 'ev.error' END AS rule_ids, count(*) AS calls
+FROM e WHERE strictest <> 'none' GROUP BY 1, 2""")
+def decided_groups(spark, d):
+    return aggregate.decided(evaluated(spark, d))
+
+
+@query(f"""WITH {_CATALOG_SQL}, s AS (SELECT rule_id, trim(regexp_replace(props, '\\s+', ' ', 'g')) AS shape, count(*) AS n FROM x GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, shape) AS k FROM s)
+SELECT rule_id, sum(n)::BIGINT AS matches, string_agg(shape || '=' || n, ';' ORDER BY k) FILTER (k <= 3) AS examples, greatest(0, count(*) - 3) AS more FROM k GROUP BY 1""")
+def findings_by_rule(spark, d):
+    out = aggregate.findings(evaluated(spark, d).withColumn("shape", mapping.shape(F.col("props"))), "shape")
+    return out.withColumn("examples", F.array_join(F.transform("examples", lambda e: F.concat(e["shape"], F.lit("="), e["n"].cast("string"))), ";"))
+
+
+@query(f"""WITH {_CATALOG_SQL}, c AS (SELECT props AS shape, count(DISTINCT event_id) AS calls FROM e WHERE strictest <> 'none' GROUP BY 1)
+SELECT rule_id, props AS shape, count(*) AS n, any_value(c.calls) AS calls FROM x JOIN c ON x.props = c.shape GROUP BY 1, 2 HAVING count(*) >= 2""")
+def recurring_shapes(spark, d):
+    return aggregate.recurring(evaluated(spark, d).withColumn("shape", F.col("props")), "event_id", "shape")
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT owasp_id, count(DISTINCT event_id) AS calls, count(*) AS matches, count(DISTINCT rule_id) AS rules FROM (SELECT event_id, rule_id, unnest(owasp) AS owasp_id FROM x) GROUP BY 1")
+def owasp_tally(spark, d):
+    return aggregate.owasp_tally(evaluated(spark, d), "event_id", evaluate.dimension(evaluate.catalog_frame(spark, CATALOG)))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT severity, action, count(*) AS matches, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS severity_rank FROM x GROUP BY severity, action")
+def match_tally_severity(spark, d):
+    return aggregate.match_tally(evaluated(spark, d), evaluate.dimension(evaluate.catalog_frame(spark, CATALOG)))
+
+
+@query("""SELECT l_returnflag, sum(CASE WHEN l_quantity > 0 THEN floor(l_quantity) ELSE 0 END)::BIGINT AS l_quantity, sum(CASE WHEN l_extendedprice > 0 THEN floor(l_extendedprice) ELSE 0 END)::BIGINT AS l_extendedprice,
+count(*) AS turns, sum(CASE WHEN l_quantity > 0 THEN floor(l_quantity) ELSE 0 END)::BIGINT + sum(CASE WHEN l_extendedprice > 0 THEN floor(l_extendedprice) ELSE 0 END)::BIGINT AS total_tokens FROM lineitem GROUP BY 1""")
+def token_totals(spark, d):
+    return aggregate.token_totals(_t(spark, d, "lineitem"), ("l_returnflag",), ("l_quantity", "l_extendedprice"))
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT floor(count(*) FILTER (strictest = 'none') * 1000 / count(*)) / 10 AS no_match_percent FROM e")
+def no_match_share(spark, d):
+    return aggregate.no_match_share(evaluated(spark, d))
+
+
+@query("""WITH p AS (SELECT event_type, props, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2), r AS (SELECT event_type, sum(n)::BIGINT AS matches FROM p GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+SELECT r.event_type, p.props, r.matches FROM r JOIN p USING (event_type) ORDER BY p.n DESC, p.f LIMIT 1""")
+def most_frequent_match(spark, d):
+    return aggregate.most_frequent_match(_t(spark, d, "events"), "event_type", "props", "event_id")
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events) SELECT count(*) FILTER (event_type = 'signup') AS asks, count(*) FILTER (event_type = 'error') AS blocks
+FROM events, n WHERE ts > now - INTERVAL 7 DAYS AND ts <= now AND user_id % 2 = 0""")
+def recent_window_counts(spark, d):
+    events = _t(spark, d, "events")
+    log = events.select("ts", F.when(F.col("event_type") == "signup", "ask").when(F.col("event_type") == "error", "deny").otherwise("allow").alias("decision"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("agent"))
+    return aggregate.recent_counts(log, events.select(F.max("ts")).scalar(), 7, ("even",))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def dedupe_keep_first(spark, d):
+    return sequence.keep_first(_t(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS prompt_turn FROM conversations")
+def forward_fill_prompt(spark, d):
+    rows = sequence.forward_fill(_t(spark, d, "conversations"), F.when(F.col("role") == "user", F.col("turn")), ["conv_id"], ["turn", "role", "text"], "prompt_turn")
+    return rows.select("conv_id", "turn", "prompt_turn")
+
+
+@query("SELECT conv_id, turn, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS unit FROM conversations")
+def sessionize_turns(spark, d):
+    return sequence.running_count_before(_t(spark, d, "conversations"), F.col("role") == "user", ["conv_id"], ["turn", "role", "text"], "unit").select("conv_id", "turn", "unit")
+
+
+@query("""WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant'), r AS (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE role = 'user' GROUP BY 1, 2)
+SELECT c.conv_id, c.turn, length(r.t) AS result_chars FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1""")
+def tool_result_join(spark, d):
+    turns = _t(spark, d, "conversations")
+    calls = turns.where("role = 'assistant'").select("conv_id", "turn").distinct()
+    results = turns.where("role = 'user'").groupBy("conv_id", (F.col("turn") - 1).alias("turn")).agg(F.min("text").alias("text"))
+    return sequence.result_join(calls, results, ["conv_id", "turn"]).select("conv_id", "turn", F.length("text").cast("long").alias("result_chars"))
+
+
+@query("""WITH w AS (SELECT *, lag(event_type) OVER w AS e, lag(ts) OVER w AS t, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id FROM w WHERE k = 1 OR event_type <> e OR epoch_ms(ts) - epoch_ms(t) > 86400000""")
+def log_dedupe_window(spark, d):
+    return sequence.dedupe_window(_t(spark, d, "events"), ["event_type"], ["ts", "event_id"], "ts", 86_400_000, within=["user_id"]).select("event_id")
+
+
+@query("""WITH w AS (SELECT *, sum(strlen(props) + 40) OVER (PARTITION BY user_id) AS a, sum(strlen(props) + 40) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS s, max(ts) OVER () AS now FROM events)
+SELECT event_id FROM w WHERE a <= 1024 OR (s <= 512 AND ts >= now - INTERVAL 30 DAYS)""")
+def log_compaction(spark, d):
+    events = _t(spark, d, "events")
+    out = sequence.compact_log(events, ["ts", "event_id"], F.octet_length("props") + 40, "ts", events.select(F.max("ts")).scalar(), 1024, 512, 30, ["user_id"])
+    return out.select("event_id")
+
+
+@query("SELECT user_id, event_id, max(event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS TRUE AS failed_before, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS call_order, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events")
+def session_history(spark, d):
+    by, order = ["user_id"], ["ts", "event_id"]
+    out = sequence.seen_before(_t(spark, d, "events"), F.col("event_type") == "error", by, order, "failed_before")
+    out = sequence.as_of_previous(sequence.call_order(out, by, order), F.col("event_id"), F.col("event_type") == "purchase", by, order, "last_purchase")
+    return out.select("user_id", "event_id", "failed_before", F.col("call_order").cast("long").alias("call_order"), "last_purchase")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g') AS text FROM documents WHERE contains(text, '@')")
+def scrub_email(spark, d):
+    return _t(spark, d, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", redact.emails(F.col("text")).alias("text"))
+
+
+@query(r"SELECT page_id, regexp_replace(url, '[^\s]*[/\\][^\s]*', '<path>', 'g') AS shown FROM pages")
+def redact_paths(spark, d):
+    return _t(spark, d, "pages").select("page_id", redact.paths(F.col("url")).alias("shown"))
+
+
+@query(r"""SELECT event_id, regexp_replace(regexp_replace(props, ': *-?[0-9.]+', ':"<value>"', 'g'), ': *"[^"]*"', ':"<value>"', 'g') AS props FROM events""")
+def mcp_payload_redact(spark, d):
+    return _t(spark, d, "events").select("event_id", redact.json_values(F.col("props")).alias("props"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 160 THEN text ELSE left(text, 74) || '…[truncated]…' || right(text, 73) END AS shown FROM documents")
+def cap_middle(spark, d):
+    return _t(spark, d, "documents").select("doc_id", mapping.cap_middle(F.col("text"), 160).alias("shown"))
+
+
+@query("WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id, n, greatest(0, (SELECT count(*) FROM g) - 50) AS more FROM g ORDER BY n DESC, user_id LIMIT 50")
+def rank_topk_overflow(spark, d):
+    return aggregate.top_with_rest(_t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), 50, F.desc("n"), F.col("user_id"))
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand)), 'brand#1')")
+def report_search(spark, d):
+    return aggregate.text_search(_t(spark, d, "part"), "  BRAND#1 ", "p_name", "p_brand").select("p_partkey")
+
+
+@query("SELECT event_id, sha256('salt' || props) AS fingerprint FROM events")
+def keyed_fingerprint(spark, d):
+    return _t(spark, d, "events").select("event_id", F.sha2(F.concat(F.lit("salt"), "props"), 256).alias("fingerprint"))
+
+
+@query()
+def scrub_text(spark, d):
+    """All patterns in order: text and counts by pattern."""
+    return _t(spark, d, "documents").select("doc_id", redact.scrub("text").alias("r")).select("doc_id", "r.text", "r.counts")
+
+
+def queries():
+    return dict(Q)
+
+
+def oracle_sql():
+    return dict(SQL)
