@@ -55,9 +55,6 @@ class Bloom:
         self.bits = np.frombuffer(zlib.decompress(packed), np.uint8)
         self.log_bits = (len(self.bits) * 8).bit_length() - 1
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         for p in places(keys, self.log_bits):

@@ -2,7 +2,7 @@
 
 Rows of the matrix are distinct n-gram sets (documents with one set are one row), columns are n-grams.
 
-1.  A first scan gives each document's set size and the digest of its set, and a table of column counts: 2**20
+1.  A first scan gives each document's set size and the digest of its set, and a table of column counts: 2**21
     counters that hashed columns share, so of one size for any corpus.
 2.  Two sets with Jaccard >= t overlap in at least t times the larger size, so they share one of the
     |A| - ceil(t |A|) + 1 rarest columns of each (rarest by the shared table; any common order will do). Only these
@@ -12,8 +12,8 @@ Rows of the matrix are distinct n-gram sets (documents with one set are one row)
     size. The best partners of a row are verified by the full product: exact overlaps of whole sets.
 4.  Columns whose rows are then in one component are done. In the others, every pair of rows of different
     components is tested: first against the size-derived bound - J >= t means a symmetric difference of
-    at most (|A| + |B|) (1 - t) / (1 + t), which a parity sketch bounds from below - and then exactly. Of these
-    pairs a spanning forest is verified first; if any of it fails, all that remain are.
+    at most (|A| + |B|) (1 - t) / (1 + t), which a parity sketch bounds from below - and then exactly. Where
+    these are many for their rows, a spanning forest is verified first, and all that remain if any of it fails.
 
 So no pair of linked sets is lost, no group's pairs are listed, and links are exact (up to 64-bit hashes).
 """
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .bloom import Bloom, bloom
 from .common import blocks_for, mix64, save
 from .components import components
+from .text_hash import sets as sets_of
 
-LOG_COUNTERS = 20
+LOG_COUNTERS = 21
 SLICE = 2048  # rows of a column slice, about
 PIVOTS = 32
 
@@ -40,54 +41,24 @@ PIVOTS = 32
 # -- sets ------------------------------------------------------------------------------------------------------
 
 
-class Shingler:
-    """Distinct n-grams of lower-cased words as sorted uint64 hashes."""
-
-    def __init__(self, n: int):
-        self.n, self.memo = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        memo = self.memo
-        try:
-            w = np.array([memo[x] for x in words], np.uint64)
-        except KeyError:
-            if len(memo) > 2_000_000:
-                memo.clear()
-            for x in words:
-                if x not in memo:
-                    memo[x] = xxhash.xxh3_64_intdigest(x)
-            w = np.array([memo[x] for x in words], np.uint64)
-        k = min(self.n, len(w))
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for i in range(k):
-            h = mix64(h ^ w[i : len(w) - k + 1 + i], i)
-        return np.unique(h)
-
-
 def digest_of(s: np.ndarray) -> int:
     """A set's name: a signed 64-bit digest."""
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int):
-    for b in batches:
-        for i, t in enumerate(b.column(column)):
-            yield b, i, t.as_py()
-
-
 def _scan(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, counts = Shingler(n), np.zeros(1 << LOG_COUNTERS, np.int64)
+        counts = np.zeros(1 << LOG_COUNTERS, np.int64)
         for b in batches:
-            size, name, pending = [], [], []
-            for t in b.column(1):
-                s = sets(t.as_py())
+            size, name, pending, waiting = [], [], [], 0
+            for s in sets_of(b.column(1), n):
                 size.append(len(s))
                 name.append(digest_of(s) if len(s) else None)
                 pending.append((s >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64))
+                waiting += len(s)
+                if waiting > 1 << 22:
+                    counts += np.bincount(np.concatenate(pending), minlength=len(counts))
+                    pending, waiting = [], 0
             if pending:
                 counts += np.bincount(np.concatenate(pending), minlength=len(counts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.nulls(len(size), pa.int64()), pa.nulls(len(size), pa.binary())], ["doc_id", "n_shingles", "name", "part", "counts"])
@@ -107,18 +78,17 @@ def _add(table: pa.Table) -> pa.Table:
 
 
 def _slices(count: np.ndarray) -> np.ndarray:
-    return np.maximum(1, -(-count // SLICE))
+    return np.maximum(1, -(-count.astype(np.int64) // SLICE))
 
 
 def _entries(n: int, num: int, den: int, blocks: int, counters):
     """Packed entries (column, row, size) of every set's rarest columns, by block of columns and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, count = Shingler(n), np.frombuffer(counters.value, np.uint32).astype(np.int64)
+        count = np.frombuffer(counters.value, np.uint32)
         for b in batches:
             cols, rows, sizes, seen = [], [], [], set()
-            for t in b.column(0):
-                s = sets(t.as_py())
+            for s in sets_of(b.column(0), n):
                 if not len(s) or (name := digest_of(s)) in seen:
                     continue
                 seen.add(name)
@@ -139,9 +109,10 @@ def _entries(n: int, num: int, den: int, blocks: int, counters):
                 more = np.repeat(pivot, cut[pivot])
                 into = np.concatenate([np.arange(x) for x in cut[pivot]])
                 c, r, z, part = np.concatenate([c, c[more]]), np.concatenate([r, r[more]]), np.concatenate([z, z[more]]), np.concatenate([part, into])
+            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)])
             block = ((mix64(c, 7) + part.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
-            c, r, z, part, block = c[order], r[order], z[order], part[order], block[order]
+            c, r, z, part, block = c[order], r[order], z[order], part[order] | (cut[order] == 1).astype(np.int64) << 31, block[order]
             at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             x = [(int(block[i]), c[i:j].tobytes(), r[i:j].tobytes(), z[i:j].astype(np.uint32).tobytes(), part[i:j].astype(np.uint32).tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
             v = list(zip(*x, strict=True))
@@ -151,7 +122,7 @@ def _entries(n: int, num: int, den: int, blocks: int, counters):
 
 
 ENTRIES = "block long, cols binary, rows binary, sizes binary, parts binary"
-FOUND = "a long, b long, shared long, part binary, cols binary, rows binary, sizes binary"
+FOUND = "a long, b long, shared long, size long, part binary, cols binary, rows binary, sizes binary"
 
 
 def _accumulate(num: int, den: int):
@@ -161,23 +132,26 @@ def _accumulate(num: int, den: int):
         c, r, z, p = (np.concatenate([np.frombuffer(x, k) for x in table[name].to_pylist()]) for name, k in (("cols", np.uint64), ("rows", np.int64), ("sizes", np.uint32), ("parts", np.uint32)))
         order = np.lexsort((r, z, p, c))
         c, r, z, p = c[order], r[order], z[order].astype(np.int64), p[order]
+        whole, p = p >> np.uint32(31), p & np.uint32(0x7FFFFFFF)  # the top bit marks columns that are not cut
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
-        c, r, z, p = c[new], r[new], z[new], p[new]
+        c, r, z, p, whole = c[new], r[new], z[new], p[new], whole[new]
         start = np.concatenate([[True], (c[1:] != c[:-1]) | (p[1:] != p[:-1])])
         first = np.flatnonzero(start)
-        many = np.repeat(np.diff(np.append(first, len(c))) > 1, np.diff(np.append(first, len(c))))
+        # in a whole column, rows of which the next smaller and the next larger one differ too much in size are alone
+        close = ~start & (np.concatenate([[0], num * z[1:] - den * z[:-1]]) <= 0)
+        many = close | np.append(close[1:], False) | (whole[first] == 0).repeat(np.diff(np.append(first, len(c))))
         head = np.repeat(first, np.diff(np.append(first, len(c))))
         i = np.flatnonzero(many & ~start)
         a, b = np.concatenate([r[head[i]], r[i - 1]]), np.concatenate([r[i], r[i]])
         fits = np.concatenate([num * z[i] <= den * z[head[i]], num * z[i] <= den * z[i - 1]]) & (a != b)
-        a, b = a[fits], b[fits]
+        a, b, w = a[fits], b[fits], np.concatenate([z[i], z[i]])[fits]
         order = np.lexsort((a, b))
-        a, b = a[order], b[order]
+        a, b, w = a[order], b[order], w[order]
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         shared = np.diff(np.append(cut, len(a)))
         e = len(cut)
         return pa.table({
-            "a": pa.array(np.append(a[cut], 0), pa.int64(), mask=np.arange(e + 1) == e), "b": pa.array(np.append(b[cut], 0), pa.int64(), mask=np.arange(e + 1) == e), "shared": pa.array(np.append(shared, 0), pa.int64()),
+            "a": pa.array(np.append(a[cut], 0), pa.int64(), mask=np.arange(e + 1) == e), "b": pa.array(np.append(b[cut], 0), pa.int64(), mask=np.arange(e + 1) == e), "shared": pa.array(np.append(shared, 0), pa.int64()), "size": pa.array(np.append(w[cut], 0), pa.int64()),
             "part": pa.array([None] * e + [p[many].tobytes()], pa.binary()), "cols": pa.array([None] * e + [c[many].tobytes()], pa.binary()), "rows": pa.array([None] * e + [r[many].tobytes()], pa.binary()), "sizes": pa.array([None] * e + [z[many].astype(np.uint32).tobytes()], pa.binary()),
         })
 
@@ -204,53 +178,71 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
 
-def _sets(n: int, wanted):
+def _sets(n: int, wanted, whole: bool):
+    """name and members, or name and sketch, of the distinct sets that a Bloom filter lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, bits, seen = Shingler(n), Bloom(wanted.value), set()
-        for b in batches:
-            name, whole, short = [], [], []
-            got = [(digest_of(s), s) for t in b.column(0) if len(s := sets(t.as_py()))]
-            ok = bits.has(np.array([d for d, _ in got], np.int64).view(np.uint64)) if got else []
-            for (d, s), yes in zip(got, ok, strict=True):
+        bits, seen = Bloom(wanted.value), set()
+
+        def packed(some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            names = [digest_of(s) for s in some]
+            name, out = [], []
+            for d, s, yes in zip(names, some, bits.has(np.array(names, np.int64).view(np.uint64)), strict=True):
                 if yes and d not in seen:
                     seen.add(d)
                     name.append(d)
-                    whole.append(s.tobytes())
-                    short.append(sketch(s))
-                    if len(name) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(whole, pa.binary()), pa.array(short, pa.binary())], ["name", "members", "sketch"])
-                        name, whole, short = [], [], []
+                    out.append(s.tobytes() if whole else sketch(s))
             if name:
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(whole, pa.binary()), pa.array(short, pa.binary())], ["name", "members", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(out, pa.binary())], ["name", "members" if whole else "sketch"])
+
+        for b in batches:
+            some, size = [], 0
+            for s in sets_of(b.column(0), n):
+                if len(s):
+                    some.append(s)
+                    size += len(s)
+                if size > 1 << 20:
+                    yield from packed(some)
+                    some, size = [], 0
+            if some:
+                yield from packed(some)
 
     return run
 
 
 def _product(num: int, den: int):
-    """Exact overlaps of one row with a block of others, and which of them reach the threshold."""
+    """Exact overlaps of one row with a slice of others, and which of them reach the threshold."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            a = np.frombuffer(left["members"][0].as_py(), np.uint64)
-            for name, raw in zip(right["b"].to_pylist(), right["members"], strict=True):
+    def run(table: pa.Table) -> pa.Table:
+        out, head, me = [], table["head"].to_pylist(), table["a"][0].as_py()
+        if True in head:
+            a = np.frombuffer(table["members"][head.index(True)].as_py(), np.uint64)
+            for h, name, raw in zip(head, table["name"].to_pylist(), table["members"], strict=True):
+                if h:
+                    continue
                 b = np.frombuffer(raw.as_py(), np.uint64)
                 small, large = (a, b) if len(a) < len(b) else (b, a)
                 at = np.searchsorted(large, small)
                 overlap = int((large[np.minimum(at, len(large) - 1)] == small).sum())
                 out.append((name, overlap, den * overlap >= num * (len(a) + len(b) - overlap)))
-        me = left["name"][0].as_py() if left.num_rows else None
         return pa.table({"a": pa.array([me] * len(out), pa.int64()), "b": pa.array([x[0] for x in out], pa.int64()), "overlap": pa.array([x[1] for x in out], pa.int64()), "linked": pa.array([x[2] for x in out], pa.bool_())})
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b, overlap, linked of each pair; a row's partners are dealt to several tasks, 1024 to each about."""
+def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a, b, overlap, linked of each distinct pair of names; a row's partners are dealt to several tasks, 1024 to each about.
+
+    Only the sets in question are scanned out of the texts again (a Bloom filter names them), and each travels
+    to the tasks that it is routed to.
+    """
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1024).cast("int").alias("slices"))
-    right = pairs.join(slices, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")).join(sets.select(F.col("name").alias("b"), "members"), "b").select("a", "slice", "b", "members")
-    left = sets.select("name", "members").join(slices.withColumnRenamed("a", "name"), "name").select("name", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "members")
-    return left.groupBy("name", "slice").cogroup(right.groupBy("a", "slice")).applyInArrow(_product(num, den), "a long, b long, overlap long, linked boolean")
+    right = pairs.join(slices, "a").select(F.col("b").alias("name"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("head"))
+    left = slices.select(F.col("a").alias("name"), "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("head"))
+    routes = left.union(right)
+    wanted = pairs.sparkSession.sparkContext.broadcast(bloom(routes.select("name")))
+    sets = texts.mapInArrow(_sets(n, wanted, True), "name long, members binary").dropDuplicates(["name"])
+    return sets.join(routes, "name").groupBy("a", "slice").applyInArrow(_product(num, den), "a long, b long, overlap long, linked boolean")
 
 
 def _near(num: int, den: int, forest: bool):
@@ -284,7 +276,8 @@ def _near(num: int, den: int, forest: bool):
                     if pair not in found:
                         found.add(pair)
                         ranked.append((d, pair, int(own[i]), int(own[k])))
-        if forest:
+        limited = forest and len(ranked) > 8 * len(order)
+        if limited:
             ranked.sort()
             up: dict[int, int] = {}
 
@@ -301,7 +294,7 @@ def _near(num: int, den: int, forest: bool):
                     kept.append(pair)
         else:
             kept = [x[1] for x in ranked]
-        kept = [(min(p), max(p)) for p in kept]
+        kept = [(min(p), max(p)) for p in kept] + [(None, None)] * limited
         return pa.table({"a": pa.array([p[0] for p in kept], pa.int64()), "b": pa.array([p[1] for p in kept], pa.int64())})
 
     return run
@@ -315,36 +308,38 @@ def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, D
     rows = scanned.where("part is null").select("doc_id", "n_shingles", "name")
     parts = {r["part"]: bytes(r["counts"]) for r in scanned.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add, "part long, counts binary").collect()}
     empty = bytes(4 << LOG_COUNTERS >> 4)
-    counters = sc.broadcast(b"".join(parts.get(i, empty) for i in range(16)))  # 4 MiB, whatever the corpus
+    counters = sc.broadcast(b"".join(parts.get(i, empty) for i in range(16)))  # 8 MiB, whatever the corpus
     blocks = blocks_for(docs, 8 << 20, least=16)
     texts = docs.select("text")
     entries = texts.mapInArrow(_entries(n, num, den, blocks, counters), ENTRIES)
     found = save(entries.groupBy("block").applyInArrow(_accumulate(num, den), FOUND), "columns")
     live = found.where("part is not null").select("part", "cols", "rows", "sizes").mapInArrow(_unpack, "col long, part long, name long, size long")
-    wanted = sc.broadcast(bloom(live.select("name")))
-    sets = save(texts.mapInArrow(_sets(n, wanted), "name long, members binary, sketch binary").dropDuplicates(["name"]), "members")
 
-    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    size = F.col("size")
-    enough = pairs.join(sets.select(F.col("name").alias("b"), (F.length("members") / 8).cast("long").alias("size")), "b").where(F.col("shared") * 4 >= size - F.ceil(size * num / den) + 1)
+    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("size").alias("size"))
+    enough = pairs.where(F.col("shared") * 4 >= F.col("size") - F.ceil(F.col("size") * num / den) + 1)
     best = enough.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x"), F.max(F.struct("shared", (-F.col("a")).alias("n"))).alias("y"))
-    first = best.select(F.explode(F.array_distinct(F.array("x.a", -F.col("y.n")))).alias("a"), "b")
-    links = save(verified(first, sets, num, den).where("linked").select("a", "b"), "links")
+    first = save(best.select(F.explode(F.array_distinct(F.array("x.a", -F.col("y.n")))).alias("a"), "b"), "pairs")
+    links = save(verified(first, texts, n, num, den).where("linked").select("a", "b"), "links")
 
     for forest in (True, False):
         comps = components(links)
         tagged = save(live.distinct().join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("component", "name")).select("col", "part", "name", "size", "comp"), "entries")
         open_ = tagged.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("part").alias("last")).where("lo <> hi").select("col", "last")
-        left = tagged.join(open_, "col").join(sets.select("name", "sketch"), "name")
+        wanted = sc.broadcast(bloom(tagged.join(open_, "col", "left_semi").select("name")))
+        sketches = texts.mapInArrow(_sets(n, wanted, False), "name long, sketch binary").dropDuplicates(["name"])
+        left = tagged.join(open_, "col").join(sketches, "name")
         # slices of a long column meet in pairs; a column of one slice meets itself
         one = left.where("last = 0").select("col", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "name", "size", "comp", "sketch")
         own = F.sequence(F.lit(0), F.col("last"))
         cut = left.where("last > 0").withColumn("o", F.explode(own)).select("col", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.when(F.col("o") == F.col("part"), 2).when(F.col("o") > F.col("part"), 0).otherwise(1).alias("side"), "name", "size", "comp", "sketch")
         met = one.union(cut).withColumn("block", F.pmod(F.xxhash64("col", "i", "j"), F.lit(blocks * 4)))
-        near = met.groupBy("block").applyInArrow(_met(num, den, forest), "a long, b long").distinct()
-        tested = save(verified(near, sets, num, den).select("a", "b", "linked"), "tested")
+        near = met.groupBy("block").applyInArrow(_met(num, den, forest), "a long, b long")
+        near = save(near.distinct(), "near")
+        if not near.limit(1).count():
+            break
+        tested = save(verified(near.where("a is not null"), texts, n, num, den).select("a", "b", "linked"), "tested")
         links = links.union(tested.where("linked").select("a", "b"))
-        if not tested.where("not linked").limit(1).count():
+        if not near.where("a is null").limit(1).count() or not tested.where("not linked").limit(1).count():
             break
     return rows, links
 
