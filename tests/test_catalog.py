@@ -33,3 +33,20 @@ def test_examples(spark):
     got = {r["n"]: [m["rule_id"] for m in r["matches"]] for r in evaluate(spark.createDataFrame(rows, SCHEMA), CATALOG).collect()}
     wrong = [(CASES[i][1] or CASES[i][2], want, got[i]) for i, (_, _, _, want) in enumerate(CASES) if (want not in got[i] if want else got[i])]
     assert not wrong, wrong
+
+
+def test_rule_admin(spark):
+    from spanforge.operators import rule_admin as a
+    from spanforge.plans.rules import Condition, Match, Numeric, Rule
+
+    assert not [x for r in CATALOG for x in a.lint(r)]
+    bad = Rule("r", Match(any_of=(Condition(label="{Bash}"), Condition(label="*"), Condition(label="x", numeric=(Numeric("tokens", "gt", 1),)))), agent_in=())
+    assert len(a.lint(bad)) == 4
+    rule = next(r for r in CATALOG if r.id == "require-approval-rm-rf")
+    assert a.refuse_allow(spark, "rm -rf dist*", rule) is None
+    assert [a.refuse_allow(spark, p, rule) is not None for p in ("", "<pattern>", "**", "*", "rm <path>")] == [True] * 5
+    wrong = a.check_fixtures(spark, rule, [{"tool": "Bash", "command": "rm -rf x"}, {"tool": "Bash", "command": "ls"}], [{"tool": "Read", "file_path": "x"}]).collect()
+    assert [(r["command"], r["must"], r["matched"]) for r in wrong] == [("ls", True, False)]
+    lines = spark.createDataFrame([("f", 0, '{"a": "tok\\"en/1"}'), ("f", 1, '{"a": "b"}')], "file string, line int, text string")
+    out = a.scrub_plan(lines, spark.createDataFrame([('tok"en/1',)], "value string")).orderBy("line").collect()
+    assert [(r["changed"], r["left"], r["valid"]) for r in out] == [(True, False, True), (False, False, True)] and out[0]["scrubbed"] == '{"a": "<removed>"}'
