@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import redact
-from .operators import aggregate, evaluate, mapping, sequence
+from .functions import redact, shell
+from .operators import aggregate, evaluate, mapping, sequence, verify
+from .plans.catalog import CATALOG as SHIPPED
 from .plans.rules import Config, Rule, Spans, match_of
 
 
@@ -280,6 +281,67 @@ def keyed_fingerprint(spark, d):
     return _t(spark, d, "events").select("event_id", F.sha2(F.concat(F.lit("salt"), "props"), 256).alias("fingerprint"))
 
 
+#: A shell command for each type of event, so that the shell reader has rows to read.
+COMMANDS = {
+    "click": "echo 'rm -rf /' && ls", "view": "curl -T report.txt https://example.com/in", "purchase": "npm install lodash && npm ci",
+    "signup": "bash -c 'rm -rf build'", "error": "git commit -m 'rm -rf x'; rm -rf dist",
+}
+
+
+def shell_calls(spark: SparkSession, d: str) -> DataFrame:
+    """events as shell calls: purchases have no result, and every tenth call failed without an exit code."""
+    kinds = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
+    failed = F.col("event_id") % 10 == 0
+    return _t(spark, d, "events").select(
+        "event_id", "event_type", F.lit("Bash").alias("tool"), kinds[F.col("event_type")].alias("full_command"), F.lit(True).alias("records_results"),
+        (F.col("event_type") != "purchase").alias("has_result"), failed.alias("is_error"), F.when(failed, "refused").otherwise("done").alias("content"),
+    )
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'echo            && ls' WHEN 'view' THEN 'curl -T report.txt https://example.com/in' WHEN 'purchase' THEN 'npm install lodash && npm ci'
+WHEN 'signup' THEN 'bash -c ''rm -rf build''' ELSE 'git commit -m           ; rm -rf dist' END AS text, CASE WHEN event_type IN ('click', 'error') THEN 'doc' ELSE '' END AS kinds FROM events""")
+def shell_executed_view(spark, d):
+    rows = shell_calls(spark, d).select("event_id", shell.executed("full_command").alias("v"))
+    return rows.select("event_id", "v.text", F.array_join("v.kinds", ",").alias("kinds"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'signup' THEN 'shell-string' ELSE '' END AS forms FROM events")
+def shell_hiding_forms(spark, d):
+    return shell_calls(spark, d).select("event_id", F.array_join(shell.hiding("full_command"), ",").alias("forms"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'mentioned' ELSE CASE WHEN event_id % 10 = 0 THEN 'unknown' ELSE 'ran' END END AS state,
+CASE event_type WHEN 'click' THEN 'doc' ELSE CASE WHEN event_id % 10 = 0 THEN 'error-result' ELSE 'result' END END AS why FROM events WHERE event_type IN ('click', 'signup', 'error')""")
+def shell_run_verdict(spark, d):
+    return verify.judged(shell_calls(spark, d), r"rm\s+-rf").select("event_id", "state", "why")
+
+
+@query("""WITH c AS (SELECT event_type, CASE WHEN event_type = 'click' THEN 'mentioned' WHEN event_id % 10 = 0 THEN 'unknown' ELSE 'ran' END AS s FROM events WHERE event_type IN ('click', 'signup', 'error'))
+SELECT count(*) FILTER (s = 'ran') AS ran, count(*) FILTER (s = 'mentioned') AS mentioned, count(*) FILTER (s = 'unknown') AS unknown, count(*) FILTER (s = 'ran' AND event_type = 'signup') AS hiding_calls, true AS results_recorded, 'review' AS status FROM c""")
+def verification_check(spark, d):
+    return verify.check(shell_calls(spark, d), r"rm\s+-rf")
+
+
+@query("SELECT 'npm' AS manager, count(*) AS installs, count(*) AS restores FROM events WHERE event_type = 'purchase' HAVING count(*) > 0")
+def dependency_installs(spark, d):
+    return verify.dependencies(shell_calls(spark, d))
+
+
+@query("SELECT 'http-upload' AS kind, 0::BIGINT AS local, count(*) AS leaving FROM events WHERE event_type = 'view' HAVING count(*) > 0")
+def egress_traffic(spark, d):
+    return verify.traffic(shell_calls(spark, d))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('view', 'ex.file-upload', 'require_approval'), ('purchase', 'flag-dependency-install', 'warn'), ('signup', 'require-approval-rm-rf', 'require_approval'), ('error', 'require-approval-rm-rf', 'require_approval')) AS r(event_type, rule_id, action))
+SELECT rule_id, action, count(*) AS matches FROM events JOIN r USING (event_type) GROUP BY ALL""")
+def shipped_catalog(spark, d):
+    """The shipped rules on what calls run: text that is only mentioned is blanked first."""
+    spans = Spans(kind="'execute_tool'", label="tool", detail="executed", mcp_input=None, file_path=None, agent=None, project=None, tokens=None, cached_tokens=None, duration_ms=None)
+    calls = shell_calls(spark, d).withColumn("executed", shell.executed("full_command")["text"])
+    rows = aggregate.match_rows(evaluate.evaluate(calls, SHIPPED, columns=spans), "event_id")
+    return rows.groupBy("rule_id", "action").agg(F.count("*").alias("matches"))
+
+
 @query()
 def scrub_text(spark, d):
     """All patterns in order: text and counts by pattern."""
