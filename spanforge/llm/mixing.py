@@ -4,10 +4,11 @@ A classifier of hashed n-grams, fitted on a labelled table, gives each document'
 rates r >= 0 are fitted by projected gradient least squares so that the expected token totals of the domains,
 sum_i r_i tokens_i p_id, meet their targets:
 
-    r_i <- max(0, r_i - p_i . M (A r - T)),   M the inverse of sum_i tokens_i p_i p_i'
+    r_i <- max(0, r_i - p_i . M (A r - T)),   M the inverse of sum_i tokens_i p_i p_i' over rates above 0
 
 which is gradient descent on the residual's M-norm at the step 1 / L (L = 1 in this norm, rates weighed by tokens),
-projected on r >= 0. A round needs the residual of D domains only: the driver keeps their history, and every task
+projected on r >= 0; with M over all documents the residual never grows, so a round that doesn't shrink it is taken
+again with that. A round needs the residual of D domains only: the driver keeps their history, and every task
 replays it for its rows. So no rate is shuffled or stored, and a lost task is simply run again.
 """
 
@@ -67,28 +68,27 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def _totals(d: int, history: np.ndarray | None):
-    """A task's part of A r, or (without a history) of sum_i tokens_i p_i p_i' and A 1."""
+def _totals(d: int, history: np.ndarray):
+    """A task's part of sum_i tokens_i p_i p_i' over rates above 0, and of A r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(d * d + d if history is None else d)
+        out = np.zeros(d * d + d)
         for b in batches:
             t, p = b.column(0).to_numpy().astype(float), _matrix(b.column(1), d)
-            if history is None:
-                out += np.concatenate([(p.T @ (p * t[:, None])).ravel(), t @ p])
-            else:
-                out += (t * rates(p, history)) @ p
+            r = rates(p, history)
+            on = p * (t * (r > 0))[:, None]
+            out += np.concatenate([(p.T @ on).ravel(), (t * r) @ p])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "x"])
 
     return run
 
 
-def _sum(df: DataFrame, d: int, history: np.ndarray | None = None) -> np.ndarray:
-    rows = df.select("tokens", "posterior").mapInArrow(_totals(d, history), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(d * d + d if history is None else d)
-    for r in rows:
+def _sum(df: DataFrame, d: int, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    rows = df.select("tokens", "posterior").mapInArrow(_totals(d, np.array(history).reshape(-1, d)), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(d * d + d)
+    for r in rows:  # a few sums of D domains
         out[r["i"]] = r["x"]
-    return out
+    return out[: d * d].reshape(d, d), out[d * d :]
 
 
 def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +97,7 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
     at_most: weights of domains after the first are bounds; one that has less keeps its share, and the first
     domain has the rest.
     """
-    both = _sum(members, d)
-    gram, now = both[: d * d].reshape(d, d), both[d * d :]
+    gram, now = _sum(members, d, [])
     weights = np.asarray(weights, float) / max(1e-300, float(np.sum(weights)))
     if at_most and now.sum() > 0:
         weights = np.minimum(weights, now / now.sum())
@@ -106,13 +105,20 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
     if total is None:
         total = float(now[0] / weights[0]) if weights[0] > 0 else float(now.sum())
     target = weights * total
-    metric = np.linalg.pinv(gram, rcond=1e-12, hermitian=True)
+    inverse = lambda g: np.linalg.pinv(g, rcond=1e-12, hermitian=True)
+    whole = inverse(gram)
+    size = lambda x: float((x - target) @ whole @ (x - target))
     history, got = [], now
     for _ in range(ROUNDS):
         if np.abs(got - target).max() <= CLOSE * max(1.0, target.sum()):
             break
-        history.append(metric @ (got - target))
-        got = _sum(members, d, np.array(history))
+        step = inverse(gram) @ (got - target)
+        new_gram, new = _sum(members, d, [*history, step])
+        if size(new) >= size(got):
+            step = whole @ (got - target)
+            new_gram, new = _sum(members, d, [*history, step])
+        history.append(step)
+        gram, got = new_gram, new
     return np.array(history).reshape(-1, d), target
 
 
