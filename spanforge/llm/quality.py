@@ -1,8 +1,8 @@
 """Quality classifier: importance resampling with hashed n-gram models, sampled by Gumbel top-k.
 
 Texts become counts of hashed unigrams and bigrams. A generative model of the target (labelled good, not toxic) and
-one of each other labelled class are counted on a bounded sample of labelled rows, and rare buckets left out by the
-counts of the whole corpus; raw text is the models' mixture by the classes' shares. A document's importance is the ratio of its
+one of each other labelled class are counted on the distinct lines of a bounded sample of labelled rows, and rare
+buckets left out by the counts of the whole corpus; raw text is the models' mixture by the classes' shares. A document's importance is the ratio of its
 likelihoods under target and raw text. The k documents of the largest log importance plus Gumbel noise are
 selected: a sample without replacement, in proportion to the importance (sharpened by the temperature).
 """
@@ -14,17 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import save
 from .select import kth_largest
 from .text_hash import ngrams, tokens
 
 LOG_BUCKETS = 18
 LABELLED = 50_000  # labelled rows that the models are counted on, at most
 PARTS = 16
+REPEAT = np.uint64(0x5EED_5EED_5EED_5EED)
 RARE = 5  # buckets of fewer occurrences in the whole corpus tell nothing
-DOUBT = 3.0  # standard errors that a log ratio is pulled towards 0 by
+DOUBT = 5.0  # standard errors that a log ratio is pulled towards 0 by
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -32,36 +35,85 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     shift = np.uint64(64 - LOG_BUCKETS)
     for i, h, at in tokens(column):
         g, starts = ngrams(h, at, 2)
+        again = np.flatnonzero(h[1:] == h[:-1])
+        row = np.searchsorted(at, again, side="right") - 1
+        inside = again + 1 < at[row + 1]
+        g[starts[row[inside]] + again[inside] - at[row[inside]]] = REPEAT  # a word after itself, whichever it is
         rows = np.concatenate([np.repeat(np.arange(len(at) - 1), np.diff(at)), np.repeat(np.arange(len(at) - 1), np.diff(starts))])
         yield i, np.concatenate([h >> shift, g >> shift]).astype(np.int64), rows
 
 
-def _count(labels):
-    """Bucket counts of the corpus (class 0) and of the labelled rows by class, one packed row for each part; a last part has the labelled rows found."""
+SCANNED = "class long, part long, counts binary, hashes binary, sizes binary, buckets binary"
+COLUMNS = ["class", "part", "counts", "hashes", "sizes", "buckets"]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    c, p, *rest = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.int64()), *(pa.array(x, pa.binary()) for x in rest)], COLUMNS)
+
+
+def _packed(counts: np.ndarray, c: int) -> list[tuple]:
+    return [(c, p, zlib.compress(x.tobytes(), 1), None, None, None) for p, x in enumerate(np.split(counts, PARTS)) if x.any()]
+
+
+def _scan(labels):
+    """Bucket counts of the corpus (class 0); of labelled rows, by class, how many there are and their distinct lines.
+
+    Lines go by the hash of the line, so that a line which copies of a text share counts once for a class.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, classes, n = labels.value
-        counts, found = np.zeros((n + 1, 1 << LOG_BUCKETS), np.int64), np.zeros(n + 1, np.int64)
+        corpus, found = np.zeros(1 << LOG_BUCKETS, np.int64), np.zeros(n + 1, np.int64)
+        seen: set[tuple[int, int]] = set()
         for b in batches:
             own = np.array([x if x is not None else -(2**63) for x in b.column(0).to_pylist()], np.int64)
             at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
             kind = np.where(ids[at] == own, classes[at], 0) if len(ids) else np.zeros(len(own), np.int64)
             found += np.bincount(kind, minlength=n + 1)
-            for i, bucket, row in features(b.column(1)):
-                counts[0] += np.bincount(bucket, minlength=counts.shape[1])
-                k = kind[i + row]
-                for c in range(1, n + 1):
-                    if (k == c).any():
-                        counts[c] += np.bincount(bucket[k == c], minlength=counts.shape[1])
-        rows = [(c, p, zlib.compress(x.tobytes(), 1)) for c in range(n + 1) for p, x in enumerate(np.split(counts[c], PARTS)) if x.any()]
-        rows += [(c, PARTS, zlib.compress(found[c : c + 1].tobytes(), 1)) for c in range(1, n + 1) if found[c]]
+            for _, bucket, _ in features(b.column(1)):
+                corpus += np.bincount(bucket, minlength=len(corpus))
+            for c in range(1, n + 1):
+                lines, hashes = [], []
+                for i in np.flatnonzero(kind == c).tolist():
+                    for line in (b.column(1)[i].as_py() or "").split("\n"):
+                        if line and (key := (c, xxhash.xxh3_64_intdigest(line))) not in seen:
+                            seen.add(key)
+                            lines.append(line)
+                            hashes.append(key[1])
+                if lines:
+                    yield _rows(_lines(c, pa.array(lines, pa.string()), np.array(hashes, np.uint64)))
+        rows = _packed(corpus, 0) + [(c, PARTS, zlib.compress(found[c : c + 1].tobytes(), 1), None, None, None) for c in range(1, n + 1) if found[c]]
         if rows:
-            c, p, x = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.int64()), pa.array(x, pa.binary())], ["class", "part", "counts"])
+            yield _rows(rows)
 
     return run
 
 
+def _lines(c: int, lines: pa.Array, hashes: np.ndarray) -> list[tuple]:
+    """Lines packed by shard: their hashes, how many features each has, and the features' buckets."""
+    parts = [(bucket, row + i) for i, bucket, row in features(lines)]
+    bucket, row = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(row, kind="stable")
+    bucket, sizes = bucket[order].astype(np.uint32), np.bincount(row, minlength=len(lines))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    shard = (hashes % np.uint64(PARTS)).astype(np.int64)
+    out = []
+    for s in np.unique(shard).tolist():
+        at = np.flatnonzero(shard == s)
+        out.append((c, s, None, hashes[at].tobytes(), sizes[at].astype(np.uint32).tobytes(), np.concatenate([bucket[starts[k] : starts[k + 1]] for k in at.tolist()]).tobytes()))
+    return out
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """Bucket counts of a shard's distinct lines."""
+    hashes, sizes, buckets = (np.concatenate([np.frombuffer(x, k) for x in table[n].to_pylist()]) for n, k in (("hashes", np.uint64), ("sizes", np.uint32), ("buckets", np.uint32)))
+    first = np.zeros(len(hashes), bool)
+    first[np.unique(hashes, return_index=True)[1]] = True
+    counts = np.bincount(buckets[np.repeat(first, sizes)], minlength=1 << LOG_BUCKETS)
+    return pa.Table.from_batches([_rows(_packed(counts, table["class"][0].as_py()) or [(table["class"][0].as_py(), 0, zlib.compress(np.zeros((1 << LOG_BUCKETS) // PARTS, np.int64).tobytes()), None, None, None)])]).select(["class", "part", "counts"])
+
+
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table["counts"].to_pylist())
     return pa.table({"class": table["class"][:1], "part": table["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
@@ -113,7 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Importa
     if len(kinds) < 2:
         return nothing
     shared = docs.sparkSession.sparkContext.broadcast((ids, classes, len(kinds)))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_count(shared), "class long, part long, counts binary").groupBy("class", "part").applyInArrow(_add, "class long, part long, counts binary").collect()
+    scanned = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(shared), SCANNED), "features")
+    lines = scanned.where("hashes is not null").groupBy("class", "part").applyInArrow(_distinct, "class long, part long, counts binary")
+    rows = scanned.where("counts is not null").select("class", "part", "counts").union(lines).groupBy("class", "part").applyInArrow(_add, "class long, part long, counts binary").collect()
     counts = np.zeros((len(kinds) + 1, PARTS, (1 << LOG_BUCKETS) // PARTS))
     found = np.zeros(len(kinds) + 1)
     for r in rows:  # a fixed number of buckets for each class
@@ -132,8 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Importa
         even = n / total[1]  # what a target count comes to in the other class
         ratio = np.log((target + 0.5) * even) - np.log(c + 0.5 * even)
         error = DOUBT * np.sqrt(1 / (np.maximum(target, c / even) + 0.5) + 1 / (np.maximum(c, target * even) + 0.5))
-        # what speaks for the target is doubted more: texts have many words that a small class just happened not to show
-        ratio = np.where(ratio > 0, np.maximum(0, ratio - 1.5 * error), np.minimum(0, ratio + error))
+        ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - error)
         ratios.append(np.where(counts[0] >= RARE, ratio, 0))
     shares, names = found[[1, *there]], sorted(kinds, key=kinds.get)
     return ImportanceModel(np.array(ratios), shares / shares.sum(), [names[c - 1] for c in (1, *there)])
