@@ -154,10 +154,17 @@ def bucket_of(key: np.ndarray, content: np.ndarray, at: tuple[np.ndarray, np.nda
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of `most` bytes of text each (or one text), which bounds what a task holds."""
+    for b in batches:
+        for i, j in chunks(texts_of(b.column(1))[0], most):
+            yield b.slice(i, j - i)
+
+
 def _suffixes(length: int, splitters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = splitters.value
-        for b in batches:
+        for b in _slices(batches):
             parts = [(r.key, r.content, d, s, r.last - r.first) for r, d, s in _batch(b, length)]
             if not parts:
                 continue
@@ -220,26 +227,37 @@ def _open_windows(length: int, blocks: int, shards: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bloom(wanted.value)
-        for b in batches:
-            parts = [(r.key, r.content, d, s, r.last - r.first, r.window[_ranges(r.first, r.last)], np.arange(len(r.key))) for r, d, s in _batch(b, length)]
+        for b in _slices(batches, 6 << 20):
+            parts = []
+            for r, d, s in _batch(b, length):
+                hit = bits.has(r.key)  # only these runs' windows are kept
+                parts.append((r.key, r.content, d, s, r.last - r.first, hit, r.window[_ranges(r.first[hit], r.last[hit])]))
             if not parts:
                 continue
-            key, content, doc, start, more = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            windows = np.concatenate([p[5] for p in parts])
-            at = np.concatenate([[0], np.cumsum(more + 1)])
+            key, content, doc, start, more, hit, windows = (np.concatenate([p[i] for p in parts]) for i in range(7))
+            del parts
+            at = np.cumsum(np.where(hit, more + 1, 0)) - np.where(hit, more + 1, 0)
             order, new = firsts(key, content, doc, start, by=2)
             again = np.zeros(len(key), bool)
             again[order[~new]] = True
-            todo = np.flatnonzero(~again & bits.has(key))
-            pick = _ranges(at[todo], at[todo] + more[todo])
-            h, d = windows[pick], np.repeat(doc[todo], more[todo] + 1)
-            s = start[todo].repeat(more[todo] + 1) + (pick - np.repeat(at[todo], more[todo] + 1))
-            order, new = firsts(h, d, s, by=1)
-            h, d, s = h[order], d[order], s[order]
-            yield from _packed("window", (mix64(h[new], 13) % np.uint64(blocks)).astype(np.int64), h[new], d[new], s[new].astype(np.uint32))
-            gone_d = np.concatenate([doc[again], d[~new]])
-            gone_s = np.concatenate([start[again], s[~new]])
-            gone_e = np.concatenate([start[again] + more[again] + length, s[~new] + length])
+            todo = np.flatnonzero(~again & hit)
+            todo = todo[np.lexsort((start[todo], doc[todo]))]  # in the order of places, which a stable sort of hashes keeps
+            h = windows[_ranges(at[todo], at[todo] + more[todo])]
+            del windows
+            run_of = np.repeat(np.arange(len(todo), dtype=np.uint32), more[todo] + 1)
+            offset = _ranges(np.zeros(len(todo), np.int64), more[todo]).astype(np.uint16)
+            order = np.argsort(h, kind="stable")
+            h = h[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+            first, rest = order[new], order[~new]
+            h = h[new]
+            place = lambda i: (doc[todo[run_of[i]]], start[todo[run_of[i]]] + offset[i])  # noqa: E731, B023
+            d, s = place(first)
+            yield from _packed("window", (mix64(h, 13) % np.uint64(blocks)).astype(np.int64), h, d, s.astype(np.uint32))
+            del h, d, s, order, first
+            d, s = place(rest)
+            gone_d, gone_s = np.concatenate([doc[again], d]), np.concatenate([start[again], s])
+            gone_e = np.concatenate([start[again] + more[again] + length, s + length])
             for x in _spans(gone_d, gone_s, gone_e, shards):
                 # spans pass through the windows' tasks, each packed row by its shard
                 yield x.set_column(1, "block", pa.array(x.column(1).to_numpy() % blocks, pa.int64())).set_column(6, "c4", pa.array([int(v).to_bytes(8, "little") for v in x.column(1).to_pylist()], pa.binary()))
