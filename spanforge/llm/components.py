@@ -28,30 +28,49 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
+TASK_LINKS = 2_000_000  # links that one task contracts in memory
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch's links, contracted to stars."""
+    """A task's links, contracted to stars: TASK_LINKS at a time, with the stars so far among them."""
+    a = b = np.zeros(0, np.int64)
+
+    def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nodes, low = roots(a, b)
+        return nodes[nodes != low], low[nodes != low]
+
     for batch in batches:
-        a, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-        if len(a):
-            nodes, low = roots(a, b)
-            away = nodes != low
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[away], pa.int64()), pa.array(low[away], pa.int64())], ["a", "b"])
+        x, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        a, b = np.concatenate([a, x]), np.concatenate([b, y])
+        if len(a) > TASK_LINKS:
+            a, b = stars(a, b)
+            if len(a) > TASK_LINKS // 2:  # many small components: let them go as they are
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a = b = np.zeros(0, np.int64)
+    if len(a):
+        a, b = stars(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node that it reaches) of every node in a link to another.
 
     links has two long columns, in any order and with repeats; links with a null end or to oneself say nothing.
-    Rows are links only: a hub is a key of aggregations with partial sums and of joins that AQE may split,
-    never a collected list. Each round is written to the shared folder.
+    Tasks contract their links to stars first. What is left, if it fits one task's bound (TASK_LINKS, checked), is
+    contracted by one; else star steps go on over the cluster until nothing changes. Rows are links only: a hub is a
+    key of aggregations with partial sums and of joins that AQE may split, never a collected list. Each round is
+    written to the shared folder.
     """
     a, b = links.columns[:2]
     found = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    edges = save(found.mapInArrow(_forest, "a long, b long").distinct(), "links")  # a > b throughout
+    edges = save(found.mapInArrow(_forest, "a long, b long"), "links")  # a > b throughout
     last = None
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if last == tuple(mark) or not mark["n"]:
+        if mark["n"] <= TASK_LINKS:
+            edges = save(edges.coalesce(1).mapInArrow(_forest, "a long, b long"), "links")
+            break
+        if last == tuple(mark):
             break
         last = tuple(mark)
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
