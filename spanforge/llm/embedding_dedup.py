@@ -50,7 +50,7 @@ def _floats(column: pa.Array) -> list[np.ndarray]:
     return [np.asarray(v, np.float64) for v in column.to_pylist()]
 
 
-def _pass_rows(bits: int, passes: int):
+def _pass_rows(bits: int, passes: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vectors = _floats(b.column(3))
@@ -58,7 +58,7 @@ def _pass_rows(bits: int, passes: int):
                 at = [i for i, v in enumerate(vectors) if len(v) == dim]
                 x = np.stack([vectors[i] for i in at])
                 rest = b.take(pa.array(at))
-                raw = pa.array([vectors[i].tobytes() for i in at], pa.binary())
+                raw = pa.array([vectors[i].astype(kind).tobytes() for i in at], pa.binary())
                 for p in range(passes):
                     k = keys(x, p, bits)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p), pa.int32()), rest.column(1), pa.array(np.full(len(at), dim), pa.int32()), pa.array(k, pa.int64()), rest.column(0), rest.column(2), raw], ["pass", "label", "dim", "key", "id", "copies", "vector"])
@@ -77,7 +77,7 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += n
 
 
-def _compare(bits: int, passes: int, threshold: float):
+def _compare(bits: int, passes: int, threshold: float, kind: str):
     """Counts, forest and lone window pairs of one group: its side 0 with itself (side 2 rows) or with side 1."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -94,8 +94,8 @@ def _compare(bits: int, passes: int, threshold: float):
             if not len(own) or not len(other):
                 continue
             now = int(p[at[0]])
-            x = np.stack([np.frombuffer(raw[i], np.float64) for i in own])
-            y = np.stack([np.frombuffer(raw[i], np.float64) for i in other])
+            x = np.stack([np.frombuffer(raw[i], kind) for i in own]).astype(np.float64)
+            y = np.stack([np.frombuffer(raw[i], kind) for i in other]).astype(np.float64)
             x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
             i, j = np.nonzero(x @ y.T >= threshold)
             a, b = own[i], other[j]
@@ -110,7 +110,7 @@ def _compare(bits: int, passes: int, threshold: float):
             for q in range(passes):  # recomputed for found pairs only
                 if q != now:
                     rows, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-                    k = keys(np.stack([np.frombuffer(raw[r], np.float64) for r in rows]), q, bits) >> TAIL_BITS
+                    k = keys(np.stack([np.frombuffer(raw[r], kind) for r in rows]).astype(np.float64), q, bits) >> TAIL_BITS
                     eq = k[inv[: len(a)]] == k[inv[len(a) :]]
                     any_ |= eq
                     before |= eq & (q < now)
@@ -151,9 +151,10 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-6)
     reps = save(named.where("vector is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector")), "vectors")
     bits, passes = plan(reps.count(), threshold, miss)
     spark = vectors.sparkSession
+    kind = "<f4" if "array<float>" in vectors.schema["embedding"].dataType.simpleString() else "<f8"  # as exact as they came
 
     order = ["pass", "label", "dim", "key", "id"]
-    by_pass = reps.select("id", "label", "copies", "vector").mapInArrow(_pass_rows(bits, passes), "pass int, label long, dim int, key long, id long, copies long, vector binary")
+    by_pass = reps.select("id", "label", "copies", "vector").mapInArrow(_pass_rows(bits, passes, kind), "pass int, label long, dim int, key long, id long, copies long, vector binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     placed = save(by_pass.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_place, "pass int, label long, dim int, key long, id long, copies long, vector binary, pid long, at long"), "sorted")
     sizes = {r["pid"]: r["n"] for r in placed.groupBy("pid").agg(F.count("*").alias("n")).collect()}  # one row a partition
@@ -170,7 +171,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-6)
     runs = at.groupBy("pass", "label", "dim", "cell").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("hi - lo >= 2")
     far = at.join(runs, ["pass", "label", "dim", "cell"]).withColumn("o", F.explode(F.sequence("lo", "hi"))).where("abs(o - block) >= 2")
     far = far.select(*columns, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("o") > F.col("block"), 0).otherwise(1).alias("side"), F.lit(1).alias("cells"))
-    found = save(near.union(far).groupBy("i", "j", "cells").applyInArrow(_compare(bits, passes, threshold), "a long, b long, n long"), "found")
+    found = save(near.union(far).groupBy("i", "j", "cells").applyInArrow(_compare(bits, passes, threshold, kind), "a long, b long, n long"), "found")
 
     lone = found.where("n < 0").distinct().select("a", (-F.col("n")).alias("n"))
     counts = found.where("n > 0").select("a", "n").union(lone).groupBy("a").agg(F.sum("n").alias("n"))
