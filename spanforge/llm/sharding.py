@@ -8,16 +8,21 @@ again; readers see the shards of one manifest, whole. Shards that no manifest ne
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import delete, new_path
 
 
+MOST_GROUPS = 512  # merges of one job
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -118,32 +123,33 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self) -> dict:
-        """One round: merge every group of the plan, each by a task of its own, commit, then delete what it replaced."""
+        """One round: merge every group of the plan, commit, then delete what was replaced.
+
+        A group is read and written by one task, which nothing is shuffled for; groups go to jobs of several waves of
+        tasks, each of which commits for itself, so old and new files lie side by side for one job's groups only.
+        """
         before = self.manifest()
         groups = self.plan(before["shards"])
-        if not groups:
-            return before
-        short = lambda p: p.removeprefix("file:").lstrip("/")
-        of = [(short(s["path"]), i) for i, g in enumerate(groups) for s in g]
-        which = self.spark.createDataFrame(of, "p string, __group int")  # a row a shard
-        paths = [s["path"] for g in groups for s in g]
-        names = [f.name for f in self.spark.read.parquet(paths[0]).schema]
-        rows = self.spark.read.parquet(*paths).select("*", F.regexp_replace("_metadata.file_path", "^file:/*|^/*", "").alias("p"))
-        merged = rows.join(F.broadcast(which), "p").select(*names, "__group").repartition(len(groups), "__group")
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged.write.partitionBy("__group").parquet(folder)
-        gone = set(paths)
-        after = self.commit(before, [s for s in before["shards"] if s["path"] not in gone] + self._listed(folder), None)
-        for p in gone:
-            delete(self.spark, p)
-        return after
+        size = max(16, min(MOST_GROUPS, 4 * self.spark.sparkContext.defaultParallelism))
+        for i in range(0, len(groups), size):
+            some = groups[i : i + size]
+            one = [self.spark.read.schema(self._schema(before)).parquet(*[s["path"] for s in g]).coalesce(1) for g in some]
+            folder = f"{self.root}/data/{uuid.uuid4().hex}"
+            functools.reduce(DataFrame.union, one).write.parquet(folder)
+            gone = {s["path"] for g in some for s in g}
+            before = self.commit(before, [s for s in before["shards"] if s["path"] not in gone] + self._listed(folder), None)
+            for p in gone:
+                delete(self.spark, p)
+        return before
+
+    @staticmethod
+    def _schema(manifest: dict) -> StructType:
+        return StructType.fromJson(json.loads(manifest["schema"]))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a manifest, with the shard's number in it (__shard)."""
-        from pyspark.sql.types import StructType
-
         m = self.manifest(version)
-        schema = StructType.fromJson(json.loads(m["schema"]))
+        schema = self._schema(m)
         if not m["shards"]:
             return self.spark.createDataFrame([], schema).withColumn("__shard", F.lit(0).cast("long"))
         numbers = self.spark.createDataFrame([(s["path"].removeprefix("file:").lstrip("/"), i) for i, s in enumerate(m["shards"])], "p string, __shard long")
@@ -155,9 +161,9 @@ def shard(df: DataFrame, root: str | None = None, rounds: int = 4, **settings) -
     """Append df as one arrival and compact until nothing is left to merge (or rounds have passed).
 
     Every row is kept, with nulls, repeats and all columns; an empty table gives a manifest without shards. The
-    columns __shard and __group and p are this module's own and must not be among df's.
+    columns __shard and p are this module's own and must not be among df's.
     """
-    if clash := {"__shard", "__group", "p"} & set(df.columns):
+    if clash := {"__shard", "p"} & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} are reserved")
     store = ShardStore(df.sparkSession, root or new_path(df.sparkSession, "shards"), **settings)
     store.append(df)
