@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, trim, trimmed
 from .select import kth_largest
 from .text_hash import ngrams, tokens
 
 LOG_BUCKETS = 18
-LABELLED = 50_000  # labelled rows that the models are counted on, at most
+LABELLED = 20_000  # labelled rows that the models are counted on, at most
 PARTS = 16
 REPEAT = np.uint64(0x5EED_5EED_5EED_5EED)
 RARE = 5  # buckets of fewer occurrences in the whole corpus tell nothing
@@ -87,7 +87,7 @@ def _scan(labels):
         if rows:
             yield _rows(rows)
 
-    return run
+    return trimmed(run)
 
 
 def _lines(c: int, lines: pa.Array, hashes: np.ndarray) -> list[tuple]:
@@ -200,7 +200,13 @@ def _noise(seed: int):
 
 def scored(docs: DataFrame, model: ImportanceModel, temperature: float, seed: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    weight = F.arrow_udf(lambda text: pa.array(shared.value.log_weight(text)), "double")
+
+    def run(text: pa.Array) -> pa.Array:
+        out = pa.array(shared.value.log_weight(text))
+        trim()
+        return out
+
+    weight = F.arrow_udf(run, "double")
     return docs.withColumn("log_weight", weight("text")).withColumn("score", F.col("log_weight") + _noise(seed) * temperature)
 
 
@@ -208,7 +214,7 @@ def select(docs: DataFrame, labels: DataFrame, share: float | None = None, tempe
     """docs' columns with log_weight, score and selected (columns of these names are replaced).
 
     k is share * rows, or, by default, the number of rows that the models take for target text (a posterior of 1/2
-    or more); the k rows of the largest score are selected, with those that tie with the last. Noise depends on
+    or more), but not less than the target's share of the labelled rows makes of all; the k rows of the largest score are selected, with those that tie with the last. Noise depends on
     doc_id and seed alone, so rows that repeat an id get one noise; a null id has its own. Null and empty texts have
     log_weight 0. Without labels of the target and of another class all weights are 0 and every row is selected.
     """
@@ -219,7 +225,7 @@ def select(docs: DataFrame, labels: DataFrame, share: float | None = None, tempe
     light = scored(docs.select("doc_id", "text"), model, temperature, seed).select("log_weight", "score")
     edge = float(np.log(0.5 / model.shares[0]))
     facts = light.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= edge).alias("k")).first()
-    k = facts["k"] if share is None else round(share * facts["n"])
+    k = max(facts["k"], round(model.shares[0] * facts["n"])) if share is None else round(share * facts["n"])
     floor = kth_largest(light, "score", k) if k else float("inf")
     return rows.withColumn("selected", F.col("score") >= F.lit(floor if floor is not None else float("-inf")))
 
