@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MEMO_PIECES = 1_000_000
-BLOCK_CHARS = 24 << 20
+from .common import trim, trimmed
+
+MEMO_PIECES = 150_000
+BLOCK_CHARS = 2 << 20
 
 
 def _latin() -> tuple[re.Pattern, re.Pattern, dict[int, str]]:
@@ -201,6 +203,7 @@ def encode_blocks(bpe: WordBPE, texts: Iterator[str | None], show=None) -> Itera
             done(block)
             yield block, memo, shown
             block, size = [], 0
+            trim()
     if block:
         done(block)
         yield block, memo, shown
@@ -239,7 +242,7 @@ def _encoder(path: str, decoded: bool):
             else:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(hashed, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"])
 
-    return run
+    return trimmed(run)
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -252,7 +255,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (array of int) of each row's whole text; no special tokens are added.
 
     A null or empty text has no ids. Rows stay rows: repeated doc_ids are encoded each. Other columns are left
-    out. Memory is bounded by a block of texts (24 Mi characters, or one text) and a memo of a million pieces.
+    out. Memory is bounded by a block of texts (2 Mi characters, or one text) and a memo of 150,000 pieces.
     """
     return docs.select("doc_id", "text").mapInArrow(_encoder(path or vocabulary(), False), "doc_id long, n_tokens long, ids array<int>")
 

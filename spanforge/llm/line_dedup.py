@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, mix64, save
+from .common import blocks_for, mix64, save, trim, trimmed
 
 STRIP = b" \t\n\x0b\x0c\r"
 LEVELS = 40
@@ -145,7 +145,7 @@ def _probes(shards: int, least: int):
             s, hb, ob = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(hb, pa.binary()), pa.array(ob, pa.binary())], ["shard", "hashes", "owners"])
 
-    return run
+    return trimmed(run)
 
 
 def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +219,7 @@ def _drop(min_chars: int):
             kept.append(b"\n".join(left).decode("utf-8", "surrogatepass"))
             n.append(len(lines))
             gone.append(len(lines) - len(left))
+        trim()
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["text", "n_lines", "n_dropped"])
 
     return F.arrow_udf(run, "text string, n_lines long, n_dropped long")

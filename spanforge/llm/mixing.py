@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, trim, trimmed
 from .quality import LABELLED, ImportanceModel, class_names, fit
 from .text_hash import tokens
 
@@ -61,7 +61,7 @@ def _posteriors(shared):
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), flat], ["doc_id", "tokens", "posterior"])
 
-    return run
+    return trimmed(run)
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -80,7 +80,7 @@ def _totals(d: int, history: np.ndarray):
             out += np.concatenate([(p.T @ on).ravel(), (t * r) @ p])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["i", "x"])
 
-    return run
+    return trimmed(run)
 
 
 def _sum(df: DataFrame, d: int, history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +143,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float
     def run(text: pa.Array) -> pa.Array:
         size, p = DomainModel(shared.value)(text)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+        trim()
         return pa.StructArray.from_arrays([pa.array(size), flat, pa.array(rates(p, rule.value))], ["tokens", "posterior", "rate"])
 
     if set(docs.columns) == {"doc_id", "text"}:  # nothing to carry along: use what is there

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom
-from .common import blocks_for, mix64, save
+from .common import blocks_for, mix64, save, trimmed
 from .components import components
 from .text_hash import sets as sets_of
 
@@ -66,7 +66,7 @@ def _scan(n: int):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "n_shingles", "name", "part", "counts"])
 
-    return run
+    return trimmed(run)
 
 
 def _add(table: pa.Table) -> pa.Table:
@@ -118,7 +118,7 @@ def _entries(n: int, num: int, den: int, blocks: int, counters):
             v = list(zip(*x, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(v[0], pa.int64()), *(pa.array(y, pa.binary()) for y in v[1:])], ["block", "cols", "rows", "sizes", "parts"])
 
-    return run
+    return trimmed(run)
 
 
 ENTRIES = "block long, cols binary, rows binary, sizes binary, parts binary"
@@ -207,7 +207,7 @@ def _sets(n: int, wanted, whole: bool):
             if some:
                 yield from packed(some)
 
-    return run
+    return trimmed(run)
 
 
 def _product(num: int, den: int):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom
-from .common import blocks_for, mix64, save, size_in_bytes
+from .common import blocks_for, mix64, save, size_in_bytes, trim, trimmed
 from .text_hash import _power, chunks, texts_of
 
 GRAM = 32
@@ -139,7 +139,7 @@ def _sample(length: int):
                 some = mix64(runs.content, 4) % np.uint64(8) == 0
                 yield pa.RecordBatch.from_arrays([pa.array(runs.key[some].view(np.int64)), pa.array(runs.content[some].view(np.int64))], ["key", "content"])
 
-    return run
+    return trimmed(run)
 
 
 def bucket_of(key: np.ndarray, content: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -159,6 +159,7 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator
     for b in batches:
         for i, j in chunks(texts_of(b.column(1))[0], most):
             yield b.slice(i, j - i)
+            trim()
 
 
 def _suffixes(length: int, splitters):
@@ -174,7 +175,7 @@ def _suffixes(length: int, splitters):
             key, content, doc, start, more = key[keep], content[keep], doc[keep], start[keep], more[keep]
             yield from _packed("suffix", bucket_of(key, content, at), key, content, doc, start.astype(np.uint32), more.astype(np.uint16))
 
-    return run
+    return trimmed(run)
 
 
 def _sort_bucket(length: int, shards: int, splitters):
@@ -189,6 +190,7 @@ def _sort_bucket(length: int, shards: int, splitters):
         out = list(_spans(doc[~new], start[~new], start[~new] + more[~new] + length, shards))
         left_open = np.unique(np.concatenate([several, cut]))
         out += list(_packed("open", np.full(len(left_open), table["block"][0].as_py()), left_open))
+        trim()
         return pa.Table.from_batches(out, SCHEMA) if out else SCHEMA.empty_table()
 
     return run
@@ -262,7 +264,7 @@ def _open_windows(length: int, blocks: int, shards: int, wanted):
                 # spans pass through the windows' tasks, each packed row by its shard
                 yield x.set_column(1, "block", pa.array(x.column(1).to_numpy() % blocks, pa.int64())).set_column(6, "c4", pa.array([int(v).to_bytes(8, "little") for v in x.column(1).to_pylist()], pa.binary()))
 
-    return run
+    return trimmed(run)
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -284,6 +286,7 @@ def _sort_windows(length: int, shards: int):
         if rest.num_rows:
             shard = pa.array([int.from_bytes(x, "little") for x in rest["c4"].to_pylist()], pa.int64())
             out += rest.set_column(1, "block", shard).set_column(6, "c4", pa.nulls(rest.num_rows, pa.binary())).cast(SCHEMA).to_batches()
+        trim()
         return pa.Table.from_batches([x.cast(SCHEMA) for x in out], SCHEMA) if out else SCHEMA.empty_table()
 
     return run
@@ -313,6 +316,7 @@ def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
         runs.append([{"start": a, "stop": b} for a, b in own])
         kept.append(b"".join(left))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    trim()
     return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "spans", "kept"])
 
 
