@@ -11,7 +11,8 @@ A corpus has a suffix for every byte; sorting them all would ship a string for e
     a splitter may have cut, so that its neighbours lie across the boundary - is left open.
 3.  For open grams the runs are compared window by window, again sorted, and all but the first place go.
 
-Equal contents within a task are settled there before anything is shuffled, so copies of one text load no bucket.
+Equal contents within a slice of a task's texts are settled there, before anything is shuffled, so copies of one text
+load no bucket: the first is shipped, and the spans of the rest go with it.
 Comparisons are of 64-bit hashes of the bytes.
 """
 
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +156,10 @@ def bucket_of(key: np.ndarray, content: np.ndarray, at: tuple[np.ndarray, np.nda
     return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+SLICE = 12 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Batches of `most` bytes of text each (or one text), which bounds what a task holds."""
     for b in batches:
         for i, j in chunks(texts_of(b.column(1))[0], most):
@@ -162,15 +167,19 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator
             trim()
 
 
-def _suffixes(length: int, splitters):
+def _suffixes(length: int, shards: int, splitters, most: int):
+    """The first run of each content of a slice, by bucket, and the spans of the other runs, by shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = splitters.value
-        for b in _slices(batches):
+        for b in _slices(batches, most):
             parts = [(r.key, r.content, d, s, r.last - r.first) for r, d, s in _batch(b, length)]
             if not parts:
                 continue
             key, content, doc, start, more = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, new = firsts(key, content, doc, start, by=2)
+            again = order[~new]
+            yield from _spans(doc[again], start[again], start[again] + more[again] + length, shards)
             keep = np.sort(order[new])  # in the order of places, which packs best
             key, content, doc, start, more = key[keep], content[keep], doc[keep], start[keep], more[keep]
             yield from _packed("suffix", bucket_of(key, content, at), key, content, doc, start.astype(np.uint32), more.astype(np.uint16))
@@ -180,16 +189,18 @@ def _suffixes(length: int, splitters):
 
 def _sort_bucket(length: int, shards: int, splitters):
     def run(table: pa.Table) -> pa.Table:
-        key, content, doc, start, more = _gathered(table, np.uint64, np.uint64, np.int64, np.uint32, np.uint16)
+        spans = pc.equal(table["kind"], "span")
+        passed, block = table.filter(spans), table["block"][0].as_py()
+        key, content, doc, start, more = _gathered(table.filter(pc.invert(spans)), np.uint64, np.uint64, np.int64, np.uint32, np.uint16)
         order, new = firsts(key, content, doc, start, by=2)
         key, doc, start, more = key[order], doc[order], start[order].astype(np.int64), more[order].astype(np.int64)
         # grams with several contents, and those that a boundary may cut
         class_key = key[new]
         several = class_key[1:][class_key[1:] == class_key[:-1]]
         cut = np.intersect1d(class_key, splitters.value[0])
-        out = list(_spans(doc[~new], start[~new], start[~new] + more[~new] + length, shards))
+        out = passed.cast(SCHEMA).to_batches() + list(_spans(doc[~new], start[~new], start[~new] + more[~new] + length, shards))
         left_open = np.unique(np.concatenate([several, cut]))
-        out += list(_packed("open", np.full(len(left_open), table["block"][0].as_py()), left_open))
+        out += list(_packed("open", np.full(len(left_open), block), left_open))
         trim()
         return pa.Table.from_batches(out, SCHEMA) if out else SCHEMA.empty_table()
 
@@ -224,12 +235,15 @@ def united(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], far[last] - shift[last]
 
 
-def _open_windows(length: int, blocks: int, shards: int, wanted):
-    """The windows of open grams, and the spans that repeat within one task."""
+def _open_windows(length: int, blocks: int, shards: int, wanted, most: int):
+    """The windows of open grams, and the spans of those that repeat within a slice.
+
+    Runs that repeat whole within the slice are left out: they went with _suffixes or its buckets, whatever the slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = Bloom(wanted.value)
-        for b in _slices(batches, 6 << 20):
+        for b in _slices(batches, most):
             parts = []
             for r, d, s in _batch(b, length):
                 hit = bits.has(r.key)  # only these runs' windows are kept
@@ -258,9 +272,7 @@ def _open_windows(length: int, blocks: int, shards: int, wanted):
             yield from _packed("window", (mix64(h, 13) % np.uint64(blocks)).astype(np.int64), h, d, s.astype(np.uint32))
             del h, d, s, order, first
             d, s = place(rest)
-            gone_d, gone_s = np.concatenate([doc[again], d]), np.concatenate([start[again], s])
-            gone_e = np.concatenate([start[again] + more[again] + length, s + length])
-            for x in _spans(gone_d, gone_s, gone_e, shards):
+            for x in _spans(d, s, s + length, shards):
                 # spans pass through the windows' tasks, each packed row by its shard
                 yield x.set_column(1, "block", pa.array(x.column(1).to_numpy() % blocks, pa.int64())).set_column(6, "c4", pa.array([int(v).to_bytes(8, "little") for v in x.column(1).to_pylist()], pa.binary()))
 
@@ -320,13 +332,14 @@ def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], ["n_bytes", "n_removed", "spans", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 100, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of start, stop in bytes) and kept (binary) of each row of docs.
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a smaller doc_id, or earlier in
     the same document. Strings are judged on the input and never cross documents. Texts are taken as UTF-8; null
     is empty. Rows that repeat a doc_id, and those without one (first), are documents in the order of their texts.
-    Other columns of docs are left alone and not returned.
+    Other columns of docs are left alone and not returned. slice_bytes bounds the text that a task looks at at once
+    and doesn't change the result.
     """
     if length < 8:
         raise ValueError("length must be 8 at least")
@@ -349,10 +362,10 @@ def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
     at = order[np.unique(np.linspace(0, len(order), blocks + 1).astype(int)[1:-1].clip(0, max(0, len(order) - 1)))] if len(order) else order
     splitters = sc.broadcast((k[at], c[at]))  # one for each bucket
 
-    found = save(texts.mapInArrow(_suffixes(length, splitters), PACKED).groupBy("block").applyInArrow(_sort_bucket(length, blocks, splitters), PACKED), "suffixes")
+    found = save(texts.mapInArrow(_suffixes(length, blocks, splitters, slice_bytes), PACKED).groupBy("block").applyInArrow(_sort_bucket(length, blocks, splitters), PACKED), "suffixes")
     open_ = found.where("kind = 'open'").select("c0").mapInArrow(_longs, "key long")
     wanted = sc.broadcast(bloom(open_, 26))
-    more = texts.mapInArrow(_open_windows(length, blocks, blocks, wanted), PACKED).groupBy("block").applyInArrow(_sort_windows(length, blocks), PACKED)
+    more = texts.mapInArrow(_open_windows(length, blocks, blocks, wanted, slice_bytes // 2), PACKED).groupBy("block").applyInArrow(_sort_windows(length, blocks), PACKED)
     spans = found.where("kind = 'span'").union(more.where("kind = 'span'")).groupBy("block").applyInArrow(_by_document, "doc long, spans binary")
     out = own.join(spans.withColumnRenamed("doc", "__id"), "__id", "left").withColumn("r", F.arrow_udf(_kept, "n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")("text", "spans"))
     return out.select("doc_id", "r.*")

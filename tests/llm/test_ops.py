@@ -374,6 +374,19 @@ def test_substrings_of_repeated_ids(spark):
     assert got == sorted([(0, one[0][1]), (1, one[1][1]), (1, one[2][1]), (2, 0)])
 
 
+@pytest.mark.parametrize("slice_bytes", [2_000, 9_000, 1 << 20])
+def test_substrings_across_slices(spark, tmp_path, slice_bytes):
+    """One batch that spans several slices: a repeat may have its first copy in another slice of either scan."""
+    rnd = random.Random(5)
+    texts = [prose(rnd, rnd.randint(20, 90), 40_000) for _ in range(50)]
+    texts += [*texts[::-1], prose(rnd, 30) + texts[20][:150] + prose(rnd, 30)]  # copies at all distances
+    frame(spark, texts, 1).sortWithinPartitions("doc_id").write.parquet(f"file://{tmp_path}/docs")  # files: few splitters leave grams closed
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    got = {r["doc_id"]: r for r in suffix_dedup.dedup_substrings(docs, 100, slice_bytes).collect()}
+    for i, (_, gone, kept, runs) in enumerate(removed(texts, 100)):
+        assert (got[i]["n_removed"], bytes(got[i]["kept"]), len(got[i]["spans"])) == (gone, kept, runs), i
+
+
 def test_multikey_order():
     rng = np.random.default_rng(1)
     a, b, c = (rng.integers(0, k, 3000) for k in (3, 5, 2000))
