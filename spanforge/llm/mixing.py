@@ -91,7 +91,7 @@ def _sum(df: DataFrame, d: int, history: list[np.ndarray]) -> tuple[np.ndarray,
     return out[: d * d].reshape(d, d), out[d * d :]
 
 
-def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The history of steps and the targets. total: of tokens; by default what leaves the first domain's as they are.
 
     at_most: weights of domains after the first are bounds; one that has less keeps its share, and the first
@@ -122,11 +122,11 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
     return np.array(history).reshape(-1, d), target
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = True, seed: int = 4) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = False, seed: int = 4) -> DataFrame:
     """docs' columns with tokens, posterior, rate and copies (columns of these names are replaced).
 
     Domains are the labelled classes (quality, toxic); weights are the shares of tokens that they are to have (a
-    class without one gets 0), or at most, if at_most (see solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up
+    class without one gets 0; those of classes without labelled text are dealt over the rest), or at most, if at_most (see solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up
     by a draw that doc_id and seed decide: rows that repeat an id share a draw. Null and empty texts have no tokens
     and the classes' shares as posteriors. Without labelled classes there is one domain and every rate is 1.
     The model sees at most LABELLED labelled rows; posteriors and totals cover every row.

@@ -203,6 +203,15 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labels, weights).count() == 0
 
 
+def test_mixing_raises_domains_to_their_weights(spark):
+    docs, labels = labelled(spark)
+    rows = mixing.mix(docs, labels, {(1, 0): 0.5, (0, 0): 0.4, (1, 1): 0.1}).collect()
+    p, t, r = np.array([x["posterior"] for x in rows]), np.array([x["tokens"] for x in rows]), np.array([x["rate"] for x in rows])
+    now, totals = t @ p, (r * t) @ p
+    assert now[1] / now.sum() < 0.3  # junk (class 1 in order of names) has less than its weight
+    assert totals / totals.sum() == pytest.approx([0.5, 0.4, 0.1], abs=1e-4) and totals[0] == pytest.approx(now[0], rel=1e-4)
+
+
 # -- 5 -------------------------------------------------------------------------------------------------------------
 
 
