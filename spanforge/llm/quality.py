@@ -2,8 +2,10 @@
 
 Texts become counts of hashed unigrams and bigrams. A generative model of the target (labelled good, not toxic) and
 one of each other labelled class are counted on the distinct lines of a bounded sample of labelled rows, and rare
-buckets left out by the counts of the whole corpus; raw text is the models' mixture by the classes' shares. A document's importance is the ratio of its
-likelihoods under target and raw text. The k documents of the largest log importance plus Gumbel noise are
+buckets left out by the counts of the whole corpus. Raw text is a mixture of the labelled classes' models, by
+their shares, and (RAW) of the model of every document, held against that of all labelled ones: text that the corpus has
+more of than its labelled rows is not taken for target text. A document's importance is the ratio of its likelihoods under
+target and raw text. The k documents of the largest log importance plus Gumbel noise are
 selected: a sample without replacement, in proportion to the importance (sharpened by the temperature).
 """
 
@@ -26,6 +28,7 @@ LOG_BUCKETS = 18
 LABELLED = 20_000  # labelled rows that the models are counted on, at most
 PARTS = 16
 REPEAT = np.uint64(0x5EED_5EED_5EED_5EED)
+RAW = 0.01  # share of raw text's mixture that the model of the whole corpus has before a text is seen
 RARE = 5  # buckets of fewer occurrences in the whole corpus tell nothing
 DOUBT = 5.0  # standard errors that a log ratio is pulled towards 0 by
 
@@ -57,7 +60,7 @@ def _packed(counts: np.ndarray, c: int) -> list[tuple]:
 
 
 def _scan(labels):
-    """Bucket counts of the corpus (class 0); of labelled rows, by class, how many there are and their distinct lines.
+    """Bucket counts of the corpus (class 0) and of all labelled rows (the class after the last); of labelled rows, by class, how many there are and their distinct lines.
 
     Lines go by the hash of the line, so that a line which copies of a text share counts once for a class.
     """
@@ -65,14 +68,16 @@ def _scan(labels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, classes, n = labels.value
         corpus, found = np.zeros(1 << LOG_BUCKETS, np.int64), np.zeros(n + 1, np.int64)
+        known = np.zeros(1 << LOG_BUCKETS, np.int64)
         seen: set[tuple[int, int]] = set()
         for b in batches:
             own = np.array([x if x is not None else -(2**63) for x in b.column(0).to_pylist()], np.int64)
             at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
             kind = np.where(ids[at] == own, classes[at], 0) if len(ids) else np.zeros(len(own), np.int64)
             found += np.bincount(kind, minlength=n + 1)
-            for _, bucket, _ in features(b.column(1)):
+            for i, bucket, row in features(b.column(1)):
                 corpus += np.bincount(bucket, minlength=len(corpus))
+                known += np.bincount(bucket[kind[i + row] > 0], minlength=len(known))
             for c in range(1, n + 1):
                 lines, hashes = [], []
                 for i in np.flatnonzero(kind == c).tolist():
@@ -83,7 +88,7 @@ def _scan(labels):
                             hashes.append(key[1])
                 if lines:
                     yield _rows(_lines(c, pa.array(lines, pa.string()), np.array(hashes, np.uint64)))
-        rows = _packed(corpus, 0) + [(c, PARTS, zlib.compress(found[c : c + 1].tobytes(), 1), None, None, None) for c in range(1, n + 1) if found[c]]
+        rows = _packed(corpus, 0) + _packed(known, n + 1) + [(c, PARTS, zlib.compress(found[c : c + 1].tobytes(), 1), None, None, None) for c in range(1, n + 1) if found[c]]
         if rows:
             yield _rows(rows)
 
@@ -150,11 +155,20 @@ def class_names(model: ImportanceModel) -> list[tuple[int, int]]:
     return model.names
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> ImportanceModel:
+def log_ratio(target: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | other), pulled towards 0 by its standard error."""
+    even = other.sum() / target.sum()  # what a target count comes to in the other class
+    ratio = np.log((target + 0.5) * even) - np.log(other + 0.5 * even)
+    error = DOUBT * np.sqrt(1 / (np.maximum(target, other / even) + 0.5) + 1 / (np.maximum(other, target * even) + 0.5))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - error)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool = False) -> ImportanceModel:
     """Count the models in one scan of docs. Labels: doc_id, quality, toxic; the target is quality 1 and toxic 0.
 
     At most `labelled` labelled rows are used, by the order of a hash of their ids; rows with nulls are none. Classes are
-    those of which docs have labelled text; without the target or any other there is one class.
+    those of which docs have labelled text; without the target or any other there is one class. raw: with a last class,
+    of share RAW and without a name, that is counted over every document.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
@@ -168,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Importa
     scanned = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(shared), SCANNED), "features")
     lines = scanned.where("hashes is not null").groupBy("class", "part").applyInArrow(_distinct, "class long, part long, counts binary")
     rows = scanned.where("counts is not null").select("class", "part", "counts").union(lines).groupBy("class", "part").applyInArrow(_add, "class long, part long, counts binary").collect()
-    counts = np.zeros((len(kinds) + 1, PARTS, (1 << LOG_BUCKETS) // PARTS))
+    counts = np.zeros((len(kinds) + 2, PARTS, (1 << LOG_BUCKETS) // PARTS))
     found = np.zeros(len(kinds) + 1)
     for r in rows:  # a fixed number of buckets for each class
         x = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
@@ -176,20 +190,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Importa
             counts[r["class"], r["part"]] = x
         else:
             found[r["class"]] = x[0]
-    counts = counts.reshape(len(kinds) + 1, -1)
-    target, total = counts[1], counts.sum(1)
+    counts = counts.reshape(len(kinds) + 2, -1)
+    total = counts.sum(1)
     there = [c for c in range(2, len(kinds) + 1) if total[c]]  # classes of which docs have labelled text
     if not total[1] or not there:
         return nothing
-    ratios = []
-    for c, n in zip(counts[there], total[there], strict=True):
-        even = n / total[1]  # what a target count comes to in the other class
-        ratio = np.log((target + 0.5) * even) - np.log(c + 0.5 * even)
-        error = DOUBT * np.sqrt(1 / (np.maximum(target, c / even) + 0.5) + 1 / (np.maximum(c, target * even) + 0.5))
-        ratio = np.sign(ratio) * np.maximum(0, np.abs(ratio) - error)
-        ratios.append(np.where(counts[0] >= RARE, ratio, 0))
+    pairs = [(counts[1], counts[c]) for c in there] + [(counts[-1], counts[0])] * raw
+    ratios = [np.where(counts[0] >= RARE, log_ratio(*x), 0) for x in pairs]
     shares, names = found[[1, *there]], sorted(kinds, key=kinds.get)
-    return ImportanceModel(np.array(ratios), shares / shares.sum(), [names[c - 1] for c in (1, *there)])
+    shares = shares / shares.sum()
+    return ImportanceModel(np.array(ratios), np.append(shares * (1 - RAW), RAW) if raw else shares, [names[c - 1] for c in (1, *there)])
 
 
 def _noise(seed: int):
@@ -213,19 +223,20 @@ def scored(docs: DataFrame, model: ImportanceModel, temperature: float, seed: in
 def select(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 0.1, seed: int = 3) -> DataFrame:
     """docs' columns with log_weight, score and selected (columns of these names are replaced).
 
-    k is share * rows, or, by default, the number of rows that the models take for target text (a posterior of 1/2
-    or more), but not less than the target's share of the labelled rows makes of all; the k rows of the largest score are selected, with those that tie with the last. Noise depends on
+    k is share * rows, or, by default, the number of rows that the models take for target text (a weight
+    that makes the target's share of the labelled rows 1/2 or more), but not less than the target's share of the labelled rows makes of all; the k rows of the largest score are selected, with those that tie with the last. Noise depends on
     doc_id and seed alone, so rows that repeat an id get one noise; a null id has its own. Null and empty texts have
     log_weight 0. Without labels of the target and of another class all weights are 0 and every row is selected.
     """
-    model = fit(docs, labels)
+    model = fit(docs, labels, raw=True)
     rows = scored(docs, model, temperature, seed)
     if not len(model.ratios) and share is None:
         return rows.withColumn("selected", F.lit(True))
     light = scored(docs.select("doc_id", "text"), model, temperature, seed).select("log_weight", "score")
-    edge = float(np.log(0.5 / model.shares[0]))
+    target = model.shares[0] / (1 - RAW)  # of the labelled rows
+    edge = float(np.log(0.5 / target))
     facts = light.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= edge).alias("k")).first()
-    k = max(facts["k"], round(model.shares[0] * facts["n"])) if share is None else round(share * facts["n"])
+    k = max(facts["k"], round(target * facts["n"])) if share is None else round(share * facts["n"])
     floor = kth_largest(light, "score", k) if k else float("inf")
     return rows.withColumn("selected", F.col("score") >= F.lit(floor if floor is not None else float("-inf")))
 

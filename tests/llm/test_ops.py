@@ -187,6 +187,17 @@ def test_weights_are_ratios_of_models(spark):
         assert g == pytest.approx(-(x.max() + np.log(np.exp(x - x.max()).sum())))
 
 
+def test_raw_text_is_counted_over_every_document(spark):
+    """A source without labels, of words that no labelled row has, weighs less than target text."""
+    docs, labels = labelled(spark)
+    hot = [(10_000 + i, " ".join("zq" + w for w in prose(random.Random(i), 90).split()), "en", "hot", 0) for i in range(450)]
+    out = quality.select(docs.union(spark.createDataFrame(hot, DOCS)), labels).select("doc_id", "log_weight").collect()
+    known = {r["doc_id"]: r for r in labels.collect()}
+    good = [r["log_weight"] for r in out if r["doc_id"] in known and known[r["doc_id"]]["quality"] == 1 and known[r["doc_id"]]["toxic"] == 0]
+    odd = [r["log_weight"] for r in out if r["doc_id"] >= 10_000]
+    assert len(odd) == 450 and max(odd) < np.quantile(good, 0.01) - 5
+
+
 def test_mixing(spark):
     docs, labels = labelled(spark)
     weights = {(1, 0): 0.9, (0, 0): 0.06, (1, 1): 0.04}
