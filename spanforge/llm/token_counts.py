@@ -1,14 +1,16 @@
 """Edit-aware token counts.
 
-A document keeps a segment tree over its pre-tokens: leaves are blocks of pre-tokens, cut where white space follows
-other text. The pre-token pattern never takes white space after anything else, so such a cut parts pre-tokens
-whatever stands around it, and a leaf's tokens depend on its text alone. An edit re-encodes the leaves that it touches,
-with the leaf beside when the characters at the cut change, and updates the sums above them.
+A document keeps a segment tree over its pre-tokens: leaves are blocks of whole pre-tokens, cut between two characters
+that the pre-token pattern parts whatever stands around them (white space after other text, letters beside digits or
+signs). A run without such a place - unbroken script, a long base64 word - is cut where no entry of the vocabulary
+spans the cut, since no merge can cross it. So a leaf's tokens depend on its text alone. Edits re-encode the leaves
+that they touch, with those beside them whose cut their context decides, and update the sums above them.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import re
 from collections.abc import Iterator
 
@@ -17,39 +19,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAF_CHARS = 512
-CUT = re.compile(r"(?<=\S)(?=[ \n])")
+LEAF_CHARS = 64
+SIZE = np.uint32(2**31 - 1)
+CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n])")
+#: As CUT, inside a run of other text than white space: letters beside digits, either beside ASCII signs.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԯぁ-ゖ一-鿿가-힣"
+INNER = re.compile(f"(?<=[{_LETTER}])(?=[0-9!-/:-@\\[-`{{-~])|(?<=[0-9])(?=[{_LETTER}!-/:-@\\[-`{{-~])|(?<=[!-&(-/:-@\\[-`{{-~])(?=[{_LETTER}0-9])")
 
 
-def encoder(path: str | None = None):
+class Encoder:
     """Counts the tokens of a text under a tiktoken rank file."""
-    import public_tokenizers as P
-    import tiktoken
 
-    with open(path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(enc.encode_ordinary(text))
+    def __init__(self, path: str | None = None):
+        import public_tokenizers as P
+        import tiktoken
+
+        with open(path or P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encode = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+
+    def __call__(self, text: str) -> int:
+        return len(self.encode(text))
+
+    @functools.cached_property
+    def prefixes(self) -> set[bytes]:
+        """Every proper beginning of a vocabulary entry."""
+        return {t[:i] for t in self.ranks for i in range(1, len(t))}
+
+    @functools.cached_property
+    def reach(self) -> int:
+        """How far to either side of a cut, in characters, an entry that spans it could lie."""
+        return max(map(len, self.ranks))
+
+    def spanned(self, left: bytes, right: bytes) -> bool:
+        """Whether an entry is made of an end of left and a beginning of right."""
+        for i in range(1, min(len(left), self.reach) + 1):
+            if (t := left[-i:]) in self.prefixes:
+                for c in range(len(right)):
+                    t += right[c : c + 1]
+                    if t in self.ranks:
+                        return True
+                    if t not in self.prefixes:
+                        break
+        return False
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str | None = None) -> Encoder:
+    return Encoder(path)
+
+
+def _inner_cut(text: str, at: int, stop: int, count: Encoder) -> tuple[int, bool]:
+    """A cut of a stretch at `at` or behind, and whether its context decides it; (stop, False) without any."""
+    m = INNER.search(text, at, stop)
+    edge = m.start() if m else stop
+    for p in range(at, min(edge, stop, at + 16 * LEAF_CHARS)):
+        if text[p - 2 : p + 1].isalpha() and not count.spanned(text[max(0, p - count.reach) : p].encode("utf-8", "surrogatepass"), text[p : p + count.reach].encode("utf-8", "surrogatepass")):
+            return p, True
+    return edge, False
+
+
+def leaves(text: str, count: Encoder, size: int = LEAF_CHARS) -> tuple[list[str], list[bool]]:
+    """text in blocks of size characters about, and of each whether the cut before it hangs on its context."""
+    out, soft, at, held = [], [], 0, False
+
+    def take(stop: int, next_held: bool) -> None:
+        nonlocal at, held
+        out.append(text[at:stop])
+        soft.append(held)
+        at, held = stop, next_held
 
-
-def leaves(text: str, size: int = LEAF_CHARS) -> list[str]:
-    """text in blocks of size characters about, cut where any context parts pre-tokens."""
-    out, at = [], 0
     while len(text) - at > size:
         m = CUT.search(text, at + size)
-        if not m:
+        stop = m.start() if m else len(text)
+        while stop - at > 8 * size:  # a stretch without white space, or of nothing else
+            p, h = _inner_cut(text, at + size, stop, count)
+            if p >= stop:
+                break
+            take(p, h)
+        if stop >= len(text):
             break
-        out.append(text[at : m.start()])
-        at = m.start()
-    out.append(text[at:])
-    return out
+        take(stop, False)
+    take(len(text), False)
+    return out, soft
 
 
 class SegmentTree:
     """Sums of (characters, tokens) over leaves, in an implicit binary tree: node i has children 2i and 2i + 1."""
 
-    def __init__(self, sums: np.ndarray):
-        self.sums = sums
+    def __init__(self, sums: np.ndarray, leaves: int):
+        self.sums, self.leaves = sums, leaves
         self.base = len(sums) // 2
 
     @classmethod
@@ -62,7 +121,7 @@ class SegmentTree:
             half = step // 2
             sums[half:step] = sums[step : 2 * step : 2] + sums[step + 1 : 2 * step : 2]
             step = half
-        return cls(sums)
+        return cls(sums, len(chars))
 
     @property
     def tokens(self) -> int:
@@ -80,7 +139,7 @@ class SegmentTree:
             if char - start >= self.sums[node, 0]:
                 start += int(self.sums[node, 0])
                 node += 1
-        return node - self.base, start
+        return min(node - self.base, self.leaves - 1), start
 
     def put(self, leaf: int, chars: int, tokens: int) -> None:
         node = self.base + leaf
@@ -89,52 +148,107 @@ class SegmentTree:
             self.sums[node] += change
             node //= 2
 
-    def pack(self) -> bytes:
-        return self.sums[self.base :].astype("<u4").tobytes()
-
-    @classmethod
-    def unpack(cls, raw: bytes) -> SegmentTree:
-        leaf = np.frombuffer(raw, "<u4").reshape(-1, 2)
-        return cls.of(leaf[:, 0].tolist(), leaf[:, 1].tolist())
-
+    def spliced(self, first: int, last: int, chars: list[int], tokens: list[int]) -> SegmentTree:
+        """The tree with leaves first to last replaced: sums above them where as many come, else the sums anew."""
+        if len(chars) == last - first + 1:
+            for k, (c, t) in enumerate(zip(chars, tokens, strict=True)):
+                self.put(first + k, c, t)
+            return self
+        own = self.sums[self.base : self.base + self.leaves]
+        both = np.concatenate([own[:first], np.array([chars, tokens], np.int64).T.reshape(-1, 2), own[last + 1 :]])
+        return SegmentTree.of(both[:, 0], both[:, 1])
 
 class Counted:
-    """A text with its tree."""
+    """A text in leaves, with the tree over them."""
+
+    def __init__(self, text: str, count: Encoder, packed: bytes | None = None):
+        self.count, self.reencoded = count, 0
+        rows = np.frombuffer(packed or b"", "<u4").reshape(-1, 2)
+        stops = np.cumsum(rows[:, 0] & SIZE).tolist()
+        if stops and stops[-1] == len(text):
+            self.leaves = [text[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+            self.soft = (rows[:, 0] > SIZE).tolist()
+            self.tree = SegmentTree.of(rows[:, 0] & SIZE, rows[:, 1])
+        else:  # no tree, or another text's
+            self.leaves, self.soft = leaves(text, count)
+            self.tree = SegmentTree.of([len(x) for x in self.leaves], [count(x) if x else 0 for x in self.leaves])
 
-    def __init__(self, text: str, count, tree: SegmentTree | None = None):
-        self.text, self.count = text, count
-        self.reencoded = 0
-        if tree is None:
-            own = leaves(text)
-            tree = SegmentTree.of([len(x) for x in own], [count(x) for x in own])
-        self.tree = tree
+    @property
+    def text(self) -> str:
+        return "".join(self.leaves)
+
+    def _widened(self, start: int, stop: int, a: int, b: int, begin: int, end: int) -> tuple[int, int, int]:
+        """Leaves a to b, from begin to end, with those beside them whose cuts hang on what start:stop may change."""
+        while a and self.soft[a] and start - begin < self.count.reach:
+            a -= 1
+            begin -= len(self.leaves[a])
+        while b + 1 < len(self.leaves) and self.soft[b + 1] and end - stop < self.count.reach:
+            b += 1
+            end += len(self.leaves[b])
+        return a, b, begin
+
+    def _replace(self, a: int, b: int, region: str) -> None:
+        parts, soft = leaves(region, self.count)
+        soft[0] = self.soft[a]
+        self.reencoded += len(region)
+        self.tree = self.tree.spliced(a, b, [len(x) for x in parts], [self.count(x) if x else 0 for x in parts])
+        self.leaves[a : b + 1], self.soft[a : b + 1] = parts, soft
+
+    def pack(self) -> bytes:
+        """Little-endian pairs of characters and tokens, a leaf each; the top bit of the first marks a cut that hangs on its context."""
+        rows = self.tree.sums[self.tree.base : self.tree.base + self.tree.leaves].astype("<u4")
+        rows[:, 0] |= np.array(self.soft, "<u4") << np.uint32(31)
+        return rows.tobytes()
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace text[start:stop] (offsets of the text as it is now, clipped to it)."""
-        start = min(max(0, start), len(self.text))
-        stop = min(max(start, stop), len(self.text))
-        last = max(0, len(self.text) - 1)
+        start = min(max(0, start), self.tree.chars)
+        stop = min(max(start, stop), self.tree.chars)
+        last = max(0, self.tree.chars - 1)
         # the characters on both sides of a touched cut belong to the context
-        a, begin = self.tree.find(min(max(0, start - 1), last))
-        b, end = self.tree.find(min(stop + 1, last))
-        end += int(self.tree.sums[self.tree.base + b, 0])
-        region = self.text[begin:start] + new + self.text[stop:end]
-        self.text = self.text[:start] + new + self.text[stop:]
-        self.reencoded += len(region)
-        parts = leaves(region)
-        slots = b - a + 1
-        if len(parts) > slots:  # more leaves than there were: the rest shares the last one
-            parts = [*parts[: slots - 1], "".join(parts[slots - 1 :])]
-        for k in range(slots):
-            part = parts[k] if k < len(parts) else ""
-            self.tree.put(a + k, len(part), self.count(part) if part else 0)
+        a, begin = self.tree.find(min(max(0, start - 3), last))
+        b, end = self.tree.find(min(stop + 2, last))
+        a, b, begin = self._widened(start, stop, a, b, begin, end + len(self.leaves[b]))
+        old = "".join(self.leaves[a : b + 1])
+        self._replace(a, b, old[: start - begin] + new + old[stop - begin :])
+
+    def edit_all(self, changes: list[tuple[int, int, str]]) -> None:
+        """Edits with offsets of the text as it is, from the last to the first; those that touch the same leaves are encoded once."""
+        changes = sorted(((min(max(0, a), self.tree.chars), b, new) for a, b, new in changes), key=lambda c: c[:2], reverse=True)
+        changes = [(a, min(max(a, b), self.tree.chars), new) for a, b, new in changes]
+        if any(low[1] > high[0] for high, low in zip(changes[:-1], changes[1:], strict=True)):  # overlaps: one by one
+            for c in changes:
+                self.edit(*c)
+            return
+        if not changes:
+            return
+        stops = np.cumsum(self.tree.sums[self.tree.base : self.tree.base + self.tree.leaves, 0])
+        starts, last = stops - self.tree.sums[self.tree.base : self.tree.base + self.tree.leaves, 0], max(0, self.tree.chars - 1)
+        firsts = np.searchsorted(starts, np.clip([c[0] - 3 for c in changes], 0, last), side="right") - 1
+        lasts = np.searchsorted(starts, np.clip([c[1] + 2 for c in changes], 0, last), side="right") - 1
+        groups: list[list] = []  # from the last to the first: first leaf, last leaf, begin, changes
+        for c, a, b, begin, end in zip(changes, firsts.tolist(), lasts.tolist(), starts[firsts].tolist(), stops[lasts].tolist(), strict=True):
+            if self.soft[a] or b + 1 < len(self.leaves):
+                a, b, begin = self._widened(c[0], c[1], a, b, begin, end)
+            if groups and b >= groups[-1][0]:
+                g = groups[-1]
+                g[0], g[2] = (a, begin) if a < g[0] else (g[0], g[2])
+                g[1] = max(g[1], b)
+                g[3].append(c)
+            else:
+                groups.append([a, b, begin, [c]])
+        for a, b, begin, own in groups:
+            old = "".join(self.leaves[a : b + 1])
+            for start, stop, new in own:
+                old = old[: start - begin] + new + old[stop - begin :]
+            self._replace(a, b, old)
 
 
 TREE = "doc_id long, n_tokens long, tree binary"
 
 
 def build(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the packed tree (little-endian pairs of characters and tokens a leaf) of each row.
+    """doc_id, n_tokens and the packed tree (see Counted.pack) of each row.
 
     A null text counts as empty: 0 tokens, one empty leaf. Repeated ids are counted each; other columns are left out.
     """
@@ -142,8 +256,8 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(path)
         for b in batches:
-            trees = [Counted(t.as_py() or "", count).tree for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.pack() for t in trees], pa.binary())], ["doc_id", "n_tokens", "tree"])
+            own = [Counted(t.as_py() or "", count) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d.tree.tokens for d in own], pa.int64()), pa.array([d.pack() for d in own], pa.binary())], ["doc_id", "n_tokens", "tree"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TREE)
 
@@ -157,8 +271,9 @@ def recount(docs: DataFrame, edits: str = "edits", tree: str | None = None, path
     edits names a column of array<struct<start, stop, new>>: offsets in characters of the unedited text, applied
     from the last to the first by (start, stop), so that none moves another; overlapping ones are applied in
     that order to what is there. A null array or element, or null offsets, edit nothing; a null `new` deletes. tree
-    names a column of packed trees that build() gave; without it (or where it is null) trees are built first.
-    n_reencoded counts the characters encoded for the edits.
+    names a column of packed trees that build() or recount() gave; without it (or where it is null, or of a text of
+    another length) trees are built first. n_reencoded counts the characters encoded for the edits: the leaves that they
+    touch and their context, however long the text. Rows that repeat a doc_id, or have none, are counted each.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col(edits).cast(EDITS).alias("edits"), (F.col(tree) if tree else F.lit(None)).cast("binary").alias("tree")]
 
@@ -167,14 +282,11 @@ def recount(docs: DataFrame, edits: str = "edits", tree: str | None = None, path
         for b in batches:
             out = []
             for text, changes, packed in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                packed = packed.as_py()
-                doc = Counted(text.as_py() or "", count, SegmentTree.unpack(packed) if packed else None)
-                before, n = doc.tree.tokens, 0
-                changes = [c for c in changes.as_py() or [] if c and c["start"] is not None and c["stop"] is not None]
-                for c in sorted(changes, key=lambda c: (c["start"], c["stop"]), reverse=True):
-                    doc.edit(c["start"], c["stop"], c["new"] or "")
-                    n += 1
-                out.append((before, n, doc.tree.tokens, doc.reencoded, doc.text, doc.tree.pack()))
+                doc = Counted(text.as_py() or "", count, packed.as_py())
+                before = doc.tree.tokens
+                own = [(c["start"], c["stop"], c["new"] or "") for c in changes.as_py() or [] if c and c["start"] is not None and c["stop"] is not None]
+                doc.edit_all(own)
+                out.append((before, len(own), doc.tree.tokens, doc.reencoded, doc.text, doc.pack()))
             v = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in v[:4]), pa.array(v[4], pa.string()), pa.array(v[5], pa.binary())], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded", "text", "tree"])
 
@@ -194,6 +306,6 @@ def cleaning_edits(column) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after a cleaning pass, which is applied as edits."""
+    """doc_id, n_tokens, n_edits, n_tokens_edited and n_reencoded of every document: counts before and after a cleaning pass, which is applied as edits. Null texts count 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return recount(docs.withColumn("edits", cleaning_edits("text"))).select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")

@@ -93,12 +93,43 @@ def test_token_counts(spark):
     assert len(rows) == len(ODD)
     for r in rows:
         assert r["n_tokens"] == count(ODD[r["doc_id"]] or "") and r["n_tokens_edited"] == count(r["text"])
-    long = token_counts.Counted(prose(rnd, 5000), count)
-    long.edit(9000, 9001, "Q")
-    assert long.reencoded < 4 * token_counts.LEAF_CHARS
+    again = spark.createDataFrame([(r["doc_id"], r["text"], [(0, 1, "Q")], bytes(r["tree"])) for r in rows], "doc_id long, text string, edits array<struct<start:int,stop:int,new:string>>, tree binary")
+    for r in token_counts.recount(again, tree="tree").collect():  # trees of edited texts serve on
+        assert r["n_tokens_edited"] == count(r["text"])
     assert token_counts.recount(docs.limit(0)).count() == 0
 
 
+def test_token_counts_encode_what_edits_touch():
+    count = token_counts.encoder()
+    rnd = random.Random(11)
+    pick = lambda signs, n: "".join(rnd.choice(signs) for _ in range(n))
+    texts = [prose(rnd, 5000), pick("的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生", 20_000), pick("abcdefghijklmnopqrstuvwxyz", 20_000), pick("ABCdefGHIjkl0123456789+/", 20_000), "don't 12a34'll²3" * 900]
+    for t in texts:
+        doc = token_counts.Counted(t, count)
+        assert doc.tree.tokens == count(t)
+        for k in range(25):
+            a, before = rnd.randrange(len(doc.text)), doc.reencoded
+            new = rnd.choice(["", "Q", " ", "字", "9", "'", "ll x", "\n"])
+            doc.edit(a, a + rnd.choice([0, 1, 7]), new)
+            assert doc.tree.tokens == count(doc.text) and doc.tree.chars == len(doc.text) and doc.reencoded - before < 40 * token_counts.LEAF_CHARS
+        for _ in range(3):  # large insertions make leaves of their own
+            doc.edit(100, 100, prose(rnd, 4000))
+        before = doc.reencoded
+        doc.edit(9000, 9001, "z")
+        assert doc.reencoded - before < 10 * token_counts.LEAF_CHARS and doc.tree.tokens == count(doc.text)
+    doc = token_counts.Counted(texts[0], count)
+    doc.edit_all([(10 * k, 10 * k + 3, "#" * (k % 3)) for k in range(1500)])
+    want = texts[0]
+    for k in reversed(range(1500)):
+        want = want[: 10 * k] + "#" * (k % 3) + want[10 * k + 3 :]
+    assert doc.text == want and doc.tree.tokens == count(want) and doc.reencoded < 1.2 * len(texts[0])  # neighbours are encoded once
+    doc.edit_all([(5, 9, "x"), (7, 12, "yy"), (-3, 2, None or "")])
+    assert doc.tree.tokens == count(doc.text)
+    long = token_counts.Counted(prose(rnd, 400_000), count)  # above two million characters
+    long.edit(1_000_000, 1_000_001, "Q")
+    assert long.reencoded < 10 * token_counts.LEAF_CHARS and long.tree.tokens == count(long.text)
+
+
 # -- 2 -------------------------------------------------------------------------------------------------------------
 
 
