@@ -6,7 +6,8 @@ buckets left out by the counts of the whole corpus. Raw text is a mixture of the
 their shares, and (RAW) of the model of every document, held against that of all labelled ones: text that the corpus has
 more of than its labelled rows is not taken for target text. A document's importance is the ratio of its likelihoods under
 target and raw text. The k documents of the largest log importance plus Gumbel noise are
-selected: a sample without replacement, in proportion to the importance (sharpened by the temperature).
+selected: a sample without replacement, in proportion to the importance. Texts are scored once; k and the last
+score are found in the saved scores.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ LOG_BUCKETS = 18
 LABELLED = 20_000  # labelled rows that the models are counted on, at most
 PARTS = 16
 REPEAT = np.uint64(0x5EED_5EED_5EED_5EED)
-RAW = 0.01  # share of raw text's mixture that the model of the whole corpus has before a text is seen
+RAW = 1e-8  # share of raw text's mixture that the model of the whole corpus has before a text is seen
 RARE = 5  # buckets of fewer occurrences in the whole corpus tell nothing
-DOUBT = 5.0  # standard errors that a log ratio is pulled towards 0 by
+DOUBT = 6.0  # standard errors that a log ratio is pulled towards 0 by
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -155,20 +156,20 @@ def class_names(model: ImportanceModel) -> list[tuple[int, int]]:
     return model.names
 
 
-def log_ratio(target: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """log p(bucket | target) - log p(bucket | other), pulled towards 0 by its standard error."""
+def log_ratio(target: np.ndarray, other: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
+    """log p(bucket | target) - log p(bucket | other), pulled towards 0 by doubt times its standard error."""
     even = other.sum() / target.sum()  # what a target count comes to in the other class
     ratio = np.log((target + 0.5) * even) - np.log(other + 0.5 * even)
-    error = DOUBT * np.sqrt(1 / (np.maximum(target, other / even) + 0.5) + 1 / (np.maximum(other, target * even) + 0.5))
+    error = doubt * np.sqrt(1 / (np.maximum(target, other / even) + 0.5) + 1 / (np.maximum(other, target * even) + 0.5))
     return np.sign(ratio) * np.maximum(0, np.abs(ratio) - error)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool = False) -> ImportanceModel:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool = False, doubt: float = DOUBT) -> ImportanceModel:
     """Count the models in one scan of docs. Labels: doc_id, quality, toxic; the target is quality 1 and toxic 0.
 
     At most `labelled` labelled rows are used, by the order of a hash of their ids; rows with nulls are none. Classes are
     those of which docs have labelled text; without the target or any other there is one class. raw: with a last class,
-    of share RAW and without a name, that is counted over every document.
+    of share RAW and without a name, that is counted over every document. doubt: see log_ratio.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool
     if not total[1] or not there:
         return nothing
     pairs = [(counts[1], counts[c]) for c in there] + [(counts[-1], counts[0])] * raw
-    ratios = [np.where(counts[0] >= RARE, log_ratio(*x), 0) for x in pairs]
+    ratios = [np.where(counts[0] >= RARE, log_ratio(*x, doubt), 0) for x in pairs]
     shares, names = found[[1, *there]], sorted(kinds, key=kinds.get)
     shares = shares / shares.sum()
     return ImportanceModel(np.array(ratios), np.append(shares * (1 - RAW), RAW) if raw else shares, [names[c - 1] for c in (1, *there)])
@@ -208,7 +209,7 @@ def _noise(seed: int):
     return -F.log(-F.log(u))
 
 
-def scored(docs: DataFrame, model: ImportanceModel, temperature: float, seed: int) -> DataFrame:
+def _scored(docs: DataFrame, model: ImportanceModel, temperature: float, seed: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(text: pa.Array) -> pa.Array:
@@ -220,27 +221,34 @@ def scored(docs: DataFrame, model: ImportanceModel, temperature: float, seed: in
     return docs.withColumn("log_weight", weight("text")).withColumn("score", F.col("log_weight") + _noise(seed) * temperature)
 
 
-def select(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 0.1, seed: int = 3) -> DataFrame:
-    """docs' columns with log_weight, score and selected (columns of these names are replaced).
-
-    k is share * rows, or, by default, the number of rows that the models take for target text (a weight
-    that makes the target's share of the labelled rows 1/2 or more), but not less than the target's share of the labelled rows makes of all; the k rows of the largest score are selected, with those that tie with the last. Noise depends on
-    doc_id and seed alone, so rows that repeat an id get one noise; a null id has its own. Null and empty texts have
-    log_weight 0. Without labels of the target and of another class all weights are 0 and every row is selected.
-    """
+def scored(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, seed: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns of docs with log_weight, score and selected (see select), out of one pass over the texts."""
     model = fit(docs, labels, raw=True)
-    rows = scored(docs, model, temperature, seed)
+    rest = [c for c in carry if c not in ("log_weight", "score", "selected")]
+    need = [c for c in docs.columns if c in {*rest, "doc_id", "text"}]
+    rows = save(_scored(docs.select(*need), model, temperature, seed).select(*rest, "log_weight", "score"), "scores")
     if not len(model.ratios) and share is None:
         return rows.withColumn("selected", F.lit(True))
-    light = scored(docs.select("doc_id", "text"), model, temperature, seed).select("log_weight", "score")
-    target = model.shares[0] / (1 - RAW)  # of the labelled rows
-    edge = float(np.log(0.5 / target))
-    facts = light.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= edge).alias("k")).first()
-    k = max(facts["k"], round(target * facts["n"])) if share is None else round(share * facts["n"])
-    floor = kth_largest(light, "score", k) if k else float("inf")
+    edge = float(np.log(0.5 / (model.shares[0] / (1 - RAW))))  # of a posterior of 1/2
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= edge).alias("k")).first()
+    k = facts["k"] if share is None else round(share * facts["n"])
+    floor = kth_largest(rows, "score", k) if k else float("inf")
     return rows.withColumn("selected", F.col("score") >= F.lit(floor if floor is not None else float("-inf")))
 
 
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, seed: int = 3) -> DataFrame:
+    """docs' columns with log_weight, score and selected (columns of these names are replaced).
+
+    k is round(share * rows), or, by default, the number of rows that the models take for target text: those of a
+    posterior of 1/2 or more. The k rows of the largest score are selected, with those that tie with the last. Noise
+    depends on doc_id and seed alone, so rows that repeat an id get one noise; a null id has its own. A temperature below
+    1 sharpens the importance. Null and empty texts have log_weight 0. Without labels of the target and of another class
+    all weights are 0 and, without a share, every row is selected.
+    """
+    return scored(docs, labels, share, temperature, seed, tuple(docs.columns))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, log_weight, score and selected of every document; null and empty texts weigh as much as target text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "log_weight", "score", "selected")
+    return scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
