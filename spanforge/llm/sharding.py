@@ -2,8 +2,10 @@
 
 Arrivals are appended as small immutable Parquet shards. When a tier holds `fan_in` shards or more, runs of alike
 size are merged into files of up to the target size. Each change is one atomic commit of a versioned manifest: the
-next manifest is written aside and renamed to a name that must not exist yet, so of two writers one fails and reads
-again; readers see the shards of one manifest, whole. Shards that no manifest needs are deleted after the commit.
+next manifest is written aside and renamed to a name that must not exist yet. Of two writers one fails, reads the
+manifest again and commits on top of it; a merge whose shards another writer has replaced is given up. Readers see the
+shards of one manifest, whole. Shards that the last manifest doesn't need stay for a retention time, so that readers
+of older manifests go on; vacuum() deletes them afterwards.
 """
 
 from __future__ import annotations
@@ -12,26 +14,35 @@ import functools
 import json
 import math
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import delete, new_path
-
+from .common import delete, fresh, new_path, size_in_bytes
 
 MOST_GROUPS = 512  # merges of one job
+ARRIVAL = 8 << 20  # bytes of an arrival's shards, about
+TRIES = 20
+SHARD = "__shard"
 
 
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+def plain(path: str) -> str:
+    """A path without the ways in which a local scheme is spelled."""
+    return path.removeprefix("file:").lstrip("/")
+
+
 class ShardStore:
     """A folder of shards and manifests on any file system that Spark reaches."""
 
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fan_in: int = 8, small_bytes: int = 1 << 20):
-        self.spark, self.root, self.target, self.fan_in, self.small = spark, root.rstrip("/"), target_bytes, fan_in, small_bytes
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 64 << 20, fan_in: int = 8, small_bytes: int = 1 << 20, retain_ms: int = 3_600_000):
+        self.spark, self.root, self.target, self.fan_in, self.small, self.retain_ms = spark, root.rstrip("/"), target_bytes, fan_in, small_bytes, retain_ms
         self.hadoop = spark._jvm.org.apache.hadoop.fs
         self.conf = spark._jsc.hadoopConfiguration()
 
@@ -40,43 +51,79 @@ class ShardStore:
     def _fs(self):
         return self.hadoop.Path(self.root).getFileSystem(self.conf)
 
-    def versions(self) -> list[int]:
+    def _manifests(self) -> list[tuple[int, int]]:
+        """(version, time of its commit) of each manifest."""
         folder = self.hadoop.Path(f"{self.root}/_manifests")
         fs = self._fs()
         if not fs.exists(folder):
             return []
-        return sorted(int(s.getPath().getName()[9:-5]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("manifest-"))
+        return sorted((int(s.getPath().getName()[9:-5]), s.getModificationTime()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("manifest-"))
+
+    def versions(self) -> list[int]:
+        return [v for v, _ in self._manifests()]
 
     def manifest(self, version: int | None = None) -> dict:
-        known = self.versions()
-        if not known:
-            return {"version": 0, "schema": None, "shards": []}
-        path = f"{self.root}/_manifests/manifest-{(version or known[-1]):012d}.json"
-        stream = self._fs().open(self.hadoop.Path(path))
+        if version is None:
+            known = self.versions()
+            if not known:
+                return {"version": 0, "schema": None, "shards": []}
+            version = known[-1]
+        stream = self._fs().open(self.hadoop.Path(f"{self.root}/_manifests/manifest-{version:012d}.json"))
         try:
             return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
     def commit(self, before: dict, shards: list[dict], schema: str | None) -> dict:
-        """The next manifest, if `before` is still the last one."""
-        new = {"version": before["version"] + 1, "schema": schema or before["schema"], "shards": sorted(shards, key=lambda s: s["path"])}
-        aside = f"{self.root}/_manifests/.{uuid.uuid4().hex}.json"
-        out = self._fs().create(self.hadoop.Path(aside), False)
+        """The next manifest, if `before` is still the last one. Shards keep their order: a shard's place is its number."""
+        new = {"version": before["version"] + 1, "schema": schema or before["schema"], "shards": shards}
+        aside = self.hadoop.Path(f"{self.root}/_manifests/.{uuid.uuid4().hex}.json")
+        out = self._fs().create(aside, False)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
         final = self.hadoop.Path(f"{self.root}/_manifests/manifest-{new['version']:012d}.json")
         context = self.hadoop.FileContext.getFileContext(self._fs().getUri(), self.conf)
         kind = getattr(self.hadoop, "Options$Rename")
         try:
-            context.rename(self.hadoop.Path(aside), final, self.spark.sparkContext._gateway.new_array(kind, 0))
-        except Exception as e:
-            self._fs().delete(self.hadoop.Path(aside), False)
-            raise CommitConflict(f"version {new['version']} is there already") from e
+            context.rename(aside, final, self.spark.sparkContext._gateway.new_array(kind, 0))
+        except Py4JJavaError as e:
+            self._fs().delete(aside, False)
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+                raise CommitConflict(f"version {new['version']} is there already") from e
+            raise
         return new
 
+    def _commit(self, folder: str, change: Callable[[dict], list[dict] | None], schema: str | None = None) -> dict:
+        """Commit what change makes of the last manifest's shards, again after each conflict; the folder goes if that is nothing, or fails."""
+        done = None
+        try:
+            for _ in range(TRIES):
+                before = self.manifest()
+                shards = change(before)
+                if shards is None:
+                    return before
+                try:
+                    done = self.commit(before, shards, schema)
+                    return done
+                except CommitConflict:
+                    continue
+            raise CommitConflict(f"{TRIES} other commits came first")
+        finally:
+            if done is None:
+                delete(self.spark, folder)
+
     # -- data
 
+    def _written(self, df: DataFrame, rows_per_shard: int = 0) -> tuple[str, list[dict]]:
+        """A folder of new shards, in the order of their tasks; a write that fails leaves none."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        try:
+            df.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
+            return folder, self._listed(folder)
+        except Exception:
+            delete(self.spark, folder)
+            raise
+
     def _listed(self, folder: str) -> list[dict]:
         """The shards below a folder that a finished write left, with bytes and rows (from footers)."""
         fs, out = self._fs(), {}
@@ -85,19 +132,19 @@ class ShardStore:
             s = walk.next()
             p = s.getPath()
             if p.getName().startswith("part-"):
-                out[p.toString().removeprefix("file:").lstrip("/")] = {"path": p.toString(), "bytes": s.getLen(), "rows": 0}
+                out[plain(p.toString())] = {"path": p.toString(), "bytes": s.getLen(), "rows": 0}
         if out:
             counted = self.spark.read.parquet(*[s["path"] for s in out.values()]).groupBy(F.col("_metadata.file_path").alias("p")).count().collect()
             for r in counted:  # one row a shard, as in the manifest
-                out[r["p"].removeprefix("file:").lstrip("/")]["rows"] = r["count"]
-        return [s for s in out.values() if s["rows"]]
+                out[plain(r["p"])]["rows"] = r["count"]
+        return sorted((s for s in out.values() if s["rows"]), key=lambda s: s["path"].rsplit("/", 1)[-1].split("-")[1] + s["path"].rsplit(".c", 1)[-1])
 
-    def append(self, df: DataFrame, rows_per_shard: int = 1000) -> dict:
-        """Write an arrival as small shards and commit them; an empty arrival commits its schema alone."""
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
-        before = self.manifest()
-        return self.commit(before, before["shards"] + self._listed(folder), df.schema.json())
+    def append(self, df: DataFrame, rows_per_shard: int | None = None) -> dict:
+        """Write an arrival as small shards (of ARRIVAL bytes about, by default) and commit them; an empty arrival commits its schema alone."""
+        if rows_per_shard is None:
+            rows_per_shard = max(1000, ARRIVAL * df.count() // max(1, size_in_bytes(df)))
+        folder, shards = self._written(df, rows_per_shard)
+        return self._commit(folder, lambda before: before["shards"] + shards, df.schema.json())
 
     def tier(self, size: int) -> int:
         return max(0, int(math.log(max(1, size) / self.small, self.fan_in))) if size > self.small else 0
@@ -113,7 +160,7 @@ class ShardStore:
             if len(own) < self.fan_in:
                 continue
             group, size = [], 0
-            for s in sorted(own, key=lambda s: (s["bytes"], s["path"])):
+            for s in own:
                 if group and size + s["bytes"] > self.target:
                     groups.append(group)
                     group, size = [], 0
@@ -123,24 +170,44 @@ class ShardStore:
         return [g for g in groups if len(g) > 1]
 
     def compact(self) -> dict:
-        """One round: merge every group of the plan, commit, then delete what was replaced.
+        """One round: merge every group of the plan and commit.
 
         A group is read and written by one task, which nothing is shuffled for; groups go to jobs of several waves of
-        tasks, each of which commits for itself, so old and new files lie side by side for one job's groups only.
+        tasks, each of which commits for itself. A job's merges are given up if another writer has replaced their shards.
         """
-        before = self.manifest()
-        groups = self.plan(before["shards"])
+        now = self.manifest()
+        groups = self.plan(now["shards"])
         size = max(16, min(MOST_GROUPS, 4 * self.spark.sparkContext.defaultParallelism))
         for i in range(0, len(groups), size):
             some = groups[i : i + size]
-            one = [self.spark.read.schema(self._schema(before)).parquet(*[s["path"] for s in g]).coalesce(1) for g in some]
-            folder = f"{self.root}/data/{uuid.uuid4().hex}"
-            functools.reduce(DataFrame.union, one).write.parquet(folder)
+            one = [self.spark.read.schema(self._schema(now)).parquet(*[s["path"] for s in g]).coalesce(1) for g in some]
+            folder, merged = self._written(functools.reduce(DataFrame.union, one))
             gone = {s["path"] for g in some for s in g}
-            before = self.commit(before, [s for s in before["shards"] if s["path"] not in gone] + self._listed(folder), None)
-            for p in gone:
-                delete(self.spark, p)
-        return before
+
+            def change(before: dict, gone=gone, merged=merged) -> list[dict] | None:
+                if not gone <= {s["path"] for s in before["shards"]}:
+                    return None
+                return [s for s in before["shards"] if s["path"] not in gone] + merged
+
+            now = self._commit(folder, change)
+        return now
+
+    def vacuum(self, retain_ms: int | None = None) -> int:
+        """Delete the shards, and then the manifests, that ended more than retain_ms ago; how many shards went.
+
+        A version ends when the next one is committed. Only what some manifest names is deleted, so a write that
+        hasn't committed yet is safe.
+        """
+        known = self._manifests()
+        limit = self.spark._jvm.java.lang.System.currentTimeMillis() - (self.retain_ms if retain_ms is None else retain_ms)
+        old = [v for (v, _), (_, ended) in zip(known[:-1], known[1:], strict=True) if ended <= limit]
+        kept = {s["path"] for v, _ in known if v not in old for s in self.manifest(v)["shards"]}
+        gone = {s["path"] for v in old for s in self.manifest(v)["shards"]} - kept
+        for path in gone:
+            delete(self.spark, path)
+        for v in old:
+            delete(self.spark, f"{self.root}/_manifests/manifest-{v:012d}.json")
+        return len(gone)
 
     @staticmethod
     def _schema(manifest: dict) -> StructType:
@@ -151,30 +218,29 @@ class ShardStore:
         m = self.manifest(version)
         schema = self._schema(m)
         if not m["shards"]:
-            return self.spark.createDataFrame([], schema).withColumn("__shard", F.lit(0).cast("long"))
-        numbers = self.spark.createDataFrame([(s["path"].removeprefix("file:").lstrip("/"), i) for i, s in enumerate(m["shards"])], "p string, __shard long")
-        rows = self.spark.read.schema(schema).parquet(*[s["path"] for s in m["shards"]]).select("*", F.regexp_replace("_metadata.file_path", "^file:/*|^/*", "").alias("p"))
-        return rows.join(F.broadcast(numbers), "p").drop("p")
+            return self.spark.createDataFrame([], schema).withColumn(SHARD, F.lit(0).cast("long"))
+        key = fresh("path", schema.names)
+        numbers = self.spark.createDataFrame([(plain(s["path"]), i) for i, s in enumerate(m["shards"])], f"{key} string, {SHARD} long")  # as many rows as the manifest
+        rows = self.spark.read.schema(schema).parquet(*[s["path"] for s in m["shards"]]).select("*", F.regexp_replace("_metadata.file_path", "^file:/*|^/*", "").alias(key))
+        return rows.join(F.broadcast(numbers), key).drop(key)
 
 
-def shard(df: DataFrame, root: str | None = None, rounds: int = 4, **settings) -> ShardStore:
-    """Append df as one arrival and compact until nothing is left to merge (or rounds have passed).
+def shard(df: DataFrame, root: str | None = None, rows_per_shard: int | None = None, **settings) -> ShardStore:
+    """Append df as one arrival and compact until nothing is left to merge.
 
     Every row is kept, with nulls, repeats and all columns; an empty table gives a manifest without shards. The
-    columns __shard and p are this module's own and must not be among df's.
+    column __shard is this module's own and must not be among df's.
     """
-    if clash := {"__shard", "p"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are reserved")
+    if SHARD in {c.lower() for c in df.columns}:
+        raise ValueError(f"column {SHARD} is reserved")
     store = ShardStore(df.sparkSession, root or new_path(df.sparkSession, "shards"), **settings)
-    store.append(df)
-    for _ in range(rounds):
-        if not store.plan(store.manifest()["shards"]):
-            break
-        store.compact()
+    now = store.append(df, rows_per_shard)
+    while store.plan(now["shards"]):  # each round leaves fewer shards
+        now = store.compact()
     return store
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each document lies in the last manifest, read back from its shard."""
-    store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return store.read().select("doc_id", F.col("__shard").alias("shard"), F.sha2("text", 256).alias("text_sha256"))
+    """doc_id, shard and text_sha256: where each document lies in the last manifest, read back from its shard. Null texts have no digest."""
+    store = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), rows_per_shard=1000)
+    return store.read().select("doc_id", F.col(SHARD).alias("shard"), F.sha2("text", 256).alias("text_sha256"))
