@@ -30,20 +30,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 0.8 of their five-word shingles, keep the one of the smallest id."""
-    groups = ngram_join.jaccard_join(docs, n=5, num=80, den=100)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents that share 0.8 of their five-word shingles, keep one row: that of the smallest id.
+
+    Rows that repeat an id, or have none (first), are documents of their own, in the order of their texts.
+    """
+    own = common.numbered(docs, "row")
+    groups = ngram_join.jaccard_join(own.select(F.col("row").alias("doc_id"), "text"), n=5, num=80, den=100)
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("row"))
+    return own.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: rounded draws, so that domains' tokens meet their weights."""
+    """Each document as often as its rate says: rounded draws, so that domains' tokens meet their weights. Ids repeat with copies."""
     mixed = mixing.mix(docs, _labels(spark, sf_dir), mixing.WEIGHTS).where("copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def bpe_encoding_and_decoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and the digest of what they decode to."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: its ids, and what they decode to; null texts count as empty."""
     return bpe.encode_digests(docs)
 
 
@@ -60,9 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for documents; a stage's table is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = common.save(docs, "stage")
-    return docs
+    written = None
+    for _, stage in STAGES[:-1]:
+        docs = common.save(stage(spark, docs, sf_dir), "stage")
+        if written is not None:
+            common.unsave(written)
+        written = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

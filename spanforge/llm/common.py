@@ -10,12 +10,15 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, as in tests, one is set where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +46,23 @@ def unsave(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or name with as many _ as none of the columns has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column that keeps doc_id's order (nulls first, then texts) and is each row's own: doc_id itself, unless rows repeat one or have none."""
+    strange = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not strange:
+        return docs.withColumn(name, docs["doc_id"].cast("long"))
+    rank = F.monotonically_increasing_id()
+    return save(docs.orderBy("doc_id", "text").withColumn(name, rank), "numbered")
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's estimate from file sizes; reads no data."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

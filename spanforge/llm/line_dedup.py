@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_for, mix64, save, trim, trimmed
+from .common import blocks_for, fresh, mix64, save, trim, trimmed
 
 STRIP = b" \t\n\x0b\x0c\r"
 LEVELS = 40
@@ -238,20 +238,22 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, probe_b
     """
     spark = docs.sparkSession
     shards = blocks_for(docs, 16 << 20)
-    keyed = docs.withColumn("__owner", F.xxhash64("doc_id", "text"))
-    probes = save(keyed.select("__owner", "text").mapInArrow(_probes(shards, min_chars), "shard long, hashes binary, owners binary"), "line-probes")
+    owner, lines, result = (fresh(c, docs.columns) for c in ("owner", "hot", "r"))
+    keyed = docs.withColumn(owner, F.xxhash64("doc_id", "text"))
+    probes = save(keyed.select(owner, "text").mapInArrow(_probes(shards, min_chars), "shard long, hashes binary, owners binary"), "line-probes")
     index = save(line_index(probes), "line-index")
     size = probes.groupBy("shard").agg(F.sum(F.length("hashes")).alias("bytes")).select("shard", F.ceil(F.col("bytes") / probe_bytes).cast("int").alias("salts"))
     dealt = probes.join(F.broadcast(size), "shard").withColumn("salt", F.pmod(F.xxhash64("hashes"), F.col("salts")).cast("int"))
     copies = index.join(F.broadcast(size), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     answers = dealt.select("shard", "salt", "hashes", "owners").groupBy("shard", "salt").cogroup(copies.drop("salts").groupBy("shard", "salt")).applyInArrow(_probe(min_docs), "owner long, hot binary")
-    hot = answers.groupBy("owner").agg(F.collect_list("hot").alias("__hot"))
-    out = keyed.join(hot.withColumnRenamed("owner", "__owner"), "__owner", "left").withColumn("__r", _drop(min_chars)("text", "__hot"))
+    hot = answers.groupBy(F.col("owner").alias(owner)).agg(F.collect_list("hot").alias(lines))
+    out = keyed.join(hot, owner, "left").withColumn(result, _drop(min_chars)("text", lines))
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col("__r.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in order], "__r.n_lines", "__r.n_dropped")
+    return out.select(*[F.col(f"{result}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in order], f"{result}.n_lines", f"{result}.n_dropped")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every document; a null or empty text is one empty line, of which nothing is dropped."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 

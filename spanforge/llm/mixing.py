@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, trim, trimmed
+from .common import fresh, save, trim, trimmed
 from .quality import LABELLED, ImportanceModel, class_names, fit
 from .text_hash import tokens
 
 ROUNDS = 40
 CLOSE = 1e-7
+DOUBT = 5.0  # standard errors that a log ratio of two classes is pulled towards 0 by
 
 
 class DomainModel:
@@ -53,17 +54,6 @@ def rates(p: np.ndarray, history: np.ndarray) -> np.ndarray:
     return r
 
 
-def _posteriors(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = DomainModel(shared.value)
-        for b in batches:
-            size, p = model(b.column(1))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), flat], ["doc_id", "tokens", "posterior"])
-
-    return trimmed(run)
-
-
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
@@ -122,37 +112,39 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
     return np.array(history).reshape(-1, d), target
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = False, seed: int = 4) -> DataFrame:
-    """docs' columns with tokens, posterior, rate and copies (columns of these names are replaced).
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = False, seed: int = 4, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """docs' columns (those of carry, if given) with tokens, posterior, rate and copies (columns of these names are replaced).
 
     Domains are the labelled classes (quality, toxic); weights are the shares of tokens that they are to have (a
-    class without one gets 0; those of classes without labelled text are dealt over the rest), or at most, if at_most (see solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up
-    by a draw that doc_id and seed decide: rows that repeat an id share a draw. Null and empty texts have no tokens
-    and the classes' shares as posteriors. Without labelled classes there is one domain and every rate is 1.
-    The model sees at most LABELLED labelled rows; posteriors and totals cover every row.
+    class without one gets 0; those of classes without labelled text are dealt over the rest), or at most, if at_most (see
+    solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up by a draw that
+    doc_id and seed decide: rows that repeat an id share a draw. Null and empty texts have no tokens and the classes'
+    shares as posteriors. Without labelled classes there is one domain and every rate is 1.
+    The model sees at most LABELLED labelled rows; posteriors and totals cover every row. Texts are read once by the
+    model; rows with their posteriors are written, and only tokens and posteriors read again for each round.
     """
     spark = docs.sparkSession
-    model = fit(docs, labels, LABELLED)
+    model = fit(docs, labels, LABELLED, doubt=DOUBT)
     d = max(1, len(model.shares))
     names = class_names(model)
     shared = spark.sparkContext.broadcast(model)
-    members = save(docs.select("doc_id", "text").mapInArrow(_posteriors(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens long, posterior array<double>"), "posteriors")
-    history, _ = solve(members, d, np.array([weights.get(n, 0.0) for n in names]) if len(names) else np.ones(1), total, at_most)
-    rule = spark.sparkContext.broadcast(history)
 
     def run(text: pa.Array) -> pa.Array:
         size, p = DomainModel(shared.value)(text)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
         trim()
-        return pa.StructArray.from_arrays([pa.array(size), flat, pa.array(rates(p, rule.value))], ["tokens", "posterior", "rate"])
+        return pa.StructArray.from_arrays([pa.array(size), flat], ["tokens", "posterior"])
 
-    if set(docs.columns) == {"doc_id", "text"}:  # nothing to carry along: use what is there
-        rate = F.arrow_udf(lambda p: pa.array(rates(_matrix(p, d), rule.value)), "double")
-        out = members.withColumn("rate", rate("posterior"))
-    else:
-        out = docs.withColumn("__m", F.arrow_udf(run, "tokens long, posterior array<double>, rate double")("text")).select(*[c for c in docs.columns if c not in ("tokens", "posterior", "rate", "copies")], "__m.*")
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("tokens", "posterior", "rate", "copies")]
+    member, key = fresh("member", docs.columns), fresh("key", docs.columns)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    read = docs.withColumn(member, F.arrow_udf(run, "tokens long, posterior array<double>")("text")).withColumn(key, draw)
+    members = save(read.select(*kept, key, f"{member}.tokens", f"{member}.posterior"), "posteriors")
+    history, _ = solve(members, d, np.array([weights.get(n, 0.0) for n in names]) if len(names) else np.ones(1), total, at_most)
+    rule = spark.sparkContext.broadcast(history)
+    rate = F.arrow_udf(lambda p: pa.array(rates(_matrix(p, d), rule.value)), "double")
+    copies = (F.floor("rate") + (F.col(key) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    return members.withColumn("rate", rate("posterior")).withColumn("copies", copies).drop(key)
 
 
 #: What the classes (quality, toxic) are to have of the mix.
@@ -160,5 +152,6 @@ WEIGHTS = {(1, 0): 0.94, (0, 0): 0.03, (1, 1): 0.02, (0, 1): 0.01}
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens, posterior, rate and copies of every document; null and empty texts have no tokens and the rate that their posterior gets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS).select("doc_id", "tokens", "posterior", "rate", "copies")
+    return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, carry=("doc_id",))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom
-from .common import blocks_for, mix64, save, size_in_bytes, trim, trimmed
+from .common import blocks_for, mix64, numbered, save, size_in_bytes, trim, trimmed
 from .text_hash import _power, chunks, texts_of
 
 GRAM = 32
@@ -345,18 +345,15 @@ def dedup_substrings(docs: DataFrame, length: int = 100, slice_bytes: int = SLIC
         raise ValueError("length must be 8 at least")
     spark = docs.sparkSession
     sc = spark.sparkContext
-    own = docs.select("doc_id", "text")
-    strange = own.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if strange:  # an id that keeps the order but is each row's own
-        own = save(own.orderBy("doc_id", "text").withColumn("__id", F.monotonically_increasing_id()), "numbered")
-    else:
-        own = own.withColumn("__id", F.col("doc_id").cast("long"))
+    own = numbered(docs.select("doc_id", "text"), "__id")
     texts = own.select("__id", "text")
-    blocks = blocks_for(docs, 8 << 20, least=16)
+    # buckets of 8 MiB of text; above 32 GB larger ones, up to 64 MiB, which is some 60 MB of runs
+    blocks = blocks_for(docs, (8 << 20) * min(8, max(1, size_in_bytes(docs) >> 35)), least=16)
 
-    share = max(1, size_in_bytes(docs) // (4 << 20))
+    # splitters: 64 KiB of text for each bucket are looked at, a few runs of each come to the driver
+    share = max(1, size_in_bytes(docs) // (blocks * (64 << 10)))
     seen = texts.where(F.pmod(F.xxhash64("__id"), F.lit(share)) == 0).mapInArrow(_sample(length), "key long, content long")
-    seen = seen.orderBy(F.xxhash64("content")).limit(200_000).toArrow()
+    seen = seen.orderBy(F.xxhash64("content")).limit(max(100_000, 16 * blocks)).toArrow()
     k, c = (seen[x].to_numpy().astype(np.int64).view(np.uint64) for x in ("key", "content"))
     order = multikey_order(k, c)
     at = order[np.unique(np.linspace(0, len(order), blocks + 1).astype(int)[1:-1].clip(0, max(0, len(order) - 1)))] if len(order) else order
@@ -378,5 +375,6 @@ def _longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, for strings of 100 bytes; a null text has no bytes."""
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

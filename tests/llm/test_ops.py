@@ -194,28 +194,62 @@ def test_quality_held_out(spark):
     out = quality.select(docs.withColumn("score", F.lit("clash")), labels.where("doc_id % 4 < 2")).join(labels, "doc_id").where("doc_id % 4 >= 2").collect()
     good = [r["selected"] for r in out if r["quality"] == 1 and r["toxic"] == 0]
     bad = [r["selected"] for r in out if r["quality"] == 0 or r["toxic"] == 1]
-    assert len(good) > 100 and np.mean(good) > 0.97 and np.mean(bad) < 0.1
+    assert len(good) > 100 and np.mean(good) > 0.95 and np.mean(bad) < 0.15
     k = quality.select(docs, labels, share=0.25)
     assert k.where("selected").count() == round(0.25 * docs.count()) and k.count() == docs.count()
     assert quality.select(docs, labels.limit(0)).where("selected").count() == docs.count()
     assert quality.select(docs.limit(0), labels).count() == 0
 
 
-def test_weights_are_ratios_of_models(spark):
-    """log_weight against sums in plain Python."""
+def test_models_and_gumbel_top_k_by_hand(spark):
+    """The models counted in plain Python, and the selection replayed from their weights."""
     import pyarrow as pa
 
     docs, labels = labelled(spark, 300)
-    model = quality.fit(docs, labels)
-    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()] + ODD
-    got = model.log_weight(pa.array(texts, pa.string()))
-    for t, g in zip(texts, got, strict=True):
-        sums = np.zeros(len(model.shares))
-        for _, bucket, _ in quality.features(pa.array([t], pa.string())):
-            for b in bucket:
-                sums[1:] -= model.ratios[:, b]
-        x = np.log(model.shares) + sums
-        assert g == pytest.approx(-(x.max() + np.log(np.exp(x - x.max()).sum())))
+    odd = spark.createDataFrame([(None, 1, 0), (3, None, 1), (4, 1, None), (5, 1, 0), (5, 1, 0), (5, 1, 0)], labels.schema)  # null labels, and rows that repeat one
+    model = quality.fit(docs, labels.union(odd), raw=True)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kinds = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    names = [(1, 0), (0, 0), (1, 1)]
+    size = 1 << quality.LOG_BUCKETS
+    counts, corpus, known, seen = {n: np.zeros(size) for n in names}, np.zeros(size), np.zeros(size), set()
+    bag = lambda t: np.bincount(np.concatenate([b for _, b, _ in quality.features(pa.array([t], pa.string()))]), minlength=size)
+    for i, t in texts.items():
+        corpus += bag(t)
+        if i in kinds:
+            known += bag(t)
+            for line in (t or "").split("\n"):
+                if line and (kinds[i], line) not in seen:
+                    seen.add((kinds[i], line))
+                    counts[kinds[i]] += bag(line)
+
+    def ratio(a, b):
+        even = b.sum() / a.sum()
+        r = np.log((a + 0.5) * even / (b + 0.5 * even))
+        return np.sign(r) * np.maximum(0, abs(r) - quality.DOUBT * np.sqrt(1 / (np.maximum(a, b / even) + 0.5) + 1 / (np.maximum(b, a * even) + 0.5))) * (corpus >= quality.RARE)
+
+    want = [ratio(counts[names[0]], counts[n]) for n in names[1:]] + [ratio(known, corpus)]
+    assert model.names == names and np.allclose(model.ratios, want)
+    found = np.array([sum(k == n for k in kinds.values()) for n in names])
+    assert np.allclose(model.shares, np.append(found / found.sum() * (1 - quality.RAW), quality.RAW))
+    weights = {}
+    for i, t in texts.items():
+        x = np.log(model.shares) - np.concatenate([[0], [(r * bag(t)).sum() for r in want]])
+        weights[i] = -(x.max() + np.log(np.exp(x - x.max()).sum()))
+    rows = quality.select(docs, labels.union(odd), share=0.5, temperature=2.0, seed=7).collect()
+    noise = {r[0]: -np.log(-np.log((((r[1] & (2**64 - 1)) >> 11) + 0.5) / 2**53)) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()}
+    score = {i: weights[i] + 2.0 * noise[i] for i in weights}
+    floor = sorted(score.values(), reverse=True)[round(0.5 * len(score)) - 1]
+    for r in rows:
+        assert r["log_weight"] == pytest.approx(weights[r["doc_id"]], abs=1e-6) and r["score"] == pytest.approx(score[r["doc_id"]], abs=1e-6)
+        assert r["selected"] == (score[r["doc_id"]] >= floor - 1e-9)
+
+
+def test_quality_scores_texts_once(spark):
+    docs, labels = labelled(spark, 120)
+    rows = quality.select(docs, labels)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and rows.columns == [*docs.columns, "log_weight", "score", "selected"]
 
 
 def test_raw_text_is_counted_over_every_document(spark):
@@ -264,16 +298,66 @@ def test_sharding(spark, tmp_path):
         store.append(docs.where(F.col("doc_id") % 4 == i), rows_per_shard=25)
     first = store.manifest()
     assert first["version"] == 4 and len(first["shards"]) >= 20 and sum(s["rows"] for s in first["shards"]) == 510
+    reader = store.read()  # of version 4, and not begun yet
     after = store.compact()
     assert after["version"] == 5 and len(after["shards"]) < len(first["shards"]) and sum(s["rows"] for s in after["shards"]) == 510
-    back = store.read()
-    assert back.drop("__shard").exceptAll(docs).count() == 0 and docs.exceptAll(back.drop("__shard")).count() == 0
-    assert back.select("__shard").distinct().count() == len(after["shards"])
+    for back in (store.read(), store.read(version=4), reader):
+        assert back.drop("__shard").exceptAll(docs).count() == 0 and docs.exceptAll(back.drop("__shard")).count() == 0
+    assert store.read().select("__shard").distinct().count() == len(after["shards"])
     with pytest.raises(sharding.CommitConflict):  # a writer that read an older manifest
         store.commit(first, first["shards"], None)
     assert store.manifest() == after and store.versions() == [1, 2, 3, 4, 5]
+    assert store.vacuum() == 0 and store.read(version=4).count() == 510  # an hour's grace
+    assert store.vacuum(retain_ms=0) >= len(first["shards"]) - len(after["shards"]) and store.versions() == [5] and store.read().count() == 510
     empty = sharding.shard(docs.limit(0), f"file://{tmp_path}/empty")
     assert empty.read().count() == 0 and empty.manifest()["shards"] == []
+    store.append(docs.limit(0))
+    assert store.read().count() == 510
+    with pytest.raises(ValueError):
+        sharding.shard(docs.withColumn("__SHARD", F.lit(1)))
+
+
+def test_sharding_of_two_writers(spark, tmp_path):
+    docs = frame(spark, [f"text {i} " * 50 for i in range(120)] + [None], 2).withColumn("path", F.lit("clash")).union(spark.createDataFrame([(None, None, None, None, None, None)] * 2, f"{DOCS}, path string"))
+    root = f"file://{tmp_path}/store"
+    one, two = (sharding.ShardStore(spark, root, target_bytes=60_000, fan_in=3, small_bytes=2_000) for _ in range(2))
+    one.append(docs, rows_per_shard=10)
+    commit, late = sharding.ShardStore.commit, []
+
+    def slow(store, before, shards, schema):  # the other writer comes first, once
+        if not late:
+            late.append(two.append(docs, rows_per_shard=50))
+        return commit(store, before, shards, schema)
+
+    one.commit = slow.__get__(one)
+    one.append(docs, rows_per_shard=30)
+    assert one.versions() == [1, 2, 3] and one.read().count() == 3 * docs.count()  # neither arrival is lost
+    late.clear()
+    shards = lambda: [s["path"] for s in one.manifest()["shards"]]
+
+    def merged(store, before, new, schema):  # the other writer merges the same shards
+        if not late:
+            late.append(two.compact())
+        return commit(store, before, new, schema)
+
+    one.commit = merged.__get__(one)
+    one.compact()
+    assert shards() == [s["path"] for s in late[0]["shards"]] and one.read().count() == 3 * docs.count()
+    folders = {p.name for p in (tmp_path / "store" / "data").iterdir()}
+    named = {s["path"].rsplit("/", 2)[-2] for v in one.versions() for s in one.manifest(v)["shards"]}
+    assert folders == named  # what was given up is gone
+    bad = docs.withColumn("n_chars", F.raise_error(F.lit("no")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        one.append(bad, rows_per_shard=10)
+    assert {p.name for p in (tmp_path / "store" / "data").iterdir()} == named
+
+
+def test_sharding_numbers_are_the_same_in_every_run(spark, tmp_path):
+    docs = frame(spark, [f"text {i} " * 50 for i in range(300)], 3)
+    got = [sharding.shard(docs, f"file://{tmp_path}/{k}", 20, target_bytes=30_000, fan_in=3, small_bytes=2_000) for k in "ab"]
+    assert not got[0].plan(got[0].manifest()["shards"])
+    a, b = (s.read().select("doc_id", "__shard").collect() for s in got)
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
 # -- 6 -------------------------------------------------------------------------------------------------------------
@@ -381,6 +465,10 @@ def test_line_dedup(spark, least):
         kept = [x for x in own if key(x) not in bad]
         assert got[i] == ("\n".join(kept), len(own), len(own) - len(kept))
     assert bad and line_dedup.dedup_lines(frame(spark, texts).limit(0)).count() == 0
+    clash = frame(spark, texts).selectExpr("doc_id", "text", "lang AS owner", "source AS Hot", "n_chars AS r", "n_chars AS __owner")
+    out = line_dedup.dedup_lines(clash, 10, least)
+    assert out.columns == [*clash.columns, "n_lines", "n_dropped"] and {r["doc_id"]: r["text"] for r in out.collect()} == {i: v[0] for i, v in got.items()}
+    assert {tuple(r)[2:6] for r in out.collect()} == {tuple(r)[2:6] for r in clash.collect()}
 
 
 # -- 9 -------------------------------------------------------------------------------------------------------------
