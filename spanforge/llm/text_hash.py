@@ -66,30 +66,53 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     return words(column, _KIND)
 
 
-def words(column: pa.Array, kind: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, hashes of words, where each row's words begin and the last ones' end) of each chunk of rows."""
+def _hashes(raw: np.ndarray, own: np.ndarray, kind: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie behind each other, and where each text's begin and the last one's end."""
+    n = len(raw)
+    power, inverse = _power(n)
+    black = ~_SPACE[raw]
+    change = np.zeros(n + 1, bool)
+    if kind is not None:
+        k = kind[raw]
+        change[1:-1] = k[1:] != k[:-1]
+    edge = np.zeros(n + 1, bool)
+    edge[own] = True
+    begins = np.flatnonzero(black & (edge[:-1] | change[:-1] | ~np.concatenate([[False], black[:-1]])))
+    ends = np.flatnonzero(black & (edge[1:] | change[1:] | ~np.concatenate([black[1:], [False]]))) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * power[:n], out=sums[1:])
+    return mix64((sums[ends] - sums[begins]) * inverse[begins]), np.searchsorted(begins, own)
+
+
+def _pieces(raw: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text in pieces of about most bytes, cut in white space."""
+    at = 0
+    while len(raw) - at > most:
+        stop = at + most
+        while stop < len(raw) and not len(white := np.flatnonzero(_SPACE[raw[stop : stop + most]])):
+            stop += most
+        stop = min(len(raw), stop + int(white[0])) if stop < len(raw) else len(raw)
+        yield raw[at:stop]
+        at = stop
+    yield raw[at:]
+
+
+def words(column: pa.Array, kind: np.ndarray | None = None, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes of words, where each row's words begin and the last ones' end) of each chunk of rows.
+
+    A text of more than `most` bytes is a chunk of its own and hashed piece by piece, so memory doesn't grow with it
+    but for eight bytes a word.
+    """
     at, data = texts_of(column)
-    for i, j in chunks(at):
-        own = at[i : j + 1] - at[i]
+    for i, j in chunks(at, most):
         raw = data[at[i] : at[j]]
-        n = len(raw)
-        if not n:
+        if not len(raw):
             yield i, np.zeros(0, np.uint64), np.zeros(j - i + 1, np.int64)
-            continue
-        power, inverse = _power(n)
-        black = ~_SPACE[raw]
-        change = np.zeros(n + 1, bool)
-        if kind is not None:
-            k = kind[raw]
-            change[1:-1] = k[1:] != k[:-1]
-        edge = np.zeros(n + 1, bool)
-        edge[own] = True
-        begins = np.flatnonzero(black & (edge[:-1] | change[:-1] | ~np.concatenate([[False], black[:-1]])))
-        ends = np.flatnonzero(black & (edge[1:] | change[1:] | ~np.concatenate([black[1:], [False]]))) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[raw] * power[:n], out=sums[1:])
-        h = mix64((sums[ends] - sums[begins]) * inverse[begins])
-        yield i, h, np.searchsorted(begins, own)
+        elif len(raw) > most:  # one row
+            h = np.concatenate([_hashes(x, np.array([0, len(x)]), kind)[0] for x in _pieces(raw, most) if len(x)])
+            yield i, h, np.array([0, len(h)])
+        else:
+            yield i, *_hashes(raw, at[i : j + 1] - at[i], kind)
 
 
 _ODD = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

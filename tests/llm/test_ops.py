@@ -69,6 +69,11 @@ def test_text_hashes():
         for t, s in zip(texts, got, strict=True):
             w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
             assert len(s) == len({tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, min(1, len(w))))}), (t, n)
+    rnd = random.Random(12)
+    texts = [prose(rnd, 300) + "," + prose(rnd, 40), None, "x" * 200, "a b", " " * 90, prose(rnd, 3)]
+    for kind in (None, text_hash._KIND):  # pieces of a long text give what the whole gives
+        flat = lambda most: [h[a:b].tolist() for _, h, at in text_hash.words(pa.array(texts), kind, most) for a, b in zip(at[:-1], at[1:], strict=True)]  # noqa: B023, E731
+        assert flat(50) == flat(1 << 20)
     whole = [len(h) for _, h, _ in text_hash.tokens(pa.array(["ab,cd!! é"]))]
     assert whole == [5]
 
