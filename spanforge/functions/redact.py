@@ -1,4 +1,9 @@
-"""Redaction: native expressions for single patterns, an Arrow function for the ordered whole."""
+"""Redaction: native expressions for single patterns and paths, Arrow functions for the ordered scrub and for a command's operands.
+
+A report's text is scrubbed by value, then by structure (paths), then by name (secrets), then by place in a command
+(identifiers), in this order: each pass leaves the marks of those before it alone. Rows without a cheap marker of
+any pattern are settled natively and never reach Python.
+"""
 
 from __future__ import annotations
 
@@ -15,14 +20,34 @@ def emails(text: Column) -> Column:
     return F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
 
 
+_RUN = r"[^\s'\"\[\]<>|&;()$=]"
+_PATH = rf"(?<!{_RUN})(?:(?:\.\.?|~|[A-Za-z]:)(?!{_RUN})|{_RUN}*[/\\]{_RUN}*)"
+
+
 def paths(text: Column) -> Column:
-    """Words with a slash or backslash become <path>."""
-    return F.regexp_replace(text, r"[^\s]*[/\\][^\s]*", "<path>")
+    """Words that are paths become <path>: any with a slash or backslash, ., .., ~ and a bare drive; a quoted region that holds one as a whole.
+
+    A quoted region with a placeholder in it keeps that; only the words in it that are paths go.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"'[^']*'|\"[^\"]*\"|[^'\"]+|['\"]"), F.lit(0))
+    whole = lambda p: (F.length(p) > 2) & (p.startswith("'") | p.startswith('"')) & p.rlike(_PATH) & ~p.rlike(r"<[a-z][a-z-]*>")
+    kept = F.transform(pieces, lambda p: F.when(whole(p), F.concat(F.substring(p, 1, 1), F.lit("<path>"), F.substring(p, 1, 1))).otherwise(p))
+    return F.when(text.isNotNull(), F.regexp_replace(F.array_join(kept, ""), _PATH, "<path>"))
+
+
+def fingerprint(value: Column, salt: str) -> Column:
+    """A value's keyed digest: equal within one run's salt, and of no use outside."""
+    return F.sha2(F.concat(F.lit(salt), F.lit("\u0000"), value), 256)
 
 
-def json_values(text: Column) -> Column:
-    """The strings and numbers of a flat JSON object become <value>; keys, booleans and nulls stay."""
-    return F.regexp_replace(F.regexp_replace(text, r": *-?[0-9.]+", ':"<value>"'), r': *"[^"]*"', ':"<value>"')
+def is_placeholder(value: Column) -> Column:
+    """Whether a value only stands for a secret."""
+    return value.rlike(r"(?i)^(?:[*x.]+|<[^>]*>|\$\{?\w+\}?|(?:your|my|the|some)[-_ ].*|.*(?:example|placeholder|changeme|change-me|dummy|redacted|todo|insert).*|test|secret|password|null|none|true|false)$")
+
+
+def is_local_value(value: Column) -> Column:
+    """Whether a value is a credential for a service on this machine."""
+    return value.rlike(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^@/?#\s]*@)?(?:localhost|127(?:\.\d{1,3}){3}|0\.0\.0\.0|\[?::1\]?|host\.docker\.internal)(?:[:/?#]|$)")
 
 
 def luhn(digits: str) -> bool:
@@ -65,11 +90,12 @@ def _accept_all(_: re.Match) -> bool:
     return True
 
 
-# The patterns' names and their order, in which a hit hides its text from those that follow.
+# The patterns' names and their order, in which a hit hides its text from those that follow. Where a pattern
+# has a group v, only that is replaced.
 PATTERNS: list[tuple[str, re.Pattern, str, object]] = [
     (name, re.compile(pattern), shown, accept)
     for name, pattern, shown, accept in (
-        ("aws-access-key-id", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "<aws-access-key-id>", _accept_all),
+        ("aws-access-key-id", r"\b(?:AKIA|ABIA|ACCA|AGPA|AIDA|AIPA|ANPA|ANVA|AROA|ASCA|ASIA)[0-9A-Z]{16}\b", "<aws-access-key-id>", _accept_all),
         ("pem-private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", "<private-key>", _accept_all),
         ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}", "<jwt>", _accept_all),
         ("github-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})", "<github-token>", _accept_all),
@@ -77,13 +103,13 @@ PATTERNS: list[tuple[str, re.Pattern, str, object]] = [
         ("openai-key", r"\bsk-[A-Za-z0-9_-]{20,}", "<api-key>", _accept_all),
         ("connection-string", r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s'\"]+", "<connection-string>", _accept_all),
         ("basic-auth-url", r"\bhttps?://[^\s/:@'\"]+:[^\s/@'\"]+@[^\s'\"]*", "<url-with-credentials>", _accept_all),
-        ("bearer-token", r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer <token>", _accept_all),
-        ("aws-secret-access-key", r"(?i)\baws_?secret_?access_?key\s*[=:]\s*['\"]?[A-Za-z0-9/+=]{40}['\"]?", "<aws-secret-access-key>", _accept_all),
-        ("env-secret", r"\b[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|API_?KEY|PRIVATE_KEY)[A-Z0-9_]*=(?:'[^'\n]*'|\"[^\"\n]*\"|[^\s'\"]+)", "<env-secret>", _accept_all),
-        ("key-name-secret", r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|pwd)\b['\"]?\s*[:=]\s*(?:'[^'\n]{4,}'|\"[^\"\n]{4,}\"|[^\s'\",;]{6,})", "<secret>", _accept_all),
-        ("authorization-header", r"(?i)\bauthorization\s*:\s*[^\n'\"]+", "Authorization: <value>", _accept_all),
-        ("mysql-password-flag", r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p[^\s'\"]+", "<mysql-password-flag>", _accept_all),
-        ("cloud-account-id", r"\barn:aws[a-z-]*:[a-z0-9-]*:[a-z0-9-]*:\d{12}\b", "<cloud-account>", _accept_all),
+        ("bearer-token", r"(?i)\bbearer\s+(?P<v>[A-Za-z0-9._~+/=-]{8,})", "<token>", _accept_all),
+        ("aws-secret-access-key", r"(?i)\baws_?secret_?access_?key\s*[=:]\s*['\"]?(?P<v>[A-Za-z0-9/+=]{40})['\"]?", "<aws-secret-access-key>", _accept_all),
+        ("env-secret", r"\b[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|API_?KEY|PRIVATE_KEY)[A-Z0-9_]*=(?:'(?P<v>[^'\n]*)'|\"(?P<w>[^\"\n]*)\"|(?P<x>[^\s'\"]+))", "<env-secret>", _accept_all),
+        ("key-name-secret", r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|pwd)\b['\"]?\s*[:=]\s*(?:'(?P<v>[^'\n]{4,})'|\"(?P<w>[^\"\n]{4,})\"|(?P<x>[^\s'\",;]{6,}))", "<secret>", _accept_all),
+        ("authorization-header", r"(?i)\bauthorization\s*:\s*(?P<v>[^\n'\"]+)", "<value>", _accept_all),
+        ("mysql-password-flag", r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b(?:[ \t]+[^\s|;&]+)*?[ \t]+-p(?!ort\b|rint\b|lugin|rotocol\b|ager\b)(?P<v>[^\s'\"|;&]+|'[^']*'|\"[^\"]*\")", "<password>", _accept_all),
+        ("cloud-account-id", r"\barn:aws[a-z-]*:[a-z0-9-]*:[a-z0-9-]*:(?P<v>\d{12})\b|(?i:\b(?:account|owner)[ _-]?(?:id)?['\"]?\s*[=:]\s*['\"]?)(?P<w>\d{12})\b", "<cloud-account>", _accept_all),
         ("generic-secret", r"[A-Za-z0-9_+/=.-]{32,}", "<random>", lambda m: looks_random(m[0])),
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>", _accept_all),
         ("ssn", r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d\d-(?!0000)\d{4}\b", "<ssn>", _accept_all),
@@ -91,22 +117,54 @@ PATTERNS: list[tuple[str, re.Pattern, str, object]] = [
     )
 ]
 
+#: What a text must hold for any pattern to hit: rows without it need no Python.
+MARKERS = r"(?i)@|://|-----BEGIN|A(?:KIA|BIA|CCA|GPA|IDA|IPA|NPA|NVA|ROA|SCA|SIA)[0-9A-Z]{16}|eyJ|gh[pousr]_|github_pat_|xox|sk-|bearer|secret|token|passw|pwd|key|authorization|mysql|mariadb|arn:aws|account|owner|[A-Za-z0-9_+/=.-]{32}|\d(?:[ -]?\d){8}"
 
-def scrub_text(text: str) -> tuple[str, dict[str, int]]:
-    """text with every hit replaced, and hits by pattern. A hit becomes a slot that no later pattern can read."""
+
+def _signs(text: str) -> tuple[str, str]:
+    """A delimiter and sixteen digits that text doesn't hold, of those that Unicode leaves to private use."""
+    used, out = set(text), []
+    for start, stop in ((0xE000, 0xF8FF), (0xF0000, 0xFFFFD), (0x100000, 0x10FFFD)):
+        for c in map(chr, range(start, stop)):
+            if c not in used:
+                out.append(c)
+                if len(out) == 17:
+                    return out[0], "".join(out[1:])
+    raise ValueError("the text holds every private-use character")
+
+
+def _scrub(text: str, found: list | None = None) -> tuple[str, dict[str, int]]:
+    mark, digits = _signs(text)
     slots: list[str] = []
     counts: dict[str, int] = {}
+
+    def slot(shown: str) -> str:
+        slots.append(shown)
+        return mark + "".join(digits[int(c, 16)] for c in f"{len(slots) - 1:x}") + mark
+
     for name, pattern, shown, accept in PATTERNS:
 
         def put(m: re.Match, name=name, shown=shown, accept=accept) -> str:
             if not accept(m):
                 return m[0]
             counts[name] = counts.get(name, 0) + 1
-            slots.append(shown)
-            return f"{chr(0xE100 + len(slots) - 1) if len(slots) <= 0x17FF else chr(0xE100)}" if len(slots) <= 0x1700 else shown
+            part = next((g for g in ("v", "w", "x") if g in m.re.groupindex and m[g] is not None), 0)
+            if found is not None and mark not in m[part]:
+                found.append({"kind": name, "value": m[part]})
+            return m[0][: m.start(part) - m.start()] + slot(shown) + m[0][m.end(part) - m.start() :]
 
         text = pattern.sub(put, text)
-    return re.sub("(.)", lambda m: slots[ord(m[1]) - 0xE100], text), counts
+    back = {c: f"{i:x}" for i, c in enumerate(digits)}
+    return re.sub(f"{mark}([{digits}]+){mark}", lambda m: slots[int("".join(back[c] for c in m[1]), 16)], text), counts
+
+
+def scrub_text(text: str) -> tuple[str, dict[str, int]]:
+    """text with every hit replaced, and hits by pattern. A hit becomes a slot of signs that no later pattern can read."""
+    return _scrub(text)
+
+
+def _column(column: str | Column) -> Column:
+    return column if isinstance(column, Column) else F.col(column)
 
 
 def scrub(column: str | Column) -> Column:
@@ -116,7 +174,161 @@ def scrub(column: str | Column) -> Column:
         done = [scrub_text(t) if t is not None else (None, {}) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([list(c.items()) for _, c in done], pa.map_(pa.string(), pa.int32()))], ["text", "counts"])
 
-    return F.arrow_udf(run, "text string, counts map<string,int>")(column)
+    c = _column(column)
+    r = F.arrow_udf(run, "text string, counts map<string,int>")(F.when(c.rlike(MARKERS), c))
+    return F.struct(F.coalesce(r["text"], c).alias("text"), r["counts"].alias("counts"))
+
+
+def found(column: str | Column) -> Column:
+    """array<struct<kind, value>> of what the scrub replaces."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            own: list[dict] = []
+            if t is not None:
+                _scrub(t, own)
+            out.append(own)
+        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
+
+    c = _column(column)
+    return F.arrow_udf(run, "array<struct<kind: string, value: string>>")(F.when(c.rlike(MARKERS), c))
+
+
+# -- secrets by name, identifiers by place --------------------------------------------------------------------------
+
+_VALUE = r"[^\s\"',;\[<]"
+
+
+def secrets(text: Column) -> Column:
+    """Values that a name ending in key, or an authorization scheme, gives away."""
+    named = rf"(?i)(?<![A-Za-z0-9_-])([A-Za-z0-9]+(?:[_-][A-Za-z0-9]+)*[_-]key[\"']?\s*[=:]\s*)(?:\"(?!<)[^\"]{{4,}}\"|'(?!<)[^']{{4,}}'|{_VALUE}{{4,}})"
+    scheme = rf"(?i)(?<![A-Za-z0-9_-])(authorization[\"']?\s*[=:]\s*[\"']?(?:(?:Basic|Token|Digest|Negotiate|ApiKey|Api-Key)\s+)?)(?!Bearer\s|<){_VALUE}{{8,}}"
+    return F.regexp_replace(F.regexp_replace(text, named, "$1<secret>"), scheme, "$1<value>")
+
+
+# The programs whose operands name something, by family; words of theirs that are verbs or kinds; and what stands for options' values.
+FAMILIES = {
+    "container": ("docker", "docker-compose", "nerdctl", "podman", "podman-compose"), "kube": ("kubectl",), "ssh": ("scp", "sftp", "ssh"), "git": ("git",), "op": ("op",), "gh": ("gh",),
+    "db": ("createdb", "dropdb", "mongo", "mongosh", "mysql", "mysqladmin", "mysqldump", "pg_dump", "pg_isready", "pg_restore", "psql", "redis-cli"), "cloudflare": ("wrangler",), "gcp": ("bq", "firebase", "gcloud", "gsutil"),
+}
+VERBS = {
+    "container": "attach build builder buildx checkpoint commit compose config container context convert cp create diff down events exec export image images import info init inspect kill list load login logout logs ls manifest network node pause plugin port prune ps pull push rename restart rm rmi run save scan search secret service stack start stats stop swarm system tag top trust unpause up update version volume wait watch".split(),
+    "kube": "all annotate api-resources api-versions apply attach auth autoscale cluster-info clusterrole clusterrolebinding completion config configmap configmaps context contexts cordon cp crd create cronjob daemonset delete deploy deployment deployments describe diff drain edit endpoints event events exec explain expose get help hpa ingress job jobs label logs namespace namespaces node nodes ns patch pod pods port-forward proxy pv pvc replace replicaset role rolebinding rollout run scale secret secrets service serviceaccount services set statefulset svc top version wait".split(),
+    "op": "account add completion confirm connect create delete document edit events-api forget get grant group inject item list ls move plugin provision reactivate read remove revoke rm run server service-account share signin signout suspend template token update user vault whoami".split(),
+}
+OPTIONS = {
+    "kube": {"-n": "<name>", "--namespace": "<name>"}, "op": {"--vault": "<name>", "--account": "<name>", "--fields": None, "--field": None, "--format": None},
+    "db": {"-h": "<host>", "--host": "<host>", "-d": "<name>", "-D": "<name>", "--dbname": "<name>", "--database": "<name>", "-c": "<name>", "--command": "<name>", "-e": "<name>", "--execute": "<name>", "--eval": "<name>"},
+    "ssh": {**dict.fromkeys("-B -b -c -D -E -e -F -I -i -L -m -O -o -P -p -Q -R -S -W -w".split()), "-l": "<user>", "-J": "<host>"},
+    "git": dict.fromkeys("-C -c --git-dir --work-tree --exec-path".split()), "gh": dict.fromkeys("--title -t --body -b --notes".split(), "<message>"), "gcp": dict.fromkeys("--project --project_id --project-id".split(), "<name>"),
+}
+MESSAGES = ("am", "cherry-pick", "commit", "merge", "notes", "revert", "stash", "tag")
+SECRET_OPTION = re.compile(r"--?(?:[a-z0-9]+-)*(?:token|password|passwd|secret|api-?key|access-?key|auth)$", re.IGNORECASE)
+UUID = re.compile(r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", re.IGNORECASE)
+
+
+def _operand(family: str, program: str, word: str, seen: list[str], prose: bool) -> str | None:
+    """What stands for an operand that is no option, given those before it; None where it may be shown."""
+    if family in ("container", "op"):
+        inner = next((i for i, x in enumerate(seen) if family == "container" and x in ("exec", "run")), None)
+        if inner is not None and any(x not in VERBS[family] for x in seen[inner:]):
+            return None  # the command that runs inside
+        return None if word in VERBS[family] else "<name>"
+    if family == "kube":
+        return None if prose or word in VERBS["kube"] else "<name>"
+    if family == "ssh":
+        if re.fullmatch(r"[^@\s]+@[^@\s]+", word):
+            return "<user>@<host>"
+        return "<host>" if not seen and program != "scp" else None
+    if family == "cloudflare" and re.fullmatch(r"(?i)[0-9a-f]{32}", word):
+        return "<name>"
+    return None
+
+
+def _segment_edits(words: list, prose: bool) -> list[tuple[int, int, str]]:
+    """What to put for words of a simple command (start, stop, text)."""
+    edits, family, program, seen, pending = [], "", "", [], ""
+    known = {p: f for f, own in FAMILIES.items() for p in own}
+    for w in words:
+        text = w.text
+        if pending is not None and pending != "" and not text.startswith("-"):
+            if pending != "keep" and not re.fullmatch(r"<[a-z-]+>", text):
+                shown = re.sub("=.*", "=<user>", text) if pending == "identity" and re.match(r"user\.(?:name|email)=", text) else pending
+                if shown not in ("identity",):
+                    edits.append((w.start, w.stop, shown))
+            pending = ""
+            continue
+        pending = ""
+        option, glued, _ = text.partition("=")
+        if glued and SECRET_OPTION.match(option):
+            edits.append((w.start, w.stop, f"{option}=<secret>"))
+        elif not glued and SECRET_OPTION.match(text):
+            pending = "<secret>"
+        elif text in known and text not in seen:
+            family, program, seen = known[text], text, []
+        elif re.fullmatch(r"<[a-z-]+>", text):
+            seen.append(text)
+        elif not family:
+            pass
+        elif text.startswith("-"):
+            verb = seen[0] if seen else ""
+            table = OPTIONS.get(family, {})
+            if family == "git" and verb in MESSAGES and re.fullmatch(r"-[A-Za-z]*m|--message", option):
+                if glued:
+                    edits.append((w.start, w.stop, "--message=<message>"))
+                else:
+                    pending = "<message>"
+            elif option in table:
+                shown = table[option]
+                if not glued:
+                    pending = shown or ("identity" if family == "git" and text == "-c" and not seen else "keep")
+                elif shown:
+                    edits.append((w.start, w.stop, f"{option}={shown}"))
+            elif family == "container" and glued:
+                edits.append((w.start, w.stop, f"{option}=<name>"))
+        elif glued and family == "container":
+            edits.append((w.start, w.stop, f"{option}=<name>"))
+        elif family == "git" and seen[:1] == ["config"] and text in ("user.name", "user.email"):
+            pending = "<user>"
+        else:
+            if (shown := _operand(family, program, text, seen, prose)) is not None:
+                edits.append((w.start, w.stop, shown))
+            seen.append(text)
+    return edits
+
+
+def identifiers_text(text: str, prose: bool = False) -> str:
+    """A command's text without the names of hosts, containers, databases, people and messages in it. prose: a title, whose words are no operands."""
+    from .shell import parse
+
+    p, edits = parse(text), []
+    for s in p.segments:
+        edits += _segment_edits(s.words, prose)
+        edits += [(a, max(a, b - 1), "<message>") for a, b, _ in s.heredocs if b > a]
+    if not prose:
+        edits += [(a, b, "#<comment>") for a, b in p.comments if text[a + 1 : b].strip()]
+    at, out = 0, []
+    for a, b, shown in sorted(edits):
+        if a >= at:
+            quote = text[a] if text[a] in "'\"" and text[b - 1 : b] == text[a] and b - a > 1 else ""
+            out += [text[at:a], quote, shown, quote]
+            at = b
+    return UUID.sub("<name>", "".join(out) + text[at:])
+
+
+def _identifiers(prose: bool):
+    return F.arrow_udf(lambda texts: pa.array([None if t is None else identifiers_text(t, prose) for t in texts.to_pylist()], pa.string()), "string")
+
+
+def for_report(column: str | Column) -> Column:
+    """A command's text as a report may show it."""
+    return _identifiers(False)(secrets(paths(scrub(column)["text"])))
+
+
+def title_for_report(column: str | Column) -> Column:
+    """A rule's title as a report may show it: as for_report, but words with slashes and plain nouns stay."""
+    return _identifiers(True)(secrets(scrub(column)["text"]))
 
 
 def _hidden(value):

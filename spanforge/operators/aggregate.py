@@ -57,10 +57,16 @@ def recurring(calls: DataFrame, call_id: str, shape: str, least: int = 2) -> Dat
 
 
 def owasp_tally(calls: DataFrame, call_id: str, dimension: DataFrame) -> DataFrame:
-    """By risk id: distinct calls, matches, and rules with a match."""
+    """By risk id: calls (one row each, told apart by call_id), matches, and rules with a match."""
     ids = dimension.select("rule_id", F.explode(F.array_distinct("owasp")).alias("owasp_id"))
-    rows = match_rows(calls, call_id).join(F.broadcast(ids), "rule_id")  # the catalog bounds the small side
-    return rows.groupBy("owasp_id").agg(F.countDistinct(call_id).alias("calls"), F.count("*").alias("matches"), F.countDistinct("rule_id").alias("rules"))
+    # a call's ids are made distinct within its row, so calls are counted without being told apart
+    own = {r["rule_id"]: list(r["owasp"] or []) for r in dimension.select("rule_id", "owasp").collect()}  # as many rows as the catalog
+    known = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*[F.lit(v) for v in x]).cast("array<string>") for kv in own.items() for x in kv])
+    per_call = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.coalesce(F.try_element_at(known, m["rule_id"]), F.array().cast("array<string>")))))
+    counted = calls.where(F.size("matches") > 0).select(per_call.alias("ids"))
+    by_id = counted.select(F.explode("ids").alias("owasp_id")).groupBy("owasp_id").agg(F.count("*").alias("calls"))
+    rules = match_rows(calls).groupBy("rule_id").agg(F.count("*").alias("n")).join(F.broadcast(ids), "rule_id").groupBy("owasp_id").agg(F.sum("n").alias("matches"), F.count("*").alias("rules"))
+    return by_id.join(rules, "owasp_id")
 
 
 def match_tally(calls: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -146,3 +152,46 @@ def top_with_rest(df: DataFrame, k: int, *order: Column) -> DataFrame:
 def text_search(df: DataFrame, needle: str, *columns: str) -> DataFrame:
     """Rows whose text holds a trimmed needle, whatever the case."""
     return df.where(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(needle.strip().lower())))
+
+
+def findings_order(findings: DataFrame) -> DataFrame:
+    """Findings as a report lists them: most matches first, ties by rule id."""
+    return findings.orderBy(F.desc("matches"), "rule_id")
+
+
+def by_severity(findings: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Findings with their rule's severity, gravest first, then most matches, then by rule id; rank is the place."""
+    rows = findings.join(F.broadcast(dimension.select("rule_id", "severity")), "rule_id", "left").withColumn("severity_rank", rank_of(F.col("severity"), SEVERITIES))
+    return rows.orderBy("severity_rank", F.desc("matches"), "rule_id")
+
+
+def first_disclosures(calls: DataFrame, text: Column, order: list[str], most: int = 50) -> DataFrame:
+    """The first `most` distinct texts of matched calls to servers' tools, in the order in which they came."""
+    own = calls.where((F.size("matches") > 0) & F.col("tool").startswith("mcp__")).withColumn("disclosure", F.concat("tool", F.lit("  "), text))
+    first = own.where("disclosure is not null").groupBy("disclosure").agg(F.min(F.struct(*order)).alias("first"))
+    return first.orderBy("first").limit(most).select("disclosure", "first.*")
+
+
+def enforcement(catalog: DataFrame) -> DataFrame:
+    """What is enforced of a catalog with an enabled column: rules, the library's packs and those that are on, the user's own rules."""
+    on, library = F.col("enabled"), F.col("source") == "library"
+    pack = catalog.where(library).groupBy("category").agg(F.bool_or("pack_on").alias("on")).agg(F.count("*").alias("packs"), F.count_if("on").alias("packs_on"))
+    rules = catalog.agg(F.count_if(on).alias("guardrails"), F.count_if(on & ~library).alias("yours"))
+    return rules.withColumns({n: pack.select(n).scalar() for n in ("packs", "packs_on")})
+
+
+def project_count(sessions: DataFrame, agent: str) -> DataFrame:
+    """How many projects sessions belong to: by folder, of sessions that were read, or by working folder, as the app's files tell."""
+    column = {"claude": "project", "cursor": "project", "codex": "cwd"}[agent]
+    return sessions.where(F.col(column).isNotNull()).agg(F.countDistinct(column).alias("projects"))
+
+
+def report_search(rows: DataFrame, needle: str, columns: tuple[str, ...], action: str | None = None, owasp: str | None = None, sort: str = "matches") -> DataFrame:
+    """Rows of a report that hold a text, of one action and one risk id, if given; sorted by matches, severity or rule id."""
+    out = text_search(rows, needle, *columns)
+    if action is not None:
+        out = out.where(F.col("action") == action)
+    if owasp is not None:
+        out = out.where(F.array_contains("owasp", owasp))
+    keys = {"matches": [F.desc("matches"), F.col("rule_id")], "severity": [rank_of(F.col("severity"), SEVERITIES), F.desc("matches"), F.col("rule_id")], "rule": [F.col("rule_id")]}
+    return out.orderBy(*keys[sort])

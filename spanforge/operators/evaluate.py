@@ -6,20 +6,47 @@ plan: nothing is shuffled, and columns that no rule reads are pruned.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.rules import Config, Rule, Spans, enabled, explain_column, rule_column
+from ..plans.rules import Condition, Config, Rule, Spans, condition_column, enabled, explain_column, rule_column
 
 MATCH = "array<struct<rule_id:string,action:string,ord:int>>"
 
 
+def labels_of(rule: Rule) -> tuple[str, ...] | None:
+    """The label globs one of which a call must have for the rule to match; None where the rule doesn't tell."""
+    m = rule.match
+    if named := [c.label for c in m.all_of if c.label is not None]:
+        return (named[0],)
+    if m.any_of and all(c.label is not None for c in m.any_of):
+        return tuple(dict.fromkeys(c.label for c in m.any_of))
+    return None
+
+
 def matches_column(rules: Iterable[Rule], spans: Spans) -> Column:
-    """The matching rules in catalog order."""
-    found = [F.when(rule_column(r, spans), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.action).alias("action"), F.lit(i).alias("ord"))) for i, r in enumerate(rules)]
-    return F.filter(F.array(*found), lambda m: m.isNotNull()).cast(MATCH) if found else F.array().cast(MATCH)
+    """The matching rules in catalog order.
+
+    Rules that need one of the same labels stand behind one test of the label, so a call's text is held only against
+    the rules of its tool; that changes no result.
+    """
+    groups: dict[tuple[str, ...] | None, list[Column]] = {}
+    for i, r in enumerate(rules):
+        hit = F.when(rule_column(r, spans), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.action).alias("action"), F.lit(i).alias("ord")))
+        groups.setdefault(labels_of(r), []).append(hit)
+    none, parts = F.array().cast(MATCH), []
+    for labels, hits in groups.items():
+        own = F.filter(F.array(*hits), lambda m: m.isNotNull()).cast(MATCH)
+        if labels is not None:
+            fits = functools.reduce(lambda a, b: a | b, [condition_column(Condition(label=x), spans) for x in labels])
+            own = F.when(F.coalesce(fits, F.lit(False)), own).otherwise(none)
+        parts.append(own)
+    if not parts:
+        return none
+    return parts[0] if len(parts) == 1 else F.array_sort(F.concat(*parts), lambda a, b: a["ord"] - b["ord"])
 
 
 def first_of(matches: Column, action: str) -> Column:
@@ -88,7 +115,8 @@ def listed(catalog: DataFrame, config: Config, packs: Iterable[str] = (), owasp:
     """The catalog with an enabled column, filtered by pack, by OWASP id and by only = 'enabled' or 'disabled'."""
     off = F.col("category").isin(*config.disabled_packs) if config.disabled_packs else F.lit(False)
     off = off | F.col("rule_id").isin(*config.disabled_rules) if config.disabled_rules else off
-    out = catalog.withColumn("enabled", ~off)
+    pack_on = ~F.col("category").isin(*config.disabled_packs) if config.disabled_packs else F.lit(True)
+    out = catalog.withColumns({"enabled": ~off, "pack_on": pack_on})
     packs, owasp = list(packs), list(owasp)
     if packs:
         out = out.where(F.col("category").isin(*packs))

@@ -12,8 +12,8 @@ from ..functions.dialect import PatternError, glob_to_java
 from ..plans.rules import Config, Rule, Spans
 from .evaluate import evaluate
 
-#: Commands and paths of everyday work: a pattern that lets most of them pass would switch a rule off.
-CANARIES = ("ls -la", "git status", "npm test", "rm -rf build", "cat README.md", "src/index.ts", "/etc/hosts", "curl https://example.com")
+# Commands and paths of everyday work. A pattern that lets one of them pass is too broad.
+CANARIES = ("cat README.md", "docs/README.md", "echo hello", "git status", "ls -la", "npm test", "pnpm install", "src/index.ts")
 PLACEHOLDER = re.compile(r"^<[\w -]+>$|^\.{3}$|^(?:todo|example|placeholder|pattern)$", re.IGNORECASE)
 
 
@@ -41,8 +41,8 @@ def lint(rule: Rule) -> list[str]:
     return out
 
 
-def refuse_allow(spark: SparkSession, pattern: str, rule: Rule, most: int = 2) -> str | None:
-    """Why a pattern may not be allowed for a rule; None if it may."""
+def refuse_allow(spark: SparkSession, pattern: str, rule: Rule, block: Iterable[str] = (), most: int = 0) -> str | None:
+    """Why a pattern may not be allowed for a rule; None if it may. block: commands and paths that the rule exists to catch."""
     text = pattern.strip()
     if not text:
         return "empty"
@@ -54,6 +54,9 @@ def refuse_allow(spark: SparkSession, pattern: str, rule: Rule, most: int = 2) -
         java = glob_to_java(text, False)
     except PatternError:
         return "not a pattern"
+    caught = list(block)
+    if caught and (blinded := spark.createDataFrame([(c,) for c in caught], "t string").where(F.col("t").rlike(java)).count()):
+        return f"blinds the rule: {blinded} of {len(caught)} of its own examples would pass"
     rows = spark.createDataFrame([(c,) for c in CANARIES], "t string")
     passed = rows.where(F.col("t").rlike(java)).count()
     if passed > most:
@@ -90,3 +93,23 @@ def scrub_plan(lines: DataFrame, values: DataFrame, mark: str = "<removed>") ->
         left = left | F.contains(F.col("scrubbed"), F.lit(v))
     done = lines.withColumn("scrubbed", out)
     return done.withColumns({"changed": F.col("scrubbed") != F.col("text"), "left": left, "valid": F.try_parse_json("text").isNull() | F.try_parse_json("scrubbed").isNotNull()})
+
+
+def scrub_write(plan: DataFrame, folder: str) -> DataFrame:
+    """Write a plan's scrubbed lines below a new folder, one text file a file, and read back what is left of the values.
+
+    Files are never changed in place: <folder>/file=<name>/part-* hold the lines in their order. Lines that are no JSON
+    any more are a reason not to use the copy; they are counted by file.
+    """
+    plan.select("file", "line", "scrubbed").repartition("file").sortWithinPartitions("file", "line").select("file", F.col("scrubbed").alias("value")).write.partitionBy("file").text(folder)
+    return plan.groupBy("file").agg(F.count("*").alias("lines"), F.count_if("changed").alias("changed"), F.count_if("left").alias("lines_left"), F.count_if(~F.col("valid")).alias("lines_invalid"))
+
+
+def export(rules: Iterable[Rule], disabled: Iterable[str] = ()) -> list[dict]:
+    """Rules as the data that rules_of() reads, without those that are disabled."""
+    off = set(disabled)
+    condition = lambda c: {k: ([{"field": n.field, "op": n.op, "value": n.value} for n in v] if k == "numeric" else list(v) if isinstance(v, tuple) else v) for k, v in vars(c).items() if v not in (None, ())}
+    return [
+        {"id": r.id, "category": r.category, "severity": r.severity, "defaultAction": r.action, "title": r.title, "description": r.description, "owasp": list(r.owasp), "match": {g: [condition(c) for c in own] for g in ("all_of", "any_of", "none_of") if (own := getattr(r.match, g))}}
+        for r in rules if r.id not in off
+    ]

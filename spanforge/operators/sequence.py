@@ -56,30 +56,40 @@ def result_join(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFr
     return calls.join(results.dropDuplicates(keys), keys, "left")
 
 
-def dedupe_window(log: DataFrame, key: list[str], order: list[str], ts: str, millis: int = 3000, call_id: str | None = None, within: list[str] | None = None) -> DataFrame:
-    """Drop a record that repeats the record just before it within `millis` (inclusive), or at any age with one call id.
+def dedupe_window(log: DataFrame, key: list[str], order: list[str], ts: str, millis: int = 3000, call_id: str | None = None, within: list[str] = ("log",)) -> DataFrame:
+    """Drop a record that repeats its log's last kept record within `millis` (inclusive) of that, or at any age with one call id.
 
-    Only neighbours are compared: A B A keeps all three. within: columns of independent logs.
+    Records of another key in between end a run of repeats: A B A keeps all three. A run's kept records are found by one
+    fold over its times. within: columns of independent logs, of which each is one task's (a log is one machine's file of
+    a bounded size).
     """
-    w = Window.partitionBy(*(within or [F.lit(0)])).orderBy(*order)
+    w = Window.partitionBy(*within).orderBy(*order)
     same = F.lit(True)
-    for k in key:
+    for k in [*key, *([call_id] if call_id else [])]:
         same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
-    t = F.col(ts).cast("timestamp")
-    age = F.unix_millis(t) - F.unix_millis(F.lag(t).over(w))
-    near = age <= millis
-    if call_id:
-        near = near | (F.col(call_id).isNotNull() & (F.col(call_id) == F.lag(call_id).over(w)))
-    first = F.row_number().over(w) == 1
-    return log.withColumn("__drop", ~first & same & F.coalesce(near, F.lit(False))).where(~F.col("__drop")).drop("__drop")
-
-
-def compact_log(log: DataFrame, order: list[str], size: Column, ts: str, now: Column, most: int = 1 << 20, target: int = 512 << 10, days: int = 30, within: list[str] | None = None) -> DataFrame:
+    begins = (F.row_number().over(w) == 1) | ~same
+    runs = log.withColumns({"__at": F.unix_millis(F.col(ts).cast("timestamp")), "__n": F.row_number().over(w), "__begins": begins})
+    runs = runs.withColumn("__run", F.sum(F.col("__begins").cast("long")).over(w))
+    alone = runs.where("__begins" if not call_id else f"__begins or `{call_id}` is null")
+    # the rest of each run: times from its first record on, folded to the numbers of those kept
+    first = lambda acc, x: F.when(F.coalesce(x["t"] - acc["t"] > millis, F.lit(True)), F.struct(x["t"].alias("t"), F.concat(acc["kept"], F.array(x["n"])).alias("kept"))).otherwise(acc)
+    times = F.array_sort(F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__at").alias("t"))))
+    timed = runs if not call_id else runs.where(f"`{call_id}` is null")
+    folded = timed.groupBy(*within, "__run").agg(times.alias("x")).where("size(x) > 1")
+    start = F.struct(F.get("x", F.lit(0))["t"].alias("t"), F.array(F.get("x", F.lit(0))["n"]).alias("kept"))
+    kept = folded.select(*within, F.explode(F.aggregate(F.slice("x", 2, F.size("x")), start, first)["kept"]).alias("__n"))
+    # a run's first record is kept anyway; of records with ids only that
+    more = runs.where("not __begins").join(kept, [*within, "__n"], "left_semi")
+    own = alone.where("__begins")
+    return own.select(*log.columns).union(more.select(*log.columns))
+
+
+def compact_log(log: DataFrame, order: list[str], size: Column, ts: str, now: Column, most: int = 1 << 20, target: int = 512 << 10, days: int = 30, within: list[str] = ("log",)) -> DataFrame:
     """A log above `most` bytes keeps its newest records up to `target` bytes that are at most `days` old, in order.
 
     The newest records end at the first that doesn't fit any more. Records without a readable time go in a compaction.
     """
-    by = within or [F.lit(0)]
+    by = list(within)
     newest = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     rows = log.withColumn("__size", size)
     rows = rows.withColumn("__all", F.sum("__size").over(Window.partitionBy(*by))).withColumn("__sum", F.sum("__size").over(newest))

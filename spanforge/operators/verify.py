@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import shell
+from ..functions import readers, shell
 
 
 def tally(calls: DataFrame, *keys: str) -> DataFrame:
@@ -41,17 +41,20 @@ def judged(calls: DataFrame, pattern: str) -> DataFrame:
     return own.withColumns({"v": v, "hiding": shell.hiding("full_command")}).select("*", "v.state", "v.why").drop("v")
 
 
+def _commands(calls: DataFrame) -> DataFrame:
+    return calls.select(shell.executed("full_command")["text"].alias("executed")).withColumn("commands", shell.commands("executed"))
+
+
 def dependencies(calls: DataFrame) -> DataFrame:
     """Installs and lock-file restores by package manager."""
-    each = calls.select(F.explode(shell.installed(F.col("full_command"))).alias("i"))
-    return each.groupBy("i.manager").agg(F.count_if(~F.col("i.restore")).alias("installs"), F.count_if("i.restore").alias("restores"))
+    each = _commands(calls).select(F.explode(readers.installs(F.col("commands"))).alias("x")).select(F.split("x", ":").alias("p"))
+    return each.groupBy(F.col("p")[1].alias("manager")).agg(F.count_if(F.col("p")[0] == "install").alias("installs"), F.count_if(F.col("p")[0] == "restore").alias("restores"))
 
 
 def traffic(calls: DataFrame) -> DataFrame:
     """Uploads and tunnels of what is executed, by kind, and whether they leave the machine."""
-    seen = calls.select(shell.executed("full_command")["text"].alias("text"))
-    each = seen.select(F.explode(shell.sent(F.col("text"))).alias("e"))
-    return each.groupBy("e.kind").agg(F.count_if("e.local").alias("local"), F.count_if(~F.col("e.local")).alias("leaving"))
+    each = _commands(calls).select(F.explode(readers.traffic(F.col("commands"))).alias("x")).select(F.split(F.regexp_replace("x", "^upload:", ""), ":").alias("p"))
+    return each.groupBy(F.col("p")[0].alias("kind")).agg(F.count_if(F.col("p")[1] == "local").alias("local"), F.count_if(F.col("p")[1] == "leaving").alias("leaving"))
 
 
 def check(calls: DataFrame, pattern: str, review: bool = True) -> DataFrame:

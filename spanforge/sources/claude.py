@@ -89,7 +89,30 @@ def parse(rows: DataFrame) -> Sessions:
     return Sessions(sessions.join(spine, "session_key", "left_semi"), turns, uses, results, prompts, sessions.join(spine, "session_key", "left_anti"))
 
 
+SNIFFED = 40  # lines that are looked at for a session's identity
+
+
+def inventory(rows: DataFrame) -> DataFrame:
+    """Every main transcript (project, session_key, file) with session_id, version, git_branch and cwd of its first lines, and its non-blank lines.
+
+    A bounded look: only the first SNIFFED lines of a file are parsed, all are counted.
+    """
+    parts = F.split("file", "/")
+    own = rows.where((F.element_at(parts, -2) != "subagents") & (F.trim("text") != "")).withColumn("record", F.when(F.col("line") < SNIFFED, F.try_parse_json("text")))
+    own = own.withColumns({"project": F.element_at(parts, -2), "session_key": F.regexp_replace(F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)), r"\.jsonl$", "")})
+    named = [first_by_line(text_at(f"$.{f}")).alias(n) for f, n in (("sessionId", "session_id"), ("version", "version"), ("gitBranch", "git_branch"), ("cwd", "cwd"))]
+    return own.groupBy("project", "session_key", "file").agg(*named, F.count("*").alias("messages"))
+
+
 def in_project(sessions: DataFrame, root: str) -> DataFrame:
-    """Sessions with in_project: true, false, or null where the working folder is unknown."""
-    root = root.rstrip("/")
-    return sessions.withColumn("in_project", (F.col("cwd") == root) | F.startswith("cwd", F.lit(root + "/")))
+    """Sessions with in_project: true, false, or null where the working folder is unknown. A .. that leads out of the root is outside."""
+    root = root.rstrip("/") or "/"
+    inside = (F.col("cwd") == root) | F.startswith("cwd", F.lit(root.rstrip("/") + "/"))
+    climbs = F.col("cwd").rlike(r"(?:^|/)\.\.(?:/|$)")
+    return sessions.withColumn("in_project", F.when(F.col("cwd").isNotNull(), inside & ~climbs))
+
+
+def scope_counts(sessions: DataFrame, root: str) -> DataFrame:
+    """One row: sessions of a project, of others, and of an unknown working folder."""
+    own = in_project(sessions, root)
+    return own.agg(F.count_if("in_project").alias("in_scope"), F.count_if(~F.col("in_project")).alias("excluded_other_project"), F.count_if(F.col("in_project").isNull()).alias("excluded_unknown_cwd"))

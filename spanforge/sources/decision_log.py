@@ -17,7 +17,12 @@ def read(spark: SparkSession, path: str, last: int | None = 500) -> DataFrame:
 
     The tail is taken first, so bad lines within it are not made up for by older ones.
     """
-    rows = lines(spark, path, "*").where(F.trim("text") != "")
+    return parse(lines(spark, path, "*"), last)
+
+
+def parse(rows: DataFrame, last: int | None = 500) -> DataFrame:
+    """As read, of a log's lines (line, text)."""
+    rows = rows.where(F.trim("text") != "")
     rows = (tail(rows, last) if last else rows).select("line", F.from_json("text", SCHEMA).alias("r")).select("line", "r.*")
     valid = rows.where("ruleId is not null and agent is not null and decision in ('allow', 'ask', 'deny')")
     return valid.select("line", "ts", "tool", "decision", F.col("ruleId").alias("rule_id"), "command", "agent")

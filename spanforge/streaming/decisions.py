@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,33 +19,69 @@ def evaluate_stream(spans: DataFrame, catalog: Iterable[Rule], config: Config |
     return evaluate(spans, catalog, config, columns)
 
 
+MARKS = 30 * 24 * 3_600_000  # how long a log's or project's mark is kept, in milliseconds
+
+
+def _millis(times: pd.Series) -> np.ndarray:
+    return pd.to_datetime(times).astype("datetime64[ms]").astype("int64").to_numpy()
+
+
 def dedupe_stream(records: DataFrame, log: str, key: str, ts: str, millis: int = 3000) -> DataFrame:
-    """Drop a record that repeats its log's previous record within millis (inclusive).
+    """Drop a record that repeats its log's last kept record within millis (inclusive).
 
-    The state of a log is its last key and time. Records of a micro-batch are taken in the order of their time.
+    The state of a log is its last key and time, and goes when the watermark (one minute) is 30 days on. Records of a
+    micro-batch are taken in the order of their time; runs of one key are looked at as a whole.
     """
     schema = records.schema
 
     def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_key, last_at = state.get if state.exists else (None, None)
         rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        keep = []
-        for k, t in zip(rows[key], rows[ts], strict=True):
-            at = int(pd.Timestamp(t).value // 1_000_000)
-            repeats = last_at is not None and k == last_key and 0 <= at - last_at <= millis
-            keep.append(not repeats)
-            if not repeats:
-                last_key, last_at = k, at
+        keys, at = rows[key].to_numpy(), _millis(rows[ts])
+        keep = np.zeros(len(rows), bool)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            i = a
+            if last_at is not None and keys[a] == last_key:  # what the last kept record covers
+                i = a + int(np.searchsorted(at[a:b], last_at + millis, side="right"))
+            while i < b:
+                keep[i] = True
+                last_key, last_at = keys[i], int(at[i])
+                i = a + int(np.searchsorted(at[a:b], last_at + millis, side="right"))
         state.update((last_key, last_at))
+        state.setTimeoutTimestamp(max(last_at, state.getCurrentWatermarkMs()) + MARKS)
         yield rows[keep]
 
-    return records.groupBy(log).applyInPandasWithState(step, schema, "last_key string, last_at long", "append", GroupStateTimeout.NoTimeout)
+    return records.withWatermark(ts, "1 minute").groupBy(log).applyInPandasWithState(step, schema, "last_key string, last_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once_an_hour(records: DataFrame, project: str, ts: str, hours: int = 1) -> DataFrame:
-    """One record a project and hour: later ones of the hour are dropped, late data up to an hour is waited for."""
-    hour = F.window(ts, f"{hours} hours")["start"]
-    return records.withWatermark(ts, f"{hours} hours").withColumn("__hour", hour).dropDuplicatesWithinWatermark([project, "__hour"]).drop("__hour")
+    """One record a project in each hour from the last one that was kept: 10:59 and 11:01 are one hour's.
+
+    The state is the time of the last kept record, and goes after 30 days.
+    """
+    schema, apart = records.schema, hours * 3_600_000
+
+    def step(_, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        at, kept = _millis(rows[ts]), []
+        i = 0 if last is None else int(np.searchsorted(at, last + apart, side="left"))
+        while i < len(at):  # one step for each record that stays
+            kept.append(i)
+            last = int(at[i])
+            i = int(np.searchsorted(at, last + apart, side="left"))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + MARKS)
+        yield rows.iloc[kept]
+
+    return records.withWatermark(ts, "1 minute").groupBy(project).applyInPandasWithState(step, schema, "last_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(records: DataFrame, ts: str, decision: str, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -53,6 +90,18 @@ def windowed_counts(records: DataFrame, ts: str, decision: str, width: str = "1
     return records.withWatermark(ts, late).groupBy(by, decision).agg(F.count("*").alias("n"))
 
 
-def append_log(records: DataFrame, folder: str, checkpoint: str):
-    """Write decisions as JSON lines as they come; the file sink's own log makes each file count once."""
-    return records.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
+def append_log(records: DataFrame, folder: str, checkpoint: str, command: str | None = "command"):
+    """Write decisions as JSON lines as they come, their commands scrubbed; the file sink's own log makes each file count once."""
+    from ..functions.redact import scrub
+
+    own = records.withColumn(command, scrub(command)["text"]) if command else records
+    return own.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def payload_calls(payloads: DataFrame, text: str = "value") -> DataFrame:
+    """Hook payloads (JSON text) with the app that sent them and their calls; what is no object is left out. For streams and tables."""
+    from ..operators.mapping import agent_of, cursor_candidates
+
+    own = payloads.withColumn("payload", F.try_parse_json(text)).where(F.schema_of_variant("payload").startswith("OBJECT"))
+    own = own.withColumn("agent", agent_of(F.col("payload")))
+    return own.withColumn("candidates", F.when(F.col("agent") == "cursor", cursor_candidates(F.col("payload"))))

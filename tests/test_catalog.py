@@ -44,6 +44,7 @@ def test_rule_admin(spark):
     assert len(a.lint(bad)) == 4
     rule = next(r for r in CATALOG if r.id == "require-approval-rm-rf")
     assert a.refuse_allow(spark, "rm -rf dist*", rule) is None
+    assert "blinds" in a.refuse_allow(spark, "rm -rf /srv/*", rule, ["rm -rf /srv/app", "rm x"])
     assert [a.refuse_allow(spark, p, rule) is not None for p in ("", "<pattern>", "**", "*", "rm <path>")] == [True] * 5
     wrong = a.check_fixtures(spark, rule, [{"tool": "Bash", "command": "rm -rf x"}, {"tool": "Bash", "command": "ls"}], [{"tool": "Read", "file_path": "x"}]).collect()
     assert [(r["command"], r["must"], r["matched"]) for r in wrong] == [("ls", True, False)]

@@ -88,9 +88,31 @@ def test_streams(spark, tmp_path):
         return spark.table(name)
 
     assert run(decisions.dedupe_stream(src(), "log", "key", "ts"), "dedupe").count() == 4
+    hours = [("p", "2026-01-01 10:59:00"), ("p", "2026-01-01 11:01:00"), ("p", "2026-01-01 11:59:00"), ("p", "2026-01-01 12:58:59"), ("q", "2026-01-01 11:01:00")]
+    spark.createDataFrame(hours, "project string, ts string").select("project", F.to_timestamp("ts").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "hours"))
+    late = decisions.once_an_hour(spark.readStream.schema("project string, ts timestamp").parquet(str(tmp_path / "hours")), "project", "ts")
+    assert sorted((r["project"], str(r["ts"])[11:16]) for r in run(late, "hourly").collect()) == [("p", "10:59"), ("p", "11:59"), ("q", "11:01")]
+    logged = decisions.append_log(src().withColumn("command", F.concat(F.lit("mail a.b@c.org "), "key")), str(tmp_path / "log-out"), str(tmp_path / "log-cp")).trigger(availableNow=True).start()
+    logged.awaitTermination(60)
+    assert {r["command"] for r in spark.read.json(str(tmp_path / "log-out")).collect()} == {"mail <email> a", "mail <email> b"}
     from spanforge.plans.rules import Spans
 
     spans = Spans(kind="'execute_tool'", label="key", detail="log", mcp_input=None, file_path=None, agent=None, project=None, tokens=None, cached_tokens=None, duration_ms=None)
     out = decisions.evaluate_stream(src(), [Rule("r", Match(any_of=(Condition(label="a"),)), action="block")], columns=spans)
     assert run(out.select("decision"), "evaluated").where("decision = 'deny'").count() == 4
     assert run(decisions.windowed_counts(src(), "ts", "key"), "counts", "complete").where("key = 'a'").first()["n"] == 4
+
+
+def test_report_sinks_and_scrubbed_copies(spark, tmp_path):
+    from spanforge.operators import rule_admin
+    from spanforge.sources import report
+
+    rows = spark.range(3).withColumn("name", F.lit("x"))
+    report.write_tables({"a": rows, "b": rows.limit(0)}, str(tmp_path / "tables"))
+    assert spark.read.parquet(str(tmp_path / "tables" / "a")).count() == 3 and spark.read.parquet(str(tmp_path / "tables" / "b")).count() == 0
+    assert json.loads(report.document({"a": rows.limit(1)})) == {"a": [{"id": 0, "name": "x"}]}
+    lines = spark.createDataFrame([("f1", 0, '{"k":"old"}'), ("f1", 1, "old text"), ("f2", 0, "none")], "file string, line int, text string")
+    plan = rule_admin.scrub_plan(lines, spark.createDataFrame([("old",)], "value string"))
+    counts = {r["file"]: (r["lines"], r["changed"], r["lines_left"], r["lines_invalid"]) for r in rule_admin.scrub_write(plan, str(tmp_path / "copy")).collect()}
+    assert counts == {"f1": (2, 2, 0, 0), "f2": (1, 0, 0, 0)}
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "copy" / "file=f1")).collect()] == ['{"k":"<removed>"}', "<removed> text"]
