@@ -374,3 +374,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document, for three words and 90 of 100; a text without words has 0 shingles and is alone."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=90, den=100)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+g AS MATERIALIZED (SELECT min(doc_id) AS doc_id, list_sort(s) AS s, list(doc_id) AS own FROM s WHERE len(s) > 0 GROUP BY 2),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT doc_id AS a, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = g.doc_id), doc_id)) AS component, own FROM g),
+m AS (SELECT unnest(own) AS doc_id, component FROM c)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(m.component, doc_id) AS component_id FROM s LEFT JOIN m USING (doc_id)
+"""

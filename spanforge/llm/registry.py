@@ -7,10 +7,10 @@ from .bpe import op10_bpe_encoding_and_decoding
 from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op4_mixing_sources
-from .ngram_join import op7_ngram_jaccard_join
+from .ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from .quality import op3_quality_classifier
 from .sharding import op5_sharding
-from .suffix_dedup import op9_suffix_array_dedup
+from .suffix_dedup import OP9_SQL, op9_suffix_array_dedup
 from .token_counts import op1_token_counts
 
 
@@ -30,4 +30,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_embedding_near_dedup": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_suffix_array_dedup": OP9_SQL}

@@ -378,3 +378,20 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, for strings of 100 bytes; a null text has no bytes."""
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows are told apart by 128 bits of their digest.
+OP9_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, greatest(0, len(h) // 2 - 99))) AS i, h FROM t),
+w AS MATERIALIZED (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS x FROM p),
+f AS (SELECT x, min((doc_id, i)) AS first FROM w GROUP BY x),
+d AS (SELECT w.doc_id, w.i FROM w JOIN f USING (x) WHERE (w.doc_id, w.i) <> f.first),
+b AS (SELECT doc_id, i, CASE WHEN i > max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100 THEN 1 ELSE 0 END AS new FROM d),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM r GROUP BY doc_id, run),
+g AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM s GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(list_sum(z) - list_sum(a), 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE z[k] END) + 1, 2 * ((CASE WHEN k = len(a) THEN len(h) // 2 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE z[k] END)))), '') END)) AS kept_sha256
+FROM t LEFT JOIN g USING (doc_id)
+"""

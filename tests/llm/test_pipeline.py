@@ -33,6 +33,36 @@ def test_stages(spark):
     assert at.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
+    """Empty tables end as empty tables; null texts and ids and repeated ids go through, and one row of a group of copies stays."""
+    import corpus_pipeline as c
+
+    docs, labels = (spark.read.parquet(f"{DIR}/{n}.parquet") for n in ("documents", "labels"))
+    for name, rows in (("empty", docs.limit(0)), ("odd", spark.createDataFrame([(None, "a b c d e f g", None, None, None), (3, "a b c d e f g", "en", "s", 1), (3, "a b c d e f g", "en", "s", 1), (3, "other words that are not in there", "en", "s", 1), (None, None, None, None, None), (4, "", "en", "s", 0)], docs.schema))):
+        for k, (table, own) in enumerate({"documents": rows, "labels": labels.limit(0) if name == "empty" else labels.unionByName(labels.limit(3)).union(spark.createDataFrame([(None, None, None)], labels.schema))}.items()):
+            own.write.parquet(f"file://{tmp_path}/{name}/{table}.parquet")
+        out = c.run(spark, f"file://{tmp_path}/{name}").collect()
+        if name == "empty":
+            assert out == []
+        else:
+            near = c.ngram_jaccard_join(spark, rows, "").collect()
+            assert sorted(str(r["text"]) for r in near) == ["", "None", "a b c d e f g", "other words that are not in there"]
+            assert next(r["doc_id"] for r in near if r["text"] == "a b c d e f g") is None  # ids sort nulls first
+
+
+def test_results_equal_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        df = registry.queries()[name](spark, DIR)
+        rel = con.execute(sql)
+        order = [[d[0] for d in rel.description].index(c) for c in df.columns]
+        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in order) for r in rel.fetchall()), name
+
+
 def test_contract_columns(spark):
     want = {
         "op2_embedding_near_dedup": ["vec_id", "n_links", "component_id", "kept"], "op6_approximate_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
