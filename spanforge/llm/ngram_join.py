@@ -2,12 +2,14 @@
 
 Rows of the matrix are distinct n-gram sets (documents with one set are one row), columns are n-grams.
 
-1.  A first scan gives each document's set size and the digest of its set, and a table of column counts: 2**21
-    counters that hashed columns share, so of one size for any corpus.
-2.  Two sets with Jaccard >= t overlap in at least t times the larger size, so they share one of the
-    |A| - ceil(t |A|) + 1 rarest columns of each (rarest by the shared table; any common order will do). Only these
-    entries of the matrix are dealt out, by column. A column that the counters call long is cut into slices, with
-    a few of its rows as pivots in every slice.
+1.  A set of a linked pair shares at least t times its size with another one. So a set of which more than
+    |A| - ceil(t |A|) columns are nobody else's links with nothing. Column blocks count, exactly, which of a part of the
+    columns (TESTED times as many as needed, by the column's hash) have one row only; sets that are cleared by these
+    are done. What is left (near copies, sets of common n-grams, short ones) is written once, as rows of the matrix.
+2.  Of these, a table of column counts: 2**21 counters that hashed columns share, so of one size for any corpus. Two
+    sets with Jaccard >= t share one of the |A| - ceil(t |A|) + 1 rarest columns of each (rarest by the shared table; any
+    common order will do). Only these entries of the matrix are dealt out, by column. A column that the counters call
+    long is cut into slices, with a few of its rows as pivots in every slice.
 3.  Each column block accumulates, for every row, its overlap counts with its column's head and its neighbour by
     size. The best partners of a row are verified by the full product: exact overlaps of whole sets.
 4.  Columns whose rows are then in one component are done. In the others, every pair of rows of different
@@ -29,13 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom
-from .common import blocks_for, mix64, save, trimmed
+from .common import blocks_for, mix64, save, trim, trimmed
 from .components import components
 from .text_hash import sets as sets_of
 
 LOG_COUNTERS = 21
 SLICE = 2048  # rows of a column slice, about
 PIVOTS = 32
+TESTED = 2.5  # how many times the columns that clear a set are tested
 
 
 # -- sets ------------------------------------------------------------------------------------------------------
@@ -48,27 +51,166 @@ def digest_of(s: np.ndarray) -> int:
 
 def _scan(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << LOG_COUNTERS, np.int64)
         for b in batches:
-            size, name, pending, waiting = [], [], [], 0
+            size, name = [], []
             for s in sets_of(b.column(1), n):
                 size.append(len(s))
                 name.append(digest_of(s) if len(s) else None)
-                pending.append((s >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64))
-                waiting += len(s)
-                if waiting > 1 << 22:
-                    counts += np.bincount(np.concatenate(pending), minlength=len(counts))
-                    pending, waiting = [], 0
-            if pending:
-                counts += np.bincount(np.concatenate(pending), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64()), pa.nulls(len(size), pa.int64()), pa.nulls(len(size), pa.binary())], ["doc_id", "n_shingles", "name", "part", "counts"])
-        for i, part in enumerate(np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), 16)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["doc_id", "n_shingles", "name", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(name, pa.int64())], ["doc_id", "n_shingles", "name"])
 
     return trimmed(run)
 
 
+# -- columns of one row --------------------------------------------------------------------------------------------
+
+HELD = 1 << 22  # tested columns that a task packs at once
+NOBODY = np.int64(-(2**63))
+
+
+def _tested(n: int, share: float, blocks: int):
+    """The tested columns of distinct sets, by block: names of rows, how many columns each has here, and the columns.
+
+    A column of several of the rows at hand is nobody's own: it goes once, without a row, however frequent it is.
+    """
+    limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
+
+    def packed(sets: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
+        own = [c[c <= limit] for c in (mix64(s, 21) for s in sets)]
+        c, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        if not len(c):
+            return
+        block, rest = ((c & np.uint64(0xFFFFFFFF)) % np.uint64(blocks)).astype(np.int64), (c >> np.uint64(32)).astype(np.uint32)
+        order = np.lexsort((rest, block))
+        c = c[order]
+        same = c[1:] == c[:-1]
+        alone = ~(np.append(same, False) | np.insert(same, 0, False))
+        once = order[np.insert(~same, 0, True) & ~alone]  # one of each shared column
+        alone = order[alone]
+        alone = alone[np.lexsort((row[alone], block[alone]))]
+        names = np.array(names, np.int64)
+        out = []
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(block[alone]) != 0, [True]])) if len(alone) else np.zeros(1, int)
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            at = alone[i:j]
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(row[at]) != 0]))
+            out.append((int(block[at[0]]), names[row[at[begins]]].tobytes(), np.diff(np.append(begins, len(at))).astype(np.uint32).tobytes(), rest[at].tobytes()))
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(block[once]) != 0, [True]])) if len(once) else np.zeros(1, int)
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            out.append((int(block[once[i]]), NOBODY.tobytes(), np.array([j - i], np.uint32).tobytes(), rest[once[i:j]].tobytes()))
+        v = list(zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(v[0], pa.int64()), *(pa.array(x, pa.binary()) for x in v[1:])], ["block", "names", "counts", "columns"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, names, seen, size = [], [], set(), 0
+            for s in sets_of(b.column(0), n):
+                if not len(s) or (name := digest_of(s)) in seen:
+                    continue
+                seen.add(name)
+                sets.append(s)
+                names.append(name)
+                size += len(s)
+                if size * share > HELD:
+                    yield from packed(sets, names)
+                    sets, names, size = [], [], 0
+            if sets:
+                yield from packed(sets, names)
+            trim()
+
+    return trimmed(run)
+
+
+def _own_columns(blocks: int):
+    """Of a block's columns, how many of one row each row has, by shard of names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, counts, columns = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("names", np.int64), ("counts", np.uint32), ("columns", np.uint32)))
+        each = np.repeat(names, counts)
+        order = np.lexsort((each, columns))
+        columns, each = columns[order], each[order]
+        new = np.concatenate([[True], (columns[1:] != columns[:-1]) | (each[1:] != each[:-1])])  # copies of one set are one row
+        columns, each = columns[new], each[new]
+        first = np.concatenate([[True], columns[1:] != columns[:-1]])
+        own = each[first & np.append(first[1:], True)]
+        own, n = np.unique(own[own != NOBODY], return_counts=True)
+        shard = (mix64(own.view(np.uint64), 22) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        own, n, shard = own[order], n[order].astype(np.uint32), shard[order]
+        cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(own) else np.zeros(1, int)
+        rows = [(int(shard[i]), own[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        v = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        trim()
+        return pa.table({"shard": pa.array(v[0], pa.int64()), "names": pa.array(v[1], pa.binary()), "counts": pa.array(v[2], pa.binary())})
+
+    return run
+
+
+def _own_totals(table: pa.Table) -> pa.Table:
+    names, counts = (np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()]) for c, k in (("names", np.int64), ("counts", np.uint32)))
+    name, at = np.unique(names, return_inverse=True)
+    return pa.table({"name": pa.array(name), "own": pa.array(np.bincount(at, counts).astype(np.int64))})
+
+
+def open_names(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int, blocks: int) -> DataFrame:
+    """name of the distinct sets that columns of their own don't clear."""
+    share = min(1.0, TESTED * (1 - num / den))
+    tested = texts.mapInArrow(_tested(n, share, blocks), "block long, names binary, counts binary, columns binary")
+    parts = tested.groupBy("block").applyInArrow(_own_columns(blocks), "shard long, names binary, counts binary")
+    own = parts.groupBy("shard").applyInArrow(_own_totals, "name long, own long")
+    least = F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den) + 1
+    distinct = rows.where("name is not null").groupBy("name").agg(F.max("n_shingles").alias("n_shingles"))
+    return distinct.join(own, "name", "left").where(F.coalesce("own", F.lit(0)) < least).select("name")
+
+
+def _rows_of(n: int, wanted):
+    """name and members of the distinct sets that a Bloom filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = Bloom(wanted.value), set()
+        for b in batches:
+            names, out, held = [], [], []
+            for s in sets_of(b.column(0), n):
+                if len(s):
+                    held.append(s)
+                if len(held) == 1024:
+                    _keep(bits, seen, held, names, out)
+                    held = []
+            _keep(bits, seen, held, names, out)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], ["name", "members"])
+
+    return trimmed(run)
+
+
+def _keep(bits: Bloom, seen: set, held: list[np.ndarray], names: list[int], out: list[bytes]) -> None:
+    own = [digest_of(s) for s in held]
+    if own:
+        for d, s, yes in zip(own, held, bits.has(np.array(own, np.int64).view(np.uint64)), strict=True):
+            if yes and d not in seen:
+                seen.add(d)
+                names.append(d)
+                out.append(s.tobytes())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared counters of the columns of rows (members)."""
+    counts = np.zeros(1 << LOG_COUNTERS, np.int64)
+    for b in batches:
+        at, size = [], 0
+        for x in b.column(0):
+            s = np.frombuffer(x.as_buffer(), np.uint64)
+            at.append((s >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64))
+            size += len(s)
+            if size > 1 << 22:
+                counts += np.bincount(np.concatenate(at), minlength=len(counts))
+                at, size = [], 0
+        if at:
+            counts += np.bincount(np.concatenate(at), minlength=len(counts))
+    for i, part in enumerate(np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), 16)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
+
+
 def _add(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist())
     return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
@@ -77,21 +219,19 @@ def _add(table: pa.Table) -> pa.Table:
 # -- the columns that decide ------------------------------------------------------------------------------------
 
 
-def _slices(count: np.ndarray) -> np.ndarray:
-    return np.maximum(1, -(-count.astype(np.int64) // SLICE))
+def _slices(count: np.ndarray, rows: int) -> np.ndarray:
+    return np.maximum(1, -(-count.astype(np.int64) // rows))
 
 
-def _entries(n: int, num: int, den: int, blocks: int, counters):
-    """Packed entries (column, row, size) of every set's rarest columns, by block of columns and slice."""
+def _entries(num: int, den: int, blocks: int, counters, slice_rows: int):
+    """Packed entries (column, row, size) of every row's rarest columns, by block of columns and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.frombuffer(counters.value, np.uint32)
         for b in batches:
-            cols, rows, sizes, seen = [], [], [], set()
-            for s in sets_of(b.column(0), n):
-                if not len(s) or (name := digest_of(s)) in seen:
-                    continue
-                seen.add(name)
+            cols, rows, sizes = [], [], []
+            for name, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
                 c = count[(s >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)]
                 k = len(s) - -(-num * len(s) // den) + 1
                 s = s[np.lexsort((s, c))[:k]]
@@ -101,15 +241,15 @@ def _entries(n: int, num: int, den: int, blocks: int, counters):
             if not cols:
                 continue
             c, r, z = map(np.concatenate, (cols, rows, sizes))
-            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)])
+            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)], slice_rows)
             h = mix64(r.view(np.uint64), 5)
             part = (h % cut.astype(np.uint64)).astype(np.int64)
-            pivot = np.flatnonzero((cut > 1) & ((mix64(h, 6) >> np.uint64(32)).astype(np.int64) < PIVOTS * 2**32 // (cut * SLICE)))
+            pivot = np.flatnonzero((cut > 1) & ((mix64(h, 6) >> np.uint64(32)).astype(np.int64) < PIVOTS * 2**32 // (cut * slice_rows)))
             if len(pivot):  # a few rows of a long column go to all its slices
                 more = np.repeat(pivot, cut[pivot])
                 into = np.concatenate([np.arange(x) for x in cut[pivot]])
                 c, r, z, part = np.concatenate([c, c[more]]), np.concatenate([r, r[more]]), np.concatenate([z, z[more]]), np.concatenate([part, into])
-            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)])
+            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)], slice_rows)
             block = ((mix64(c, 7) + part.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             c, r, z, part, block = c[order], r[order], z[order], part[order] | (cut[order] == 1).astype(np.int64) << 31, block[order]
@@ -178,36 +318,9 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
 
 
-def _sets(n: int, wanted, whole: bool):
-    """name and members, or name and sketch, of the distinct sets that a Bloom filter lets through."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = Bloom(wanted.value), set()
-
-        def packed(some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            names = [digest_of(s) for s in some]
-            name, out = [], []
-            for d, s, yes in zip(names, some, bits.has(np.array(names, np.int64).view(np.uint64)), strict=True):
-                if yes and d not in seen:
-                    seen.add(d)
-                    name.append(d)
-                    out.append(s.tobytes() if whole else sketch(s))
-            if name:
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(out, pa.binary())], ["name", "members" if whole else "sketch"])
-
-        for b in batches:
-            some, size = [], 0
-            for s in sets_of(b.column(0), n):
-                if len(s):
-                    some.append(s)
-                    size += len(s)
-                if size > 1 << 20:
-                    yield from packed(some)
-                    some, size = [], 0
-            if some:
-                yield from packed(some)
-
-    return trimmed(run)
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(1)], pa.binary())], ["name", "sketch"])
 
 
 def _product(num: int, den: int):
@@ -230,19 +343,15 @@ def _product(num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, overlap, linked of each distinct pair of names; a row's partners are dealt to several tasks, 1024 to each about.
 
-    Only the sets in question are scanned out of the texts again (a Bloom filter names them), and each travels
-    to the tasks that it is routed to.
+    sets: name and members of every name. Each travels to the tasks that it is routed to.
     """
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1024).cast("int").alias("slices"))
     right = pairs.join(slices, "a").select(F.col("b").alias("name"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("head"))
     left = slices.select(F.col("a").alias("name"), "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("head"))
-    routes = left.union(right)
-    wanted = pairs.sparkSession.sparkContext.broadcast(bloom(routes.select("name")))
-    sets = texts.mapInArrow(_sets(n, wanted, True), "name long, members binary").dropDuplicates(["name"])
-    return sets.join(routes, "name").groupBy("a", "slice").applyInArrow(_product(num, den), "a long, b long, overlap long, linked boolean")
+    return sets.join(left.union(right), "name").groupBy("a", "slice").applyInArrow(_product(num, den), "a long, b long, overlap long, linked boolean")
 
 
 def _near(num: int, den: int, forest: bool):
@@ -300,18 +409,21 @@ def _near(num: int, den: int, forest: bool):
     return run
 
 
-def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, name of the set) of each row, and links between names that connect all linked sets."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    scanned = save(docs.select("doc_id", "text").mapInArrow(_scan(n), "doc_id long, n_shingles long, name long, part long, counts binary"), "sets")
-    rows = scanned.where("part is null").select("doc_id", "n_shingles", "name")
-    parts = {r["part"]: bytes(r["counts"]) for r in scanned.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_add, "part long, counts binary").collect()}
+    rows = save(docs.select("doc_id", "text").mapInArrow(_scan(n), "doc_id long, n_shingles long, name long"), "sets")
+    texts = docs.select("text")
+    open_ = save(open_names(rows, texts, n, num, den, blocks_for(docs, 64 << 20, least=16)), "open")
+    bits = min(28, max(24, (16 * open_.count()).bit_length()))  # 2 to 32 MiB
+    wanted = sc.broadcast(bloom(open_, bits))
+    sets = save(texts.mapInArrow(_rows_of(n, wanted), "name long, members binary").dropDuplicates(["name"]).join(open_, "name", "left_semi"), "rows")
+    parts = {r["part"]: bytes(r["counts"]) for r in sets.select("members").mapInArrow(_counted, "part long, counts binary").groupBy("part").applyInArrow(_add, "part long, counts binary").collect()}
     empty = bytes(4 << LOG_COUNTERS >> 4)
     counters = sc.broadcast(b"".join(parts.get(i, empty) for i in range(16)))  # 8 MiB, whatever the corpus
-    blocks = blocks_for(docs, 8 << 20, least=16)
-    texts = docs.select("text")
-    entries = texts.mapInArrow(_entries(n, num, den, blocks, counters), ENTRIES)
+    blocks = blocks_for(sets, 4 << 20, least=16)
+    entries = sets.mapInArrow(_entries(num, den, blocks, counters, slice_rows), ENTRIES)
     found = save(entries.groupBy("block").applyInArrow(_accumulate(num, den), FOUND), "columns")
     live = found.where("part is not null").select("part", "cols", "rows", "sizes").mapInArrow(_unpack, "col long, part long, name long, size long")
 
@@ -319,15 +431,15 @@ def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, D
     enough = pairs.where(F.col("shared") * 4 >= F.col("size") - F.ceil(F.col("size") * num / den) + 1)
     best = enough.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x"), F.max(F.struct("shared", (-F.col("a")).alias("n"))).alias("y"))
     first = save(best.select(F.explode(F.array_distinct(F.array("x.a", -F.col("y.n")))).alias("a"), "b"), "pairs")
-    links = save(verified(first, texts, n, num, den).where("linked").select("a", "b"), "links")
+    links = save(verified(first, sets, num, den).where("linked").select("a", "b"), "links")
 
     for forest in (True, False):
         comps = components(links)
         tagged = save(live.distinct().join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("component", "name")).select("col", "part", "name", "size", "comp"), "entries")
         open_ = tagged.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("part").alias("last")).where("lo <> hi").select("col", "last")
-        wanted = sc.broadcast(bloom(tagged.join(open_, "col", "left_semi").select("name")))
-        sketches = texts.mapInArrow(_sets(n, wanted, False), "name long, sketch binary").dropDuplicates(["name"])
-        left = tagged.join(open_, "col").join(sketches, "name")
+        asked = tagged.join(open_, "col")
+        sketches = sets.join(asked.select("name").distinct(), "name", "left_semi").mapInArrow(_sketched, "name long, sketch binary")
+        left = asked.join(sketches, "name")
         # slices of a long column meet in pairs; a column of one slice meets itself
         one = left.where("last = 0").select("col", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "name", "size", "comp", "sketch")
         own = F.sequence(F.lit(0), F.col("last"))
@@ -337,7 +449,7 @@ def set_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, D
         near = save(near.distinct(), "near")
         if not near.limit(1).count():
             break
-        tested = save(verified(near.where("a is not null"), texts, n, num, den).select("a", "b", "linked"), "tested")
+        tested = save(verified(near.where("a is not null"), sets, num, den).select("a", "b", "linked"), "tested")
         links = links.union(tested.where("linked").select("a", "b"))
         if not near.where("a is null").limit(1).count() or not tested.where("not linked").limit(1).count():
             break
@@ -355,16 +467,17 @@ def _met(num: int, den: int, forest: bool):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, slice_rows: int = SLICE) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs.
 
     Documents link when den * |intersection| >= num * |union| of their sets of distinct n-word shingles; a
     component_id is the smallest doc_id that links reach. A text of fewer words is one shingle; a null, empty
     or blank text has none and links with nothing. Rows that repeat a doc_id count each as a document; a null
     doc_id stays null and its component is the smallest id in its group, or null. Other columns of docs are
-    left alone and not returned.
+    left alone and not returned. slice_rows bounds the rows of a column that are looked at together and doesn't
+    change the result.
     """
-    rows, links = set_links(docs, n, num, den)
+    rows, links = set_links(docs, n, num, den, slice_rows)
     comps = components(links).select(F.col("node").alias("name"), "component")
     named = rows.join(comps, "name", "left").withColumn("group", F.coalesce("component", "name"))
     least = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
