@@ -14,14 +14,14 @@ together, and no pass's cells, are rare and are counted as distinct rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, unsave
 from .components import components, roots
 from .vectors import valid
 
@@ -46,22 +46,26 @@ def keys(x: np.ndarray, p: int, bits: int) -> np.ndarray:
     return on @ (1 << np.arange(bits + TAIL_BITS - 1, -1, -1, dtype=np.int64))
 
 
-def _floats(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(v, np.float64) for v in column.to_pylist()]
+def _packed(kind: str) -> Callable:
+    """Lists of numbers as bytes."""
+    return F.arrow_udf(lambda column: pa.array([np.asarray(v, np.float64).astype(kind).tobytes() for v in column.to_pylist()], pa.binary()), "binary")
+
+
+KEYED = "pass int, label long, dim int, key long, id long, copies long"
 
 
 def _pass_rows(bits: int, passes: int, kind: str):
+    """A row for each vector and pass: its key, without the vector."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = _floats(b.column(3))
-            for dim in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == dim]
-                x = np.stack([vectors[i] for i in at])
-                rest = b.take(pa.array(at))
-                raw = pa.array([vectors[i].astype(kind).tobytes() for i in at], pa.binary())
+            size = b.column(3).to_numpy()
+            for dim in np.unique(size).tolist():
+                rest = b.take(pa.array(np.flatnonzero(size == dim)))
+                n = rest.num_rows
+                x = np.stack([np.frombuffer(v.as_buffer(), kind) for v in rest.column(4)]).astype(np.float64)
                 for p in range(passes):
-                    k = keys(x, p, bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p), pa.int32()), rest.column(1), pa.array(np.full(len(at), dim), pa.int32()), pa.array(k, pa.int64()), rest.column(0), rest.column(2), raw], ["pass", "label", "dim", "key", "id", "copies", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p), pa.int32()), rest.column(1), pa.array(np.full(n, dim), pa.int32()), pa.array(keys(x, p, bits), pa.int64()), rest.column(0), rest.column(2)], ["pass", "label", "dim", "key", "id", "copies"])
 
     return run
 
@@ -78,7 +82,7 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(bits: int, passes: int, threshold: float, kind: str):
-    """Counts, forest and lone window pairs of one group: its side 0 with itself (side 2 rows) or with side 1."""
+    """Counts, forest and lone window pairs of one group: its side 0 with itself and with side 1 (cells 0), or with side 1 alone."""
 
     def run(table: pa.Table) -> pa.Table:
         p, dim, key, ident, copies, side, cells = (table[c].to_numpy() for c in ("pass", "dim", "key", "id", "copies", "side", "cells"))
@@ -90,7 +94,7 @@ def _compare(bits: int, passes: int, threshold: float, kind: str):
         which = which.ravel()
         for g in range(which.max() + 1):
             at = np.flatnonzero(which == g)
-            own, other = at[side[at] != 1], at[side[at] != 0]
+            own, other = at[side[at] == 0], at[(side[at] == 1) | (cells[at] == 0)]
             if not len(own) or not len(other):
                 continue
             now = int(p[at[0]])
@@ -99,8 +103,7 @@ def _compare(bits: int, passes: int, threshold: float, kind: str):
             x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
             i, j = np.nonzero(x @ y.T >= threshold)
             a, b = own[i], other[j]
-            # within one block each pair once; a block with the next or a later one: by side
-            ok = np.where((side[a] == 2) & (side[b] == 2), ident[a] < ident[b], side[a] != side[b])
+            ok = (side[b] == 1) | (ident[a] < ident[b])  # within one block each pair once
             same = (key[a] >> TAIL_BITS) == (key[b] >> TAIL_BITS)
             ok &= (cells[a] == 0) | same  # later blocks are there for their cell alone
             i, j, a, b, same = i[ok], j[ok], a[ok], b[ok], same[ok]
@@ -148,15 +151,16 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-6)
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long"))
     marked = rows.withColumn("vector", F.when(valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))))
     named = marked.withColumn("h1", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(1), "vector")))
-    reps = save(named.where("vector is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector")), "vectors")
-    bits, passes = plan(reps.count(), threshold, miss)
     spark = vectors.sparkSession
     kind = "<f4" if "array<float>" in vectors.schema["embedding"].dataType.simpleString() else "<f8"  # as exact as they came
+    own = named.where("vector is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+    reps = save(own.withColumn("dim", F.size("vector")).withColumn("vector", _packed(kind)("vector")), "vectors")
+    bits, passes = plan(reps.count(), threshold, miss)
 
     order = ["pass", "label", "dim", "key", "id"]
-    by_pass = reps.select("id", "label", "copies", "vector").mapInArrow(_pass_rows(bits, passes, kind), "pass int, label long, dim int, key long, id long, copies long, vector binary")
+    by_pass = reps.select("id", "label", "copies", "dim", "vector").mapInArrow(_pass_rows(bits, passes, kind), KEYED)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    placed = save(by_pass.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_place, "pass int, label long, dim int, key long, id long, copies long, vector binary, pid long, at long"), "sorted")
+    placed = save(by_pass.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_place, f"{KEYED}, pid long, at long"), "sorted")
     sizes = {r["pid"]: r["n"] for r in placed.groupBy("pid").agg(F.count("*").alias("n")).collect()}  # one row a partition
     starts, total = [], 0
     for pid in sorted(sizes):
@@ -165,13 +169,17 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-6)
     offsets = spark.createDataFrame(starts or [(0, 0)], "pid long, start long")
     cell = F.shiftright("key", TAIL_BITS)
     at = placed.join(F.broadcast(offsets), "pid").withColumn("block", F.floor((F.col("start") + F.col("at")) / BLOCK)).withColumn("cell", cell).drop("pid", "at", "start")
-    columns = ["pass", "label", "dim", "key", "id", "copies", "vector"]
-    near = at.withColumn("x", F.explode(F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")), F.struct(F.col("block").alias("i"), (F.col("block") + 1).alias("j"), F.lit(0).alias("side")), F.struct((F.col("block") - 1).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))))
+    columns = ["pass", "label", "dim", "key", "id", "copies"]
+    # a block's group has the block (side 0) and the next one (side 1)
+    near = at.withColumn("x", F.explode(F.array(F.struct(F.col("block").alias("i"), (F.col("block") + 1).alias("j"), F.lit(0).alias("side")), F.struct((F.col("block") - 1).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))))
     near = near.select(*columns, "x.*", F.lit(0).alias("cells"))
     runs = at.groupBy("pass", "label", "dim", "cell").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("hi - lo >= 2")
     far = at.join(runs, ["pass", "label", "dim", "cell"]).withColumn("o", F.explode(F.sequence("lo", "hi"))).where("abs(o - block) >= 2")
     far = far.select(*columns, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), F.when(F.col("o") > F.col("block"), 0).otherwise(1).alias("side"), F.lit(1).alias("cells"))
-    found = save(near.union(far).groupBy("i", "j", "cells").applyInArrow(_compare(bits, passes, threshold, kind), "a long, b long, n long"), "found")
+    # keys alone are sorted and placed; vectors join the rows that are compared
+    met = near.union(far).join(reps.select("id", "vector"), "id")
+    found = save(met.groupBy("i", "j", "cells").applyInArrow(_compare(bits, passes, threshold, kind), "a long, b long, n long"), "found")
+    unsave(placed)
 
     lone = found.where("n < 0").distinct().select("a", (-F.col("n")).alias("n"))
     counts = found.where("n > 0").select("a", "n").union(lone).groupBy("a").agg(F.sum("n").alias("n"))
