@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, bloom
-from .common import blocks_for, mix64, save, trim, trimmed
+from .common import blocks_for, mix64, save, trim, trimmed, unsave
 from .components import components
 from .text_hash import sets as sets_of
 
@@ -436,8 +436,8 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
     for forest in (True, False):
         comps = components(links)
         tagged = save(live.distinct().join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("component", "name")).select("col", "part", "name", "size", "comp"), "entries")
-        open_ = tagged.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("part").alias("last")).where("lo <> hi").select("col", "last")
-        asked = tagged.join(open_, "col")
+        mixed = tagged.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("part").alias("last")).where("lo <> hi").select("col", "last")
+        asked = tagged.join(mixed, "col")
         sketches = sets.join(asked.select("name").distinct(), "name", "left_semi").mapInArrow(_sketched, "name long, sketch binary")
         left = asked.join(sketches, "name")
         # slices of a long column meet in pairs; a column of one slice meets itself
@@ -453,6 +453,8 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
         links = links.union(tested.where("linked").select("a", "b"))
         if not near.where("a is null").limit(1).count() or not tested.where("not linked").limit(1).count():
             break
+    for table in (open_, sets, found, first):
+        unsave(table)
     return rows, links
 
 

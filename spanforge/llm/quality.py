@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import save, trim, trimmed
+from .common import save, trim, trimmed, unsave
 from .select import kth_largest
 from .text_hash import ngrams, tokens
 
@@ -183,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool
     scanned = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(shared), SCANNED), "features")
     lines = scanned.where("hashes is not null").groupBy("class", "part").applyInArrow(_distinct, "class long, part long, counts binary")
     rows = scanned.where("counts is not null").select("class", "part", "counts").union(lines).groupBy("class", "part").applyInArrow(_add, "class long, part long, counts binary").collect()
+    unsave(scanned)
     counts = np.zeros((len(kinds) + 2, PARTS, (1 << LOG_BUCKETS) // PARTS))
     found = np.zeros(len(kinds) + 1)
     for r in rows:  # a fixed number of buckets for each class
