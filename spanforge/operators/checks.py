@@ -327,6 +327,7 @@ def secrets(values: DataFrame, committed: DataFrame | None = None, salt: str = "
 def verify(calls: DataFrame, catalog: list[Rule], home: str, edits: DataFrame | None = None, secret_values: DataFrame | None = None, **tables: DataFrame) -> DataFrame:
     """Every check's rows. tables: commits, hook_paths, files, losses, tracked, on_main, running, disk, committed; any may be left out."""
     t = tables.get
+    calls = calls.cache()  # read once for all checks; the caller may unpersist
     cards = [
         skipped_checks(calls, t("commits"), t("hook_paths"), t("files")), lost_work(calls, t("losses")), cloud(calls), prod_infra(calls, catalog), tests(calls, edits, t("disk")),
         destructive(calls, home, t("tracked")), unreviewed(calls, t("on_main")), egress(calls, t("running")),
