@@ -348,4 +348,4 @@ def payload(column: str | Column) -> Column:
         except (ValueError, RecursionError):
             return scrub_text(t)[0]
 
-    return F.arrow_udf(lambda texts: pa.array([one(t) if t is not None else None for t in texts.to_pylist()], pa.string()), "string")(column)
+    return F.arrow_udf(lambda texts: pa.array([one(t) if t is not None else None for t in texts.to_pylist()], pa.string()), "string")(_column(column))

@@ -224,3 +224,12 @@ def texts_of(calls: DataFrame) -> DataFrame:
 def stringified(value: Column) -> Column:
     """JSON text in one spelling: no blanks between its parts, keys in order."""
     return F.to_json(F.try_parse_json(value))
+
+
+def display_shape(tool: Column, text: Column, most: int = SHAPE_CAP) -> Column:
+    """What a call looks like in a report: a server's payload without its values, any other text redacted; then collapsed and cut."""
+    from ..functions import redact
+
+    server = tool.startswith("mcp__")
+    hidden = F.when(server, redact.payload(F.when(server, text))).otherwise(redact.for_report(F.when(~server, text)))
+    return shape(hidden, most)

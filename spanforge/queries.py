@@ -351,7 +351,7 @@ def scrub_samples(spark, d):
 
 
 def queries():
-    from . import queries_calls, queries_sources  # noqa: F401 - they register theirs
+    from . import queries_calls, queries_more, queries_sources  # noqa: F401 - they register theirs
 
     return dict(Q)
 
