@@ -3,7 +3,7 @@
 Documents never join on lines. Each scan task packs the hashes of its documents' lines by shard; a shard's
 counts are pre-aggregated per task, its minimal perfect hash is built over its distinct hashes, and the packed
 probes look their counts up in the shard's arrays. Only the hashes of lines to drop travel back, one row per
-document and shard that has any.
+document and shard that has any; documents without any (a Bloom filter tells) stay where they are.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, bloom
 from .common import blocks_for, fresh, mix64, save, trim, trimmed
 
 STRIP = b" \t\n\x0b\x0c\r"
@@ -238,7 +239,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, probe_b
     """
     spark = docs.sparkSession
     shards = blocks_for(docs, 16 << 20)
-    owner, lines, result = (fresh(c, docs.columns) for c in ("owner", "hot", "r"))
+    owner, lines, result, hit = (fresh(c, docs.columns) for c in ("owner", "hot", "r", "hit"))
     keyed = docs.withColumn(owner, F.xxhash64("doc_id", "text"))
     probes = save(keyed.select(owner, "text").mapInArrow(_probes(shards, min_chars), "shard long, hashes binary, owners binary"), "line-probes")
     index = save(line_index(probes), "line-index")
@@ -246,10 +247,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, probe_b
     dealt = probes.join(F.broadcast(size), "shard").withColumn("salt", F.pmod(F.xxhash64("hashes"), F.col("salts")).cast("int"))
     copies = index.join(F.broadcast(size), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     answers = dealt.select("shard", "salt", "hashes", "owners").groupBy("shard", "salt").cogroup(copies.drop("salts").groupBy("shard", "salt")).applyInArrow(_probe(min_docs), "owner long, hot binary")
-    hot = answers.groupBy(F.col("owner").alias(owner)).agg(F.collect_list("hot").alias(lines))
-    out = keyed.join(hot, owner, "left").withColumn(result, _drop(min_chars)("text", lines))
+    hot = save(answers.groupBy(F.col("owner").alias(owner)).agg(F.collect_list("hot").alias(lines)), "line-drops")
+    bits = min(27, max(22, (16 * hot.count()).bit_length()))  # half a MiB to 16 MiB; what it lets through is only joined for nothing
+    wanted = spark.sparkContext.broadcast(bloom(hot.select(owner), bits))
+    flagged = keyed.withColumn(hit, F.arrow_udf(lambda o: pa.array(Bloom(wanted.value).has(o.to_numpy().view(np.uint64))), "boolean")(owner))
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*[F.col(f"{result}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in order], f"{result}.n_lines", f"{result}.n_dropped")
+    changed = flagged.where(hit).join(hot, owner, "left").withColumn(result, _drop(min_chars)("text", lines))
+    changed = changed.select(*[F.col(f"{result}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in order], f"{result}.n_lines", f"{result}.n_dropped")
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    same = flagged.where(~F.col(hit)).select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in order], n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    return changed.union(same)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,7 +416,7 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
     rows = save(docs.select("doc_id", "text").mapInArrow(_scan(n), "doc_id long, n_shingles long, name long"), "sets")
     texts = docs.select("text")
     open_ = save(open_names(rows, texts, n, num, den, blocks_for(docs, 64 << 20, least=16)), "open")
-    bits = min(28, max(24, (16 * open_.count()).bit_length()))  # 2 to 32 MiB
+    bits = min(27, max(24, (16 * open_.count()).bit_length()))  # 2 to 16 MiB
     wanted = sc.broadcast(bloom(open_, bits))
     sets = save(texts.mapInArrow(_rows_of(n, wanted), "name long, members binary").dropDuplicates(["name"]).join(open_, "name", "left_semi"), "rows")
     parts = {r["part"]: bytes(r["counts"]) for r in sets.select("members").mapInArrow(_counted, "part long, counts binary").groupBy("part").applyInArrow(_add, "part long, counts binary").collect()}
