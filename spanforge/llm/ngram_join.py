@@ -6,10 +6,10 @@ Rows of the matrix are distinct n-gram sets (documents with one set are one row)
     |A| - ceil(t |A|) columns are nobody else's links with nothing. Column blocks count, exactly, which of a part of the
     columns (TESTED times as many as needed, by the column's hash) have one row only; sets that are cleared by these
     are done. What is left (near copies, sets of common n-grams, short ones) is written once, as rows of the matrix.
-2.  Of these, a table of column counts: 2**21 counters that hashed columns share, so of one size for any corpus. Two
-    sets with Jaccard >= t share one of the |A| - ceil(t |A|) + 1 rarest columns of each (rarest by the shared table; any
-    common order will do). Only these entries of the matrix are dealt out, by column. A column that the counters call
-    long is cut into slices, with a few of its rows as pivots in every slice.
+2.  Of these, column blocks count every column's rows, and send each row its columns of several rows with their
+    counts. Two sets with Jaccard >= t share one of the |A| - ceil(t |A|) + 1 rarest columns of each. Only these entries of
+    the matrix are dealt out, by column. A column of many rows is cut into slices, with a few of its rows as pivots in
+    every slice.
 3.  Each column block accumulates, for every row, its overlap counts with its column's head and its neighbour by
     size. The best partners of a row are verified by the full product: exact overlaps of whole sets.
 4.  Columns whose rows are then in one component are done. In the others, every pair of rows of different
@@ -35,7 +35,6 @@ from .common import blocks_for, mix64, save, trim, trimmed, unsave
 from .components import components
 from .text_hash import sets as sets_of
 
-LOG_COUNTERS = 21
 SLICE = 2048  # rows of a column slice, about
 PIVOTS = 32
 TESTED = 2.5  # how many times the columns that clear a set are tested
@@ -192,75 +191,117 @@ def _keep(bits: Bloom, seen: set, held: list[np.ndarray], names: list[int], out:
                 out.append(s.tobytes())
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared counters of the columns of rows (members)."""
-    counts = np.zeros(1 << LOG_COUNTERS, np.int64)
-    for b in batches:
-        at, size = [], 0
-        for x in b.column(0):
-            s = np.frombuffer(x.as_buffer(), np.uint64)
-            at.append((s >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64))
-            size += len(s)
-            if size > 1 << 22:
-                counts += np.bincount(np.concatenate(at), minlength=len(counts))
-                at, size = [], 0
-        if at:
-            counts += np.bincount(np.concatenate(at), minlength=len(counts))
-    for i, part in enumerate(np.split(np.minimum(counts, 2**32 - 1).astype(np.uint32), 16)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["part", "counts"])
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist())
-    return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
+# -- the columns that decide ------------------------------------------------------------------------------------
 
+PACKED = "block long, names binary, sizes binary, counts binary, columns binary, rows binary"
 
-# -- the columns that decide ------------------------------------------------------------------------------------
 
+def _packed(block: np.ndarray, name: np.ndarray, size: np.ndarray, column: np.ndarray, rows: np.ndarray | None) -> pa.Table:
+    """Entries by block: names of rows, their sizes and how many columns each has here, the columns and how many rows those have."""
+    order = np.lexsort((name, block))
+    block, name, size, column = block[order], name[order], size[order].astype(np.uint32), column[order]
+    rows = rows[order].astype(np.uint32) if rows is not None else None
+    cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.zeros(1, int)
+    out = []
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        begins = i + np.flatnonzero(np.concatenate([[True], np.diff(name[i:j]) != 0]))
+        out.append((int(block[i]), name[begins].tobytes(), size[begins].tobytes(), np.diff(np.append(begins, j)).astype(np.uint32).tobytes(), column[i:j].tobytes(), rows[i:j].tobytes() if rows is not None else None))
+    v = list(zip(*out, strict=True)) if out else [[]] * 6
+    return pa.table({"block": pa.array(v[0], pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("names", "sizes", "counts", "columns", "rows"), v[1:], strict=True)}})
 
-def _slices(count: np.ndarray, rows: int) -> np.ndarray:
-    return np.maximum(1, -(-count.astype(np.int64) // rows))
+
+def _unpacked(table: pa.Table, *more: str) -> list[np.ndarray]:
+    """Name, size and column (and rows) of each entry."""
+    read = lambda c, k: np.concatenate([np.frombuffer(x, k) for x in table[c].to_pylist()])
+    counts = read("counts", np.uint32)
+    return [np.repeat(read("names", np.int64), counts), np.repeat(read("sizes", np.uint32), counts), read("columns", np.uint64), *(read(c, np.uint32) for c in more)]
 
 
-def _entries(num: int, den: int, blocks: int, counters, slice_rows: int):
-    """Packed entries (column, row, size) of every row's rarest columns, by block of columns and slice."""
+def _incidences(blocks: int):
+    """Every entry of the matrix, by block of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.frombuffer(counters.value, np.uint32)
         for b in batches:
-            cols, rows, sizes = [], [], []
+            names, sets, size = [], [], 0
+
+            def out(names, sets):
+                n = np.array([len(x) for x in sets])
+                c = np.concatenate(sets)
+                yield from _packed((mix64(c, 7) % np.uint64(blocks)).astype(np.int64), np.repeat(np.array(names, np.int64), n), np.repeat(n, n), c, None).to_batches()
+
             for name, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                c = count[(s >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)]
-                k = len(s) - -(-num * len(s) // den) + 1
-                s = s[np.lexsort((s, c))[:k]]
-                cols.append(s)
-                rows.append(np.full(k, name, np.int64))
-                sizes.append(np.full(k, len(c), np.int64))
-            if not cols:
-                continue
-            c, r, z = map(np.concatenate, (cols, rows, sizes))
-            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)], slice_rows)
-            h = mix64(r.view(np.uint64), 5)
-            part = (h % cut.astype(np.uint64)).astype(np.int64)
-            pivot = np.flatnonzero((cut > 1) & ((mix64(h, 6) >> np.uint64(32)).astype(np.int64) < PIVOTS * 2**32 // (cut * slice_rows)))
-            if len(pivot):  # a few rows of a long column go to all its slices
-                more = np.repeat(pivot, cut[pivot])
-                into = np.concatenate([np.arange(x) for x in cut[pivot]])
-                c, r, z, part = np.concatenate([c, c[more]]), np.concatenate([r, r[more]]), np.concatenate([z, z[more]]), np.concatenate([part, into])
-            cut = _slices(count[(c >> np.uint64(64 - LOG_COUNTERS)).astype(np.int64)], slice_rows)
-            block = ((mix64(c, 7) + part.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            c, r, z, part, block = c[order], r[order], z[order], part[order] | (cut[order] == 1).astype(np.int64) << 31, block[order]
-            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-            x = [(int(block[i]), c[i:j].tobytes(), r[i:j].tobytes(), z[i:j].astype(np.uint32).tobytes(), part[i:j].astype(np.uint32).tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-            v = list(zip(*x, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(v[0], pa.int64()), *(pa.array(y, pa.binary()) for y in v[1:])], ["block", "cols", "rows", "sizes", "parts"])
+                names.append(name)
+                sets.append(np.frombuffer(x.as_buffer(), np.uint64))
+                size += len(sets[-1])
+                if size > HELD // 4:
+                    yield from out(names, sets)
+                    names, sets, size = [], [], 0
+            if sets:
+                yield from out(names, sets)
+            trim()
 
     return trimmed(run)
 
 
+def _frequencies(blocks: int):
+    """Of a block's columns, those of several rows with their counts, by shard of rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        name, size, column = _unpacked(table)
+        order = np.argsort(column, kind="stable")
+        name, size, column = name[order], size[order], column[order]
+        first = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+        n = np.diff(np.append(first, len(column)))
+        rows = np.repeat(n, n)
+        some = rows > 1
+        name, size, column, rows = name[some], size[some], column[some], rows[some]
+        out = _packed((mix64(name.view(np.uint64), 23) % np.uint64(blocks)).astype(np.int64), name, size, column, rows)
+        trim()
+        return out
+
+    return run
+
+
+def _slices(count: np.ndarray, rows: int) -> np.ndarray:
+    return np.maximum(1, -(-count.astype(np.int64) // rows))
+
+
+def _entries(num: int, den: int, blocks: int, slice_rows: int):
+    """Packed entries (column, row, size) of every row's rarest columns, by block of columns and slice.
+
+    Columns of one row are the rarest of all and link nothing, so they are only counted: they are what a row lacks here.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        r, z, c, n = _unpacked(table, "rows")
+        order = np.lexsort((c, n, r))
+        r, z, c, n = r[order], z[order].astype(np.int64), c[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        held = np.diff(np.append(first, len(r)))
+        size = z[first]
+        wanted = size + (-num * size) // den + 1 - (size - held)  # of the |A| - ceil(t |A|) + 1 rarest
+        keep = np.arange(len(r)) - np.repeat(first, held) < np.repeat(wanted, held)
+        r, z, c, n = r[keep], z[keep], c[keep], n[keep]
+        cut = _slices(n, slice_rows)
+        h = mix64(r.view(np.uint64), 5)
+        part = (h % cut.astype(np.uint64)).astype(np.int64)
+        pivot = np.flatnonzero((cut > 1) & ((mix64(h, 6) >> np.uint64(32)).astype(np.int64) < PIVOTS * 2**32 // (cut * slice_rows)))
+        if len(pivot):  # a few rows of a long column go to all its slices
+            more = np.repeat(pivot, cut[pivot])
+            into = np.concatenate([np.arange(x) for x in cut[pivot]])
+            c, r, z, part, cut = np.concatenate([c, c[more]]), np.concatenate([r, r[more]]), np.concatenate([z, z[more]]), np.concatenate([part, into]), np.concatenate([cut, cut[more]])
+        block = ((mix64(c, 7) + part.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        c, r, z, part, block = c[order], r[order], z[order], part[order] | (cut[order] == 1).astype(np.int64) << 31, block[order]
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.zeros(1, int)
+        x = [(int(block[i]), c[i:j].tobytes(), r[i:j].tobytes(), z[i:j].astype(np.uint32).tobytes(), part[i:j].astype(np.uint32).tobytes()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        v = list(zip(*x, strict=True)) if x else [[]] * 5
+        trim()
+        return pa.table({"block": pa.array(v[0], pa.int64()), **{k: pa.array(y, pa.binary()) for k, y in zip(("cols", "rows", "sizes", "parts"), v[1:], strict=True)}})
+
+    return run
+
+
 ENTRIES = "block long, cols binary, rows binary, sizes binary, parts binary"
 FOUND = "a long, b long, shared long, size long, part binary, cols binary, rows binary, sizes binary"
 
@@ -419,11 +460,9 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
     bits = min(27, max(24, (16 * open_.count()).bit_length()))  # 2 to 16 MiB
     wanted = sc.broadcast(bloom(open_, bits))
     sets = save(texts.mapInArrow(_rows_of(n, wanted), "name long, members binary").dropDuplicates(["name"]).join(open_, "name", "left_semi"), "rows")
-    parts = {r["part"]: bytes(r["counts"]) for r in sets.select("members").mapInArrow(_counted, "part long, counts binary").groupBy("part").applyInArrow(_add, "part long, counts binary").collect()}
-    empty = bytes(4 << LOG_COUNTERS >> 4)
-    counters = sc.broadcast(b"".join(parts.get(i, empty) for i in range(16)))  # 8 MiB, whatever the corpus
     blocks = blocks_for(sets, 4 << 20, least=16)
-    entries = sets.mapInArrow(_entries(num, den, blocks, counters, slice_rows), ENTRIES)
+    counted = sets.mapInArrow(_incidences(blocks), PACKED).groupBy("block").applyInArrow(_frequencies(blocks), PACKED)
+    entries = counted.groupBy("block").applyInArrow(_entries(num, den, blocks, slice_rows), ENTRIES)
     found = save(entries.groupBy("block").applyInArrow(_accumulate(num, den), FOUND), "columns")
     live = found.where("part is not null").select("part", "cols", "rows", "sizes").mapInArrow(_unpack, "col long, part long, name long, size long")
 
