@@ -14,8 +14,8 @@ Rows of the matrix are distinct n-gram sets (documents with one set are one row)
     size. The best partners of a row are verified by the full product: exact overlaps of whole sets.
 4.  Columns whose rows are then in one component are done. In the others, every pair of rows of different
     components is tested: first against the size-derived bound - J >= t means a symmetric difference of
-    at most (|A| + |B|) (1 - t) / (1 + t), which a parity sketch bounds from below - and then exactly. Where
-    these are many for their rows, a spanning forest is verified first, and all that remain if any of it fails.
+    at most (|A| + |B|) (1 - t) / (1 + t), which a parity sketch bounds from below - and then exactly. A spanning
+    forest of these is verified first, and all that remain if any of it fails.
 
 So no pair of linked sets is lost, no group's pairs are listed, and links are exact (up to 64-bit hashes).
 """
@@ -158,6 +158,7 @@ def open_names(rows: DataFrame, texts: DataFrame, n: int, num: int, den: int, bl
     own = parts.groupBy("shard").applyInArrow(_own_totals, "name long, own long")
     least = F.col("n_shingles") - F.ceil(F.col("n_shingles") * num / den) + 1
     distinct = rows.where("name is not null").groupBy("name").agg(F.max("n_shingles").alias("n_shingles"))
+    distinct = distinct.where(F.col("n_shingles") * (den - num) >= num)  # smaller sets link with none but themselves
     return distinct.join(own, "name", "left").where(F.coalesce("own", F.lit(0)) < least).select("name")
 
 
@@ -387,12 +388,16 @@ def _product(num: int, den: int):
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """a, b, overlap, linked of each distinct pair of names; a row's partners are dealt to several tasks, 1024 to each about.
 
-    sets: name and members of every name. Each travels to the tasks that it is routed to.
+    sets: name and members of every name. Only those in question (a Bloom filter names them) travel to the tasks that
+    they are routed to.
     """
     slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1024).cast("int").alias("slices"))
     right = pairs.join(slices, "a").select(F.col("b").alias("name"), "a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.lit(False).alias("head"))
     left = slices.select(F.col("a").alias("name"), "a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("head"))
-    return sets.join(left.union(right), "name").groupBy("a", "slice").applyInArrow(_product(num, den), "a long, b long, overlap long, linked boolean")
+    routes = left.union(right)
+    wanted = pairs.sparkSession.sparkContext.broadcast(bloom(routes.select("name")))
+    asked = F.arrow_udf(lambda names: pa.array(Bloom(wanted.value).has(names.to_numpy().view(np.uint64))), "boolean")
+    return sets.where(asked("name")).join(routes, "name").groupBy("a", "slice").applyInArrow(_product(num, den), "a long, b long, overlap long, linked boolean")
 
 
 def _near(num: int, den: int, forest: bool):
@@ -426,8 +431,7 @@ def _near(num: int, den: int, forest: bool):
                     if pair not in found:
                         found.add(pair)
                         ranked.append((d, pair, int(own[i]), int(own[k])))
-        limited = forest and len(ranked) > 8 * len(order)
-        if limited:
+        if forest:
             ranked.sort()
             up: dict[int, int] = {}
 
@@ -444,7 +448,7 @@ def _near(num: int, den: int, forest: bool):
                     kept.append(pair)
         else:
             kept = [x[1] for x in ranked]
-        kept = [(min(p), max(p)) for p in kept] + [(None, None)] * limited
+        kept = [(min(p), max(p)) for p in kept] + [(None, None)] * (len(kept) < len(ranked))  # a mark: there are more
         return pa.table({"a": pa.array([p[0] for p in kept], pa.int64()), "b": pa.array([p[1] for p in kept], pa.int64())})
 
     return run
@@ -472,12 +476,12 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
     first = save(best.select(F.explode(F.array_distinct(F.array("x.a", -F.col("y.n")))).alias("a"), "b"), "pairs")
     links = save(verified(first, sets, num, den).where("linked").select("a", "b"), "links")
 
+    sketches = save(sets.mapInArrow(_sketched, "name long, sketch binary"), "sketches")  # small, so sets need not travel
     for forest in (True, False):
         comps = components(links)
         tagged = save(live.distinct().join(comps.withColumnRenamed("node", "name"), "name", "left").withColumn("comp", F.coalesce("component", "name")).select("col", "part", "name", "size", "comp"), "entries")
         mixed = tagged.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("part").alias("last")).where("lo <> hi").select("col", "last")
         asked = tagged.join(mixed, "col")
-        sketches = sets.join(asked.select("name").distinct(), "name", "left_semi").mapInArrow(_sketched, "name long, sketch binary")
         left = asked.join(sketches, "name")
         # slices of a long column meet in pairs; a column of one slice meets itself
         one = left.where("last = 0").select("col", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "name", "size", "comp", "sketch")
@@ -492,7 +496,7 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
         links = links.union(tested.where("linked").select("a", "b"))
         if not near.where("a is null").limit(1).count() or not tested.where("not linked").limit(1).count():
             break
-    for table in (open_, sets, found, first):
+    for table in (open_, sets, found, first, sketches):
         unsave(table)
     return rows, links
 

@@ -568,3 +568,25 @@ def test_bpe_equals_the_library(spark):
         assert ids[i] == want and back[i] == text, t
         assert digests[i]["n_tokens"] == len(want) and digests[i]["ids_sha256"] == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest() and digests[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_texts_longer_than_a_block(spark):
+    """One text above every block of op3, op7, op8, op9 and op10, beside a short one."""
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(20)
+    long = "\n".join(prose(rnd, 90, 3000) for _ in range(4200)) + "\n" + "x" * 5000  # some 2.3 million characters
+    assert len(long) > 2 << 20
+    texts = [long, "short one here", long[: 2 << 20] + " end"]
+    docs = frame(spark, texts, 2)
+    tok = Tokenizer.from_file(bpe.vocabulary())
+    tok.no_truncation()
+    tok.no_padding()
+    got = {r["doc_id"]: r for r in bpe.encode_digests(docs).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
+    kept = {r["doc_id"]: (r["n_removed"], len(r["spans"])) for r in suffix_dedup.dedup_substrings(docs, 100, 1 << 20).collect()}
+    assert kept == {0: (0, 0), 1: (0, 0), 2: (2 << 20, 1)}
+    assert {r["doc_id"]: r["n_shingles"] for r in ngram_join.jaccard_join(docs, 3, 90, 100).collect()} == {i: v[0] for i, v in jaccard(texts, 3, 99, 100).items()}
+    assert [r["n_dropped"] for r in line_dedup.dedup_lines(docs, 2).orderBy("doc_id").collect()] == [sum(x in set(texts[2].split("\n")) for x in long.split("\n")), 0, sum(x in set(long.split("\n")) for x in texts[2].split("\n"))]
+    assert quality.select(docs, spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")).count() == 3
