@@ -252,7 +252,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, probe_b
     wanted = spark.sparkContext.broadcast(bloom(hot.select(owner), bits))
     flagged = keyed.withColumn(hit, F.arrow_udf(lambda o: pa.array(Bloom(wanted.value).has(o.to_numpy().view(np.uint64))), "boolean")(owner))
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    changed = flagged.where(hit).join(hot, owner, "left").withColumn(result, _drop(min_chars)("text", lines))
+    # a merge at every size: the lists grow with the documents, and so would a broadcast of them
+    changed = flagged.where(hit).join(hot.hint("merge"), owner, "left").withColumn(result, _drop(min_chars)("text", lines))
     changed = changed.select(*[F.col(f"{result}.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in order], f"{result}.n_lines", f"{result}.n_dropped")
     text = F.coalesce("text", F.lit(""))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
