@@ -586,7 +586,7 @@ def test_texts_longer_than_a_block(spark):
     for i, t in enumerate(texts):
         assert got[i]["ids_sha256"] == hashlib.sha256(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     kept = {r["doc_id"]: (r["n_removed"], len(r["spans"])) for r in suffix_dedup.dedup_substrings(docs, 100, 1 << 20).collect()}
-    assert kept == {0: (0, 0), 1: (0, 0), 2: (2 << 20, 1)}
+    assert kept == {0: (4999, 1), 1: (0, 0), 2: (2 << 20, 1)}  # the run of x repeats itself
     assert {r["doc_id"]: r["n_shingles"] for r in ngram_join.jaccard_join(docs, 3, 90, 100).collect()} == {i: v[0] for i, v in jaccard(texts, 3, 99, 100).items()}
     assert [r["n_dropped"] for r in line_dedup.dedup_lines(docs, 2).orderBy("doc_id").collect()] == [sum(x in set(texts[2].split("\n")) for x in long.split("\n")), 0, sum(x in set(long.split("\n")) for x in texts[2].split("\n"))]
     assert quality.select(docs, spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")).count() == 3
