@@ -11,6 +11,7 @@ from .mixing import op4_mixing_sources
 from .ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from .quality import op3_quality_classifier
 from .sharding import op5_sharding
+from .spelling import OP13_SQL, op13_spelling_variants
 from .suffix_dedup import OP9_SQL, op9_suffix_array_dedup
 from .token_counts import op1_token_counts
 from .url_filter import OP11_SQL, op11_url_filters
@@ -30,8 +31,9 @@ def queries():
         "op10_bpe_encoding_and_decoding": op10_bpe_encoding_and_decoding,
         "op11_url_filters": op11_url_filters,
         "op12_ball_kmeans": op12_ball_kmeans,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql():
-    return {"op2_embedding_near_dedup": OP2_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_suffix_array_dedup": OP9_SQL, "op11_url_filters": OP11_SQL, "op12_ball_kmeans": OP12_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_suffix_array_dedup": OP9_SQL, "op11_url_filters": OP11_SQL, "op12_ball_kmeans": OP12_SQL, "op13_spelling_variants": OP13_SQL}

@@ -54,7 +54,7 @@ def test_results_equal_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, DIR)
@@ -68,6 +68,8 @@ def test_contract_columns(spark):
         "op2_embedding_near_dedup": ["vec_id", "n_links", "component_id", "kept"], "op6_approximate_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
         "op7_ngram_jaccard_join": ["doc_id", "n_shingles", "component_id"], "op8_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
         "op9_suffix_array_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op10_bpe_encoding_and_decoding": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op11_url_filters": ["page_id", "host", "path", "rule", "verdict"], "op12_ball_kmeans": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+        "op13_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
     }
     for name, columns in want.items():
         assert registry.queries()[name](spark, DIR).columns == columns
