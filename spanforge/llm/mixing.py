@@ -27,7 +27,8 @@ from .text_hash import tokens
 
 ROUNDS = 40
 CLOSE = 1e-7
-DOUBT = 5.0  # standard errors that a log ratio of two classes is pulled towards 0 by
+DOUBT = 2.0  # standard errors that a log ratio of two classes is pulled towards 0 by
+LEAST = 20  # labelled rows that a class needs to be a domain
 
 
 class DomainModel:
@@ -81,8 +82,10 @@ def _sum(df: DataFrame, d: int, history: list[np.ndarray]) -> tuple[np.ndarray,
     return out[: d * d].reshape(d, d), out[d * d :]
 
 
-def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The history of steps and the targets. total: of tokens; by default what leaves the first domain's as they are.
+def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The history of steps, the targets, and the totals that the rates come to. total: of tokens; by default what leaves the first domain's as they are.
+
+    The two differ where no rates meet the targets, and where ROUNDS rounds weren't enough.
 
     at_most: weights of domains after the first are bounds; one that has less keeps its share, and the first
     domain has the rest.
@@ -109,22 +112,26 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
             new_gram, new = _sum(members, d, [*history, step])
         history.append(step)
         gram, got = new_gram, new
-    return np.array(history).reshape(-1, d), target
+    return np.array(history).reshape(-1, d), target, got
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = False, seed: int = 4, carry: tuple[str, ...] | None = None) -> DataFrame:
-    """docs' columns (those of carry, if given) with tokens, posterior, rate and copies (columns of these names are replaced).
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = False, seed: int = 4, carry: tuple[str, ...] | None = None, known: DataFrame | None = None, least: int = LEAST) -> DataFrame:
+    """docs' columns (those of carry, if given) with tokens, posterior, rate, copies and unmet (columns of these names are replaced).
 
     Domains are the labelled classes (quality, toxic); weights are the shares of tokens that they are to have (a
     class without one gets 0; those of classes without labelled text are dealt over the rest), or at most, if at_most (see
     solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up by a draw that
-    doc_id and seed decide: rows that repeat an id share a draw. Null and empty texts have no tokens and the classes'
+    doc_id and seed decide: rows that repeat an id share a draw. unmet is the largest distance of a domain's expected tokens
+    from their target, as a share of all tokens wanted: 0 where the rates meet the targets. Null and empty texts have no tokens and the classes'
     shares as posteriors. Without labelled classes there is one domain and every rate is 1.
-    The model sees at most LABELLED labelled rows; posteriors and totals cover every row. Texts are read once by the
+    The classes are counted on the labelled rows of `known` (doc_id, text; docs by default), of which the model sees at most
+    LABELLED: where docs were filtered before, known is the table before that, since what a filter leaves of a class is
+    not like the class. A class of fewer than `least` labelled rows there is no domain, and without two classes there is one domain.
+    A class is known by its markers alone (see quality.marker_ratio). Posteriors and totals cover every row of docs. Texts are read once by the
     model; rows with their posteriors are written, and only tokens and posteriors read again for each round.
     """
     spark = docs.sparkSession
-    model = fit(docs, labels, LABELLED, doubt=DOUBT)
+    model = fit(docs if known is None else known, labels, LABELLED, doubt=DOUBT, markers=True, least=least)
     d = max(1, len(model.shares))
     names = class_names(model)
     shared = spark.sparkContext.broadcast(model)
@@ -135,23 +142,25 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float
         trim()
         return pa.StructArray.from_arrays([pa.array(size), flat], ["tokens", "posterior"])
 
-    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("tokens", "posterior", "rate", "copies")]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in ("tokens", "posterior", "rate", "copies", "unmet")]
     member, key = fresh("member", docs.columns), fresh("key", docs.columns)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / F.lit(float(1 << 53))
     read = docs.withColumn(member, F.arrow_udf(run, "tokens long, posterior array<double>")("text")).withColumn(key, draw)
     members = save(read.select(*kept, key, f"{member}.tokens", f"{member}.posterior"), "posteriors")
-    history, _ = solve(members, d, np.array([weights.get(n, 0.0) for n in names]) if len(names) else np.ones(1), total, at_most)
+    history, target, got = solve(members, d, np.array([weights.get(n, 0.0) for n in names]) if len(names) else np.ones(1), total, at_most)
     rule = spark.sparkContext.broadcast(history)
     rate = F.arrow_udf(lambda p: pa.array(rates(_matrix(p, d), rule.value)), "double")
     copies = (F.floor("rate") + (F.col(key) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    return members.withColumn("rate", rate("posterior")).withColumn("copies", copies).drop(key)
+    unmet = F.lit(float(np.abs(got - target).max() / max(1.0, target.sum())))
+    return members.withColumn("rate", rate("posterior")).withColumn("copies", copies).drop(key).withColumn("unmet", unmet)
 
 
-#: What the classes (quality, toxic) are to have of the mix.
+#: What the classes (quality, toxic) are to have of the mix, and what they may have at most after a quality filter.
 WEIGHTS = {(1, 0): 0.94, (0, 0): 0.03, (1, 1): 0.02, (0, 1): 0.01}
+AFTER_FILTER = {(1, 0): 0.985, (0, 0): 0.005, (1, 1): 0.005, (0, 1): 0.005}
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, posterior, rate and copies of every document; null and empty texts have no tokens and the rate that their posterior gets."""
+    """doc_id, tokens, posterior, rate, copies and unmet of every document; null and empty texts have no tokens and the rate that their posterior gets."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, carry=("doc_id",))

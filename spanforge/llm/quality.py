@@ -164,12 +164,23 @@ def log_ratio(target: np.ndarray, other: np.ndarray, doubt: float = DOUBT) -> np
     return np.sign(ratio) * np.maximum(0, np.abs(ratio) - error)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool = False, doubt: float = DOUBT) -> ImportanceModel:
+def marker_ratio(target: np.ndarray, other: np.ndarray, use: np.ndarray, doubt: float, weak: float = 1.5) -> np.ndarray:
+    """log_ratio of the other class's markers: buckets (of those in use) that it has surely more of, by `weak` at least. All else is one bucket.
+
+    Words that tell languages or sources apart, of which classes have unlike shares by chance, so tell nothing of a class.
+    """
+    ratio = np.where(use, log_ratio(target, other, doubt), 0)
+    marks = ratio <= -weak
+    return np.where(marks, ratio, np.log((target[~marks].sum() + 0.5) / target.sum()) - np.log((other[~marks].sum() + 0.5) / other.sum()))
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool = False, doubt: float = DOUBT, markers: bool = False, least: int = 1) -> ImportanceModel:
     """Count the models in one scan of docs. Labels: doc_id, quality, toxic; the target is quality 1 and toxic 0.
 
     At most `labelled` labelled rows are used, by the order of a hash of their ids; rows with nulls are none. Classes are
     those of which docs have labelled text; without the target or any other there is one class. raw: with a last class,
-    of share RAW and without a name, that is counted over every document. doubt: see log_ratio.
+    of share RAW and without a name, that is counted over every document. doubt: see log_ratio; markers: see marker_ratio. least:
+    classes of fewer labelled rows in docs are left out.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()
@@ -194,11 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool
             found[r["class"]] = x[0]
     counts = counts.reshape(len(kinds) + 2, -1)
     total = counts.sum(1)
-    there = [c for c in range(2, len(kinds) + 1) if total[c]]  # classes of which docs have labelled text
-    if not total[1] or not there:
+    there = [c for c in range(2, len(kinds) + 1) if total[c] and found[c] >= least]  # classes of which docs have labelled text
+    if not total[1] or found[1] < least or not there:
         return nothing
     pairs = [(counts[1], counts[c]) for c in there] + [(counts[-1], counts[0])] * raw
-    ratios = [np.where(counts[0] >= RARE, log_ratio(*x, doubt), 0) for x in pairs]
+    use = counts[0] >= RARE
+    ratios = [marker_ratio(*x, use, doubt) if markers else np.where(use, log_ratio(*x, doubt), 0) for x in pairs]
     shares, names = found[[1, *there]], sorted(kinds, key=kinds.get)
     shares = shares / shares.sum()
     return ImportanceModel(np.array(ratios), np.append(shares * (1 - RAW), RAW) if raw else shares, [names[c - 1] for c in (1, *there)])

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -280,10 +281,51 @@ def test_mixing(spark):
     totals = sum(np.array(x["posterior"]) * x["tokens"] * x["rate"] for x in up)
     assert totals == pytest.approx([200, 800, 0], abs=10)  # the classes' posteriors overlap
     assert all(x["copies"] in (int(x["rate"]), int(x["rate"]) + 1) for x in rows)
-    assert mixing.mix(docs, labels.limit(0), weights).where("rate <> 1").count() == 0
+    assert {x["unmet"] for x in rows} == {rows[0]["unmet"]} and rows[0]["unmet"] < 1e-6
+    assert mixing.mix(docs, labels.limit(0), weights).where("rate <> 1 or unmet > 0").count() == 0
+    assert {len(x["posterior"]) for x in mixing.mix(docs, labels, weights, least=10_000).collect()} == {1}  # no class has so many labelled rows
     assert mixing.mix(docs.limit(0), labels, weights).count() == 0
 
 
+def test_unmet_targets_are_told(spark):
+    """Documents of one posterior can't meet weights that differ from it: the distance is told, as a share of all tokens."""
+    members = spark.createDataFrame([(100, [0.6, 0.4])] * 5, "tokens long, posterior array<double>")
+    _, target, got = mixing.solve(members, 2, np.array([0.9, 0.1]), 1000.0)
+    assert target.tolist() == [900, 100] and got[0] / got.sum() == pytest.approx(0.6)
+
+
+def test_markers_by_hand():
+    """Only what a class surely has more of is its own; the rest is one bucket, however unlike its parts are."""
+    target, other = np.array([400.0, 0, 100, 500, 3]), np.array([10.0, 50, 30, 0, 0])
+    ratio = quality.marker_ratio(target, other, np.array([True, True, True, True, False]), 2.0)
+    assert ratio[1] == pytest.approx(quality.log_ratio(target, other, 2.0)[1]) and ratio[1] < -1.5
+    rest = np.log(1003.5 / 1003) - np.log(40.5 / 90)
+    assert np.allclose(ratio[[0, 2, 3, 4]], rest)
+
+
+def test_memberships_of_a_filtered_table(spark):
+    """known: the table before a filter, which leaves too little of the other classes to tell them by."""
+    docs, labels = labelled(spark)
+    good = labels.where("quality = 1 and toxic = 0").select("doc_id")
+    some = docs.join(good, "doc_id", "left_semi").union(docs.join(good, "doc_id", "left_anti").limit(12))
+    own = mixing.mix(some, labels, mixing.AFTER_FILTER, at_most=True, known=docs).collect()
+    clean = {r["doc_id"] for r in good.collect()}
+    assert np.mean([r["posterior"][0] for r in own if r["doc_id"] in clean]) > 0.9
+    assert np.mean([r["copies"] > 0 for r in own if r["doc_id"] in clean]) > 0.95
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_memberships_held_out_by_language(spark):
+    """Of labelled clean rows that the model has not seen, those of each language are taken for clean."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    held = labels.where("pmod(xxhash64(doc_id, 99), 10) < 3").select("doc_id", "quality", "toxic")
+    members = mixing.mix(docs, labels.join(held, "doc_id", "left_anti"), mixing.WEIGHTS, carry=("doc_id", "lang"))
+    first = F.avg(F.col("posterior")[0]).alias("p")
+    by = {(r["quality"], r["toxic"], r["lang"]): r["p"] for r in members.join(held, "doc_id").groupBy("quality", "toxic", "lang").agg(first).collect()}
+    assert all(by[1, 0, lang] >= 0.9 for lang in ("en", "de", "fr", "es")), by
+    assert by[0, 0, "en"] < 0.2 and by[1, 1, "en"] < 0.1, by  # seven and five rows
+
+
 def test_mixing_raises_domains_to_their_weights(spark):
     docs, labels = labelled(spark)
     rows = mixing.mix(docs, labels, {(1, 0): 0.5, (0, 0): 0.4, (1, 1): 0.1}).collect()

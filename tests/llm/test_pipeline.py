@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanforge.llm import registry
 
@@ -50,6 +51,27 @@ def test_pipeline_of_nothing_and_of_odd_rows(spark, tmp_path):
             assert next(r["doc_id"] for r in near if r["text"] == "a b c d e f g") is None  # ids sort nulls first
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_stages_keep_clean_documents(spark):
+    """Of labelled clean rows of every language, the quality stage keeps nine in ten, and the mixing stage 95 % of these; of toxic ones less is left."""
+    import corpus_pipeline as c
+    from spanforge.llm import common
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    kept = common.save(c.quality_classifier(spark, docs, d), "t")
+    mixed = common.save(c.mixing_stage(spark, kept, d), "t")
+
+    def count(rows, toxic):
+        own = labels.where(f"quality = 1 and toxic = {toxic}")
+        return {r["lang"]: r["n"] for r in rows.join(own, "doc_id").groupBy("lang").agg(F.count_distinct("doc_id").alias("n")).collect()}
+
+    before, after, end = (count(x, 0) for x in (docs, kept, mixed))
+    for lang, n in before.items():
+        assert after[lang] >= 0.9 * n and end[lang] >= 0.95 * after[lang], (lang, before, after, end)
+    assert sum(count(mixed, 1).values()) < sum(count(kept, 1).values()) < 0.3 * sum(count(docs, 1).values())
+
+
 def test_results_equal_sql(spark):
     import duckdb
 
