@@ -41,8 +41,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says: rounded draws, so that domains' tokens meet their weights. Ids repeat with copies."""
-    mixed = mixing.mix(docs, _labels(spark, sf_dir), mixing.WEIGHTS).where("copies > 0")
+    """Each document as often as its rate says: rounded draws, so that what is left of other domains has its bound of the tokens. Ids repeat with copies.
+
+    Domains are known from the documents as they were before the first stage: what that one leaves of junk and toxic text
+    is too little, and too unlike the rest of it, to tell it by.
+    """
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    mixed = mixing.mix(docs, _labels(spark, sf_dir), mixing.AFTER_FILTER, at_most=True, known=known).where("copies > 0")
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
