@@ -20,6 +20,12 @@ def rank_of(column: Column, order: tuple[str, ...]) -> Column:
     return out
 
 
+def alphabetical(column: str | Column) -> list[Column]:
+    """Sort keys of a text in the order of Unicode's collation: letters first, then accents, then case. What it takes for equal goes by code points."""
+    c = F.col(column) if isinstance(column, str) else column
+    return [F.collate(c, "UNICODE"), c]
+
+
 def risky_by_action(calls: DataFrame) -> DataFrame:
     """One row: calls, risky ones, and these by their strictest action."""
     by = [F.count_if(F.col("strictest") == a).alias(a) for a in ACTIONS]
@@ -40,13 +46,17 @@ def match_rows(calls: DataFrame, *columns: str) -> DataFrame:
 
 def findings(calls: DataFrame, shape: str, examples: int = 3) -> DataFrame:
     """By rule: matches, and the most frequent shapes with their counts (ties by text), `more` counting the rest."""
-    counted = match_rows(calls, shape).groupBy("rule_id", shape).agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("n"), shape)))
+    ranked = ranked_shapes(match_rows(calls, shape).groupBy("rule_id", shape).agg(F.count("*").alias("n")), "rule_id", shape)
     top = F.array_sort(F.collect_list(F.when(F.col("k") <= examples, F.struct("k", F.col(shape).alias("shape"), "n"))))
     out = ranked.groupBy("rule_id").agg(F.sum("n").alias("matches"), F.count("*").alias("shapes"), top.alias("top"))
     return out.select("rule_id", "matches", F.transform("top", lambda t: F.struct(t["shape"].alias("shape"), t["n"].alias("n"))).alias("examples"), F.greatest(F.lit(0), F.col("shapes") - examples).alias("more"))
 
 
+def ranked_shapes(counted: DataFrame, key: str, shape: str, n: str = "n") -> DataFrame:
+    """counted with k: the place of a shape among its key's, the most frequent first, ties in alphabetical order."""
+    return counted.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(n), *alphabetical(shape))))
+
+
 def recurring(calls: DataFrame, call_id: str, shape: str, least: int = 2) -> DataFrame:
     """(rule, shape) found `least` times or more; calls: distinct calls that have the shape under any rule."""
     rows = match_rows(calls, call_id, shape)
@@ -155,14 +165,14 @@ def text_search(df: DataFrame, needle: str, *columns: str) -> DataFrame:
 
 
 def findings_order(findings: DataFrame) -> DataFrame:
-    """Findings as a report lists them: most matches first, ties by rule id."""
-    return findings.orderBy(F.desc("matches"), "rule_id")
+    """Findings as a report lists them: most matches first, ties by rule id in alphabetical order."""
+    return findings.orderBy(F.desc("matches"), *alphabetical("rule_id"))
 
 
 def by_severity(findings: DataFrame, dimension: DataFrame) -> DataFrame:
     """Findings with their rule's severity, gravest first, then most matches, then by rule id; rank is the place."""
     rows = findings.join(F.broadcast(dimension.select("rule_id", "severity")), "rule_id", "left").withColumn("severity_rank", rank_of(F.col("severity"), SEVERITIES))
-    return rows.orderBy("severity_rank", F.desc("matches"), "rule_id")
+    return rows.orderBy("severity_rank", F.desc("matches"), *alphabetical("rule_id"))
 
 
 def first_disclosures(calls: DataFrame, text: Column, order: list[str], most: int = 50) -> DataFrame:
@@ -176,7 +186,7 @@ def enforcement(catalog: DataFrame) -> DataFrame:
     """What is enforced of a catalog with an enabled column: rules, the library's packs and those that are on, the user's own rules."""
     on, library = F.col("enabled"), F.col("source") == "library"
     pack = catalog.where(library).groupBy("category").agg(F.bool_or("pack_on").alias("on")).agg(F.count("*").alias("packs"), F.count_if("on").alias("packs_on"))
-    rules = catalog.agg(F.count_if(on).alias("guardrails"), F.count_if(on & ~library).alias("yours"))
+    rules = catalog.agg(F.count_if(on).alias("rules"), F.count_if(on & ~library).alias("yours"))
     return rules.withColumns({n: pack.select(n).scalar() for n in ("packs", "packs_on")})
 
 
@@ -193,5 +203,6 @@ def report_search(rows: DataFrame, needle: str, columns: tuple[str, ...], action
         out = out.where(F.col("action") == action)
     if owasp is not None:
         out = out.where(F.array_contains("owasp", owasp))
-    keys = {"matches": [F.desc("matches"), F.col("rule_id")], "severity": [rank_of(F.col("severity"), SEVERITIES), F.desc("matches"), F.col("rule_id")], "rule": [F.col("rule_id")]}
+    name = alphabetical("rule_id")
+    keys = {"matches": [F.desc("matches"), *name], "severity": [rank_of(F.col("severity"), SEVERITIES), F.desc("matches"), *name], "rule": name}
     return out.orderBy(*keys[sort])

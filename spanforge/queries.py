@@ -151,13 +151,21 @@ def decided_groups(spark, d):
 
 
 @query(f"""WITH {_CATALOG_SQL}, s AS (SELECT rule_id, trim(regexp_replace(props, '\\s+', ' ', 'g')) AS shape, count(*) AS n FROM x GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, shape) AS k FROM s)
+k AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, icu_sort_key(shape, 'und'), shape) AS k FROM s)
 SELECT rule_id, sum(n)::BIGINT AS matches, string_agg(shape || '=' || n, ';' ORDER BY k) FILTER (k <= 3) AS examples, greatest(0, count(*) - 3) AS more FROM k GROUP BY 1""")
 def findings_by_rule(spark, d):
     out = aggregate.findings(evaluated(spark, d).withColumn("shape", mapping.shape(F.col("props"))), "shape")
     return out.withColumn("examples", F.array_join(F.transform("examples", lambda e: F.concat(e["shape"], F.lit("="), e["n"].cast("string"))), ";"))
 
 
+@query("""WITH w AS (SELECT lang, regexp_extract(text, '^\\S+') AS shape, count(*) AS n FROM documents GROUP BY 1, 2)
+SELECT lang, shape, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, icu_sort_key(shape, 'und'), shape) AS place FROM w""")
+def shapes_in_alphabetical_order(spark, d):
+    """The first words of texts by language, which differ by accents and case, as a report lists shapes."""
+    counted = _t(spark, d, "documents").groupBy("lang", F.regexp_extract("text", r"^\S+", 0).alias("shape")).agg(F.count("*").alias("n"))
+    return aggregate.ranked_shapes(counted, "lang", "shape").select("lang", "shape", "n", F.col("k").cast("long").alias("place"))
+
+
 @query(f"""WITH {_CATALOG_SQL}, g AS (SELECT rule_id, any_value(severity) AS severity, count(*) AS matches FROM x GROUP BY 1)
 SELECT row_number() OVER (ORDER BY matches DESC, rule_id) AS place, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, matches DESC, rule_id) AS by_severity, rule_id, matches FROM g""")
 def findings_ranked(spark, d):

@@ -375,7 +375,7 @@ def first_disclosures(spark, d):
     return aggregate.first_disclosures(calls.withColumn("tool", tool), redact.scrub(F.coalesce("props", F.lit("")))["text"], ["event_id"])
 
 
-@query("SELECT 70 AS guardrails, 1 AS yours, 11 AS packs, 10 AS packs_on".replace("70", str(sum(r.category != SHIPPED[0].category for r in SHIPPED) + 1)).replace("11 AS", f"{len({r.category for r in SHIPPED})} AS").replace("10 AS", f"{len({r.category for r in SHIPPED}) - 1} AS"))
+@query("SELECT 70 AS rules, 1 AS yours, 11 AS packs, 10 AS packs_on".replace("70", str(sum(r.category != SHIPPED[0].category for r in SHIPPED) + 1)).replace("11 AS", f"{len({r.category for r in SHIPPED})} AS").replace("10 AS", f"{len({r.category for r in SHIPPED}) - 1} AS"))
 def enforcement_status(spark, d):
     from .plans.rules import Config
     from .queries import rule

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import aggregate, evaluate, rule_admin
 from .plans.rules import RuleError, rule_of
 from .queries import CATALOG, _t, query, rule
-from .sources import claude, codex, cursor, decision_log, jsonl
+from .sources import claude, codex, cursor, decision_log, jsonl, shared
 
 
 def _json(**fields) -> Column:
@@ -119,6 +119,19 @@ def malformed_lines(spark, d):
     return jsonl.malformed(r, jsonl.text_at("$.type").isin("user", "assistant", "system"))
 
 
+@query("""SELECT conv_id % 5 AS part, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS line, conv_id, turn, text FROM conversations""")
+def jsonl_lines(spark, d):
+    """conversations written as JSON lines, in five files, and read again with the number of each line in its file."""
+    rows = _t(spark, d, "conversations").select(F.col("conv_id") % 5, "conv_id", "turn", "role", "text").toDF("part", "conv_id", "turn", "role", "text")
+    path = shared.new_path(spark, "lines")
+    order = ["part", "conv_id", "turn", "role", "text"]
+    rows.repartition("part").sortWithinPartitions(*order).select("part", F.to_json(F.struct("conv_id", "turn", "text")).alias("value")).write.partitionBy("part").text(path)
+    out = jsonl.lines(spark, path, "*.txt")
+    field = lambda n, kind: jsonl.get(f"$.{n}", kind).alias(n)
+    own = out.withColumn("record", F.try_parse_json("text")).select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"), "line", "record")
+    return own.select("part", "line", field("conv_id", "bigint"), field("turn", "bigint"), field("text", "string"))
+
+
 @query("SELECT count(*) AS not_read FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 = 1")
 def not_read_files(spark, d):
     rows = claude_lines(spark, d)
@@ -213,7 +226,7 @@ def rule_pattern_lint(spark, d):
 
 
 @query("""SELECT * FROM (VALUES ('rm -rf dist*', true), ('', false), ('<pattern>', false), ('**', false), ('npm *', false), ('rm -rf /srv/*', false), ('make clean', true), ('rm <path>', false)) AS v(pattern, allowed)""")
-def allow_pattern_guard(spark, d):
+def allow_pattern_refusals(spark, d):
     r = rule("r", any_of=[{"detail_matches": ["rm -rf"]}])
     patterns = ("rm -rf dist*", "", "<pattern>", "**", "npm *", "rm -rf /srv/*", "make clean", "rm <path>")
     return spark.createDataFrame([(p, rule_admin.refuse_allow(spark, p, r, ["rm -rf /srv/app"]) is None) for p in patterns], "pattern string, allowed boolean")

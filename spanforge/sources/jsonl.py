@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """file, line (from 0), text of every line below a folder; a carriage return at a line's end is dropped.
+BLOCKS = 200_000  # blocks whose first line numbers are broadcast; the numbers of more are joined by a shuffle
 
-    Files are read whole, since only then lines have numbers; a transcript is one session's file and of its size.
+
+def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", most: int = BLOCKS) -> DataFrame:
+    """file, mtime, bytes, line (from 0) and text of every line below a folder; a carriage return at a line's end is dropped.
+
+    Files are split into blocks of bytes (spark.sql.files.maxPartitionBytes) that tasks read alone, so a file of any size
+    takes many; see number_lines.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(path)
+    found = number_lines(files.select("value", "_metadata"), most)
+    return found.select("file", "mtime", "bytes", "line", F.regexp_replace("value", r"\r$", "").alias("text"))
+
+
+def number_lines(files: DataFrame, most: int = BLOCKS) -> DataFrame:
+    """The columns of a table read by spark.read.text (with _metadata among them), with file, mtime, bytes and line (from 0).
+
+    A first pass, which moves no text, counts each block's lines; a line's number is its place in its block after the lines of
+    the file's blocks before. Both passes deal the blocks out alike; where that doesn't hold, since files have
+    changed in between, the query fails.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    named = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_size").alias("bytes"), "value")
-    rows = named.select("file", "mtime", "bytes", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return rows.withColumn("text", F.regexp_replace("text", r"\r$", ""))
+    meta = {"file": "file_path", "start": "file_block_start", "mtime": "file_modification_time", "bytes": "file_size"}
+    rest = [c for c in files.columns if c != "_metadata"]
+    rows = files.select(*rest, *(F.col(f"_metadata.{v}").alias(k) for k, v in meta.items()))
+    rows = rows.withColumns({"task": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    blocks = rows.groupBy("file", "start", "task").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    known = blocks.select("file", "start", "task", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    table = known.limit(most + 1).toArrow()
+    known = F.broadcast(files.sparkSession.createDataFrame(table, known.schema)) if len(table) <= most else known
+    number = F.coalesce(F.col("place") + F.col("shift"), F.raise_error(F.lit("a file changed while it was read")).cast("long"))
+    return rows.join(known, ["file", "start", "task"], "left").select(*rest, "file", "mtime", "bytes", number.alias("line"))
 
 
 def records(rows: DataFrame) -> DataFrame:
