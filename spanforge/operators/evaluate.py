@@ -7,7 +7,7 @@ plan: nothing is shuffled, and columns that no rule reads are pruned.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,24 +68,35 @@ def verdict_column(matches: Column) -> Column:
     )
 
 
-def decision_column(matches: Column, titles: dict[str, str]) -> Column:
+def titled(rules: Iterable[Rule]) -> Callable[[Column], Column]:
+    """The title of a match's rule, or its id."""
+    known = {r.id: r.title for r in rules if r.title}
+    if not known:
+        return lambda m: m["rule_id"]
+    named = F.create_map(*[F.lit(x) for k, v in known.items() for x in (k, " ".join(v.split()))])
+    return lambda m: F.coalesce(named[m["rule_id"]], m["rule_id"])
+
+
+def decision_column(matches: Column, title: Callable[[Column], Column]) -> Column:
     """struct<decision, reason>: deny, ask or allow, with the deciding rule's title; a warning is an allow with one."""
     block, ask, warn = (first_of(matches, a) for a in ("block", "require_approval", "warn"))
-    named = F.create_map(*[F.lit(x) for k, v in titles.items() for x in (k, " ".join(v.split()))]) if titles else None
-    title = lambda m: F.coalesce(named[m["rule_id"]], m["rule_id"]) if named is not None else m["rule_id"]
     return F.struct(
         F.when(block.isNotNull(), "deny").when(ask.isNotNull(), "ask").otherwise("allow").alias("decision"),
         F.when(block.isNotNull(), F.concat(F.lit("Blocked: "), title(block))).when(ask.isNotNull(), F.concat(F.lit("Needs approval: "), title(ask))).when(warn.isNotNull(), F.concat(F.lit("Warning: "), title(warn))).alias("reason"),
     )
 
 
+def decided_columns(spans: DataFrame, title: Callable[[Column], Column]) -> DataFrame:
+    """spans, which have matches, with strictest, verdict, policy_id, decision and reason."""
+    out = spans.withColumn("strictest", strictest_column(F.col("matches")))
+    out = out.withColumns({"__v": verdict_column(F.col("matches")), "__d": decision_column(F.col("matches"), title)})
+    return out.select("*", "__v.verdict", "__v.policy_id", "__d.decision", "__d.reason").drop("__v", "__d")
+
+
 def evaluate(spans: DataFrame, catalog: Iterable[Rule], config: Config | None = None, columns: Spans | None = None, explain: bool = False) -> DataFrame:
     """spans with matches, strictest, verdict, policy_id, decision and reason (and explain, by rule, if asked)."""
     rules, columns = enabled(catalog, config or Config()), columns or Spans()
-    out = spans.withColumn("matches", matches_column(rules, columns))
-    out = out.withColumn("strictest", strictest_column(F.col("matches")))
-    out = out.withColumns({"__v": verdict_column(F.col("matches")), "__d": decision_column(F.col("matches"), {r.id: r.title for r in rules if r.title})})
-    out = out.select("*", "__v.verdict", "__v.policy_id", "__d.decision", "__d.reason").drop("__v", "__d")
+    out = decided_columns(spans.withColumn("matches", matches_column(rules, columns)), titled(rules))
     if explain:
         out = out.withColumn("explain", F.map_from_arrays(F.array(*[F.lit(r.id) for r in rules]), F.array(*[explain_column(r, columns) for r in rules])))
     return out

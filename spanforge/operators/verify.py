@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import readers, shell
+from ..sources import shared
 
 
 def tally(calls: DataFrame, *keys: str) -> DataFrame:
@@ -69,25 +70,65 @@ def check(calls: DataFrame, pattern: str, review: bool = True) -> DataFrame:
     return facts.withColumn("status", honest(found, F.col("hiding_calls"), F.col("results_recorded")))
 
 
+STEP = "struct<lost:boolean,lead:string,up:int,path:array<string>>"
+
+
+def _step(lost: bool | Column = False, lead: Column | None = None, up: Column | None = None, path: Column | None = None) -> Column:
+    none = F.array().cast("array<string>")
+    lost = lost if isinstance(lost, Column) else F.lit(lost)
+    return F.struct(lost.alias("lost"), (F.lit(None).cast("string") if lead is None else lead).alias("lead"), (F.lit(0) if up is None else up).alias("up"), (none if path is None else path).alias("path")).cast(STEP)
+
+
+def whole_folder(path: Column) -> Column:
+    """The step to a folder whatever was before; lost for null."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return F.when(path.isNull(), _step(True)).otherwise(_step(lead=F.when(path.startswith("/"), "/").otherwise(""), path=parts))
+
+
+def then(a: Column, b: Column) -> Column:
+    """The step that two steps make, the first one first: associative, so a prefix scan may pair them in any way."""
+    keep = F.size(a["path"]) - b["up"]
+    path = F.when(keep >= 0, F.concat(F.slice(a["path"], 1, F.greatest(keep, F.lit(0))), b["path"])).otherwise(b["path"])
+    up = F.when(a["lead"].isNotNull(), F.lit(0)).otherwise(a["up"] + F.greatest(-keep, F.lit(0)))  # nothing lies above the root
+    return F.when(b["lost"] | b["lead"].isNotNull(), b).when(a["lost"], a).otherwise(_step(lead=a["lead"], up=up, path=path))
+
+
+def prefix_scan(rows: DataFrame, name: str, keys: list[str], order: list[str], rounds: int) -> DataFrame:
+    """rows whose column `name` is the composition of all steps up to each row: in round i of steps 2**i rows apart.
+
+    rounds is the logarithm of the longest group, rounded up. All windows have one order, so rows are sorted once.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    for i in range(rounds):
+        before = F.lag(name, 1 << i).over(w)
+        rows = rows.withColumn("__before", before).withColumn(name, F.when(F.col("__before").isNull(), F.col(name)).otherwise(then(F.col("__before"), F.col(name)))).drop("__before")
+    return rows
+
+
 def folders(calls: DataFrame, session: str = "session_key", order: str = "call_order") -> DataFrame:
     """calls with the folder that each began in: changes of one session's calls carry over, until one is unclear.
 
-    State runs through a session, so a session is one group; sessions are independent and of a transcript's size.
+    A session begins in its first call's cwd. A call's change is a step: to a folder, to one relative to what was before, or to
+    nowhere known. The steps of the calls that have one are composed by a prefix scan, and each call takes the last before it.
+    `order` tells a session's calls apart.
     """
-    schema = calls.withColumn("folder", F.lit(None).cast("string")).schema
-
-    def walk(rows):
-        rows = rows.sort_values(order, kind="stable")
-        folder, known, out = None, False, []
-        for r in rows.itertuples(index=False):
-            if not known:
-                folder, known = r.cwd, True
-            out.append(folder)
-            reset = re.search(r"Shell cwd was reset to (\S+)", r.content or "")
-            if reset:
-                folder = reset[1]
-            elif r.full_command and re.search(r"\b(?:cd|pushd)\b", r.full_command):
-                folder = shell.change_folder(folder, r.full_command) if r.has_result and not r.is_error else None
-        return rows.assign(folder=out)
-
-    return calls.groupBy(session).applyInPandas(walk, schema)
+    reset = F.regexp_extract(F.coalesce("content", F.lit("")), r"Shell cwd was reset to (\S+)", 1)
+    moves = F.coalesce(F.col("full_command").rlike(r"\b(?:cd|pushd)\b"), F.lit(False))
+    done = F.col("has_result") & ~F.col("is_error")
+    text = F.when(moves & done & (reset == ""), F.col("full_command"))
+    step = F.when(reset != "", whole_folder(reset)).when(moves, F.when(F.coalesce(done, F.lit(False)), shell.folder_step(text)).otherwise(_step(True)))
+    first = calls.groupBy(session).agg(F.min_by("cwd", order).alias("cwd"))
+    changes = calls.select(session, F.col(order).alias("__at"), step.alias("__step")).where("__step is not null")
+    every = first.select(session, F.lit(None).cast(calls.schema[order].dataType).alias("__at"), whole_folder(F.col("cwd")).alias("__step")).union(changes)
+    path = shared.new_path(calls.sparkSession, "folder-steps")
+    every.write.parquet(path)
+    steps = calls.sparkSession.read.schema(every.schema).parquet(path)
+    longest = steps.groupBy(session).count().agg(F.max("count")).first()[0] or 1
+    scanned = prefix_scan(steps, "__step", [session], ["__at"], math.ceil(math.log2(longest)) if longest > 1 else 0)  # the session's beginning sorts first
+    begin, later = scanned.where("__at is null").select(session, F.col("__step").alias("__begin")), scanned.where("__at is not null")
+    own = calls.join(begin, session, "left").join(later.select(session, F.col("__at").alias(order), "__step"), [session, order], "left")
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.coalesce(F.last("__step", ignorenulls=True).over(w), F.col("__begin"))
+    own = own.withColumn("__step", last)
+    where = F.when(~F.col("__step.lost"), F.concat(F.col("__step.lead"), F.array_join("__step.path", "/")))
+    return own.select(*calls.columns, where.alias("folder"))

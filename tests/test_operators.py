@@ -114,3 +114,27 @@ def test_verification(spark):
     assert [x.asDict() for x in verify.traffic(calls.where("full_command is not null")).collect()] == [{"kind": "http-upload", "local": 0, "leaving": 1}]
     assert [x["folder"] for x in verify.folders(calls).orderBy("call_order").collect()] == ["/w", "/w", "/w/sub", "/w/sub", "/w/sub", "/w"]
     assert verify.tally(verify.judged(calls, "rm"), "tool").first()["ran"] == 1
+
+
+def test_folders_by_prefix_scan(spark):
+    """Random changes over long sessions give what a walk gives; steps compose in any grouping."""
+    import random
+
+    rnd = random.Random(8)
+    texts = ["ls", "cd a", "cd ../b && make", "cd /srv/x", "cd ../../../..", "cd .", "cd $D", "cd -", "(cd c)", "pushd d/e", "cd a/../../f", "cd"]
+    rows = []
+    for s, n in (("one", 1), ("two", 2), ("three", 37), ("long", 900), ("none", 5)):
+        for i in range(n):
+            rows.append((s, i, None if s == "none" else "/w/v", rnd.choice(texts), rnd.random() < 0.9, rnd.random() < 0.1, "Shell cwd was reset to /back/at" if rnd.random() < 0.05 else None))
+    calls = spark.createDataFrame(rows, "session_key string, call_order int, cwd string, full_command string, has_result boolean, is_error boolean, content string").repartition(3)
+    want, folder, last = {}, None, None
+    for s, i, cwd, text, has, bad, content in rows:
+        folder = cwd if s != last else folder
+        last, want[s, i] = s, folder
+        if content:
+            folder = "/back/at"
+        elif "cd" in text or "pushd" in text:
+            folder = shell.change_folder(folder, text) if has and not bad else None
+    got = {(r["session_key"], r["call_order"]): r["folder"] for r in verify.folders(calls).collect()}
+    assert got == want
+    assert verify.folders(calls.limit(0)).count() == 0
