@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import PatternError, glob_to_java
 from ..plans.rules import Config, Rule, Spans
+from ..sources.jsonl import number_lines
+from ..sources.shared import Store
 from .evaluate import evaluate
 
-# Commands and paths of everyday work. A pattern that lets one of them pass is too broad.
-CANARIES = ("cat README.md", "docs/README.md", "echo hello", "git status", "ls -la", "npm test", "pnpm install", "src/index.ts")
+# Commands and paths of everyday work: a pattern that lets one of them pass is too broad.
+CANARIES = ("pwd", "date", "npm run lint", "git log --oneline", "grep -n main app.py", "mkdir -p notes", "lib/util.go", "notes/today.txt", "make check")
 PLACEHOLDER = re.compile(r"^<[\w -]+>$|^\.{3}$|^(?:todo|example|placeholder|pattern)$", re.IGNORECASE)
 
 
@@ -74,19 +78,33 @@ def check_fixtures(spark: SparkSession, rule: Rule, block: Iterable[dict], allow
     return out.where("matched <> must").select("tool", "command", "file_path", "must", "matched")
 
 
+def _known(values: DataFrame) -> list[str]:
+    """The values, the longest first."""
+    known = sorted({r[0] for r in values.limit(1001).collect() if r[0]}, key=lambda v: (-len(v), v))
+    if len(known) > 1000:
+        raise ValueError("more than 1,000 values: scrub in several passes")
+    return known
+
+
+def _spelled(value: str) -> list[str]:
+    """A value as JSON may write it."""
+    plain = json.dumps(value, ensure_ascii=False)[1:-1]
+    return list(dict.fromkeys((json.dumps(value)[1:-1], plain, plain.replace("/", r"\/"))))
+
+
+def _spellings(values: DataFrame) -> list[str]:
+    return [x for v in _known(values) for x in dict.fromkeys([v, *_spelled(v)])]
+
+
 def scrub_plan(lines: DataFrame, values: DataFrame, mark: str = "<removed>") -> DataFrame:
     """Lines (file, line, text) with known values replaced in their three JSON spellings; `changed`, and whether any is left.
 
     values: one column `value`, of a few strings (a checked bound), which are compiled into the plan.
     """
-    import json
-
-    known = sorted({r[0] for r in values.limit(1001).collect() if r[0]}, key=lambda v: (-len(v), v))
-    if len(known) > 1000:
-        raise ValueError("more than 1,000 values: scrub in several passes")
+    known = _known(values)
     out = F.col("text")
     for v in known:
-        for spelled in dict.fromkeys((json.dumps(v)[1:-1], json.dumps(v, ensure_ascii=False)[1:-1], json.dumps(v, ensure_ascii=False)[1:-1].replace("/", r"\/"))):
+        for spelled in _spelled(v):
             out = F.replace(out, F.lit(spelled), F.lit(mark))
     left = F.lit(False)
     for v in known:
@@ -95,14 +113,51 @@ def scrub_plan(lines: DataFrame, values: DataFrame, mark: str = "<removed>") ->
     return done.withColumns({"changed": F.col("scrubbed") != F.col("text"), "left": left, "valid": F.try_parse_json("text").isNull() | F.try_parse_json("scrubbed").isNotNull()})
 
 
-def scrub_write(plan: DataFrame, folder: str) -> DataFrame:
-    """Write a plan's scrubbed lines below a new folder, one text file a file, and read back what is left of the values.
+def scrub_stage(plan: DataFrame, folder: str) -> str:
+    """Write a plan's scrubbed lines beside a folder that is to be, one text file a file: <staged>/file=<name>/part-* in their order. Nothing is read from there yet."""
+    staged = f"{folder.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    plan.select("file", "line", "scrubbed").repartition("file").sortWithinPartitions("file", "line").select("file", F.col("scrubbed").alias("value")).write.partitionBy("file").text(staged)
+    return staged
+
 
-    Files are never changed in place: <folder>/file=<name>/part-* hold the lines in their order. Lines that are no JSON
-    any more are a reason not to use the copy; they are counted by file.
+def _digest(rows: DataFrame, line: str, text: str, *more: Column) -> DataFrame:
+    """By file: its lines, and a sum over hashes of each line with its number, which any change, loss or exchange of lines changes."""
+    return rows.groupBy("file").agg(F.count("*").alias("lines"), F.sum(F.xxhash64(F.col(line).cast("long"), F.col(text)).cast("decimal(38,0)")).alias("digest"), *more)
+
+
+def scrub_commit(plan: DataFrame, staged: str, folder: str, values: DataFrame | None = None) -> DataFrame:
+    """Read the staged copy back, compare it with the plan, and give it its name by one rename; a copy that fails goes.
+
+    A copy fails if a file's lines are not those of the plan in their order, if a line holds one of the values (a column
+    `value`) still, if a line is no JSON any more that was before, and if the folder is taken. Result: file, lines, changed.
     """
-    plan.select("file", "line", "scrubbed").repartition("file").sortWithinPartitions("file", "line").select("file", F.col("scrubbed").alias("value")).write.partitionBy("file").text(folder)
-    return plan.groupBy("file").agg(F.count("*").alias("lines"), F.count_if("changed").alias("changed"), F.count_if("left").alias("lines_left"), F.count_if(~F.col("valid")).alias("lines_invalid"))
+    spark, store = plan.sparkSession, Store(plan.sparkSession)
+    ranked = plan.withColumn("at", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
+    wanted = _digest(ranked, "at", "scrubbed", F.count_if("changed").alias("changed"), F.count_if(~F.col("valid")).alias("invalid"))
+    copy = spark.read.schema("value string, file string").option("lineSep", "\n").text(staged).select("value", F.col("file").alias("name"), "_metadata")
+    found = number_lines(copy).select(F.col("name").alias("file"), "line", "value")
+    left = F.lit(False)
+    for v in _spellings(values) if values is not None else ():
+        left = left | F.contains("value", F.lit(v))
+    got = _digest(found, "line", "value", F.count_if(left).alias("left")).select("file", F.col("lines").alias("got_lines"), F.col("digest").alias("got_digest"), "left")
+    same = F.col("lines").eqNullSafe(F.col("got_lines")) & F.col("digest").eqNullSafe(F.col("got_digest"))
+    report = wanted.join(got, "file", "full_outer").withColumn("bad", ~same | (F.coalesce("left", F.lit(0)) > 0) | (F.coalesce("invalid", F.lit(0)) > 0))
+    bad = report.where("bad").orderBy("file").limit(3).collect()
+    if bad or not store.rename(staged, folder):
+        store.delete(staged)
+        raise ScrubError(f"not committed: {', '.join(str(r['file']) for r in bad)}" if bad else f"{folder} is there already")
+    return wanted.select("file", "lines", "changed")
+
+
+class ScrubError(RuntimeError):
+    """A scrubbed copy that is not what it should be."""
+
+
+def scrub_write(plan: DataFrame, folder: str, values: DataFrame | None = None) -> DataFrame:
+    """Write a plan's scrubbed lines below a new folder, whole or not at all (see scrub_stage and scrub_commit). Files are never changed in place."""
+    staged = scrub_stage(plan, folder)
+    done = scrub_commit(plan, staged, folder, values)
+    return done.withColumns({"lines_left": F.lit(0).cast("long"), "lines_invalid": F.lit(0).cast("long")})
 
 
 def export(rules: Iterable[Rule], disabled: Iterable[str] = ()) -> list[dict]:

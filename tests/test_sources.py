@@ -116,3 +116,65 @@ def test_report_sinks_and_scrubbed_copies(spark, tmp_path):
     counts = {r["file"]: (r["lines"], r["changed"], r["lines_left"], r["lines_invalid"]) for r in rule_admin.scrub_write(plan, str(tmp_path / "copy")).collect()}
     assert counts == {"f1": (2, 2, 0, 0), "f2": (1, 0, 0, 0)}
     assert [r["value"] for r in spark.read.text(str(tmp_path / "copy" / "file=f1")).collect()] == ['{"k":"<removed>"}', "<removed> text"]
+
+
+def test_a_corrupted_copy_is_not_committed(spark, tmp_path):
+    """Changed, lost, exchanged and added lines, a file too many, a value that is left, and a taken name."""
+    import pytest
+
+    from spanforge.operators import rule_admin
+
+    rows = [(f, i, json.dumps({"k": f"old {f} {i}"})) for f in ("a b%", "c+d") for i in range(40)]
+    lines = spark.createDataFrame(rows, "file string, line int, text string")
+    values = spark.createDataFrame([("old",)], "value string")
+    plan = rule_admin.scrub_plan(lines, values)
+    folder = f"file://{tmp_path}/copy"
+
+    def part(staged, k=0):
+        return sorted(p for p in __import__("pathlib").Path(staged.removeprefix("file://")).glob("file=*/part-*"))[k]
+
+    def change(text):
+        own = text.split("\n")
+        return {"changed": [own[0] + " ", *own[1:]], "lost": own[1:], "exchanged": [own[1], own[0], *own[2:]], "added": [*own[:-1], "x", ""]}
+
+    for kind in ("changed", "lost", "exchanged", "added", "gone"):
+        staged = rule_admin.scrub_stage(plan, folder)
+        p = part(staged)
+        (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+        if kind == "gone":
+            p.unlink()
+        else:
+            p.write_text("\n".join(change(p.read_text())[kind]))
+        with pytest.raises(rule_admin.ScrubError, match="a b%"):
+            rule_admin.scrub_commit(plan, staged, folder, values)
+        assert not (tmp_path / "copy").exists() and not list(tmp_path.iterdir())
+    with pytest.raises(rule_admin.ScrubError):
+        rule_admin.scrub_write(plan, folder, spark.createDataFrame([("a b%",)], "value string"))
+    done = rule_admin.scrub_write(plan, folder, values)
+    assert sorted((r["file"], r["lines"], r["changed"]) for r in done.collect()) == [("a b%", 40, 40), ("c+d", 40, 40)]
+    with pytest.raises(rule_admin.ScrubError, match="already"):
+        rule_admin.scrub_write(plan, folder, values)
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Files cut into blocks of some bytes give the numbers that whole ones give; the numbers of blocks may be joined by a shuffle."""
+    import random
+
+    rnd, want = random.Random(1), {}
+    for i in range(5):
+        rows = ["é" * rnd.randint(0, 150) + str(k) if rnd.random() < 0.9 else "" for k in range(rnd.randint(1, 60))]
+        (tmp_path / f"f{i}.jsonl").write_bytes("\r\n".join(rows).encode() + b"\n" * (i % 2))
+        want |= {(f"f{i}.jsonl", k): r for k, r in enumerate(rows)}
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(old, ("97", "10"), strict=True):
+            spark.conf.set(k, v)
+        for most in (jsonl.BLOCKS, 3):
+            df = jsonl.lines(spark, str(tmp_path), most=most)
+            got = {(r["file"].split("/")[-1], r["line"]): r["text"] for r in df.collect()}
+            assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+        assert jsonl.lines(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 50
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
