@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import readers, shell
+from ..functions.labels import TUNNELS
 from ..plans.rules import Rule, Spans
+from ..sources import shared
 from .evaluate import matches_column
 from .verify import honest, may_have_run, status
 
@@ -33,20 +35,24 @@ KEY = ("session_key", "call_order")
 def read_calls(calls: DataFrame) -> DataFrame:
     """calls (session_key, call_order, tool, full_command, cwd, records_results, has_result, is_error, content) with the reading that all checks share.
 
-    executed: the text without data; commands: what it runs; raw_commands: what the whole text would; hiding: forms in
+    reading: see shell.read_once, in which every command is read once; executed: the text without data; hiding: forms in
     which more may run; state: ran or unknown, as far as the result tells.
     """
-    shellish = F.col("tool").isin("Bash", "PowerShell")
     coded = F.coalesce(F.col("content").rlike(r"^\s*Exit code -?\d+"), F.lit(False))
     why = (
         F.when(~F.col("records_results"), "not-recorded").when(~F.col("has_result"), "no-result")
         .when(F.col("is_error") & ~coded, "error-result").when(F.col("is_error"), "exit-code").otherwise("result")
     )
-    text = F.when(shellish & (F.col("tool") == "Bash"), F.col("full_command"))
-    out = calls.withColumns({"view": shell.executed(text), "hiding": F.when(F.col("tool") == "PowerShell", F.array(F.lit("unread-shell"))).otherwise(F.coalesce(shell.hiding(text), F.array().cast("array<string>"))), "why": why})
-    out = out.withColumns({"executed": F.col("view.text"), "state": F.when(F.col("why").isin("result", "exit-code"), "ran").otherwise("unknown")})
-    empty = F.array().cast(f"array<struct<{','.join(f'{n}:{k}' for n, k in shell.FIELDS.items())}>>")
-    return out.withColumns({"commands": F.coalesce(shell.commands("executed"), empty), "raw_commands": F.coalesce(shell.commands(text), empty)}).drop("view")
+    out = calls.withColumns({"reading": shell.reading(F.when(F.col("tool") == "Bash", F.col("full_command"))), "why": why})
+    unread = F.when(F.col("tool") == "PowerShell", F.array(F.lit("unread-shell"))).otherwise(F.col("reading.hiding"))
+    return out.withColumns({"executed": F.col("reading.text"), "hiding": unread, "state": F.when(F.col("why").isin("result", "exit-code"), "ran").otherwise("unknown")})
+
+
+def once(calls: DataFrame) -> DataFrame:
+    """calls as a table of the shared folder, for what asks more than once: commands are read when it is written."""
+    path = shared.new_path(calls.sparkSession, "calls")
+    calls.write.parquet(path)
+    return calls.sparkSession.read.schema(calls.schema).parquet(path)
 
 
 def _count(labels: Column, label: str) -> Column:
@@ -69,9 +75,9 @@ def _hides() -> dict[str, Column]:
     return {"could-hide": _sum((F.size("hiding") > 0) & may_have_run(F.col("state"), F.col("why")))}
 
 
-def _labelled(calls: DataFrame, reader) -> DataFrame:
+def _labelled(calls: DataFrame, name: str) -> DataFrame:
     """labels of what is executed; raw_labels of the whole text, which only mentions what the former lacks."""
-    return calls.withColumns({"labels": reader(F.col("commands")), "raw_labels": reader(F.col("raw_commands"))})
+    return calls.withColumns({"labels": F.col(f"reading.labels.{name}"), "raw_labels": F.col(f"reading.raw.{name}")})
 
 
 def _agg(calls: DataFrame, facts: dict[str, Column]) -> DataFrame:
@@ -114,7 +120,7 @@ def _with(calls: DataFrame, table: DataFrame | None, **columns: str) -> tuple[Da
 
 def skipped_checks(calls: DataFrame, commits: DataFrame | None = None, hook_paths: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """Commits without hooks and other switches. commits: (session_key, call_order, on_main) of such commits; hook_paths: (folder, off); files: (path, content)."""
-    own, known = _with(_labelled(calls, readers.skips), commits, on_main="boolean")
+    own, known = _with(_labelled(calls, "skips"), commits, on_main="boolean")
     bare = (_count(F.col("labels"), "no-verify") > 0) & (F.col("state") == "ran")
     facts = {
         **_calls("no-verify", "no-verify"), "no-verify.on-main": _sum(bare & F.coalesce(F.col("on_main"), F.lit(False))), "no-verify.off-main": _sum(bare & ~F.coalesce(F.col("on_main"), F.lit(True))),
@@ -133,7 +139,7 @@ def skipped_checks(calls: DataFrame, commits: DataFrame | None = None, hook_path
 
 def lost_work(calls: DataFrame, losses: DataFrame | None = None) -> DataFrame:
     """Branches, stashes and changes thrown away. losses: (session_key, call_order, recoverable, main_checkout) of these calls."""
-    own, known = _with(_labelled(calls, readers.lost), losses, recoverable="boolean", main_checkout="boolean")
+    own, known = _with(_labelled(calls, "lost"), losses, recoverable="boolean", main_checkout="boolean")
     kinds = ("branch-delete", "stash-drop", "stash-clear", "discard-all", "discard-paths")
     any_ = functools.reduce(lambda a, b: a | b, [_count(F.col("labels"), k) > 0 for k in kinds]) & (F.col("state") == "ran")
     facts = {n: c for k in kinds for n, c in _calls(k, k).items()} | {
@@ -146,7 +152,7 @@ def lost_work(calls: DataFrame, losses: DataFrame | None = None) -> DataFrame:
 
 def cloud(calls: DataFrame) -> DataFrame:
     """Changes to a cloud account: never act, since what they did can't be seen here."""
-    own = _labelled(calls, readers.cloud)
+    own = _labelled(calls, "cloud")
     ran = F.col("state") == "ran"
     subjects = ("access-keys", "credentials", "policies", "roles", "groups", "users", "other")
     each = {f"iam.{s}": _sum(_count(F.col("labels"), f"iam:{s}"), ran) for s in subjects} | {k: _sum(_count(F.col("labels"), k), ran) for k in ("auto-scaling", "s3", "local-stack")}
@@ -162,8 +168,8 @@ def prod_infra(calls: DataFrame, catalog: list[Rule]) -> DataFrame:
     path = "file_path" if "file_path" in calls.columns else None
     spans = Spans(kind="'execute_tool'", label="tool", detail="executed", mcp_input=None, file_path=path, agent=None, project=None, tokens=None, cached_tokens=None, duration_ms=None)
     kind_of = F.create_map(*[F.lit(x) for kv in INFRA_RULES.items() for x in kv])
-    own = _labelled(calls, readers.databases).withColumn("kinds", F.array_distinct(F.transform(matches_column(rules, spans), lambda m: kind_of[m["rule_id"]])))
-    own = own.withColumn("local", readers.only_this_machine(F.col("commands"), F.col("hiding")))
+    own = _labelled(calls, "databases").withColumn("kinds", F.array_distinct(F.transform(matches_column(rules, spans), lambda m: kind_of[m["rule_id"]])))
+    own = own.withColumn("local", F.col("reading.here"))
     ran, hit = F.col("state") == "ran", F.size("kinds") > 0
     facts = {
         "infra": _sum(hit & ran & ~F.col("local")), "infra.local": _sum(hit & ran & F.col("local")), "infra.unconfirmed": _sum(hit & ~ran),
@@ -179,7 +185,9 @@ def destructive(calls: DataFrame, home: str, tracked: DataFrame | None = None) -
     A path that no row of tracked is at or below is scratch by its name, or other; without the table it could not be checked.
     """
     ran = F.col("state") == "ran"
-    own = calls.withColumn("targets", readers.removals(F.col("commands"), F.col("cwd"), F.lit(home))).withColumn("raw_targets", readers.removals(F.col("raw_commands"), F.col("cwd"), F.lit(home)))
+    target = lambda t: readers.removal(t, F.col("cwd"), F.lit(home))
+    own = _labelled(calls, "databases").withColumns({"targets": F.transform("reading.labels.removed", target), "raw_targets": F.size("reading.raw.removed")})
+    own = once(own.select("state", "why", "hiding", "records_results", "labels", "raw_labels", "targets", "raw_targets"))
     each = own.where(ran).select(F.explode("targets").alias("t")).select("t.label", "t.path")
     looked = each.where(F.col("label").isin("rm:path", "rm:scratch-name")).groupBy("label", "path").agg(F.count("*").alias("n"))
     if tracked is not None:
@@ -192,24 +200,23 @@ def destructive(calls: DataFrame, home: str, tracked: DataFrame | None = None) -
     kinds = ("guarded-variable", "unguarded-variable", "could-not-check", "home-or-above", "scratch", "other", "tracked", "tracked-missing")
     plain = each.where(~F.col("label").isin("rm:path", "rm:scratch-name")).groupBy(F.substring("label", 4, 100).alias("kind")).agg(F.count("*").alias("n"))
     classes = looked.groupBy("kind").agg(F.sum("n").alias("n")).union(plain).agg(*[_sum(F.col("n"), F.col("kind") == k).alias(f"rm.{k}") for k in kinds])
-    rows = _labelled(own, readers.databases)
-    some, raw = F.size("targets") > 0, F.size("raw_targets") > 0
+    some, raw = F.size("targets") > 0, F.col("raw_targets") > 0
     facts = {
         "rm.ran": _sum(some & ran), "rm.mentioned": _sum(~some & raw), "rm.unknown": _sum(some & ~ran), **_calls("db:", "database"),
         **{f"database.{k}": _sum(_count(F.col("labels"), f"db:{k}"), ran) for k in ("local", "scratch", "other", "unresolved")}, **_hides(),
     }
     act = _fact("rm.home-or-above", "rm.unguarded-variable", "rm.tracked-missing") > 0
     review = _fact("rm.tracked", "rm.other", "database.local", "database.other") > 0
-    return card("destructive", [_agg(rows, facts), classes], _status(act, review, _fact("rm.could-not-check", "rm.unknown", "database.unknown", "database.unresolved") > 0))
+    return card("destructive", [_agg(own, facts), classes], _status(act, review, _fact("rm.could-not-check", "rm.unknown", "database.unknown", "database.unresolved") > 0))
 
 
 def unreviewed(calls: DataFrame, on_main: DataFrame | None = None) -> DataFrame:
     """Pushes to main by what their output says. on_main: (hash, contained) of commits, whether main has them now."""
-    own = _labelled(calls, readers.pushes).withColumn("refs", F.filter(readers.pushed_refs(F.coalesce("content", F.lit(""))), lambda r: r["branch"].rlike("^(?:refs/heads/)?(?:main|master)$")))
+    own = _labelled(calls, "pushes").withColumn("refs", F.filter(readers.pushed_refs(F.coalesce("content", F.lit(""))), lambda r: F.regexp_replace(r["branch"], "^refs/heads/", "").isin("main", "master")))
     live = F.size(F.filter("labels", lambda x: x != "push:dry-run")) > 0
     raw = F.size(F.filter("raw_labels", lambda x: x != "push:dry-run")) > 0
     ran = F.col("state") == "ran"
-    says = F.coalesce(F.col("content").rlike(r"\s->\s|Everything up-to-date|\[up to date\]"), F.lit(False))
+    says = readers.push_reported(F.col("content"))
     facts = {
         "pushes-to-main": _sum(F.size("refs"), live & ran), "pushes-creating-main": _sum(F.size(F.filter("refs", lambda r: r["to_hash"].isNull())), live & ran),
         "pushes-not-checked": _sum(live & ran & ~says), "mentioned": _sum(~live & raw), "unconfirmed": _sum(live & ~ran), **_hides(),
@@ -224,7 +231,7 @@ def unreviewed(calls: DataFrame, on_main: DataFrame | None = None) -> DataFrame:
 
 def egress(calls: DataFrame, running: DataFrame | None = None) -> DataFrame:
     """Uploads and tunnels. running: (name) of the tunnel programs that run now."""
-    own = _labelled(calls, readers.traffic)
+    own = _labelled(calls, "traffic")
     ran = F.col("state") == "ran"
     left = lambda labels: F.size(F.filter(labels, lambda x: x.endswith(":leaving")))
     kinds = ("http-upload", "file-copy", "cloud-storage", "raw-socket", "paste")
@@ -234,14 +241,14 @@ def egress(calls: DataFrame, running: DataFrame | None = None) -> DataFrame:
     }
     parts = [_agg(own, facts | (_absent("tunnels-running") if running is None else {}))]
     if running is not None:
-        parts.append(running.where(F.col("name").isin(*readers.TUNNELS)).agg(F.count("*").alias("tunnels-running")))
+        parts.append(running.where(F.col("name").isin(*TUNNELS)).agg(F.count("*").alias("tunnels-running")))
     unasked = F.lit(running is None) & (_fact("tunnels") > 0)
     return card("egress", parts, _status(_fact("tunnels-running") > 0, _fact("uploads", "tunnels") > 0, (_fact("unconfirmed") > 0) | unasked))
 
 
 def dependencies(calls: DataFrame) -> DataFrame:
     """installs and restores by manager, of calls that ran."""
-    each = calls.where("state = 'ran'").select(F.explode(readers.installs(F.col("commands"))).alias("x")).select(F.split("x", ":").alias("p"))
+    each = calls.where("state = 'ran'").select(F.explode("reading.labels.installs").alias("x")).select(F.split("x", ":").alias("p"))
     return each.groupBy(F.col("p")[1].alias("manager")).agg(F.count_if(F.col("p")[0] == "install").alias("installs"), F.count_if(F.col("p")[0] == "restore").alias("restores"))
 
 
@@ -250,75 +257,108 @@ def tests(calls: DataFrame, edits: DataFrame | None = None, disk: DataFrame | No
 
     A whole write is compared with what the session wrote to the file before. A lowered threshold that was seen in the
     session before its last coverage run undoes an automatic raise, if autoUpdate is on in the edit or on disk.
+    What was before is never gathered in a row: failing lines and thresholds are tables of their first calls, found by equality,
+    so a session costs as much as it has calls.
     """
-    runs = F.col("executed").rlike(readers.TEST_RUN)
-    own = calls.withColumns({"deletes": readers.deleted_tests(F.col("commands")), "raw_deletes": readers.deleted_tests(F.col("raw_commands")), "passes": F.coalesce(F.col("executed").rlike(readers.PASS_FLAG), F.lit(False)), "run": F.coalesce(runs, F.lit(False))})
-    own = own.withColumn("unread", readers.writes_config_unread(F.col("commands")))
     ran = F.col("state") == "ran"
-    order = Window.partitionBy("session_key").orderBy("call_order")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # the lines by which earlier runs of the session report failures: read by the files deleted later
-    failing = F.filter(F.split(F.coalesce("content", F.lit("")), r"\r?\n"), lambda x: x.rlike(r"\bFAIL(?:ED)?\b|✗|×|\b[1-9]\d* (?:failed|failing)\b"))
-    own = own.withColumn("failed", F.when(F.col("run") & ran, F.array_join(failing, "\n")))
-    own = own.withColumns({"earlier": F.array_join(F.collect_list("failed").over(before), "\n"), "coverage": F.max(F.when(F.col("run") & ran & F.col("executed").rlike(r"(?i)\bcoverage\b"), F.col("call_order"))).over(before)})
-    base = lambda p: F.regexp_extract(F.regexp_replace(p, r"[\\/]+$", ""), r"[^\\/]*$", 0)
-    after = lambda paths: F.size(F.filter(paths, lambda p: readers.names_as_failing(F.col("earlier"), base(p))))
+    of_tests = lambda paths: F.filter(paths, readers.is_test_path)
+    label = lambda n: F.col(f"reading.labels.{n}")
+    config_written = F.exists(label("written"), lambda w: readers.is_test_config(w) | readers.is_ci_file(w))
+    failing = F.filter(F.split(F.coalesce("content", F.lit("")), r"\r?\n"), readers.reports_failure)
+    own = calls.select(
+        *KEY, "state", "why", "hiding", "records_results", of_tests(label("deleted")).alias("deletes"), F.size(of_tests(F.col("reading.raw.deleted"))).alias("raw_deletes"), label("passes").alias("passes"),
+        (config_written | label("patched")).alias("unread"), F.when(label("tests") & ran, failing).alias("failing"), (label("coverage") & ran).alias("covers"),
+    )
+    own = once(own)
+    failed = own.select(*KEY, F.explode("failing").alias("line")).select(*KEY, "line", F.explode(readers.pieces(F.col("line"))).alias("piece"))
+    failed = failed.groupBy("session_key", "piece", "line").agg(F.min("call_order").alias("failed_at"))
+
+    def after_failing(rows: DataFrame) -> DataFrame:
+        """Those of rows (session_key, call_order, path) whose file a run before had reported as failing."""
+        rows = rows.withColumn("base", readers.base_name(F.col("path"))).withColumn("piece", readers.longest_piece(F.col("base"))).alias("r")
+        before = (F.col("r.session_key") == F.col("f.session_key")) & (F.col("r.piece") == F.col("f.piece")) & (F.col("f.failed_at") < F.col("r.call_order")) & readers.names(F.col("f.line"), F.col("r.base"))
+        return rows.join(failed.alias("f"), before, "left_semi")
+
     some = (F.size("deletes") > 0) | F.col("passes") | F.col("unread")
     facts = {
-        "pass-with-no-tests": _sum(F.col("passes") & ran), "test-files-deleted": _sum(F.size("deletes"), ran), "deleted-after-failing": _sum(after(F.col("deletes")), ran & F.col("records_results")), "deleted-failure-unknown": _sum(F.size("deletes"), ran & ~F.col("records_results")),
-        "unread-edits": _sum(F.col("unread") & ran), "mentioned": _sum(~some & (F.size("raw_deletes") > 0)), "unconfirmed": _sum(some & ~ran), **_hides(),
+        "pass-with-no-tests": _sum(F.col("passes") & ran), "test-files-deleted": _sum(F.size("deletes"), ran), "deleted-failure-unknown": _sum(F.size("deletes"), ran & ~F.col("records_results")),
+        "unread-edits": _sum(F.col("unread") & ran), "mentioned": _sum(~some & (F.col("raw_deletes") > 0)), "unconfirmed": _sum(some & ~ran), **_hides(),
     }
+    gone_files = own.where(ran & F.col("records_results")).select(*KEY, F.explode("deletes").alias("path"))
     of_edits = ("thresholds-lowered", "auto-update-reverts", "configs-rewritten", "excludes-added", "edits.pass-with-no-tests", "ci-steps-forced-true", "edits.test-files-deleted", "edits.deleted-after-failing")
-    parts = [_agg(own, facts | (_absent(*of_edits) if edits is None else {}))]
+    parts = [_agg(own, facts | (_absent(*of_edits) if edits is None else {})), after_failing(gone_files).agg(F.count("*").alias("deleted-after-failing"))]
     if edits is not None:
-        e = edits.join(own.select(*KEY, "state", "earlier", "coverage", "records_results"), list(KEY)).where(ran)
+        order = Window.partitionBy("session_key").orderBy("call_order").rowsBetween(Window.unboundedPreceding, -1)
+        known = own.select(*KEY, "state", "records_results", F.max(F.when(F.col("covers"), F.col("call_order"))).over(order).alias("coverage"))
+        e = edits.join(known, list(KEY)).where(ran)
         file = Window.partitionBy("session_key", "path").orderBy("call_order")
-        earlier = file.rowsBetween(Window.unboundedPreceding, -1)
         last = F.lag(F.when(F.col("whole"), F.col("added"))).over(file)  # an edit in between makes the content unknown
-        e = e.withColumns({"removed": F.when(F.col("whole") & last.isNotNull(), last).otherwise(F.col("removed")), "whole": F.col("whole") & last.isNull()})
-        seen = F.collect_list(F.struct("call_order", F.concat_ws("\n", "removed", "added").alias("text"))).over(earlier)
-        config, ci = F.col("path").rlike(readers.TEST_CONFIG), F.col("path").rlike(readers.CI_FILE)
+        e = e.withColumn("last", last).withColumns({"removed": F.when(F.col("whole") & F.col("last").isNotNull(), F.col("last")).otherwise(F.col("removed")), "whole": F.col("whole") & F.col("last").isNull()})
         a, b, part = F.col("removed"), F.col("added"), ~F.col("whole") & ~F.col("deleted")
-        e = e.withColumns({"lowers": config & part & readers.lowers_threshold(F.col("path"), a, b), "seen": seen})
-        values = F.regexp_extract_all("added", F.lit(r"\b(?:lines|branches|functions|statements|fail[_-]under|target)\b[\"']?\s*[:=]\s*[\"']?(\d+(?:\.\d+)?)"), 1)
-        old = F.array_join(F.transform(F.filter("seen", lambda s: s["call_order"] < F.col("coverage")), lambda s: s["text"]), "\n")
-        known = F.regexp_extract_all(old, F.lit(r"\b(?:lines|branches|functions|statements|fail[_-]under|target)\b[\"']?\s*[:=]\s*[\"']?(\d+(?:\.\d+)?)"), 1)
-        auto = r"\bautoUpdate\b[\"']?\s*:\s*(?!false\b)[^\s,}]"
-        on_disk = F.lit(False)
+        config, ci = readers.is_test_config(F.col("path")), readers.is_ci_file(F.col("path"))
+        e = e.withColumns({"lowers": F.coalesce(config & part & readers.lowers_threshold(F.col("path"), a, b), F.lit(False)), "auto": readers.updates_itself(F.concat_ws("\n", a, b)), "id": F.monotonically_increasing_id()})
+        e = once(e)
+        value = lambda text: F.array_distinct(F.transform(readers.limits(text), lambda x: x["value"]))
+        seen = e.select("session_key", "path", "call_order", F.explode(value(F.concat_ws("\n", a, b))).alias("value")).groupBy("session_key", "path", "value").agg(F.min("call_order").alias("seen_at"))
+        low = e.where(F.col("lowers") & F.col("coverage").isNotNull())
         if disk is not None:
-            now = disk.groupBy("path").agg(F.bool_or(F.col("content").rlike(auto)).alias("auto"))
-            e, on_disk = e.join(now, "path", "left"), F.coalesce(F.col("auto"), F.lit(False))
-        reverts = F.col("lowers") & F.col("coverage").isNotNull() & (F.concat_ws("\n", a, b).rlike(auto) | on_disk) & F.forall(values, lambda v: F.array_contains(known, v))
+            low = low.join(disk.groupBy("path").agg(F.bool_or(readers.updates_itself(F.col("content"))).alias("on_disk")), "path", "left")
+        low = low.where(F.col("auto") | (F.coalesce(F.col("on_disk"), F.lit(False)) if disk is not None else F.lit(False)))
+        each = low.select("id", "session_key", "path", "coverage", F.explode_outer(value(b)).alias("value")).join(seen, ["session_key", "path", "value"], "left")
+        reverts = each.groupBy("id").agg(F.bool_and(F.col("value").isNull() | F.coalesce(F.col("seen_at") < F.col("coverage"), F.lit(False))).alias("back")).agg(_sum(F.col("back")).alias("auto-update-reverts"))
         gone = F.col("deleted") & readers.is_test_path(F.col("path"))
         told = {
-            "thresholds-lowered": _sum(F.col("lowers") & ~F.coalesce(reverts, F.lit(False))), "auto-update-reverts": _sum(reverts), "configs-rewritten": _sum((config | ci) & F.col("whole")), "excludes-added": _sum(config & part & readers.adds_exclude(a, b)),
-            "edits.pass-with-no-tests": _sum((config | ci) & ~F.col("whole") & readers.more_often(readers.PASS_SETTING, a, b)), "ci-steps-forced-true": _sum(ci & ~F.col("whole") & readers.more_often(readers.FORCED, a, b)),
-            "edits.test-files-deleted": _sum(gone), "edits.deleted-after-failing": _sum(gone & F.col("records_results") & readers.names_as_failing(F.col("earlier"), base(F.col("path")))),
+            "lowered": _sum(F.col("lowers")), "configs-rewritten": _sum((config | ci) & F.col("whole")), "excludes-added": _sum(config & part & readers.adds_exclude(a, b)),
+            "edits.pass-with-no-tests": _sum((config | ci) & ~F.col("whole") & (readers.passes_set(b) > readers.passes_set(a))), "ci-steps-forced-true": _sum(ci & ~F.col("whole") & (readers.steps_forced(b) > readers.steps_forced(a))),
+            "edits.test-files-deleted": _sum(gone),
         }
-        parts.append(e.agg(*[c.alias(n) for n, c in told.items()]))
+        both = e.agg(*[c.alias(n) for n, c in told.items()]).crossJoin(reverts)  # one row each
+        parts.append(both.withColumn("thresholds-lowered", F.col("lowered") - F.col("auto-update-reverts")).drop("lowered"))
+        parts.append(after_failing(e.where(gone & F.col("records_results")).select(*KEY, "path")).agg(F.count("*").alias("edits.deleted-after-failing")))
     act = _fact("thresholds-lowered", "pass-with-no-tests", "edits.pass-with-no-tests", "ci-steps-forced-true", "deleted-after-failing", "edits.deleted-after-failing") > 0
     review = _fact("excludes-added", "test-files-deleted", "edits.test-files-deleted", "auto-update-reverts", "configs-rewritten") > 0
     return card("tests", parts, _status(act, review, (_fact("unconfirmed", "unread-edits") > 0) | F.lit(edits is None)))
 
 
-def secrets(values: DataFrame, committed: DataFrame | None = None, salt: str = "") -> DataFrame:
-    """Distinct credential-like values by class. values: (value, kind, file), see redact.found; committed: (fingerprint) of values in tracked files.
+CLASSES = ("likely-real", "committed-fixture", "placeholder", "local-dev")
+
+
+def secret_items(values: DataFrame, committed: DataFrame | None = None, salt: str = "", set_aside: DataFrame | None = None) -> DataFrame:
+    """A row for each distinct credential-like value, by its keyed fingerprint: class, kinds, vias and files. values: (value, kind, file, and via if it is known).
 
-    Values are compared by a keyed fingerprint and never leave the aggregation. Classes: placeholder, local-dev,
-    committed-fixture and, for none of these, likely-real.
+    via is how a value got into a transcript (see mapping.provenance). Classes: set-aside for those of the list set_aside
+    (fingerprint), which a user has looked at, then placeholder, local-dev, committed-fixture (committed: fingerprints of values in
+    tracked files) and, for none of these, likely-real. Values never leave the aggregation.
     """
     from ..functions.redact import fingerprint, is_local_value, is_placeholder
 
     v = F.col("value")
-    own = values.groupBy(fingerprint(v, salt).alias("fingerprint")).agg(F.bool_or(is_placeholder(v)).alias("fake"), F.bool_or(is_local_value(v)).alias("near"), F.count_distinct("file").alias("files"))
-    if committed is not None:
-        own = own.join(committed.select("fingerprint").distinct().withColumn("fixture", F.lit(True)), "fingerprint", "left")
-    else:
-        own = own.withColumn("fixture", F.lit(None).cast("boolean"))
-    kind = F.when(F.col("fake"), "placeholder").when(F.col("near"), "local-dev").when(F.col("fixture"), "committed-fixture").otherwise("likely-real")
-    names = ("likely-real", "committed-fixture", "placeholder", "local-dev")
-    rows = own.withColumn("class", kind).agg(*[_sum(F.col("class") == n).alias(n) for n in names], F.coalesce(F.max(F.when(F.col("class") == "likely-real", F.col("files"))), F.lit(0)).alias("most-files"))
-    return card("secrets", [rows], F.when(_fact("likely-real") > 0, "act").when(_fact(*names) > 0, "review").otherwise("clean"))
+    via = F.col("via") if "via" in values.columns else F.lit("unknown")
+    own = values.groupBy(fingerprint(v, salt).alias("fingerprint")).agg(
+        F.bool_or(is_placeholder(v)).alias("fake"), F.bool_or(is_local_value(v)).alias("near"), F.array_sort(F.collect_set("kind")).alias("kinds"),
+        F.array_sort(F.collect_set(F.coalesce(via, F.lit("unknown")))).alias("vias"), F.count_distinct("file").alias("files"),
+    )
+    for table, name in ((committed, "fixture"), (set_aside, "aside")):
+        if table is not None:
+            own = own.join(table.select("fingerprint").distinct().withColumn(name, F.lit(True)), "fingerprint", "left")
+        else:
+            own = own.withColumn(name, F.lit(None).cast("boolean"))
+    kind = F.when(F.col("aside"), "set-aside").when(F.col("fake"), "placeholder").when(F.col("near"), "local-dev").when(F.col("fixture"), "committed-fixture").otherwise("likely-real")
+    return own.select("fingerprint", kind.alias("class"), "kinds", "vias", "files")
+
+
+def secret_groups(items: DataFrame) -> DataFrame:
+    """Items by class, kind and via: how many there are, and how many files the one in most files is in. An item of several kinds or vias counts for each."""
+    each = items.select("class", "files", F.explode("kinds").alias("kind"), "vias").select("class", "kind", F.explode("vias").alias("via"), "files")
+    return each.groupBy("class", "kind", "via").agg(F.count("*").alias("items"), F.max("files").alias("most_files"))
+
+
+def secrets(values: DataFrame, committed: DataFrame | None = None, salt: str = "", set_aside: DataFrame | None = None) -> DataFrame:
+    """Distinct credential-like values by class (see secret_items); those set aside don't count for the status."""
+    aside = {} if set_aside is None else {"set-aside": _sum(F.col("class") == "set-aside")}
+    facts = {n: _sum(F.col("class") == n) for n in CLASSES} | {"most-files": F.coalesce(F.max(F.when(F.col("class") == "likely-real", F.col("files"))), F.lit(0))} | aside
+    rows = secret_items(values, committed, salt, set_aside).agg(*[c.alias(n) for n, c in facts.items()])
+    return card("secrets", [rows], F.when(_fact("likely-real") > 0, "act").when(_fact(*CLASSES) > 0, "review").otherwise("clean"))
 
 
 # -- all of them -------------------------------------------------------------------------------------------------------
@@ -327,7 +367,7 @@ def secrets(values: DataFrame, committed: DataFrame | None = None, salt: str = "
 def verify(calls: DataFrame, catalog: list[Rule], home: str, edits: DataFrame | None = None, secret_values: DataFrame | None = None, **tables: DataFrame) -> DataFrame:
     """Every check's rows. tables: commits, hook_paths, files, losses, tracked, on_main, running, disk, committed; any may be left out."""
     t = tables.get
-    calls = calls.cache()  # read once for all checks; the caller may unpersist
+    calls = once(calls)  # read once for all checks
     cards = [
         skipped_checks(calls, t("commits"), t("hook_paths"), t("files")), lost_work(calls, t("losses")), cloud(calls), prod_infra(calls, catalog), tests(calls, edits, t("disk")),
         destructive(calls, home, t("tracked")), unreviewed(calls, t("on_main")), egress(calls, t("running")),

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import readers, shell
+from ..functions import shell
 from ..sources import shared
 
 
@@ -42,19 +42,15 @@ def judged(calls: DataFrame, pattern: str) -> DataFrame:
     return own.withColumns({"v": v, "hiding": shell.hiding("full_command")}).select("*", "v.state", "v.why").drop("v")
 
 
-def _commands(calls: DataFrame) -> DataFrame:
-    return calls.select(shell.executed("full_command")["text"].alias("executed")).withColumn("commands", shell.commands("executed"))
-
-
 def dependencies(calls: DataFrame) -> DataFrame:
     """Installs and lock-file restores by package manager."""
-    each = _commands(calls).select(F.explode(readers.installs(F.col("commands"))).alias("x")).select(F.split("x", ":").alias("p"))
+    each = calls.select(F.explode(shell.reading("full_command")["labels"]["installs"]).alias("x")).select(F.split("x", ":").alias("p"))
     return each.groupBy(F.col("p")[1].alias("manager")).agg(F.count_if(F.col("p")[0] == "install").alias("installs"), F.count_if(F.col("p")[0] == "restore").alias("restores"))
 
 
 def traffic(calls: DataFrame) -> DataFrame:
     """Uploads and tunnels of what is executed, by kind, and whether they leave the machine."""
-    each = _commands(calls).select(F.explode(readers.traffic(F.col("commands"))).alias("x")).select(F.split(F.regexp_replace("x", "^upload:", ""), ":").alias("p"))
+    each = calls.select(F.explode(shell.reading("full_command")["labels"]["traffic"]).alias("x")).select(F.split(F.regexp_replace("x", "^upload:", ""), ":").alias("p"))
     return each.groupBy(F.col("p")[0].alias("kind")).agg(F.count_if(F.col("p")[1] == "local").alias("local"), F.count_if(F.col("p")[1] == "leaving").alias("leaving"))
 
 

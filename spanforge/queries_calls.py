@@ -21,7 +21,8 @@ N = len(samples.SAMPLES)
 def sample_calls(spark: SparkSession, d: str) -> DataFrame:
     """events as shell calls with the samples' commands: some without a result, some that failed."""
     known = spark.createDataFrame(samples.rows(), samples.COLUMNS).select("k", "template")
-    rows = _t(spark, d, "events").withColumn("k", F.col("event_id") % N).join(F.broadcast(known), "k")  # one row a sample
+    events = _t(spark, d, "events").repartition(spark.sparkContext.defaultParallelism, "user_id")  # a session's calls together, over all cores
+    rows = events.withColumn("k", F.col("event_id") % N).join(F.broadcast(known), "k")  # one row a sample
     coded, error = F.col("event_id") % 22 == 0, F.col("event_id") % 11 == 0
     return rows.select(
         "event_id", F.col("user_id").alias("session_key"), F.col("event_id").alias("call_order"), F.lit("Bash").alias("tool"),
@@ -59,10 +60,9 @@ def shell_hiding_forms(spark, d):
 @query(f"WITH {_C} SELECT event_id, array_to_string(list_sort(string_split(labels, ' ')), ' ') AS labels FROM w")
 def shell_facts(spark, d):
     """What every command does: installs, traffic, skipped checks, lost work, pushes, cloud changes, removals and databases."""
-    c = F.col("commands")
-    removed = F.transform(readers.removals(c, F.col("cwd"), F.lit(samples.HOME)), lambda x: x["label"])
-    rows = sample_calls(spark, d).withColumn("commands", shell.commands(shell.executed("full_command")["text"]))
-    labels = F.concat(readers.installs(c), readers.traffic(c), readers.skips(c), readers.lost(c), readers.pushes(c), readers.cloud(c), removed, readers.databases(c))
+    rows = sample_calls(spark, d).withColumn("labels", shell.reading("full_command")["labels"])
+    removed = F.transform("labels.removed", lambda t: readers.removal(t, F.col("cwd"), F.lit(samples.HOME))["label"])
+    labels = F.concat(*(F.col(f"labels.{n}") for n in ("installs", "traffic", "skips", "lost", "pushes", "cloud", "databases")), removed)
     return rows.select("event_id", F.array_join(F.array_sort(labels), " ").alias("labels"))
 
 

@@ -164,7 +164,7 @@ def pushed_refs(spark, d):
 def test_paths(spark, d):
     rows, n, k = _events(spark, d)
     path = _pick(k, F.concat(F.lit("src/a"), n, F.lit(".test.ts")), F.concat(F.lit("t/test_"), n, F.lit(".py")), F.concat(F.lit("x/__tests__/"), n), "app/vitest.config.mts", ".github/workflows/ci.yml", F.concat(F.lit("dist/a"), n, F.lit(".test.js")))
-    return rows.select("event_id", readers.is_test_path(path).alias("test"), path.rlike(readers.TEST_CONFIG).alias("config"), path.rlike(readers.CI_FILE).alias("ci"))
+    return rows.select("event_id", readers.is_test_path(path).alias("test"), readers.is_test_config(path).alias("config"), readers.is_ci_file(path).alias("ci"))
 
 
 @query("SELECT event_id, event_id % 6 IN (0, 1) AS lowers, event_id % 6 = 2 AS excludes, event_id % 6 = 3 AS passes, event_id % 6 = 4 AS forces FROM events")
@@ -173,7 +173,7 @@ def test_edits(spark, d):
     removed = _pick(k, "coverage lines: 80, branches: 70", "thresholds: { lines: 80 }", "exclude: ['a']", "", "run: npm test", "coverage lines: 80")
     added = _pick(k, "coverage lines: 80, branches: 69.5", "thresholds: {}", "exclude: ['a', 'b']", "passWithNoTests: true", "run: npm test || exit 0", "coverage lines: 81")
     path = F.lit("vitest.config.ts")
-    return rows.select("event_id", readers.lowers_threshold(path, removed, added).alias("lowers"), readers.adds_exclude(removed, added).alias("excludes"), readers.more_often(readers.PASS_SETTING, removed, added).alias("passes"), readers.more_often(readers.FORCED, removed, added).alias("forces"))
+    return rows.select("event_id", readers.lowers_threshold(path, removed, added).alias("lowers"), readers.adds_exclude(removed, added).alias("excludes"), (readers.passes_set(added) > readers.passes_set(removed)).alias("passes"), (readers.steps_forced(added) > readers.steps_forced(removed)).alias("forces"))
 
 
 @query("SELECT event_id, event_id % 6 IN (0, 1) AS failing FROM events")
@@ -196,8 +196,7 @@ def local_targets(spark, d):
     """Commands on clusters and cloud endpoints of this machine only."""
     rows, n, k = _events(spark, d)
     command = _pick(k, F.concat(F.lit("kubectl --context kind-"), n, F.lit(" delete pod x")), "kubectl delete pod x", "kubectl --context minikube --server h delete pod x", "aws --endpoint-url http://localhost:4566 s3 rb s3://b | cat", "helm --kube-context=docker-desktop uninstall x; cd y", "KUBECONFIG=f kubectl --context minikube delete x")
-    rows = rows.select("event_id", shell.hiding(command).alias("hiding"), shell.commands(command).alias("commands"))
-    return rows.select("event_id", readers.only_this_machine(F.col("commands"), F.col("hiding")).alias("here"))
+    return rows.select("event_id", shell.reading(command)["here"].alias("here"))
 
 
 @query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'h' || event_id || '.io' WHEN 1 THEN 'localhost' WHEN 2 THEN 'h.io' WHEN 3 THEN '' WHEN 4 THEN '[::1]' ELSE 'a.localhost' END AS host, event_id % 6 IN (1, 4, 5) AS local FROM events")
