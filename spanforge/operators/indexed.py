@@ -233,7 +233,7 @@ def _rule_row(i: int, r: Rule) -> dict:
 
 def _fits(c: Column, spans: Spans) -> Column:
     """Whether a span fulfils a condition row."""
-    command = spans.col(spans.detail)
+    command = spans.col(spans.detail).cast("string")
     content = F.coalesce(spans.col(spans.mcp_input).cast("string"), command) if spans.mcp_input else command
     text = F.when(c["content"], content).otherwise(command)
     sure = lambda x: F.coalesce(x, F.lit(False))
@@ -246,16 +246,16 @@ def _fits(c: Column, spans: Spans) -> Column:
         return sure(F.when(n["op"] == "gt", value > n["value"]).when(n["op"] == "gte", value >= n["value"]).when(n["op"] == "lt", value < n["value"]).otherwise(value <= n["value"]))
 
     return (
-        ~c["never"] & unless(c["kind"], F.lower(spans.col(spans.kind)) == c["kind"]) & unless(c["label"], F.rlike(spans.col(spans.label), c["label"]))
+        ~c["never"] & unless(c["kind"], F.lower(spans.col(spans.kind)) == c["kind"]) & unless(c["label"], F.rlike(spans.col(spans.label).cast("string"), c["label"]))
         & F.forall(c["holds"], lambda x: sure(F.contains(text, x))) & ((F.size(c["matches"]) == 0) | F.exists(c["matches"], lambda p: sure(F.rlike(text, p))))
-        & unless(c["path"], F.rlike(spans.col(spans.file_path), c["path"])) & F.forall(c["numbers"], number)
+        & unless(c["path"], F.rlike(spans.col(spans.file_path).cast("string"), c["path"])) & F.forall(c["numbers"], number)
     )
 
 
 def _hit(r: Column, spans: Spans) -> Column:
-    inside = lambda some, column: some.isNull() | F.coalesce(F.array_contains(some, spans.col(column)), F.lit(False))
-    raw = spans.col(spans.raw_path or spans.file_path)
-    lets = F.exists(r["allow"], lambda p: F.coalesce(F.rlike(spans.col(spans.detail), p), F.lit(False)) | F.coalesce(F.rlike(raw, p), F.lit(False)))
+    inside = lambda some, column: some.isNull() | F.coalesce(F.array_contains(some, spans.col(column).cast("string")), F.lit(False))
+    raw = spans.col(spans.raw_path or spans.file_path).cast("string")
+    lets = F.exists(r["allow"], lambda p: F.coalesce(F.rlike(spans.col(spans.detail).cast("string"), p), F.lit(False)) | F.coalesce(F.rlike(raw, p), F.lit(False)))
     fits = lambda c: _fits(c, spans)
     some = (F.size(r["any_of"]) == 0) | F.exists(r["any_of"], fits)
     return inside(r["agents"], spans.agent) & inside(r["projects"], spans.project) & F.forall(r["all_of"], fits) & some & ~F.exists(r["none_of"], fits) & ~lets

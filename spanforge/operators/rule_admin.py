@@ -7,18 +7,18 @@ import re
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dialect import PatternError, glob_to_java
-from ..plans.rules import Config, Rule, Spans
+from ..plans.rules import Config, Rule, RuleError, Spans, rule_of
 from ..sources.jsonl import number_lines
 from ..sources.shared import Store
 from .evaluate import evaluate
 
 # Commands and paths of everyday work: a pattern that lets one of them pass is too broad.
 CANARIES = ("pwd", "date", "npm run lint", "git log --oneline", "grep -n main app.py", "mkdir -p notes", "lib/util.go", "notes/today.txt", "make check")
-PLACEHOLDER = re.compile(r"^<[\w -]+>$|^\.{3}$|^(?:todo|example|placeholder|pattern)$", re.IGNORECASE)
 
 
 def lint(rule: Rule) -> list[str]:
@@ -45,28 +45,64 @@ def lint(rule: Rule) -> list[str]:
     return out
 
 
+RULE_ROW = "struct<id:string,category:string,severity:string,action:string,title:string,owasp:array<string>,data:string,problem:string,lints:array<string>>"
+
+
+def read_rules(rows: DataFrame, text: str = "rule", source: str = "yours") -> DataFrame:
+    """rows with `read`: what a rule's JSON text says, as data that reads again as the same rule, why it is no rule, and its lints.
+
+    Rules are read by the tasks that hold their texts, so a table of them may be of any size.
+    """
+
+    def one(t: str | None) -> dict:
+        try:
+            rule = rule_of(json.loads(t or ""), source)
+        except (RuleError, ValueError, AttributeError, TypeError) as e:
+            return {"problem": str(e) or type(e).__name__, "lints": []}
+        shown = {"id": rule.id, "category": rule.category, "severity": rule.severity, "action": rule.action, "title": rule.title, "owasp": list(rule.owasp)}
+        return {**shown, "data": json.dumps(export([rule])[0], ensure_ascii=False), "lints": lint(rule)}
+
+    kind = pa.struct([*((n, pa.string()) for n in ("id", "category", "severity", "action", "title")), ("owasp", pa.list_(pa.string())), ("data", pa.string()), ("problem", pa.string()), ("lints", pa.list_(pa.string()))])
+    read = F.arrow_udf(lambda texts: pa.array([one(t) for t in texts.to_pylist()], kind), RULE_ROW)
+    return rows.withColumn("read", read(text))
+
+
+def _java_glob(patterns: pa.Array) -> pa.Array:
+    def one(p: str | None) -> str | None:
+        try:
+            return glob_to_java(p, False) if p else None
+        except PatternError:
+            return None
+
+    return pa.array([one(p) for p in patterns.to_pylist()], pa.string())
+
+
+def refusals(rows: DataFrame, pattern: str = "pattern", block: str | None = None, most: int = 0) -> DataFrame:
+    """rows with `refusal`: why a pattern may not be allowed for a rule, or null if it may.
+
+    block: a column with an array of commands and paths that the rule exists to catch. most: everyday calls that may pass.
+    """
+    text = F.trim(F.coalesce(pattern, F.lit("")))
+    passes = lambda calls: F.size(F.filter(calls, lambda c: F.coalesce(F.rlike(c, F.col("__java")), F.lit(False))))
+    caught = F.coalesce(F.col(block), F.array().cast("array<string>")) if block else F.array().cast("array<string>")
+    everyday = F.array(*[F.lit(c) for c in CANARIES])
+    own = rows.withColumn("__java", F.arrow_udf(_java_glob, "string")(text))
+    own = own.withColumns({"__blind": passes(caught), "__broad": passes(everyday)})
+    hole = r"(?i)^(?:<[\w -]+>|\.{3}|todo|example|placeholder|pattern)$"
+    hidden = r"(?i)<(?:path|value|secret|email|redacted)[^>]*>|\[redacted\]"
+    why = (
+        F.when(text == "", "empty").when(text.rlike(hole), "a placeholder").when(text.rlike(hidden), "holds redacted text").when(F.col("__java").isNull(), "not a pattern")
+        .when(F.col("__blind") > 0, F.format_string("blinds the rule: %d of %d of its own examples would pass", F.col("__blind"), F.size(caught)))
+        .when(F.col("__broad") > most, F.format_string("too broad: %d of %d everyday calls pass", F.col("__broad"), F.lit(len(CANARIES))))
+        .when(F.regexp_replace(text, r"[*?{}\[\]()|!@+\\/. ]", "") == "", "lets every call of the rule pass")
+    )
+    return own.withColumn("refusal", why).drop("__java", "__blind", "__broad")
+
+
 def refuse_allow(spark: SparkSession, pattern: str, rule: Rule, block: Iterable[str] = (), most: int = 0) -> str | None:
-    """Why a pattern may not be allowed for a rule; None if it may. block: commands and paths that the rule exists to catch."""
-    text = pattern.strip()
-    if not text:
-        return "empty"
-    if PLACEHOLDER.match(text):
-        return "a placeholder"
-    if re.search(r"<(?:path|value|secret|email|redacted)[^>]*>|\[redacted\]", text, re.IGNORECASE):
-        return "holds redacted text"
-    try:
-        java = glob_to_java(text, False)
-    except PatternError:
-        return "not a pattern"
-    caught = list(block)
-    if caught and (blinded := spark.createDataFrame([(c,) for c in caught], "t string").where(F.col("t").rlike(java)).count()):
-        return f"blinds the rule: {blinded} of {len(caught)} of its own examples would pass"
-    rows = spark.createDataFrame([(c,) for c in CANARIES], "t string")
-    passed = rows.where(F.col("t").rlike(java)).count()
-    if passed > most:
-        return f"too broad: {passed} of {len(CANARIES)} everyday calls pass"
-    bare = re.sub(r"[*?{}\[\]()|!@+\\/. ]", "", text)
-    return "lets every call of the rule pass" if not bare else None
+    """Why one pattern may not be allowed for a rule; None if it may (see refusals)."""
+    rows = spark.createDataFrame([(pattern, list(block))], "pattern string, block array<string>")
+    return refusals(rows, "pattern", "block", most).first()["refusal"]
 
 
 def check_fixtures(spark: SparkSession, rule: Rule, block: Iterable[dict], allow: Iterable[dict]) -> DataFrame:

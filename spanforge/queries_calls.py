@@ -6,6 +6,8 @@ the samples, and the SQL counts those.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from . import samples
 from .functions import readers, redact, shell
 from .operators import aggregate, checks, evaluate, mapping, verify
 from .plans.catalog import CATALOG as SHIPPED
-from .queries import _t, query
+from .queries import SQL, _t, query
 
 N = len(samples.SAMPLES)
 
@@ -258,6 +260,12 @@ SELECT 'tests' AS category, 'act' AS status, unnest(['pass-with-no-tests', 'test
   'excludes-added', 'edits.pass-with-no-tests', 'ci-steps-forced-true', 'edits.test-files-deleted', 'edits.deleted-after-failing']) AS fact, unnest([f0, f1, f2, f3, f4, f5, f6, f7, f8, f9, f10, f11, f12, f13, f14, f15])::BIGINT AS n FROM f""")
 def verify_tests(spark, d):
     """Every user's events as a session that goes through TEST_STEPS again and again."""
+    calls, edits = test_sessions(spark, d)
+    return checks.tests(checks.read_calls(calls), edits)
+
+
+def test_sessions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Calls and edits of every user's session."""
     steps = spark.createDataFrame([(k, *s) for k, s in enumerate(TEST_STEPS)], "k long, tool string, what string, removed string, added string, whole boolean")
     from .operators.sequence import call_order
 
@@ -265,7 +273,7 @@ def verify_tests(spark, d):
     ran = F.col("event_id") % 5 != 0
     calls = rows.select(F.col("user_id").alias("session_key"), F.col("event_id").alias("call_order"), "tool", F.when(F.col("tool") == "Bash", F.col("what")).alias("full_command"), F.lit("/w").alias("cwd"), F.lit(True).alias("records_results"), ran.alias("has_result"), F.lit(False).alias("is_error"), F.when(F.col("k") == 0, " FAIL  src/a.test.ts > adds\n ok src/c.test.ts").otherwise("done").alias("content"))
     edits = rows.where("tool <> 'Bash'").select(F.col("user_id").alias("session_key"), F.col("event_id").alias("call_order"), F.col("what").alias("path"), "removed", "added", "whole", F.lit(False).alias("deleted"))
-    return checks.tests(checks.read_calls(calls), edits)
+    return calls, edits
 
 
 @query("""WITH v AS (SELECT user_id % 40 AS u, event_type FROM events), x AS (SELECT DISTINCT event_type, CASE WHEN event_type = 'click' THEN 0 ELSE u END AS u FROM v)
@@ -287,21 +295,37 @@ def verify_secrets(spark, d):
     return checks.secrets(values, committed, "k")
 
 
-@query("""WITH v(category, status, fact, n) AS (VALUES ('cloud', 'review', 'iam', 3), ('tests', 'act', 'thresholds-lowered', 0), ('destructive', 'act', 'rm.unguarded-variable', 2), ('skipped-checks', 'review', 'no-verify.on-main', 4), ('lost-work', 'act', 'recoverable', 1), ('egress', 'act', 'tunnels-running', 9))
-SELECT CASE category WHEN 'lost-work' THEN 2 WHEN 'cloud' THEN 3 ELSE 5 END AS rank, category, fact, n::BIGINT AS n FROM v WHERE category IN ('lost-work', 'cloud', 'destructive')""")
+_LEADS = "(category, status, fact) IN (" + ", ".join(f"('{c}', '{s}', '{f}')" for c, s, f in checks.HEADLINES) + ") AND n > 0"
+
+
+@query("SELECT CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _, _) in enumerate(checks.HEADLINES)) + " END AS rank, category, fact, n FROM (" + " UNION ALL ".join(f"SELECT category, status, fact, n FROM ({SQL[f'verify_{n}']})" for n in ("skipped_checks", "lost_work", "cloud", "destructive", "tests")) + f") WHERE {_LEADS}")
 def verify_headline(spark, d):
-    rows = [("cloud", "review", "iam", 3), ("tests", "act", "thresholds-lowered", 0), ("destructive", "act", "rm.unguarded-variable", 2), ("skipped-checks", "review", "no-verify.on-main", 4), ("lost-work", "act", "recoverable", 1), ("egress", "act", "tunnels-running", 9), ("cloud", "review", "/home/u secret", 5)]
-    return checks.headline(checks.value_free(spark.createDataFrame(rows, "category string, status string, fact string, n long")))
+    """What may lead a report of the checks over these calls: each category's one claim, if it has its status and a count."""
+    rows = [f(spark, d) for f in (verify_skipped_checks, verify_lost_work, verify_cloud, verify_destructive, verify_tests)]
+    return checks.headline(checks.value_free(functools.reduce(DataFrame.unionByName, rows)))
 
 
-@query(f"""WITH {_C} SELECT unnest(['cloud', 'prod-infra', 'destructive', 'egress', 'lost-work', 'skipped-checks', 'tests', 'unreviewed']) AS category, unnest(['review', 'review', 'act', 'review', 'could-not-check', 'review', 'act', 'could-not-check']) AS status""")
+@query(f"""WITH {_C}, f AS (SELECT category, fact, n FROM ({SQL['verify_cloud']}) UNION ALL SELECT category, fact, n FROM ({SQL['verify_tests']}))
+SELECT category, status, fact, n FROM ({SQL['verify_cloud']}) UNION ALL SELECT category, status, fact, n FROM ({SQL['verify_tests']})
+UNION ALL SELECT 'destructive', 'act', fact, n FROM ({SQL['verify_destructive']}) WHERE fact LIKE 'database.%' OR fact IN ('could-hide', 'rm.ran', 'rm.mentioned', 'rm.unknown', 'rm.unguarded-variable', 'rm.guarded-variable', 'rm.home-or-above')""")
 def verify_all(spark, d):
-    """The status of every category without any table about repositories: what can't be looked up is never clean."""
-    calls = read(spark, d)
-    more = calls.limit(0).select("session_key", "call_order", F.lit("").alias("path"), F.lit("").alias("removed"), F.lit("").alias("added"), F.lit(False).alias("whole"), F.lit(False).alias("deleted"))
-    passes = calls.where("event_id % 2 = 0").withColumn("full_command", F.lit("npx jest --passWithNoTests"))
-    rows = checks.verify(calls, SHIPPED, samples.HOME, more).where("category <> 'tests'").union(checks.value_free(checks.tests(checks.read_calls(passes.select(*sample_calls(spark, d).columns)), more)))
-    return rows.select("category", "status").distinct()
+    """Three categories' facts out of one run of all checks, without any table about repositories; tests are those of the sessions of verify_tests."""
+    calls, edits = test_sessions(spark, d)
+    rows = checks.verify(read(spark, d), SHIPPED, samples.HOME).where("category in ('cloud', 'destructive')").union(checks.value_free(checks.tests(checks.read_calls(calls), edits)))
+    named = F.col("fact").isin("could-hide", "rm.ran", "rm.mentioned", "rm.unknown", "rm.unguarded-variable", "rm.guarded-variable", "rm.home-or-above") | F.col("fact").startswith("database.")
+    return rows.where((F.col("category") != "destructive") | named)
+
+
+@query("""WITH v AS (SELECT user_id % 10 AS file, event_id, event_type, event_id % 97 AS u FROM events)
+SELECT 'likely-real' AS class, 'github-token' AS kind, CASE WHEN event_type = 'error' THEN 'result' ELSE 'command' END AS via, count(DISTINCT u) AS items FROM v WHERE u >= 10 GROUP BY 3
+UNION ALL SELECT 'set-aside', 'github-token', CASE WHEN event_type = 'error' THEN 'result' ELSE 'command' END, count(DISTINCT u) FROM v WHERE u < 10 GROUP BY 3""")
+def secret_groups(spark, d):
+    """Credential-like values by class, kind and the way they came in, ten of them set aside by their fingerprints."""
+    u = F.lpad((F.col("event_id") % 97).cast("string"), 4, "0")
+    token = F.concat(F.lit("ghp_"), F.sha2(u, 256).substr(1, 36))
+    rows = _t(spark, d, "events").select((F.col("user_id") % 10).alias("file"), token.alias("value"), F.lit("github-token").alias("kind"), F.when(F.col("event_type") == "error", "result").otherwise("command").alias("via"), (F.col("event_id") % 97).alias("u"))
+    aside = rows.where("u < 10").select(redact.fingerprint("value", "k").alias("fingerprint")).distinct()
+    return checks.secret_groups(checks.secret_items(rows, None, "k", aside)).select("class", "kind", "via", "items")
 
 
 # -- what a report shows ---------------------------------------------------------------------------------------------
@@ -375,14 +399,17 @@ def first_disclosures(spark, d):
     return aggregate.first_disclosures(calls.withColumn("tool", tool), redact.scrub(F.coalesce("props", F.lit("")))["text"], ["event_id"])
 
 
-@query("SELECT 70 AS rules, 1 AS yours, 11 AS packs, 10 AS packs_on".replace("70", str(sum(r.category != SHIPPED[0].category for r in SHIPPED) + 1)).replace("11 AS", f"{len({r.category for r in SHIPPED})} AS").replace("10 AS", f"{len({r.category for r in SHIPPED}) - 1} AS"))
+@query("""WITH r AS (SELECT p_brand AS pack, p_partkey % 7 <> 6 AS fine, p_brand <> 'Brand#3' AND p_partkey <> 21 AS on_, p_partkey % 3 = 0 AS library FROM part), f AS (SELECT * FROM r WHERE fine)
+SELECT count(*) FILTER (on_) AS rules, count(*) FILTER (on_ AND NOT library) AS yours, count(DISTINCT pack) FILTER (library) AS packs, count(DISTINCT pack) FILTER (library AND pack <> 'Brand#3') AS packs_on FROM f""")
 def enforcement_status(spark, d):
+    """How much of a catalog of the parts' rules is enforced, a third of them a library's; one pack and one rule are off."""
+    from .operators import rule_admin
     from .plans.rules import Config
-    from .queries import rule
+    from .queries_sources import _part_rules
 
-    own = [*SHIPPED, rule("mine", any_of=[{"label": "x"}])]
-    own[-1] = type(own[-1])(**{**own[-1].__dict__, "source": "yours"})
-    return aggregate.enforcement(evaluate.listed(evaluate.catalog_frame(spark, own), Config(frozenset({SHIPPED[0].category}))))
+    catalog = rule_admin.read_rules(_part_rules(spark, d)).where("read.problem is null").select("p_partkey", "read.*").withColumnRenamed("id", "rule_id")
+    catalog = catalog.withColumn("source", F.when(F.col("p_partkey") % 3 == 0, "library").otherwise("yours"))
+    return aggregate.enforcement(evaluate.listed(catalog, Config(frozenset({"Brand#3"}), frozenset({"part-21"}))))
 
 
 @query("SELECT event_id, '{\"a\":[1,\"x y\"],\"b\":{\"c\":null,\"d\":' || event_id || '}}' AS text FROM events")

@@ -33,11 +33,11 @@ def mapped_calls(spark, d):
     return mapping.to_spans(mapping.map_tool_calls(calls)).select("event_id", "full_command", "file_path")
 
 
-@query("SELECT event_id, unnest(['a' || event_id, 'c', 'd']) AS path FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, unnest(['a' || event_id, 'c', 'd']) AS path FROM events")
 def patch_files(spark, d):
     rows, n, _ = _events(spark, d)
     text = F.concat(F.lit("*** Begin Patch\n*** Add File: a"), n, F.lit("\n+x\n*** Update File: c  \n*** Move to: d\n+*** Add File: no\n"))
-    return rows.where("event_id % 2 = 0").select("event_id", F.explode(mapping.patch_candidates(text)).alias("p")).select("event_id", F.col("p.file_path").alias("path"))
+    return rows.select("event_id", F.explode(mapping.patch_candidates(text)).alias("p")).select("event_id", F.col("p.file_path").alias("path"))
 
 
 @query("SELECT event_id, greatest(0, event_id % 100 - 30 - event_id % 7)::BIGINT AS input_tokens FROM events")
@@ -70,12 +70,14 @@ def rule_channel(spark, d):
     return evaluate.evaluate(calls, [r], columns=spans).where(F.size("matches") > 0).select("event_id")
 
 
-@query("SELECT event_id, event_type IN ('click', 'view') AS matched FROM events")
+@query("""SELECT event_id, event_type IN ('click', 'view') AND coalesce(value > 5, false) AND NOT contains(coalesce(props, ''), '"k": 1') AS matched,
+CASE WHEN coalesce(value > 5, false) THEN 'all_of[0]: holds' ELSE 'all_of[0]: not tokens gt 5' END || '; ' || CASE WHEN event_type = 'click' THEN 'any_of[0]: holds' ELSE 'any_of[0]: not label matches click' END || '; ' || CASE WHEN event_type = 'view' THEN 'any_of[1]: holds' ELSE 'any_of[1]: not label matches view' END || '; ' ||
+CASE WHEN contains(coalesce(props, ''), '"k": 1') THEN 'none_of[0]: holds' ELSE 'none_of[0]: not detail contains "k": 1' END AS reasons FROM events""")
 def rule_reasons(spark, d):
-    """Every evaluation says why: reasons of a match and of a miss are there for each rule."""
-    r = rule("r", any_of=[{"label": "click"}, {"label": "view"}])
+    """Every evaluation says of each condition that it holds, or the first of its fields that doesn't."""
+    r = rule("r", any_of=[{"label": "click"}, {"label": "view"}], all_of=[{"numeric": [{"field": "tokens", "op": "gt", "value": 5}]}], none_of=[{"detail_contains": ['"k": 1']}])
     rows = evaluate.evaluate(_t(spark, d, "events"), [r], columns=EVENTS, explain=True)
-    return rows.where(F.size(F.col("explain")["r"]) > 0).select("event_id", (F.size("matches") > 0).alias("matched"))
+    return rows.select("event_id", (F.size("matches") > 0).alias("matched"), F.array_join(F.col("explain")["r"], "; ").alias("reasons"))
 
 
 @query("""WITH a AS (SELECT event_id % 4 AS k, count(*) AS n FROM events GROUP BY 1), t AS (SELECT sum(n) AS t FROM a WHERE k < 3)
@@ -143,14 +145,14 @@ def dedupe_keys(spark, d):
     return _t(spark, d, "events").where("props is not null").groupBy("event_type").agg(F.countDistinct(key).alias("keys"))
 
 
-@query("SELECT unnest(['library', 'yours']) AS source, unnest([" + str(len(SHIPPED)) + ", 1])::BIGINT AS rules")
+@query(f"SELECT 'library' AS source, {len(SHIPPED)}::BIGINT AS rules UNION ALL SELECT 'yours', count(*) FROM part WHERE p_partkey % 7 <> 6")
 def shipped_and_own_rules(spark, d):
-    """A catalog of shipped rules and the user's own; an own rule with a shipped id is still the user's."""
-    from .plans.rules import rules_of
+    """The shipped catalog and the user's own rules, those of the parts that can be read; an own rule with a shipped id would still be the user's."""
+    from .operators import rule_admin
+    from .queries_sources import _part_rules
 
-    own, problems = rules_of([{"id": SHIPPED[0].id, "category": "c", "severity": "low", "defaultAction": "warn", "title": "t", "description": "", "match": {"any_of": [{"label": "x"}]}}, {"id": "bad"}])
-    assert len(problems) == 1
-    return evaluate.catalog_frame(spark, [*SHIPPED, *own]).groupBy("source").agg(F.count("*").alias("rules"))
+    own = rule_admin.read_rules(_part_rules(spark, d)).where("read.problem is null").select(F.col("read.id").alias("rule_id"), F.lit("yours").alias("source"))
+    return evaluate.catalog_frame(spark, SHIPPED).select("rule_id", "source").union(own).groupBy("source").agg(F.count("*").alias("rules"))
 
 
 @query("SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN ['main', 'x' || event_id] ELSE ['dev'] END) AS branch, unnest(CASE WHEN event_id % 2 = 0 THEN ['4567def', NULL] ELSE ['abcdef0'] END) AS to_hash FROM events")
@@ -207,6 +209,22 @@ def hosts(spark, d):
     return rows.select("event_id", host.alias("host"), readers.is_local(host).alias("local"))
 
 
+@query("""WITH r AS (SELECT item_id, left(text, 60) AS passage FROM benchmark WHERE text IS NOT NULL AND length(text) >= 60), m AS (SELECT doc_id, count(*) AS rules, min(item_id) AS first_item FROM documents JOIN r ON contains(text, passage) GROUP BY 1)
+SELECT doc_id, rules, first_item FROM m""")
+def rules_of_passages(spark, d):
+    """A rule for each benchmark passage, evaluated over all texts by the index of what rules need: documents with the rules that they match."""
+    from .operators.indexed import evaluate_indexed
+    from .plans.rules import Condition, Match, Rule
+
+    passages = _t(spark, d, "benchmark").where("text is not null and length(text) >= 60").select("item_id", F.left("text", F.lit(60)).alias("p")).orderBy("item_id").limit(20_001).collect()
+    if len(passages) > 20_000:
+        raise ValueError("more than 20,000 rules: evaluate them in several catalogs")
+    rules = [Rule(str(r["item_id"]), Match(any_of=(Condition(detail_contains=(r["p"],)),))) for r in passages]
+    spans = Spans(kind="'execute_tool'", label="lang", detail="text", mcp_input=None, file_path=None, agent=None, project=None, tokens=None, cached_tokens=None, duration_ms=None)
+    found = evaluate_indexed(_t(spark, d, "documents").select("doc_id", "lang", "text"), rules, columns=spans).where(F.size("matches") > 0)
+    return found.select("doc_id", F.size("matches").cast("long").alias("rules"), F.col("matches")[0]["rule_id"].cast("long").alias("first_item"))
+
+
 @query("SELECT count(*) AS calls, sum(len(coalesce(props, '')))::BIGINT AS size FROM events")
 def partial_and_final(spark, d):
     """Whole-table aggregates go through partial sums of each task."""

@@ -207,41 +207,57 @@ def transcript_scrub_plan(spark, d):
 # -- rules as data -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT * FROM (VALUES ('one-arm', 1), ('every-call', 1), ('numeric', 1), ('fine', 0)) AS v(rule_id, problems)""")
+def _part_rules(spark: SparkSession, d: str) -> DataFrame:
+    """A rule of a user's own for each part, as JSON text: one with an odd match by what its number leaves, and every seventh is none."""
+    number = F.col("p_partkey").cast("string")
+    match = (
+        F.when(F.col("p_partkey") % 5 == 0, '{"any_of":[{"label":"{Bash}","detail_contains":["<name>"]}]}').when(F.col("p_partkey") % 5 == 1, '{"any_of":[{"label":"*"}]}')
+        .when(F.col("p_partkey") % 5 == 2, '{"all_of":[{"label":"Bash","numeric":[{"field":"tokens","op":"gt","value":1}]}]}').otherwise('{"any_of":[{"label":"Bash","detail_contains":["<name>"]}],"none_of":[{"detail_matches":["^x+$"]}]}')
+    )
+    text = _raw('{"id":"part-<n>","category":<brand>,"severity":"<grave>","defaultAction":"<act>","title":<name2>,"match":', n=number, brand=_quoted(F.col("p_brand")), grave=F.when(F.col("p_size") > 25, "high").otherwise("low"), act=F.when(F.col("p_size") % 2 == 0, "block").otherwise("warn"), name2=_quoted(F.col("p_name")))
+    text = F.concat(text, F.replace(match, F.lit('"<name>"'), _quoted(F.col("p_name"))), F.lit(',"owasp":["ASI0'), F.col("p_partkey") % 4, F.lit('"]}'))
+    return _t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 6, F.substring(text, 1, 40)).otherwise(text).alias("rule"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN 0 WHEN p_partkey % 5 < 3 THEN 1 ELSE 0 END::BIGINT AS lints, p_partkey % 7 = 6 AS refused FROM part")
 def rule_lints(spark, d):
-    rules = [rule("one-arm", any_of=[{"label": "{Bash}", "detail_contains": ["x"]}]), rule("every-call", any_of=[{"label": "*"}]), rule("numeric", any_of=[{"label": "Bash", "numeric": [{"field": "tokens", "op": "gt", "value": 1}]}]), rule("fine", any_of=[{"label": "Bash", "detail_contains": ["x"]}])]
-    return spark.createDataFrame([(r.id, len(rule_admin.lint(r))) for r in rules], "rule_id string, problems int")
+    """A brace with one arm, a condition that every call meets, numbers that calls don't have; cut texts are no rules."""
+    rows = rule_admin.read_rules(_part_rules(spark, d))
+    return rows.select("p_partkey", F.size("read.lints").cast("long").alias("lints"), F.col("read.problem").isNotNull().alias("refused"))
 
 
-@query("""SELECT * FROM (VALUES ('(a+)+', false), ('(?:x|y*)*z', false), ('a+b*', true), ('(ab){2,5}', true), ('[a+]+(b)', true), ('(a{1,})+', false)) AS v(pattern, accepted)""")
+@query("SELECT p_partkey, p_partkey % 6 IN (2, 3, 4) AS accepted FROM part")
 def rule_pattern_lint(spark, d):
-    def accepted(p: str) -> bool:
-        try:
-            rule_of({"id": "r", "category": "c", "severity": "low", "defaultAction": "warn", "title": "t", "description": "", "match": {"any_of": [{"detail_matches": [p]}]}})
-        except RuleError:
-            return False
-        return True
-
-    return spark.createDataFrame([(p, accepted(p)) for p in ("(a+)+", "(?:x|y*)*z", "a+b*", "(ab){2,5}", "[a+]+(b)", "(a{1,})+")], "pattern string, accepted boolean")
+    """Patterns with nested unbounded quantifiers are refused."""
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 6
+    p = F.when(k == 0, F.concat(F.lit("("), n, F.lit("+)+"))).when(k == 1, "(?:x|y*)*z").when(k == 2, F.concat(F.lit("a+b*"), n)).when(k == 3, "(ab){2,5}").when(k == 4, "[a+]+(b)").otherwise(F.concat(F.lit("("), n, F.lit("{1,})+")))
+    rows = _t(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.lit("r").alias("id"), F.struct(F.array(F.struct(F.array(p).alias("detail_matches"))).alias("any_of")).alias("match"))).alias("rule"))
+    return rule_admin.read_rules(rows).select("p_partkey", F.col("read.problem").isNull().alias("accepted"))
 
 
-@query("""SELECT * FROM (VALUES ('rm -rf dist*', true), ('', false), ('<pattern>', false), ('**', false), ('npm *', false), ('rm -rf /srv/*', false), ('make clean', true), ('rm <path>', false)) AS v(pattern, allowed)""")
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 1 THEN 'empty' WHEN 2 THEN 'a placeholder' WHEN 3 THEN 'too broad: 2 of 9 everyday calls pass' WHEN 4 THEN 'too broad: 1 of 9 everyday calls pass' WHEN 5 THEN 'blinds the rule: 1 of 2 of its own examples would pass' WHEN 7 THEN 'holds redacted text' WHEN 8 THEN 'blinds the rule: 2 of 2 of its own examples would pass' END AS refusal FROM part""")
 def allow_pattern_refusals(spark, d):
-    r = rule("r", any_of=[{"detail_matches": ["rm -rf"]}])
-    patterns = ("rm -rf dist*", "", "<pattern>", "**", "npm *", "rm -rf /srv/*", "make clean", "rm <path>")
-    return spark.createDataFrame([(p, rule_admin.refuse_allow(spark, p, r, ["rm -rf /srv/app"]) is None) for p in patterns], "pattern string, allowed boolean")
+    """Why patterns that a user wants to let pass are refused; the rule exists to catch removals below /srv of each part's number."""
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 9
+    texts = {0: F.concat(F.lit("rm -rf dist"), n, F.lit("*")), 1: F.lit("  "), 2: F.lit("<pattern>"), 3: F.lit("{pwd,date}"), 4: F.lit("npm *"), 5: F.concat(F.lit("rm -rf /srv/"), n), 6: F.lit("make clean"), 7: F.concat(F.lit("rm <path> "), n), 8: F.lit("rm -rf /srv/*")}
+    pattern = F.coalesce(*[F.when(k == i, t) for i, t in texts.items()])
+    rows = _t(spark, d, "part").select("p_partkey", pattern.alias("pattern"), F.array(F.concat(F.lit("rm -rf /srv/"), n), F.concat(F.lit("rm -rf /srv/x"), n)).alias("block"))
+    return rule_admin.refusals(rows, "pattern", "block").select("p_partkey", "refusal")
 
 
-@query("SELECT * FROM (VALUES ('ev.signup', 'users', 1), ('ev.error', 'ops', 3)) AS v(rule_id, category, ord)")
+@query("""SELECT 'part-' || p_partkey AS rule_id, p_brand AS category, 'ASI0' || p_partkey % 4 AS owasp FROM part WHERE p_partkey % 7 <> 6 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_partkey % 4 IN (1, 2) AND p_brand <> 'Brand#3' AND p_partkey <> 21""")
 def catalog_listing(spark, d):
+    """The enabled rules of three packs, of which one is off, that have one of two risk ids."""
     from .plans.rules import Config
 
-    rows = evaluate.listed(evaluate.catalog_frame(spark, CATALOG), Config(frozenset({"props"}), frozenset({"ev.purchase-high"})), packs=("users", "ops", "money"), owasp=("ASI03", "LLM03"), only="enabled")
-    return rows.select("rule_id", "category", "ord")
+    catalog = rule_admin.read_rules(_part_rules(spark, d)).where("read.problem is null").select("read.*").withColumnRenamed("id", "rule_id")
+    rows = evaluate.listed(catalog, Config(frozenset({"Brand#3"}), frozenset({"part-21"})), packs=("Brand#1", "Brand#2", "Brand#3"), owasp=("ASI01", "ASI02"), only="enabled")
+    return rows.select("rule_id", "category", F.col("owasp")[0].alias("owasp"))
 
 
-@query("SELECT * FROM (VALUES ('ev.purchase-high'), ('ev.signup'), ('ev.seven'), ('ev.error')) AS v(rule_id)")
+@query("""SELECT 'part-' || p_partkey AS rule_id, p_name AS title, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS severity, CASE WHEN p_size % 2 = 0 THEN 'block' ELSE 'warn' END AS action, CASE WHEN p_partkey % 5 IN (0, 3, 4) THEN p_name END AS contains FROM part WHERE p_partkey % 7 <> 6""")
 def rule_export(spark, d):
     """Rules written as data and read again are the same rules."""
-    back = [rule_of(x, "library") for x in rule_admin.export(CATALOG)]
-    return spark.createDataFrame([(b.id,) for a, b in zip(CATALOG, back, strict=True) if (a.match, a.owasp, a.action, a.severity) == (b.match, b.owasp, b.action, b.severity)], "rule_id string")
+    once = rule_admin.read_rules(_part_rules(spark, d)).where("read.problem is null").select("p_partkey", F.col("read.data").alias("rule"))
+    again = rule_admin.read_rules(once).where("read.data = rule and read.problem is null").select("read.*")
+    return again.select(F.col("id").alias("rule_id"), "title", "severity", "action", F.get_json_object("data", "$.match.any_of[0].detail_contains[0]").alias("contains"))
