@@ -2,7 +2,8 @@
 
 Texts become counts of hashed unigrams and bigrams. A generative model of the target (labelled good, not toxic) and
 one of each other labelled class are counted on the distinct lines of a bounded sample of labelled rows, and rare
-buckets left out by the counts of the whole corpus. Raw text is a mixture of the labelled classes' models, by
+buckets left out by the counts of the whole corpus. A class is told from the target by its markers, the buckets that it surely has more of;
+all else is one bucket, so that languages and sources of which a class has few rows tell nothing. Raw text is a mixture of the labelled classes' models, by
 their shares, and (RAW) of the model of every document, held against that of all labelled ones: text that the corpus has
 more of than its labelled rows is not taken for target text. A document's importance is the ratio of its likelihoods under
 target and raw text. The k documents of the largest log importance plus Gumbel noise are
@@ -32,6 +33,7 @@ REPEAT = np.uint64(0x5EED_5EED_5EED_5EED)
 RAW = 1e-8  # share of raw text's mixture that the model of the whole corpus has before a text is seen
 RARE = 5  # buckets of fewer occurrences in the whole corpus tell nothing
 DOUBT = 6.0  # standard errors that a log ratio is pulled towards 0 by
+MARKED = 3.0  # the same for the labelled classes' markers
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool
 
     At most `labelled` labelled rows are used, by the order of a hash of their ids; rows with nulls are none. Classes are
     those of which docs have labelled text; without the target or any other there is one class. raw: with a last class,
-    of share RAW and without a name, that is counted over every document. doubt: see log_ratio; markers: see marker_ratio. least:
+    of share RAW and without a name, that is counted over every document. doubt: see log_ratio; markers: see marker_ratio (of labelled classes). least:
     classes of fewer labelled rows in docs are left out.
     """
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
@@ -210,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, raw: bool
         return nothing
     pairs = [(counts[1], counts[c]) for c in there] + [(counts[-1], counts[0])] * raw
     use = counts[0] >= RARE
-    ratios = [marker_ratio(*x, use, doubt) if markers else np.where(use, log_ratio(*x, doubt), 0) for x in pairs]
+    ratios = [marker_ratio(*x, use, doubt) if markers and i < len(there) else np.where(use, log_ratio(*x, DOUBT if i == len(there) else doubt), 0) for i, x in enumerate(pairs)]
     shares, names = found[[1, *there]], sorted(kinds, key=kinds.get)
     shares = shares / shares.sum()
     return ImportanceModel(np.array(ratios), np.append(shares * (1 - RAW), RAW) if raw else shares, [names[c - 1] for c in (1, *there)])
@@ -236,7 +238,7 @@ def _scored(docs: DataFrame, model: ImportanceModel, temperature: float, seed: i
 
 def scored(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, seed: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The carried columns of docs with log_weight, score and selected (see select), out of one pass over the texts."""
-    model = fit(docs, labels, raw=True)
+    model = fit(docs, labels, raw=True, doubt=MARKED, markers=True)
     rest = [c for c in carry if c not in ("log_weight", "score", "selected")]
     need = [c for c in docs.columns if c in {*rest, "doc_id", "text"}]
     rows = save(_scored(docs.select(*need), model, temperature, seed).select(*rest, "log_weight", "score"), "scores")

@@ -213,7 +213,8 @@ def test_models_and_gumbel_top_k_by_hand(spark):
 
     docs, labels = labelled(spark, 300)
     odd = spark.createDataFrame([(None, 1, 0), (3, None, 1), (4, 1, None), (5, 1, 0), (5, 1, 0), (5, 1, 0)], labels.schema)  # null labels, and rows that repeat one
-    model = quality.fit(docs, labels.union(odd), raw=True)
+    both = quality.fit(docs, labels.union(odd), raw=True)
+    model = quality.fit(docs, labels.union(odd), raw=True, doubt=quality.MARKED, markers=True)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     kinds = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
     names = [(1, 0), (0, 0), (1, 1)]
@@ -229,12 +230,18 @@ def test_models_and_gumbel_top_k_by_hand(spark):
                     seen.add((kinds[i], line))
                     counts[kinds[i]] += bag(line)
 
-    def ratio(a, b):
+    def ratio(a, b, doubt):
         even = b.sum() / a.sum()
         r = np.log((a + 0.5) * even / (b + 0.5 * even))
-        return np.sign(r) * np.maximum(0, abs(r) - quality.DOUBT * np.sqrt(1 / (np.maximum(a, b / even) + 0.5) + 1 / (np.maximum(b, a * even) + 0.5))) * (corpus >= quality.RARE)
+        return np.sign(r) * np.maximum(0, abs(r) - doubt * np.sqrt(1 / (np.maximum(a, b / even) + 0.5) + 1 / (np.maximum(b, a * even) + 0.5))) * (corpus >= quality.RARE)
 
-    want = [ratio(counts[names[0]], counts[n]) for n in names[1:]] + [ratio(known, corpus)]
+    def marked(a, b):
+        r = ratio(a, b, quality.MARKED)
+        rest = r > -1.5
+        return np.where(rest, np.log((a[rest].sum() + 0.5) / a.sum()) - np.log((b[rest].sum() + 0.5) / b.sum()), r)
+
+    assert both.names == names and np.allclose(both.ratios, [ratio(counts[names[0]], counts[n], quality.DOUBT) for n in names[1:]] + [ratio(known, corpus, quality.DOUBT)])
+    want = [marked(counts[names[0]], counts[n]) for n in names[1:]] + [ratio(known, corpus, quality.DOUBT)]
     assert model.names == names and np.allclose(model.ratios, want)
     found = np.array([sum(k == n for k in kinds.values()) for n in names])
     assert np.allclose(model.shares, np.append(found / found.sum() * (1 - quality.RAW), quality.RAW))
@@ -251,6 +258,17 @@ def test_models_and_gumbel_top_k_by_hand(spark):
         assert r["selected"] == (score[r["doc_id"]] >= floor - 1e-9)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_held_out_by_language(spark):
+    """Of labelled clean rows that the model has not seen, nearly all are selected in every language; of junk and English toxic ones few."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    held = labels.where("pmod(xxhash64(doc_id, 99), 10) < 3").select("doc_id", "quality", "toxic")
+    out = quality.scored(docs, labels.join(held, "doc_id", "left_anti"), carry=("doc_id", "lang")).join(held, "doc_id")
+    by = {(r["quality"], r["toxic"], r["lang"]): r["p"] for r in out.groupBy("quality", "toxic", "lang").agg(F.avg(F.col("selected").cast("int")).alias("p")).collect()}
+    assert all(by[1, 0, lang] >= 0.9 for lang in ("en", "de", "fr", "es")), by
+    assert by[0, 0, "en"] < 0.2 and by[1, 1, "en"] < 0.2, by
+
+
 def test_quality_scores_texts_once(spark):
     docs, labels = labelled(spark, 120)
     rows = quality.select(docs, labels)
