@@ -11,10 +11,13 @@ import json
 import math
 import re
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import labels
+
 
 def emails(text: Column) -> Column:
     return F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
@@ -121,6 +124,46 @@ PATTERNS: list[tuple[str, re.Pattern, str, object]] = [
 MARKERS = r"(?i)@|://|-----BEGIN|A(?:KIA|BIA|CCA|GPA|IDA|IPA|NPA|NVA|ROA|SCA|SIA)[0-9A-Z]{16}|eyJ|gh[pousr]_|github_pat_|xox|sk-|bearer|secret|token|passw|pwd|key|authorization|mysql|mariadb|arn:aws|account|owner|[A-Za-z0-9_+/=.-]{32}|\d(?:[ -]?\d){8}"
 
 
+#: Texts, in lower case, of which a pattern's hit holds one. Patterns that name none stand with a test of their own.
+ANCHORS: dict[str, tuple[str, ...]] = {
+    "aws-access-key-id": ("abia", "acca", "agpa", "aida", "aipa", "akia", "anpa", "anva", "aroa", "asca", "asia"), "pem-private-key": ("-----begin",), "jwt": ("eyj",), "github-token": ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "github_pat_"),
+    "slack-token": ("xox",), "openai-key": ("sk-",), "connection-string": ("://",), "basic-auth-url": ("://",), "bearer-token": ("bearer",), "aws-secret-access-key": ("access",), "env-secret": ("key", "passw", "secret", "token"),
+    "key-name-secret": ("key", "passw", "pwd", "secret", "token"), "authorization-header": ("authorization",), "mysql-password-flag": ("mariadb", "mysql"), "cloud-account-id": ("account", "arn:aws", "owner"), "email": ("@",),
+}
+_FOLDED = str.maketrans({"ſ": "s", "K": "k", "İ": "i", "ı": "i"})  # letters that patterns without case take for others
+_NO_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
+
+
+def _automaton() -> ahocorasick.Automaton:
+    by: dict[str, list[str]] = {}
+    for name, anchors in ANCHORS.items():
+        for a in anchors:
+            by.setdefault(a, []).append(name)
+    out = ahocorasick.Automaton()
+    for a, names in by.items():
+        out.add_word(a, tuple(names))
+    out.make_automaton()
+    return out
+
+
+_SCAN = _automaton()
+
+
+def possible(text: str) -> set[str]:
+    """The patterns that can hit a text, out of one scan for all anchors. Hits only take text away, so none is added by those before."""
+    found: set[str] = set()
+    for _, names in _SCAN.iter(text.translate(_FOLDED).lower()):
+        found.update(names)
+    digits = len(text.encode("utf-8", "replace").translate(None, _NO_DIGITS))
+    if digits >= 9 or not text.isascii():
+        found.add("ssn")
+    if digits >= 13 or not text.isascii():
+        found.add("credit-card")
+    if any(len(w) >= 32 for w in text.split()):
+        found.add("generic-secret")
+    return found
+
+
 def _signs(text: str) -> tuple[str, str]:
     """A delimiter and sixteen digits that text doesn't hold, of those that Unicode leaves to private use."""
     used, out = set(text), []
@@ -142,7 +185,10 @@ def _scrub(text: str, found: list | None = None) -> tuple[str, dict[str, int]]:
         slots.append(shown)
         return mark + "".join(digits[int(c, 16)] for c in f"{len(slots) - 1:x}") + mark
 
+    can = possible(text)
     for name, pattern, shown, accept in PATTERNS:
+        if name not in can:
+            continue
 
         def put(m: re.Match, name=name, shown=shown, accept=accept) -> str:
             if not accept(m):
@@ -207,23 +253,39 @@ def secrets(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, named, "$1<secret>"), scheme, "$1<value>")
 
 
-# The programs whose operands name something, by family; words of theirs that are verbs or kinds; and what stands for options' values.
+#: Programs whose operands name something of their user's, by family.
 FAMILIES = {
     "container": ("docker", "docker-compose", "nerdctl", "podman", "podman-compose"), "kube": ("kubectl",), "ssh": ("scp", "sftp", "ssh"), "git": ("git",), "op": ("op",), "gh": ("gh",),
-    "db": ("createdb", "dropdb", "mongo", "mongosh", "mysql", "mysqladmin", "mysqldump", "pg_dump", "pg_isready", "pg_restore", "psql", "redis-cli"), "cloudflare": ("wrangler",), "gcp": ("bq", "firebase", "gcloud", "gsutil"),
+    "db": ("createdb", "dropdb", "mariadb", "mongo", "mongosh", "mysql", "mysqladmin", "mysqldump", "pg_dump", "pg_isready", "pg_restore", "psql", "redis-cli"), "cloudflare": ("wrangler",), "gcp": ("bq", "firebase", "gcloud", "gsutil"),
 }
-VERBS = {
-    "container": "attach build builder buildx checkpoint commit compose config container context convert cp create diff down events exec export image images import info init inspect kill list load login logout logs ls manifest network node pause plugin port prune ps pull push rename restart rm rmi run save scan search secret service stack start stats stop swarm system tag top trust unpause up update version volume wait watch".split(),
-    "kube": "all annotate api-resources api-versions apply attach auth autoscale cluster-info clusterrole clusterrolebinding completion config configmap configmaps context contexts cordon cp crd create cronjob daemonset delete deploy deployment deployments describe diff drain edit endpoints event events exec explain expose get help hpa ingress job jobs label logs namespace namespaces node nodes ns patch pod pods port-forward proxy pv pvc replace replicaset role rolebinding rollout run scale secret secrets service serviceaccount services set statefulset svc top version wait".split(),
-    "op": "account add completion confirm connect create delete document edit events-api forget get grant group inject item list ls move plugin provision reactivate read remove revoke rm run server service-account share signin signout suspend template token update user vault whoami".split(),
-}
+# Words that are a program's own, by its manual: commands and kinds of things, in the manual's groups.
+_DOCKER = (
+    "run exec ps build pull push images login logout search version info",  # common commands
+    "builder buildx checkpoint compose container context image manifest network plugin system trust volume",  # management
+    "swarm config node secret service stack",  # swarms
+    "attach commit cp create diff events export history import inspect kill load logs pause port rename restart rm rmi save start stats stop tag top unpause update wait",  # commands
+    "convert down init list ls prune scale up watch",  # of compose and of the groups above
+)
+_KUBECTL = (
+    "create expose run set explain get edit delete rollout scale autoscale certificate cluster-info top cordon uncordon drain taint describe logs attach exec port-forward proxy cp auth debug diff apply patch replace wait kustomize label annotate completion alpha api-resources api-versions config plugin version",
+    "all configmap configmaps cm context contexts cronjob cronjobs crd daemonset daemonsets deploy deployment deployments endpoints event events hpa ingress ingresses job jobs namespace namespaces ns node nodes pod pods pv pvc replicaset replicasets secret secrets service services serviceaccount statefulset statefulsets svc",
+    "clusterrole clusterrolebinding role rolebinding",
+)
+_OP = (
+    "account connect document events-api group item plugin service-account user vault",  # what there is
+    "add confirm create delete edit forget get grant init list ls move provision reactivate remove revoke rm share suspend template",  # what is done with it
+    "completion inject read run signin signout update whoami",
+)
+VERBS = {family: frozenset(" ".join(groups).split()) for family, groups in (("container", _DOCKER), ("kube", _KUBECTL), ("op", _OP))}
+# What stands for an option's value; None where it may be shown.
+_HOSTS, _DATABASES, _STATEMENTS = ("-h", "--host"), ("-d", "-D", "--database", "--dbname"), ("-c", "-e", "--command", "--eval", "--execute")
 OPTIONS = {
-    "kube": {"-n": "<name>", "--namespace": "<name>"}, "op": {"--vault": "<name>", "--account": "<name>", "--fields": None, "--field": None, "--format": None},
-    "db": {"-h": "<host>", "--host": "<host>", "-d": "<name>", "-D": "<name>", "--dbname": "<name>", "--database": "<name>", "-c": "<name>", "--command": "<name>", "-e": "<name>", "--execute": "<name>", "--eval": "<name>"},
-    "ssh": {**dict.fromkeys("-B -b -c -D -E -e -F -I -i -L -m -O -o -P -p -Q -R -S -W -w".split()), "-l": "<user>", "-J": "<host>"},
-    "git": dict.fromkeys("-C -c --git-dir --work-tree --exec-path".split()), "gh": dict.fromkeys("--title -t --body -b --notes".split(), "<message>"), "gcp": dict.fromkeys("--project --project_id --project-id".split(), "<name>"),
+    "kube": dict.fromkeys(("-n", "--namespace"), "<name>"), "op": {**dict.fromkeys(("--account", "--vault"), "<name>"), **dict.fromkeys(("--field", "--fields", "--format"))},
+    "db": {**dict.fromkeys(_HOSTS, "<host>"), **dict.fromkeys((*_DATABASES, *_STATEMENTS), "<name>")},
+    "ssh": {**dict.fromkeys(labels.SSH.split()), "-P": None, "-l": "<user>", "-J": "<host>"},
+    "git": dict.fromkeys(("-C", "-c", "--exec-path", "--git-dir", "--work-tree")), "gh": dict.fromkeys(("-b", "-n", "-t", "--body", "--notes", "--title"), "<message>"), "gcp": dict.fromkeys(("--project", "--project-id", "--project_id"), "<name>"),
 }
-MESSAGES = ("am", "cherry-pick", "commit", "merge", "notes", "revert", "stash", "tag")
+MESSAGES = ("am", "cherry-pick", "commit", "merge", "notes", "revert", "stash", "tag")  # verbs of git whose -m is a message
 SECRET_OPTION = re.compile(r"--?(?:[a-z0-9]+-)*(?:token|password|passwd|secret|api-?key|access-?key|auth)$", re.IGNORECASE)
 UUID = re.compile(r"\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b", re.IGNORECASE)
 

@@ -150,6 +150,22 @@ def tuning_hint(decided_rows: list[dict], most: int = 3, share: float = 0.6, lea
     return {"rules": sorted(off), "removed": gone(off), "asks": total} if gone(off) >= share * total else None
 
 
+def tuning_hint_of(decided: DataFrame, most: int = 3, share: float = 0.6, least: int = 5) -> dict | None:
+    """tuning_hint of a table of any size (action, rule_ids, calls): in each of at most `most` rounds one rule comes to the driver."""
+    asks = decided.where("action = 'require_approval'").select(F.split("rule_ids", ",").alias("ids"), "calls")
+    total = asks.agg(F.sum("calls")).first()[0] or 0
+    off: list[str] = []
+    removed = 0
+    while total >= least and len(off) < most and removed < share * total:
+        left = F.array_except("ids", F.array(*[F.lit(x) for x in off]).cast("array<string>"))
+        each = asks.select("calls", left.alias("left")).select("calls", F.explode("left").alias("id"), (F.size("left") == 1).alias("last"))
+        best = each.groupBy("id").agg(F.sum(F.when(F.col("last"), F.col("calls")).otherwise(0)).alias("gone"), F.sum("calls").alias("n")).orderBy(F.desc("gone"), F.desc("n"), "id").first()
+        if best is None:
+            break
+        off, removed = [*off, best["id"]], removed + best["gone"]
+    return {"rules": sorted(off), "removed": removed, "asks": total} if total >= least and removed >= share * total else None
+
+
 def top_with_rest(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows in an order, each with `more`: how many rows are left out.
 

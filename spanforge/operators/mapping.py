@@ -199,7 +199,16 @@ FILE_KINDS = {
     "block-prod-config-edit": "production config", "fs.agent-self-config": "agent settings file", "fs.ci-definition": "CI workflow", "fs.system-paths": "system file", "fs.vcs-internals": "git internals file",
     "require-auth-on-pii-endpoints": "API route file", "se.credential-file": "credentials file", "ti.test-config-edit": "test config",
 }
-KNOWN_FILES = r"^(?:(?:vitest|vite)\.(?:config|workspace)\.(?:[cm]?[jt]s|json)|jest\.config\.(?:[cm]?[jt]s|json)|package\.json|tsconfig\.json|(?:CLAUDE(?:\.local)?|AGENTS|GEMINI|MEMORY)\.md|\.mcp\.json|\.env(?:\.(?:local|development|dev|production|prod|staging|test|example|sample))*)$"
+WELL_KNOWN = (".mcp.json", "AGENTS.md", "CLAUDE.local.md", "CLAUDE.md", "GEMINI.md", "MEMORY.md", "package.json", "tsconfig.json")
+STAGES = ("ci", "dev", "development", "example", "local", "prod", "production", "sample", "staging", "template", "test")  # what follows .env
+
+
+def well_known(name: Column) -> Column:
+    """Whether a file's name says nothing of its project: it is the same in all that have such a file."""
+    parts = F.split(name, r"\.")
+    tool = F.get(parts, F.lit(0)).isin("jest", "vite", "vitest") & F.get(parts, F.lit(1)).isin("config", "workspace") & (F.size(parts) == 3) & F.get(parts, F.lit(2)).rlike("^(?:json|[cm]?[jt]s)$")
+    env = name.startswith(".env") & (F.get(parts, F.lit(1)) == "env") & F.forall(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), lambda x: x.isin(*STAGES))
+    return F.coalesce(name.isin(*WELL_KNOWN) | tool | env, F.lit(False))
 
 
 def file_shape(tool: Column, path: Column, rule_id: Column) -> Column:
@@ -207,7 +216,7 @@ def file_shape(tool: Column, path: Column, rule_id: Column) -> Column:
     workflow = F.regexp_extract(F.trim(path), r"(?:^|[\\/])\.github[\\/]workflows[\\/][^\\/]+\.(yml|yaml)$", 1)
     last = F.regexp_extract(F.trim(path), r"[^\\/]*$", 0)
     kinds = F.create_map(*[F.lit(x) for kv in FILE_KINDS.items() for x in kv])
-    name = F.when(workflow != "", F.concat(F.lit(".github/workflows/<file>."), workflow)).when(last.rlike(KNOWN_FILES), last).otherwise(F.concat(F.lit("<"), F.coalesce(kinds[rule_id], F.lit("file")), F.lit(">")))
+    name = F.when(workflow != "", F.concat(F.lit(".github/workflows/<file>."), workflow)).when(well_known(last), last).otherwise(F.concat(F.lit("<"), F.coalesce(kinds[rule_id], F.lit("file")), F.lit(">")))
     return F.concat(F.when(tool.rlike("^[A-Za-z][A-Za-z0-9_]{0,40}$"), tool).otherwise("File tool"), F.lit(" "), name)
 
 

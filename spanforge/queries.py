@@ -302,6 +302,23 @@ def report_search(spark, d):
     return aggregate.text_search(_t(spark, d, "part"), "  BRAND#1 ", "p_name", "p_brand").select("p_partkey")
 
 
+@query(f"""WITH {_CATALOG_SQL}, g AS (SELECT rule_id, any_value(action) AS action, any_value(severity) AS severity, any_value(owasp) AS owasp, count(*) AS matches FROM x GROUP BY 1), f AS (SELECT * FROM g WHERE list_contains(owasp, 'ASI02') OR list_contains(owasp, 'LLM03')),
+a AS (SELECT 'severity' AS sort, rule_id, matches, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, matches DESC, icu_sort_key(rule_id, 'und')) AS place FROM g WHERE list_contains(owasp, 'LLM03'))
+SELECT * FROM a UNION ALL SELECT 'rule', rule_id, matches, row_number() OVER (ORDER BY icu_sort_key(rule_id, 'und')) FROM g WHERE action = 'require_approval' UNION ALL SELECT 'matches', rule_id, matches, row_number() OVER (ORDER BY matches DESC, icu_sort_key(rule_id, 'und')) FROM g WHERE contains(lower(rule_id), 'e')""")
+def report_search_sorted(spark, d):
+    """A report's findings by risk id and severity, by action and name, and by text and matches: the places that a reader sees."""
+    from pyspark.sql import Window
+
+    found = aggregate.match_rows(evaluated(spark, d)).groupBy("rule_id", "action").agg(F.count("*").alias("matches"))
+    rows = found.join(F.broadcast(evaluate.dimension(evaluate.catalog_frame(spark, CATALOG)).select("rule_id", "severity", "owasp")), "rule_id")
+    asked = {"severity": {"needle": "", "owasp": "LLM03"}, "rule": {"needle": "", "action": "require_approval"}, "matches": {"needle": " E "}}
+    parts = []
+    for sort, how in asked.items():  # a row for each rule, which one task numbers
+        own = aggregate.report_search(rows, columns=("rule_id",), sort=sort, **how).coalesce(1)
+        parts.append(own.select(F.lit(sort).alias("sort"), "rule_id", "matches", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("SELECT event_id, sha256('salt' || chr(0) || props) AS fingerprint FROM events")
 def keyed_fingerprint(spark, d):
     return _t(spark, d, "events").select("event_id", redact.fingerprint(F.col("props"), "salt").alias("fingerprint"))

@@ -85,10 +85,22 @@ SELECT 'a,b' AS rules, (SELECT sum(n) FROM a WHERE k IN (0, 1))::BIGINT AS remov
 def tuning_hint(spark, d):
     rows = _t(spark, d, "events").select((F.col("event_id") % 4).alias("k"))
     decided = rows.select(F.when(F.col("k") == 3, "block").otherwise("require_approval").alias("action"), _pick(F.col("k"), "a", "a,b", "c,d", "e").alias("rule_ids")).groupBy("action", "rule_ids").agg(F.count("*").alias("calls"))
-    hint = aggregate.tuning_hint([r.asDict() for r in decided.collect()])  # as many rows as sets of rules
+    hint = aggregate.tuning_hint_of(decided)
     return spark.createDataFrame([(",".join(hint["rules"]), hint["removed"], hint["asks"])], "rules string, removed long, asks long")
 
 
+@query("SELECT event_id, event_id % 6 IN (0, 4) AS random FROM events")
+def random_tokens(spark, d):
+    """Long tokens that look generated, beside ids of known shapes, digests in hexadecimal, names and words."""
+    rows, n, k = _events(spark, d)
+    digest = F.sha2(n, 256)
+    made = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(n, F.lit("k")), 256))), "[0-9]{3,}", "x7")
+    uuid = F.concat_ws("-", digest.substr(1, 8), digest.substr(9, 4), digest.substr(13, 4), digest.substr(17, 4), digest.substr(21, 12))
+    token = _pick(k, made, digest, uuid, F.concat(F.lit("some_rather_long_name_of_a_function_"), F.lpad((F.col("event_id") % 1000).cast("string"), 4, "0")), F.concat(F.lit("Ab3+"), made), F.concat(F.lit("AlphabeticalOrderingConfigurations"), F.col("event_id") % 10))
+    counts = redact.scrub(F.concat(F.lit("use "), token, F.lit(" now")))["counts"]
+    return rows.select("event_id", F.coalesce(F.try_element_at(counts, F.lit("generic-secret")) > 0, F.lit(False)).alias("random"))
+
+
 @query("SELECT count(DISTINCT user_id) AS projects FROM events WHERE event_type = 'error' AND ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAYS")
 def stepped_aside(spark, d):
     log = _t(spark, d, "events").select(F.col("ts").cast("string").alias("ts"), F.when(F.col("event_type") == "error", "stepped-aside").alias("event"), F.col("user_id").alias("project"))
