@@ -96,7 +96,7 @@ def random_tokens(spark, d):
     digest = F.sha2(n, 256)
     made = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(n, F.lit("k")), 256))), "[0-9]{3,}", "x7")
     uuid = F.concat_ws("-", digest.substr(1, 8), digest.substr(9, 4), digest.substr(13, 4), digest.substr(17, 4), digest.substr(21, 12))
-    token = _pick(k, made, digest, uuid, F.concat(F.lit("some_rather_long_name_of_a_function_"), F.lpad((F.col("event_id") % 1000).cast("string"), 4, "0")), F.concat(F.lit("Ab3+"), made), F.concat(F.lit("AlphabeticalOrderingConfigurations"), F.col("event_id") % 10))
+    token = _pick(k, F.concat(F.lit("Q5"), made), digest, uuid, F.concat(F.lit("some_rather_long_name_of_a_function_"), F.lpad((F.col("event_id") % 1000).cast("string"), 4, "0")), F.concat(F.lit("Ab3+"), made), F.concat(F.lit("AlphabeticalOrderingConfigurations"), F.col("event_id") % 10))
     counts = redact.scrub(F.concat(F.lit("use "), token, F.lit(" now")))["counts"]
     return rows.select("event_id", F.coalesce(F.try_element_at(counts, F.lit("generic-secret")) > 0, F.lit(False)).alias("random"))
 
