@@ -365,12 +365,14 @@ def test_sharding(spark, tmp_path):
     assert first["version"] == 4 and len(first["shards"]) >= 20 and sum(s["rows"] for s in first["shards"]) == 510
     reader = store.read()  # of version 4, and not begun yet
     after = store.compact()
-    assert after["version"] == 5 and len(after["shards"]) < len(first["shards"]) and sum(s["rows"] for s in after["shards"]) == 510
+    assert after["version"] == 5 and after == store.head()
+    after = store.manifest()
+    assert len(after["shards"]) < len(first["shards"]) and sum(s["rows"] for s in after["shards"]) == 510
     for back in (store.read(), store.read(version=4), reader):
         assert back.drop("__shard").exceptAll(docs).count() == 0 and docs.exceptAll(back.drop("__shard")).count() == 0
     assert store.read().select("__shard").distinct().count() == len(after["shards"])
     with pytest.raises(sharding.CommitConflict):  # a writer that read an older manifest
-        store.commit(first, first["shards"], None)
+        store.commit(first, sharding.Change(set(), []), None)
     assert store.manifest() == after and store.versions() == [1, 2, 3, 4, 5]
     assert store.vacuum() == 0 and store.read(version=4).count() == 510  # an hour's grace
     assert store.vacuum(retain_ms=0) >= len(first["shards"]) - len(after["shards"]) and store.versions() == [5] and store.read().count() == 510
@@ -407,7 +409,7 @@ def test_sharding_of_two_writers(spark, tmp_path):
 
     one.commit = merged.__get__(one)
     one.compact()
-    assert shards() == [s["path"] for s in late[0]["shards"]] and one.read().count() == 3 * docs.count()
+    assert shards() == [s["path"] for s in two.manifest(late[0]["version"])["shards"]] and one.read().count() == 3 * docs.count()
     folders = {p.name for p in (tmp_path / "store" / "data").iterdir()}
     named = {s["path"].rsplit("/", 2)[-2] for v in one.versions() for s in one.manifest(v)["shards"]}
     assert folders == named  # what was given up is gone
@@ -417,6 +419,35 @@ def test_sharding_of_two_writers(spark, tmp_path):
     assert {p.name for p in (tmp_path / "store" / "data").iterdir()} == named
 
 
+def test_manifests_share_their_parts(spark, tmp_path, monkeypatch):
+    """A commit writes the parts that it changes; numbers and rows are the same by paths and by folders; parts that nothing names go."""
+    monkeypatch.setattr(sharding, "PART", 5)
+    docs = frame(spark, [f"text {i} " * 50 for i in range(400)] + ODD, 4)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=30_000, fan_in=4, small_bytes=2_000)
+    store.append(docs.repartition(1).sortWithinPartitions("doc_id"), rows_per_shard=400)  # one large shard, that stays
+    for i in range(6):
+        before = store.head()["parts"]
+        store.append(docs.where(F.col("doc_id") % 6 == i), rows_per_shard=20)
+        parts = store.head()["parts"]
+        assert [p["name"] for p in parts[: len(before) - 1]] == [p["name"] for p in before[:-1]] and all(p["n"] <= 5 for p in parts)
+    m = store.manifest()
+    assert sum(p["n"] for p in m["parts"]) == len(m["shards"]) > 20
+    reader = store.read()
+    store.compact()
+    after = store.manifest()
+    assert len(after["shards"]) < len(m["shards"])
+    both = docs.unionAll(docs)
+    by_path = sorted(map(str, store.read().collect()))
+    store.named = 0  # as if there were too many shards to name
+    assert sorted(map(str, store.read().collect())) == by_path and "BroadcastHashJoin" not in store.read().where("false")._jdf.queryExecution().optimizedPlan().toString()
+    for back in (store.read(), reader):
+        assert sorted(map(str, back.drop("__shard").collect())) == sorted(map(str, both.collect()))
+    assert store.vacuum(retain_ms=0) > 0
+    named = {p["name"] for p in store.head()["parts"]}
+    assert {x.name for x in (tmp_path / "store" / "_manifests").glob("part-*")} == named
+    assert sorted(map(str, store.read().collect())) == by_path
+
+
 def test_sharding_numbers_are_the_same_in_every_run(spark, tmp_path):
     docs = frame(spark, [f"text {i} " * 50 for i in range(300)], 3)
     got = [sharding.shard(docs, f"file://{tmp_path}/{k}", 20, target_bytes=30_000, fan_in=3, small_bytes=2_000) for k in "ab"]
