@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import labels
+from . import labels, shell
 
 
 def emails(text: Column) -> Column:
@@ -93,6 +93,56 @@ def _accept_all(_: re.Match) -> bool:
     return True
 
 
+_CLIENT = re.compile(r"(?:mysql\w*|mariadb[\w-]*)", re.IGNORECASE)  # programs whose password is glued to -p
+_INNER = {  # programs that run another one behind these words, and the options of theirs that take a value
+    **dict.fromkeys(("docker", "docker-compose", "nerdctl", "podman", "podman-compose"), "-e -u -v -w -p -f --entrypoint --env --env-file --file --hostname --name --network --platform --publish --user --volume --workdir"),
+    **dict.fromkeys(("kubectl", "oc"), "-c -f -n --container --context --filename --image --kubeconfig --namespace"),
+}
+
+
+def _runs_client(words: list[str]) -> bool:
+    """Whether the program of a simple command, or the one that it runs in a container or on a host, is a client that takes its password glued to -p."""
+    while words and (re.fullmatch(r"[-*$%>#]|[\w.-]+:", words[0]) or "=" in words[0]):  # a list's or prompt's sign, a key, an assignment
+        words = words[1:]
+    seg = shell.Segment([shell.Word(w, 0, 0) for w in words])
+    name, rest = seg.name, [w.text for w in seg.args]
+    if _CLIENT.fullmatch(name):
+        return True
+    if name == "ssh":
+        args = labels.Args(rest, labels.SSH)
+        return _runs_client(" ".join(args.operands[1:]).split())
+    verb = next((i for i, w in enumerate(rest) if w in ("exec", "run")), None) if name in _INNER else None
+    if verb is None:
+        return False
+    k, named, valued = verb + 1, False, _INNER[name].split()
+    while k < len(rest):
+        w = rest[k]
+        if w == "--":
+            return _runs_client(rest[k + 1 :])
+        if w.startswith("-"):
+            k += 2 if w in valued else 1
+        elif not named:  # the container, image or pod
+            k, named = k + 1, True
+        else:
+            return _runs_client(rest[k:])
+    return False
+
+
+def _client_password(m: re.Match) -> bool:
+    """Whether what follows -p is a client's password, as a shell would read the statement before it; where its quotes don't close, yes."""
+    before = m.string[max(0, m.start() - 512) : m.start()]
+    if not _CLIENT.search(before[-210:]):
+        return False
+    statement = re.split(r"(?<!\\)\n", before)[-1]
+    if array := re.search(r"\[\s*((?:\"[^\"\n]*\"\s*,\s*)+)\"$", statement):  # a command as an array of its words
+        return _runs_client(re.findall(r'"([^"\n]*)"', array[1]))
+    read = shell.parse(statement + m[0])
+    if read.unterminated:
+        return True
+    words = [w.text for w in read.segments[-1].words] if read.segments else []
+    return bool(words) and words[-1].startswith("-p") and _runs_client(words[:-1])
+
+
 # The patterns' names and their order, in which a hit hides its text from those that follow. Where a pattern
 # has a group v, only that is replaced.
 PATTERNS: list[tuple[str, re.Pattern, str, object]] = [
@@ -111,7 +161,7 @@ PATTERNS: list[tuple[str, re.Pattern, str, object]] = [
         ("env-secret", r"\b[A-Z][A-Z0-9_]*(?:SECRET|TOKEN|PASSWORD|PASSWD|API_?KEY|PRIVATE_KEY)[A-Z0-9_]*=(?:'(?P<v>[^'\n]*)'|\"(?P<w>[^\"\n]*)\"|(?P<x>[^\s'\"]+))", "<env-secret>", _accept_all),
         ("key-name-secret", r"(?i)\b(?:api[_-]?key|secret|token|password|passwd|pwd)\b['\"]?\s*[:=]\s*(?:'(?P<v>[^'\n]{4,})'|\"(?P<w>[^\"\n]{4,})\"|(?P<x>[^\s'\",;]{6,}))", "<secret>", _accept_all),
         ("authorization-header", r"(?i)\bauthorization\s*:\s*(?P<v>[^\n'\"]+)", "<value>", _accept_all),
-        ("mysql-password-flag", r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b(?:[ \t]+[^\s|;&]+)*?[ \t]+-p(?!ort\b|rint\b|lugin|rotocol\b|ager\b)(?P<v>[^\s'\"|;&]+|'[^']*'|\"[^\"]*\")", "<password>", _accept_all),
+        ("mysql-password-flag", r"(?<![\w-])-p(?!ort\b|rotocol\b)(?P<v>'[^'\n]+'|\"[^\"\n]+\"|[^\s'\"|;&)\],]+)", "<password>", lambda m: _client_password(m)),
         ("cloud-account-id", r"\barn:aws[a-z-]*:[a-z0-9-]*:[a-z0-9-]*:(?P<v>\d{12})\b|(?i:\b(?:account|owner)[ _-]?(?:id)?['\"]?\s*[=:]\s*['\"]?)(?P<w>\d{12})\b", "<cloud-account>", _accept_all),
         ("generic-secret", r"[A-Za-z0-9_+/=.-]{32,}", "<random>", lambda m: looks_random(m[0])),
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>", _accept_all),

@@ -89,6 +89,25 @@ def tuning_hint(spark, d):
     return spark.createDataFrame([(",".join(hint["rules"]), hint["removed"], hint["asks"])], "rules string, removed long, asks long")
 
 
+#: Commands with a -p, and whether it is a database client's password; {n} differs from row to row.
+PASSWORDS = [
+    ("mysql -u root -ps3cret{n} shop", True), ("sudo -u bob /usr/bin/mysqldump -h db -ps3cret{n} shop > d.sql", True), ("docker exec -it -e A=b shop-db mysql -uroot -ps3cret{n}", True), ("docker run --name mysql -p3306:{n} mysql:8", False),
+    ("kubectl -n shop exec db-0 -c main -- mariadb-dump -ps3cret{n} shop", True), ("ssh -p 22 db.example.com mysql -ps3cret{n}", True), ("find /var/lib/mysql -path x{n}", False), ("echo mysql; tar -ps3cret{n}", False),
+    ("run: mysql -ps3cret{n}", True), ('CMD ["mysql", "-uroot", "-ps3cret{n}"]', True), ("ssh db 'mysql -ps3cret{n}'", True), ("mysql -port {n}", False), ("mysql -u r \\\n  -p's3 cret{n}'", True), ("cat mysql.cnf | cut -ps3cret{n}", False), ("MYSQL_PWD=x mysqladmin -ps3cret{n} ping", True),
+]
+
+
+@query(f"SELECT event_id, event_id % {len(PASSWORDS)} IN ({', '.join(str(i) for i, (_, yes) in enumerate(PASSWORDS) if yes)}) AS masked FROM events")
+def client_passwords(spark, d):
+    """-p is a password only where the statement's program, or the one run in a container or on a host, is a client that takes it so."""
+    rows, n, _ = _events(spark, d)
+    texts = F.array(*[F.lit(t) for t, _ in PASSWORDS])
+    text = F.replace(F.get(texts, (F.col("event_id") % len(PASSWORDS)).cast("int")), F.lit("{n}"), n)
+    done = rows.select("event_id", redact.scrub(text).alias("r"))
+    gone = ~F.contains("r.text", F.lit("cret"))
+    return done.select("event_id", (F.coalesce(F.try_element_at("r.counts", F.lit("mysql-password-flag")) > 0, F.lit(False)) & gone).alias("masked"))
+
+
 @query("SELECT event_id, event_id % 6 IN (0, 4) AS random FROM events")
 def random_tokens(spark, d):
     """Long tokens that look generated, beside ids of known shapes, digests in hexadecimal, names and words."""
