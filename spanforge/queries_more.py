@@ -89,6 +89,21 @@ def tuning_hint(spark, d):
     return spark.createDataFrame([(",".join(hint["rules"]), hint["removed"], hint["asks"])], "rules string, removed long, asks long")
 
 
+@query(r"""WITH e AS (SELECT *, event_id % 8 AS k, event_id::VARCHAR AS n FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 'git -C /w/a branch -- topic-' || n || ' 0123abc' WHEN 1 THEN 'git -C ''/w/b c'' branch -- ''it''\''''s ' || n || ''' 0123abc' WHEN 3 THEN 'git -C /w/a stash apply 0123abc' WHEN 4 THEN 'git -C ''/w/b c'' config --unset core.hooksPath'
+  WHEN 5 THEN 'git -C /w/a restore -- ''src/x y' || n || '.py''' WHEN 6 THEN 'pkill -x -- ngrok' END AS command, CASE k WHEN 2 THEN 'no safe command' WHEN 7 THEN 'no fix' END AS left_out FROM e""")
+def fix_commands(spark, d):
+    """Commands that undo what the checks found, for those who own the machine; none where a name can't be written safely."""
+    from .sources import report
+
+    rows, n, _ = _events(spark, d)
+    k = F.col("event_id") % 8
+    kind = F.when(k < 3, "branch-delete").when(k == 3, "stash-drop").when(k == 4, "hooks-path").when(k == 5, "tracked-missing").when(k == 6, "tunnel").otherwise("iam")
+    name = F.when(k == 0, F.concat(F.lit("topic-"), n)).when(k == 1, F.concat(F.lit("it's "), n)).when(k == 2, F.concat(F.lit("a\nrm "), n)).when(k == 5, F.concat(F.lit("src/x y"), n, F.lit(".py"))).when(k == 6, "ngrok")
+    found = rows.select("event_id", F.lit("lost-work").alias("category"), kind.alias("kind"), F.when(k.isin(1, 4), "/w/b c").otherwise("/w/a").alias("folder"), name.alias("name"), F.when(k < 4, "0123abc").alias("hash"))
+    return report.fixes(found).select("event_id", "command", "left_out")
+
+
 #: Commands with a -p, and whether it is a database client's password; {n} differs from row to row.
 PASSWORDS = [
     ("mysql -u root -ps3cret{n} shop", True), ("sudo -u bob /usr/bin/mysqldump -h db -ps3cret{n} shop > d.sql", True), ("docker exec -it -e A=b shop-db mysql -uroot -ps3cret{n}", True), ("docker run --name mysql -p3306:{n} mysql:8", False),
