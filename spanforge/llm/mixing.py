@@ -157,7 +157,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float
 
 #: What the classes (quality, toxic) are to have of the mix, and what they may have at most after a quality filter.
 WEIGHTS = {(1, 0): 0.94, (0, 0): 0.03, (1, 1): 0.02, (0, 1): 0.01}
-AFTER_FILTER = {(1, 0): 0.985, (0, 0): 0.005, (1, 1): 0.005, (0, 1): 0.005}
+AFTER_FILTER = {(1, 0): 0.994, (0, 0): 0.002, (1, 1): 0.002, (0, 1): 0.002}
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
