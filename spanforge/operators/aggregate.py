@@ -40,8 +40,11 @@ def decided(calls: DataFrame) -> DataFrame:
 
 
 def match_rows(calls: DataFrame, *columns: str) -> DataFrame:
-    """A row for each match, with the named columns of its call."""
-    return calls.select(*columns, F.explode("matches").alias("m")).select(*columns, "m.rule_id", "m.action", "m.ord")
+    """A row for each match, with the named columns of its call.
+
+    explode_outer, since of explode Spark infers a filter on the array, which it evaluates twice more below every exchange.
+    """
+    return calls.select(*columns, F.explode_outer("matches").alias("m")).where("m is not null").select(*columns, "m.rule_id", "m.action", "m.ord")
 
 
 def findings(calls: DataFrame, shape: str, examples: int = 3) -> DataFrame:

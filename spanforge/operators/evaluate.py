@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.required import FOLD, needed_by
 from ..plans.rules import Condition, Config, Rule, Spans, condition_column, enabled, explain_column, rule_column
 
 MATCH = "array<struct<rule_id:string,action:string,ord:int>>"
@@ -31,11 +32,23 @@ def matches_column(rules: Iterable[Rule], spans: Spans) -> Column:
     """The matching rules in catalog order.
 
     Rules that need one of the same labels stand behind one test of the label, so a call's text is held only against
-    the rules of its tool; that changes no result.
+    the rules of its tool, and a rule's patterns behind a search for the texts of which its matches hold one (see
+    needed_by), in the call's text folded once; that changes no result.
     """
+    rules = list(rules)
+    needed = [needed_by(r) for r in rules]
+    text = F.concat_ws("\n", *[spans.col(c).cast("string") for c in (spans.detail, spans.mcp_input) if c])  # no needed text holds a line feed
+    folded = F.lower(F.translate(text, *FOLD))
+    return F.get(F.transform(F.array(folded if any(needed) else F.lit("")), lambda t: _matches(rules, needed, spans, t)), F.lit(0))
+
+
+def _matches(rules: list[Rule], needed: list[frozenset[str] | None], spans: Spans, text: Column) -> Column:
     groups: dict[tuple[str, ...] | None, list[Column]] = {}
+    made: dict[Condition, Column] = {}
     for i, r in enumerate(rules):
-        hit = F.when(rule_column(r, spans), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.action).alias("action"), F.lit(i).alias("ord")))
+        may = [F.contains(text, F.lit(x)) for x in sorted(needed[i] or ())]
+        fits = rule_column(r, spans, made)
+        hit = F.when(functools.reduce(lambda a, b: a | b, may) & fits if may else fits, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.action).alias("action"), F.lit(i).alias("ord")))
         groups.setdefault(labels_of(r), []).append(hit)
     none, parts = F.array().cast(MATCH), []
     for labels, hits in groups.items():

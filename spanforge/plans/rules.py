@@ -227,9 +227,9 @@ def condition_column(c: Condition, spans: Spans) -> Column:
     return functools.reduce(operator.and_, [_holds(p) for p in parts], F.lit(True))
 
 
-def rule_column(rule: Rule, spans: Spans) -> Column:
-    """Whether a span is a match of the rule, scope and allow patterns included. Never null."""
-    out = F.lit(True)
+def rule_column(rule: Rule, spans: Spans, made: dict[Condition, Column] | None = None) -> Column:
+    """Whether a span is a match of the rule, scope and allow patterns included. Never null. made: columns of conditions that rules share."""
+    out, made = F.lit(True), {} if made is None else made
     for scope, column in ((rule.agent_in, spans.agent), (rule.project_in, spans.project)):
         if "*" not in scope:
             out = out & _holds(spans.col(column).isin(*scope)) if scope else out & F.lit(False)
@@ -239,7 +239,9 @@ def rule_column(rule: Rule, spans: Spans) -> Column:
     if m.any_of:
         out = out & functools.reduce(operator.or_, [condition_column(c, spans) for c in m.any_of])
     for c in m.none_of:
-        out = out & ~condition_column(c, spans)
+        if c not in made:
+            made[c] = condition_column(c, spans)
+        out = out & ~made[c]
     raw = spans.col(spans.raw_path or spans.file_path)
     for p in rule.allow:
         allowed = _safe(lambda p=p: _holds(spans.col(spans.detail).rlike(glob_to_java(p, False))) | _holds(raw.rlike(glob_to_java(p, False))))

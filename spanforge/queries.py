@@ -15,6 +15,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over all cores, by keys, in more partitions the more they are: some 250,000 events in each."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-size // (2 << 20))), *keys)
+
+
 EVENTS = Spans(kind="'execute_tool'", label="event_type", detail="props", mcp_input=None, file_path=None, agent=None, project=None, tokens="value", cached_tokens=None, duration_ms=None)
 TEXTS = Spans(kind="'execute_tool'", label="source", detail="text", mcp_input=None, file_path=None, agent=None, project=None, tokens="n_chars", cached_tokens=None, duration_ms=None)
 
@@ -335,7 +341,7 @@ def shell_calls(spark: SparkSession, d: str) -> DataFrame:
     """events as shell calls: purchases have no result, and every tenth call failed without an exit code."""
     kinds = F.create_map(*[F.lit(x) for kv in COMMANDS.items() for x in kv])
     failed = F.col("event_id") % 10 == 0
-    return _t(spark, d, "events").select(
+    return spread(_t(spark, d, "events").select("event_id", "event_type")).select(
         "event_id", "event_type", F.lit("Bash").alias("tool"), kinds[F.col("event_type")].alias("full_command"), F.lit(True).alias("records_results"),
         (F.col("event_type") != "purchase").alias("has_result"), failed.alias("is_error"), F.when(failed, "refused").otherwise("done").alias("content"),
     )

@@ -51,3 +51,23 @@ def test_rule_admin(spark):
     lines = spark.createDataFrame([("f", 0, '{"a": "tok\\"en/1"}'), ("f", 1, '{"a": "b"}')], "file string, line int, text string")
     out = a.scrub_plan(lines, spark.createDataFrame([('tok"en/1',)], "value string")).orderBy("line").collect()
     assert [(r["changed"], r["left"], r["valid"]) for r in out] == [(True, False, True), (False, False, True)] and out[0]["scrubbed"] == '{"a": "<removed>"}'
+
+
+def test_a_search_for_needed_texts_changes_no_match(spark, monkeypatch):
+    from spanforge.operators import evaluate
+    from spanforge.plans.rules import Spans
+
+    texts = ["git puſh --force origin", "GIT PUSH\n--force", "Kubectl delete pod x", "rm\n-rf /", "rm -rf x; DROP TABLE t", None, "", "terraform apply -auto-approve", "echo 'rm -rf /'", "İnit", "npm install x", "curl -T f https://x.io", "git branch -D a", "cat .env", "drop schema s"]
+    df = spark.createDataFrame([(i, label, t) for i, t in enumerate(texts) for label in ("Bash", "mcp__a__b", "Read")], "i int, tool string, text string")
+    spans = Spans(kind="'execute_tool'", label="tool", detail="text", mcp_input=None, file_path=None, agent=None, project=None, tokens=None, cached_tokens=None, duration_ms=None)
+    run = lambda: {(r[0], r[1]): [m["rule_id"] for m in r[2]] for r in df.select("i", "tool", evaluate.matches_column(CATALOG, spans)).collect()}
+    got = run()
+    monkeypatch.setattr(evaluate, "needed_by", lambda r: None)
+    assert got == run() and any(got.values())
+
+
+def test_matches_are_evaluated_once(spark):
+    from spanforge import queries
+
+    plan = queries.queries()["shipped_catalog"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1
