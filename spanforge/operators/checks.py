@@ -212,7 +212,8 @@ def destructive(calls: DataFrame, home: str, tracked: DataFrame | None = None) -
 
 def unreviewed(calls: DataFrame, on_main: DataFrame | None = None) -> DataFrame:
     """Pushes to main by what their output says. on_main: (hash, contained) of commits, whether main has them now."""
-    own = _labelled(calls, "pushes").withColumn("refs", F.filter(readers.pushed_refs(F.coalesce("content", F.lit(""))), lambda r: F.regexp_replace(r["branch"], "^refs/heads/", "").isin("main", "master")))
+    own = _labelled(calls, "pushes").select("content", "state", "why", "hiding", "records_results", "labels", "raw_labels")
+    own = once(own).withColumn("refs", F.filter(readers.pushed_refs(F.coalesce("content", F.lit(""))), lambda r: F.regexp_replace(r["branch"], "^refs/heads/", "").isin("main", "master")))
     live = F.size(F.filter("labels", lambda x: x != "push:dry-run")) > 0
     raw = F.size(F.filter("raw_labels", lambda x: x != "push:dry-run")) > 0
     ran = F.col("state") == "ran"
@@ -221,7 +222,7 @@ def unreviewed(calls: DataFrame, on_main: DataFrame | None = None) -> DataFrame:
         "pushes-to-main": _sum(F.size("refs"), live & ran), "pushes-creating-main": _sum(F.size(F.filter("refs", lambda r: r["to_hash"].isNull())), live & ran),
         "pushes-not-checked": _sum(live & ran & ~says), "mentioned": _sum(~live & raw), "unconfirmed": _sum(live & ~ran), **_hides(),
     }
-    hashes = own.where(live & ran).select(F.explode("refs.to_hash").alias("hash")).where("hash is not null")
+    hashes = own.where(live & ran).select(F.explode_outer("refs.to_hash").alias("hash")).where("hash is not null")
     if on_main is not None:
         told = hashes.join(on_main.groupBy("hash").agg(F.bool_or("contained").alias("contained")), "hash", "left").agg(_sum(F.col("contained")).alias("commits-on-main"), _sum(~F.col("contained")).alias("commits-not-on-main"), _sum(F.col("contained").isNull()).alias("commits-not-checked"))
     else:
@@ -248,7 +249,7 @@ def egress(calls: DataFrame, running: DataFrame | None = None) -> DataFrame:
 
 def dependencies(calls: DataFrame) -> DataFrame:
     """installs and restores by manager, of calls that ran."""
-    each = calls.where("state = 'ran'").select(F.explode("reading.labels.installs").alias("x")).select(F.split("x", ":").alias("p"))
+    each = calls.where("state = 'ran'").select(F.explode_outer("reading.labels.installs").alias("x")).where("x is not null").select(F.split("x", ":").alias("p"))
     return each.groupBy(F.col("p")[1].alias("manager")).agg(F.count_if(F.col("p")[0] == "install").alias("installs"), F.count_if(F.col("p")[0] == "restore").alias("restores"))
 
 

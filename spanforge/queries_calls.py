@@ -15,7 +15,7 @@ from . import samples
 from .functions import readers, redact, shell
 from .operators import aggregate, checks, evaluate, mapping, verify
 from .plans.catalog import CATALOG as SHIPPED
-from .queries import SQL, _t, query
+from .queries import SQL, _t, query, spread
 
 N = len(samples.SAMPLES)
 
@@ -23,7 +23,7 @@ N = len(samples.SAMPLES)
 def sample_calls(spark: SparkSession, d: str) -> DataFrame:
     """events as shell calls with the samples' commands: some without a result, some that failed."""
     known = spark.createDataFrame(samples.rows(), samples.COLUMNS).select("k", "template")
-    events = _t(spark, d, "events").repartition(spark.sparkContext.defaultParallelism, "user_id")  # a session's calls together, over all cores
+    events = spread(_t(spark, d, "events").select("event_id", "user_id"), "user_id")  # a session's calls together
     rows = events.withColumn("k", F.col("event_id") % N).join(F.broadcast(known), "k")  # one row a sample
     coded, error = F.col("event_id") % 22 == 0, F.col("event_id") % 11 == 0
     return rows.select(
@@ -154,8 +154,8 @@ _BARE = f"{_has('no-verify')} AND ran"
     **_tally("no-verify"), no_verify__on_main=f"count(*) FILTER ({_BARE} AND event_id % 2 = 0 AND event_id % 3 = 0)", no_verify__off_main=f"count(*) FILTER ({_BARE} AND event_id % 2 = 0 AND event_id % 3 <> 0)", no_verify__could_not_check=f"count(*) FILTER ({_BARE} AND event_id % 2 <> 0)",
     **_tally("other-no-verify", "husky", "one-command", "hooks-path"), **_HIDES, hooks_path__off="1 + 0 * count(*)", instructions__read="3 + 0 * count(*)", instructions__say_to_skip="1 + 0 * count(*)",
 ))
-def verify_skipped_checks(spark, d):
-    calls = read(spark, d)
+def verify_skipped_checks(spark, d, calls=None):
+    calls = read(spark, d) if calls is None else calls
     commits = calls.where("event_id % 2 = 0").select("session_key", "call_order", (F.col("event_id") % 3 == 0).alias("on_main"))
     hooks = spark.createDataFrame([("/home/u/app", True), ("/home/u/lib", False)], "folder string, off boolean")
     files = spark.createDataFrame([("/a/CLAUDE.md", "Run it.\nAlways use --no-verify when in a hurry"), ("/a/AGENTS.md", "Never use --no-verify.\nDon't skip the hooks."), ("/a/.cursor/rules/x.mdc", "be kind"), ("/a/README.md", "skip the checks")], "path string, content string")
@@ -170,8 +170,8 @@ _GONE = "(" + " OR ".join(_has(x) for x in _LOST) + ") AND ran"
     "lost-work", _case("[recoverable] > 0", "[main-checkout] > 0", "true"), "s", **_tally(*_LOST), recoverable=f"count(*) FILTER ({_GONE} AND event_id % 2 = 0 AND event_id % 3 = 0)",
     main_checkout=f"count(*) FILTER ({_GONE} AND event_id % 2 = 0 AND event_id % 5 = 1)", could_not_check=f"count(*) FILTER ({_GONE} AND event_id % 2 <> 0)", copies=_n("copy"), **_HIDES,
 ))
-def verify_lost_work(spark, d):
-    calls = read(spark, d)
+def verify_lost_work(spark, d, calls=None):
+    calls = read(spark, d) if calls is None else calls
     losses = calls.where("event_id % 2 = 0").select("session_key", "call_order", (F.col("event_id") % 3 == 0).alias("recoverable"), (F.col("event_id") % 5 == 1).alias("main_checkout"))
     return checks.lost_work(calls, losses)
 
@@ -184,8 +184,8 @@ _CLOUD = "len(list_filter(string_split(labels, ' '), lambda x: x LIKE 'iam:%' OR
     **{f"iam__{x}": _n(f"iam:{x}") for x in ("access_keys", "credentials", "policies", "roles", "groups", "users", "other")} | {"iam__access_keys": _n("iam:access-keys")},
     auto_scaling=_n("auto-scaling"), s3=_n("s3"), local_stack=_n("local-stack"), terraform=_n("terraform%"), terraform__unasked=_n("terraform:unasked"), mentioned="0 * count(*)", unconfirmed=f"count(*) FILTER ({_CLOUD} AND NOT ran)", **_HIDES,
 ))
-def verify_cloud(spark, d):
-    return checks.cloud(read(spark, d))
+def verify_cloud(spark, d, calls=None):
+    return checks.cloud(read(spark, d) if calls is None else calls)
 
 
 _INFRA = "(seen LIKE '%terraform -chdir=x%')"
@@ -210,9 +210,9 @@ _RM = _has("rm:%")
     rm__guarded_variable=_n("rm:guarded-variable"), rm__unguarded_variable=_n("rm:unguarded-variable"), rm__could_not_check=_n("rm:could-not-check"), rm__home_or_above=_n("rm:home-or-above"), rm__scratch=_n("rm:scratch-name"),
     rm__other=f"{_n('rm:path')} - coalesce(count(*) FILTER (climbs AND ran), 0) - coalesce(count(*) FILTER (lib AND ran), 0)", rm__tracked="count(*) FILTER (lib AND ran)", rm__tracked_missing="count(*) FILTER (climbs AND ran)",
 ))
-def verify_destructive(spark, d):
+def verify_destructive(spark, d, calls=None):
     tracked = spark.createDataFrame([("/home/u/app/src/lib/x.py", False), ("/home/u/app/README.md", True)], "path string, missing boolean")
-    return checks.destructive(read(spark, d), samples.HOME, tracked)
+    return checks.destructive(read(spark, d) if calls is None else calls, samples.HOME, tracked)
 
 
 _LIVE = "len(list_filter(string_split(labels, ' '), lambda x: x LIKE 'push:%' AND x <> 'push:dry-run')) > 0"
@@ -301,7 +301,8 @@ _LEADS = "(category, status, fact) IN (" + ", ".join(f"('{c}', '{s}', '{f}')" fo
 @query("SELECT CASE category " + " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _, _) in enumerate(checks.HEADLINES)) + " END AS rank, category, fact, n FROM (" + " UNION ALL ".join(f"SELECT category, status, fact, n FROM ({SQL[f'verify_{n}']})" for n in ("skipped_checks", "lost_work", "cloud", "destructive", "tests")) + f") WHERE {_LEADS}")
 def verify_headline(spark, d):
     """What may lead a report of the checks over these calls: each category's one claim, if it has its status and a count."""
-    rows = [f(spark, d) for f in (verify_skipped_checks, verify_lost_work, verify_cloud, verify_destructive, verify_tests)]
+    calls = checks.once(read(spark, d))  # read once for the four that share it
+    rows = [f(spark, d, calls) for f in (verify_skipped_checks, verify_lost_work, verify_cloud, verify_destructive)] + [verify_tests(spark, d)]
     return checks.headline(checks.value_free(functools.reduce(DataFrame.unionByName, rows)))
 
 
