@@ -42,15 +42,20 @@ def judged(calls: DataFrame, pattern: str) -> DataFrame:
     return own.withColumns({"v": v, "hiding": shell.hiding("full_command")}).select("*", "v.state", "v.why").drop("v")
 
 
+def _each(calls: DataFrame, name: str) -> DataFrame:
+    """The labels x of one kind; explode_outer, since of explode Spark infers a filter, for which every command would be read again."""
+    return calls.select(F.explode_outer(shell.labels("full_command", name)).alias("x")).where("x is not null")
+
+
 def dependencies(calls: DataFrame) -> DataFrame:
     """Installs and lock-file restores by package manager."""
-    each = calls.select(F.explode(shell.reading("full_command")["labels"]["installs"]).alias("x")).select(F.split("x", ":").alias("p"))
+    each = _each(calls, "installs").select(F.split("x", ":").alias("p"))
     return each.groupBy(F.col("p")[1].alias("manager")).agg(F.count_if(F.col("p")[0] == "install").alias("installs"), F.count_if(F.col("p")[0] == "restore").alias("restores"))
 
 
 def traffic(calls: DataFrame) -> DataFrame:
     """Uploads and tunnels of what is executed, by kind, and whether they leave the machine."""
-    each = calls.select(F.explode(shell.reading("full_command")["labels"]["traffic"]).alias("x")).select(F.split(F.regexp_replace("x", "^upload:", ""), ":").alias("p"))
+    each = _each(calls, "traffic").select(F.split(F.regexp_replace("x", "^upload:", ""), ":").alias("p"))
     return each.groupBy(F.col("p")[0].alias("kind")).agg(F.count_if(F.col("p")[1] == "local").alias("local"), F.count_if(F.col("p")[1] == "leaving").alias("leaving"))
 
 

@@ -182,3 +182,23 @@ def test_folders_by_prefix_scan(spark):
     got = {(r["session_key"], r["call_order"]): r["folder"] for r in verify.folders(calls).collect()}
     assert got == want
     assert verify.folders(calls.limit(0)).count() == 0
+
+
+def test_commands_are_read_once(spark, monkeypatch):
+    from spanforge import queries, queries_calls
+
+    plan = lambda n: queries.queries()[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("egress_traffic", "dependency_installs", "verify_dependencies"):
+        assert plan(name).count("ArrowEvalPython [") == 1, name
+    seen = []
+    monkeypatch.setattr(queries_calls, "read", lambda s, d, f=queries_calls.read: seen.append(d) or f(s, d))
+    queries.queries()["verify_headline"](spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1
+
+
+def test_partitions_follow_the_table(spark):
+    from spanforge import queries
+
+    parts = lambda n: queries.spread(spark.range(n), "id").rdd.getNumPartitions()
+    assert parts(10) == spark.sparkContext.defaultParallelism
+    assert parts(1 << 20) == 16 and parts(1 << 22) == 64  # 8 bytes a row
