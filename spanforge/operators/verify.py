@@ -71,6 +71,7 @@ def check(calls: DataFrame, pattern: str, review: bool = True) -> DataFrame:
     return facts.withColumn("status", honest(found, F.col("hiding_calls"), F.col("results_recorded")))
 
 
+STEPS = 200_000  # steps that a task's share of sessions has, about
 STEP = "struct<lost:boolean,lead:string,up:int,path:array<string>>"
 
 
@@ -124,7 +125,9 @@ def folders(calls: DataFrame, session: str = "session_key", order: str = "call_o
     path = shared.new_path(calls.sparkSession, "folder-steps")
     every.write.parquet(path)
     steps = calls.sparkSession.read.schema(every.schema).parquet(path)
-    longest = steps.groupBy(session).count().agg(F.max("count")).first()[0] or 1
+    longest, total = steps.groupBy(session).count().agg(F.max("count"), F.sum("count")).first()
+    longest = longest or 1
+    steps = steps.repartition(max(calls.sparkSession.sparkContext.defaultParallelism, (total or 0) // STEPS), session)  # the scan's windows, one above the other, hold a task's share
     scanned = prefix_scan(steps, "__step", [session], ["__at"], math.ceil(math.log2(longest)) if longest > 1 else 0)  # the session's beginning sorts first
     begin, later = scanned.where("__at is null").select(session, F.col("__step").alias("__begin")), scanned.where("__at is not null")
     own = calls.join(begin, session, "left").join(later.select(session, F.col("__at").alias(order), "__step"), [session, order], "left")

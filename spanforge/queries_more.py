@@ -9,7 +9,7 @@ from .functions import readers, redact, shell
 from .operators import aggregate, evaluate, mapping, verify
 from .plans.catalog import CATALOG as SHIPPED
 from .plans.rules import Spans
-from .queries import EVENTS, _t, evaluated, query, rule
+from .queries import EVENTS, _t, evaluated, query, rule, spread
 
 
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, Column, Column]:
@@ -164,7 +164,7 @@ def working_folders(spark, d):
     """Each user's calls change the folder to /srv, go below it, list, are put back to /reset, and list again."""
     from .operators.sequence import call_order
 
-    rows = call_order(_t(spark, d, "events").select("user_id", "event_id"), ["user_id"], ["event_id"])
+    rows = call_order(spread(_t(spark, d, "events").select("user_id", "event_id"), "user_id"), ["user_id"], ["event_id"])
     k = F.col("call_order") % 5
     ok = F.col("event_id") % 4 != 0
     calls = rows.select(F.col("user_id").alias("session_key"), "call_order", "event_id", F.lit("/home").alias("cwd"), _pick(k, "cd /srv", "cd sub && ls", "ls", "make", "ls").alias("full_command"), F.lit(True).alias("has_result"), (~ok).alias("is_error"), F.when(k == 3, "Shell cwd was reset to /reset").otherwise("done").alias("content"))

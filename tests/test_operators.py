@@ -202,3 +202,13 @@ def test_partitions_follow_the_table(spark):
     parts = lambda n: queries.spread(spark.range(n), "id").rdd.getNumPartitions()
     assert parts(10) == spark.sparkContext.defaultParallelism
     assert parts(1 << 20) == 16 and parts(1 << 22) == 64  # 8 bytes a row
+
+
+def test_folder_steps_are_dealt_by_their_number(spark, monkeypatch):
+    rows = [(f"s{i % 40}", i, "/w", "cd a", True, False, "done") for i in range(400)]
+    calls = spark.createDataFrame(rows, "session_key string, call_order long, cwd string, full_command string, has_result boolean, is_error boolean, content string")
+    want = sorted(map(str, verify.folders(calls).select("call_order", "folder").collect()))
+    monkeypatch.setattr(verify, "STEPS", 20)  # 440 steps with the sessions' beginnings
+    got = verify.folders(calls).select("call_order", "folder")
+    assert "hashpartitioning(session_key" in got._jdf.queryExecution().executedPlan().toString() and "22" in [x.split(")")[0].split(", ")[-1] for x in got._jdf.queryExecution().executedPlan().toString().replace("), REPARTITION", ")").split("hashpartitioning(session_key")[1:]]
+    assert sorted(map(str, got.collect())) == want
