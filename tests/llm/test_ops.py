@@ -661,6 +661,28 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_bpe_encodes_a_word_once_for_all_its_pieces(monkeypatch):
+    """Whatever stands beside a word, later blocks take it from the memo; cleared memos and texts beyond Latin-1 change no result."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["word, Word", "(word) word's", "\u00e9t\u00e9 \u201cword\u201d \u00c3\u00a9 word", "a\tword <|endoftext|>word<|startoftext|> e\u0301", "aaaa aaaaa aaa 'll'll ''s", "\u00b2\u00bd \u00c3\u00a9 caf\u00e9's\n\nword", None]
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 1)
+    for most in (bpe.MEMO_WORDS, 2):
+        monkeypatch.setattr(bpe, "MEMO_WORDS", most)
+        model, asked = bpe.WordBPE(path), []
+        plain = model.encode_words
+        monkeypatch.setattr(model, "encode_words", lambda words, plain=plain, asked=asked: asked.extend(words) or plain(words))
+        for text, (block, memo) in zip(texts, bpe.encode_blocks(model, iter(texts), True), strict=True):
+            want = tok.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(b"".join(memo[w][0] for w in block[0]), "<u4").tolist() == want, text
+            assert b"".join(memo[w][1] for w in block[0]).decode()[1:] == tok.decode(want, skip_special_tokens=False), text
+        if most > 2:
+            assert asked.count("word") <= 2  # as a word in Latin-1, and once in the byte alphabet
+
+
 def test_texts_longer_than_a_block(spark):
     """One text above every block of op3, op7, op8, op9 and op10, beside a short one."""
     from tokenizers import Tokenizer
