@@ -85,7 +85,8 @@ def _sum(df: DataFrame, d: int, history: list[np.ndarray]) -> tuple[np.ndarray,
 def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None = None, at_most: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The history of steps, the targets, and the totals that the rates come to. total: of tokens; by default what leaves the first domain's as they are.
 
-    The two differ where no rates meet the targets, and where ROUNDS rounds weren't enough.
+    The two differ where no rates meet the targets, and where ROUNDS rounds weren't enough. The rounds after the one that came
+    nearest are left out: where few rows can't meet the targets, they raise rates without end.
 
     at_most: weights of domains after the first are bounds; one that has less keeps its share, and the first
     domain has the rest.
@@ -101,9 +102,10 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
     inverse = lambda g: np.linalg.pinv(g, rcond=1e-12, hermitian=True)
     whole = inverse(gram)
     size = lambda x: float((x - target) @ whole @ (x - target))
-    history, got = [], now
+    far = lambda x: float(np.abs(x - target).max())
+    history, got, best = [], now, (far(now), 0, now)
     for _ in range(ROUNDS):
-        if np.abs(got - target).max() <= CLOSE * max(1.0, target.sum()):
+        if far(got) <= CLOSE * max(1.0, target.sum()):
             break
         step = inverse(gram) @ (got - target)
         new_gram, new = _sum(members, d, [*history, step])
@@ -112,7 +114,8 @@ def solve(members: DataFrame, d: int, weights: np.ndarray, total: float | None =
             new_gram, new = _sum(members, d, [*history, step])
         history.append(step)
         gram, got = new_gram, new
-    return np.array(history).reshape(-1, d), target, got
+        best = min(best, (far(got), len(history), got), key=lambda x: x[0])
+    return np.array(history[: best[1]]).reshape(-1, d), target, best[2]
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float], total: float | None = None, at_most: bool = False, seed: int = 4, carry: tuple[str, ...] | None = None, known: DataFrame | None = None, least: int = LEAST) -> DataFrame:
@@ -122,8 +125,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float
     class without one gets 0; those of classes without labelled text are dealt over the rest), or at most, if at_most (see
     solve). rate >= 0 is a document's expected number of copies, copies the rate rounded down or up by a draw that
     doc_id and seed decide: rows that repeat an id share a draw. unmet is the largest distance of a domain's expected tokens
-    from their target, as a share of all tokens wanted: 0 where the rates meet the targets. Null and empty texts have no tokens and the classes'
-    shares as posteriors. Without labelled classes there is one domain and every rate is 1.
+    from their target, as a share of all tokens wanted: 0 where the rates meet the targets. Null and empty texts have no tokens, the classes'
+    shares as posteriors and the rate 1, as no total depends on theirs. Without labelled classes there is one domain and every rate is 1.
     The classes are counted on the labelled rows of `known` (doc_id, text; docs by default), of which the model sees at most
     LABELLED: where docs were filtered before, known is the table before that, since what a filter leaves of a class is
     not like the class. A class of fewer than `least` labelled rows there is no domain, and without two classes there is one domain.
@@ -152,7 +155,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[tuple[int, int], float
     rate = F.arrow_udf(lambda p: pa.array(rates(_matrix(p, d), rule.value)), "double")
     copies = (F.floor("rate") + (F.col(key) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
     unmet = F.lit(float(np.abs(got - target).max() / max(1.0, target.sum())))
-    return members.withColumn("rate", rate("posterior")).withColumn("copies", copies).drop(key).withColumn("unmet", unmet)
+    return members.withColumn("rate", F.when(F.col("tokens") > 0, rate("posterior")).otherwise(F.lit(1.0))).withColumn("copies", copies).drop(key).withColumn("unmet", unmet)
 
 
 #: What the classes (quality, toxic) are to have of the mix, and what they may have at most after a quality filter.
@@ -161,6 +164,6 @@ AFTER_FILTER = {(1, 0): 0.994, (0, 0): 0.002, (1, 1): 0.002, (0, 1): 0.002}
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, tokens, posterior, rate, copies and unmet of every document; null and empty texts have no tokens and the rate that their posterior gets."""
+    """doc_id, tokens, posterior, rate, copies and unmet of every document; null and empty texts have no tokens and the rate 1."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, carry=("doc_id",))

@@ -305,6 +305,20 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), labels, weights).count() == 0
 
 
+def test_rates_of_few_rows_stay_bounded(monkeypatch):
+    """Two rows of another domain can't meet the bounds; rounds that lead away from the targets are left out."""
+    t, p = np.array([291.0, 116.0]), np.array([[0.0004962595986556329, 4.294840273206957e-146, 2.0026759330401032e-189, 0.9995037404013444], [0.0006094207852211553, 9.1115672026549e-62, 2.7274818906479006e-79, 0.9993905792147789]])
+
+    def total(_, d, history):
+        r = mixing.rates(p, np.array(history).reshape(-1, d))
+        return p.T @ (p * (t * (r > 0))[:, None]), (t * r) @ p
+
+    monkeypatch.setattr(mixing, "_sum", total)
+    history, target, got = mixing.solve(None, 4, np.array(list(mixing.AFTER_FILTER.values())), at_most=True)
+    assert mixing.rates(p, history).max() <= 1 and np.abs(got - target).max() <= np.abs(t @ p - target).max()
+    assert np.allclose(got, (t * mixing.rates(p, history)) @ p)
+
+
 def test_unmet_targets_are_told(spark):
     """Documents of one posterior can't meet weights that differ from it: the distance is told, as a share of all tokens."""
     members = spark.createDataFrame([(100, [0.6, 0.4])] * 5, "tokens long, posterior array<double>")

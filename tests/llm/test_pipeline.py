@@ -72,6 +72,17 @@ def test_stages_keep_clean_documents(spark):
     assert sum(count(mixed, 1).values()) < sum(count(kept, 1).values()) < 0.3 * sum(count(docs, 1).values())
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_mixing_does_not_multiply_texts_without_tokens(spark):
+    """Where few rows are left that can't meet the bounds, a null text stays one row."""
+    import corpus_pipeline as c
+
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    few = docs.where("doc_id in (881, 7111)").union(spark.createDataFrame([(-1, None, None, None, None)], docs.schema))
+    assert c.mixing_stage(spark, few, d).where("doc_id = -1").count() == 1
+
+
 def test_results_equal_sql(spark):
     import duckdb
 
