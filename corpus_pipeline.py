@@ -2,10 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs; all but the last return the columns of documents. Empty tables go through every stage as empty tables.
+A stage bounds the session's Arrow batches, as its rows are read after it has returned.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +21,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _bounded(stage):
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_bounded
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what importance resampling selects: as many documents as the models take for good, untoxic text."""
     return quality.select(docs, _labels(spark, sf_dir)).where("selected").select(*COLUMNS)
 
 
+@_bounded
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines found in ten documents or more; n_chars follows. A document that loses all its text goes."""
     kept = line_dedup.dedup_lines(docs).where("n_dropped = 0 OR trim(text) <> ''")
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@_bounded
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that share 0.8 of their five-word shingles, keep one row: that of the smallest id.
 
@@ -40,6 +55,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return own.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
+@_bounded
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: rounded draws, so that what is left of other domains has its bound of the tokens. Ids repeat with copies.
 
@@ -51,6 +67,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
+@_bounded
 def bpe_encoding_and_decoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: its ids, and what they decode to; null texts count as empty."""
     return bpe.encode_digests(docs)

@@ -24,6 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session send rows to Python by some BATCH_BYTES at once, unless it has a bound of its own: Spark's is 64 MiB, for each task in the executor and again in its Python."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if bound not in spark.conf.getAll:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

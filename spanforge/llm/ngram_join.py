@@ -62,7 +62,8 @@ def _scan(n: int):
 
 # -- columns of one row --------------------------------------------------------------------------------------------
 
-HELD = 1 << 22  # tested columns that a task packs at once
+HELD = 1 << 18  # columns that a task packs at once, about
+SEEN = 1 << 16  # names of sets that a task remembers
 NOBODY = np.int64(-(2**63))
 
 
@@ -100,11 +101,13 @@ def _tested(n: int, share: float, blocks: int):
         yield pa.RecordBatch.from_arrays([pa.array(v[0], pa.int64()), *(pa.array(x, pa.binary()) for x in v[1:])], ["block", "names", "counts", "columns"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, names, seen, size = [], [], set(), 0
         for b in batches:
-            sets, names, seen, size = [], [], set(), 0
             for s in sets_of(b.column(0), n):
                 if not len(s) or (name := digest_of(s)) in seen:
                     continue
+                if len(seen) == SEEN:
+                    seen.clear()
                 seen.add(name)
                 sets.append(s)
                 names.append(name)
@@ -112,9 +115,9 @@ def _tested(n: int, share: float, blocks: int):
                 if size * share > HELD:
                     yield from packed(sets, names)
                     sets, names, size = [], [], 0
-            if sets:
-                yield from packed(sets, names)
             trim()
+        if sets:
+            yield from packed(sets, names)
 
     return trimmed(run)
 
@@ -234,7 +237,7 @@ def _incidences(blocks: int):
                 names.append(name)
                 sets.append(np.frombuffer(x.as_buffer(), np.uint64))
                 size += len(sets[-1])
-                if size > HELD // 4:
+                if size > HELD:
                     yield from out(names, sets)
                     names, sets, size = [], [], 0
             if sets:
@@ -460,7 +463,7 @@ def set_links(docs: DataFrame, n: int, num: int, den: int, slice_rows: int = SLI
     sc = spark.sparkContext
     rows = save(docs.select("doc_id", "text").mapInArrow(_scan(n), "doc_id long, n_shingles long, name long"), "sets")
     texts = docs.select("text")
-    open_ = save(open_names(rows, texts, n, num, den, blocks_for(docs, 64 << 20, least=16)), "open")
+    open_ = save(open_names(rows, texts, n, num, den, blocks_for(docs, 32 << 20, least=16)), "open")
     bits = min(27, max(24, (16 * open_.count()).bit_length()))  # 2 to 16 MiB
     wanted = sc.broadcast(bloom(open_, bits))
     sets = save(texts.mapInArrow(_rows_of(n, wanted), "name long, members binary").dropDuplicates(["name"]).join(open_, "name", "left_semi"), "rows")

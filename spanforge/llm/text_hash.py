@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from .common import mix64
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18  # bytes of text that are hashed together; arrays of some forty bytes for each
 BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -553,6 +553,25 @@ def test_sets_with_columns_of_their_own_are_cleared(spark):
     assert {4, 121, 5, 122} <= ids and 3 not in ids and len(ids) < 20  # near copies stay; copies of one set are one row
 
 
+def test_tested_columns_go_in_bounded_packs():
+    """However many sets a task has, at once it packs the columns that it holds at most and one set's; copies of a set go once, whatever batch they are in."""
+    import pyarrow as pa
+
+    draw = random.Random(5)
+    texts = [" ".join(str(draw.randrange(10**9)) for _ in range(1000)) for _ in range(1200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 600] + texts[:50])], ["text"]) for i in (0, 600)]
+    sent, rows = 0, collections.Counter()
+    for out in ngram_join._tested(5, 0.5, 16)(iter(batches)):
+        packs = [np.frombuffer(x, np.uint32) for x in out.column(3).to_pylist()]
+        assert sum(map(len, packs)) <= (1 << 18) + 1000
+        sent += sum(map(len, packs))
+        for names, counts in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
+            for name, n in zip(np.frombuffer(names, np.int64).tolist(), np.frombuffer(counts, np.uint32).tolist(), strict=True):
+                rows[name] += n
+    want = {ngram_join.digest_of(s): int((ngram_join.mix64(s, 21) <= np.uint64(2**63)).sum()) for s in text_hash.sets(pa.array(texts), 5)}
+    assert rows == want and sent == sum(want.values())
+
+
 def test_jaccard_join_of_nothing(spark):
     assert ngram_join.jaccard_join(frame(spark, ["a"]).limit(0)).count() == 0
     rows = ngram_join.jaccard_join(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")).collect()

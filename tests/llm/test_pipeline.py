@@ -83,6 +83,27 @@ def test_mixing_does_not_multiply_texts_without_tokens(spark):
     assert c.mixing_stage(spark, few, d).where("doc_id = -1").count() == 1
 
 
+def test_stages_send_bounded_batches(spark):
+    """Long texts reach Python in batches of some 8 MiB, not of 64; a bound that the session has is left alone."""
+    import corpus_pipeline as c
+    import pyarrow as pa
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    docs = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 350_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    c.bpe_encoding_and_decoding(spark, docs, DIR)
+    assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 10 << 20
+    spark.conf.set(bound, "3m")
+    c.bpe_encoding_and_decoding(spark, docs, DIR)
+    assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5 << 20
+    spark.conf.unset(bound)
+
+
 def test_results_equal_sql(spark):
     import duckdb
 
